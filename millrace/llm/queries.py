@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, exact_dedup, secrets, sentencepiece_fst, toxicity
+from millrace.llm import decontaminate, exact_dedup, minhash_dedup, ngram_lm, secrets, sentencepiece_fst, toxicity
 from millrace.llm.common import table
 
 #: Folder of public tokenizer files and the model that the query uses; both can be set.
@@ -54,18 +54,35 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document: three words, 85 percent."""
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, expected_severity, p_toxic, rejected of every document, by a model fitted on labels."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document under a model of those with crc32(doc_id) mod 10 other than 0 (a null id: held out)."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0).alias("held_out"))
+    model = ngram_lm.train(docs.filter("not held_out"))
+    return (ngram_lm.score_texts(docs, model, keep=("doc_id", "held_out"))
+            .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+                    "base_score", "score", "perplexity"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op4_decontaminate": op4_decontaminate,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_language_model": op10_language_model,
 }
 
 ORACLES = {
@@ -74,4 +91,19 @@ ORACLES = {
         select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
                doc_id = max(doc_id) over g as kept, text_sha256
         from h window g as (partition by text_sha256)""",
+    "op8_minhash_dedup": """
+        with recursive w as (
+          select doc_id, list_filter(regexp_split_to_array(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+        s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+                else list_distinct([array_to_string(ws[i:i+2], ' ') for i in range(1, len(ws) - 1)]) end as sh from w),
+        n as (select doc_id, cast(len(sh) as bigint) as n_shingles from s),
+        e as (select doc_id, unnest(sh) as g from s),
+        c as (select a.doc_id as x, b.doc_id as y, count(*) as k from e a join e b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+        l as (select x, y from c join n p on p.doc_id = x join n q on q.doc_id = y
+              where 100 * k >= 85 * (p.n_shingles + q.n_shingles - k)),
+        r as (select doc_id, doc_id as reach from documents union select l.y, r.reach from r join l on l.x = r.doc_id),
+        m as (select doc_id, min(reach) as component_id from r group by doc_id)
+        select doc_id, n_shingles, component_id, doc_id = component_id as kept from n join m using (doc_id)""",
 }
