@@ -53,7 +53,7 @@ class BlockMaxIndex:
     items: (item_id, text); df: document frequency by term over all items; n: number of items; avg: mean length.
     """
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n: int, avg: float, block: int = 16, width: int = 5):
+    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n: int, avg: float, block: int = 4, width: int = 5):
         self.ids = [i for i, _ in items]
         tokens = [terms(t) for _, t in items]
         self.longest = max([1, *map(len, tokens)])
@@ -121,19 +121,30 @@ class BlockMaxIndex:
         return out
 
     def passages(self, ids: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-        """Windows (start, end) whose bound by term and then by block can reach the threshold.
+        """Windows (start, end) whose bound by block maxima can reach the threshold.
 
-        Windows are 1.5 times the longest item with a stride of half of it, so every item lies whole in one.
+        Windows are 1.5 times the longest item with a stride of half of it, so every item lies whole in one.  The
+        block maxima of the distinct terms are summed for each half item at once, a window's bound is the sum of
+        its three halves; what is left is bounded again by the distinct terms of the window.
         """
-        half = -(-self.longest // 2)
-        starts = np.arange(0, max(1, len(ids) - 2 * half), half)
-        ends = np.minimum(starts + 3 * half, len(ids))
-        sums = np.concatenate([[0.0], np.cumsum(self.term_max[ids], dtype=np.float64)])
-        alive = np.flatnonzero(sums[ends] - sums[starts] + 1e-6 >= threshold)
+        half, terms_ = -(-self.longest // 2), len(self.postings)
+        halves = max(1, -(-len(ids) // half))
+        at = np.flatnonzero(ids)
+        pair = np.unique(at // half * terms_ + ids[at])
+        owner = pair // terms_
+        ends = np.searchsorted(owner, np.arange(halves + 1))
+        sums = np.zeros((len(pair) + 1, self.block_max.shape[1]), np.float32)
+        np.cumsum(self.block_max[pair - owner * terms_], axis=0, out=sums[1:])
+        each = sums[ends[1:]] - sums[ends[:-1]]
+        windows = max(1, halves - 2)
+        bound = each[:windows].copy()
+        for k in (1, 2):
+            part = each[k:k + windows]
+            bound[:len(part)] += part
         out = []
-        for k in alive.tolist():
-            s, e = int(starts[k]), int(ends[k])
-            if float(self.block_max[np.unique(ids[s:e])].sum(axis=0).max()) + 1e-6 >= threshold:
+        for w in np.flatnonzero(bound.max(axis=1) + 1e-3 >= threshold).tolist():
+            s, e = w * half, min((w + 3) * half, len(ids))
+            if float(self.block_max[np.unique(ids[s:e])].sum(axis=0).max()) + 1e-4 >= threshold:
                 out.append((s, e))
         return out
 
