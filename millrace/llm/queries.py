@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, exact_dedup, minhash_dedup, ngram_lm, secrets, sentencepiece_fst, suffix_dedup, toxicity
+from millrace.llm import decontaminate, exact_dedup, html_extract, minhash_dedup, ngram_lm, secrets, sentencepiece_fst, suffix_dedup, toxicity
 from millrace.llm.common import table
 
 #: Folder of public tokenizer files and the model that the query uses; both can be set.
@@ -39,6 +39,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.mapInArrow(digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars, n_lines, n_shared of every page."""
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document: repeats of 100 bytes."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
@@ -82,6 +87,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_html_text": op2_html_text,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_sentencepiece": op5_sentencepiece,
