@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, exact_dedup, html_extract, minhash_dedup, ngram_lm, secrets, sentencepiece_fst, suffix_dedup, toxicity
+from millrace.llm import decontaminate, exact_dedup, html_extract, line_dedup, minhash_dedup, ngram_lm, secrets, sentencepiece_fst, suffix_dedup, toxicity
 from millrace.llm.common import table
 
 #: Folder of public tokenizer files and the model that the query uses; both can be set.
@@ -59,6 +59,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_fst.encode_documents(table(spark, sf_dir, "documents"), tokenizer_bytes())
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text without repeated lines, n_lines, n_removed of every document."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
@@ -91,6 +96,7 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_line_dedup": op6_line_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_toxicity": op9_toxicity,
@@ -98,6 +104,19 @@ QUERIES = {
 }
 
 ORACLES = {
+    # One edit touches one place, so the first or the last half of the shorter line is common: a sound filter.
+    "op6_line_dedup": """
+        with t as (select doc_id, coalesce(text, '') as text from documents),
+        e as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from t),
+        f as (select line, min(row(doc_id, pos)) as place, length(line) as n from e where length(line) >= 20 group by line),
+        g as (select distinct b.line from f a join f b on b.n between a.n - 1 and a.n + 1 and a.place < b.place
+              and (left(a.line, cast(floor(least(a.n, b.n) / 2) as int)) = left(b.line, cast(floor(least(a.n, b.n) / 2) as int))
+                or right(a.line, cast(floor(least(a.n, b.n) / 2) as int)) = right(b.line, cast(floor(least(a.n, b.n) / 2) as int)))
+              where levenshtein(a.line, b.line) <= 1),
+        k as (select e.*, length(e.line) < 20 or (f.place = row(e.doc_id, e.pos) and g.line is null) as stays
+              from e left join f on e.line = f.line left join g on e.line = g.line)
+        select doc_id, coalesce(string_agg(line, chr(10) order by pos) filter (stays), '') as text,
+               count(*) as n_lines, count(*) filter (not stays) as n_removed from k group by doc_id""",
     "op7_exact_dedup": """
         with h as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents)
         select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
