@@ -1,11 +1,12 @@
 """Toxicity: cumulative-link (proportional-odds) ordinal regression over sparse word features.
 
-Severity grades come from ``labels``: 0 not toxic, 1 toxic in a text of fair quality, 2 toxic in a poor text.
+Severity grades come from ``labels``: 0 fair text, 1 poor text without toxicity, 2 toxic text.
+Features are words and their beginnings (3 to 8 letters), each at the levels "occurs once, twice, three times at least".
 One weight vector serves all grades; ordered thresholds separate them: P(grade <= k) = sigmoid(theta_k - w.x).
-The result is the expected severity, and a document is rejected when P(grade >= 1) reaches ``reject_at``.
+The result is the expected severity, and a document is rejected when P(grade >= 2) reaches ``reject_at``.
 
-Scale: the fit uses a bounded sample of labelled rows (``max_rows``); word statistics for feature selection are
-aggregated in Spark and at most ``max_features`` words reach the driver.  Scoring is row-local with the
+Scale: the fit uses a bounded sample of labelled rows (``max_rows``); feature statistics for selection are
+aggregated in Spark and at most ``max_features`` features reach the driver.  Scoring is row-local with the
 small model in the task closure: no shuffle.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,15 +22,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import text_or_empty
+from millrace.llm.common import dropped, staged, text_or_empty
 
 WORD = re.compile(r"[^\W\d_]+")
 GRADES = 3
 
 
-def words(text: str) -> set[str]:
-    """The distinct lower-cased letter runs of a text: its sparse features."""
-    return set(WORD.findall(text.lower()))
+#: Letters of a beginning, and counts from which a feature holds.
+BEGINNINGS, LEVELS = range(3, 9), (1, 2, 3)
+
+
+def features(text: str) -> list[str]:
+    """Names of the features that hold: level, then the word or ``^`` and its beginning."""
+    counts = Counter(WORD.findall(text.lower()))
+    for word, k in list(counts.items()):
+        for n in BEGINNINGS:
+            if len(word) > n:
+                counts["^" + word[:n]] += k
+    return [f"{q}{name}" for name, k in counts.items() for q in LEVELS if k >= q]
 
 
 def sigmoid(x):
@@ -37,13 +48,30 @@ def sigmoid(x):
 
 @dataclass
 class OrdinalModel:
-    """Weights by word, thresholds theta_0 <= theta_1 <= ... between grades."""
+    """Weights by feature, thresholds theta_0 <= theta_1 <= ... between grades."""
 
     weights: dict[str, float] = field(default_factory=dict)
     thresholds: tuple[float, ...] = (math.inf,) * (GRADES - 1)
 
+    def __post_init__(self):
+        # what a word or beginning adds by its count, and the first letters of all of them
+        self.gains: dict[str, list[float]] = {}
+        for name, w in self.weights.items():
+            gain = self.gains.setdefault(name[1:], [0.0] * len(LEVELS))
+            for k in range(int(name[0]) - 1, len(LEVELS)):
+                gain[k] += w
+        self.heads = {name.lstrip("^")[:BEGINNINGS[0]] for name in self.gains}
+
     def margin(self, text: str) -> float:
-        return sum(self.weights[w] for w in self.weights.keys() & words(text))
+        counts: Counter = Counter()
+        for word, k in Counter(WORD.findall(text.lower())).items():
+            if word[:BEGINNINGS[0]] in self.heads:
+                if word in self.gains:
+                    counts[word] += k
+                for n in BEGINNINGS:
+                    if len(word) > n and (start := "^" + word[:n]) in self.gains:
+                        counts[start] += k
+        return sum(self.gains[name][min(k, len(LEVELS)) - 1] for name, k in sorted(counts.items()))
 
     def at_least(self, margin: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1.. as columns."""
@@ -92,38 +120,38 @@ def fit(rows: list[list[int]], grades: np.ndarray, n_features: int, grade_count:
     return p[:n_features], theta(p)
 
 
-def _word_sets(batches):
+def _feature_sets(batches):
     for batch in batches:
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([sorted(words(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))],
-            names=["doc_id", "grade", "words"])
+            [batch.column(0), batch.column(1), pa.array([features(t) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))],
+            names=["doc_id", "grade", "features"])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_features: int = 2000,
-          min_gain: float = 24.0, l2: float = 0.05) -> OrdinalModel:
+          min_gain: float = 24.0, l2: float = 0.2) -> OrdinalModel:
     """Fit on at most ``max_rows`` labelled documents, taken in order of a hash of their id.
 
-    Features are words whose likelihood-ratio statistic against "toxic" is ``min_gain`` or more, the strongest
-    ``max_features`` of them.  Labels with null doc_id or null toxic are left out; null quality counts as fair;
-    repeated labels of a document count once, the most severe one.  Without labels nothing is toxic.
+    Features are those that are commoner in toxic texts with a likelihood-ratio statistic of ``min_gain`` or more, the
+    strongest ``max_features`` of them.  Labels with null doc_id or null toxic are left out; null quality counts as
+    fair; repeated labels of a document count once, the most severe one.  Without labels nothing is toxic.
     """
-    grade = F.when(F.col("toxic") <= 0, 0).when(F.coalesce(F.col("quality"), F.lit(1)) <= 0, 2).otherwise(1)
+    grade = F.when(F.col("toxic") > 0, 2).when(F.coalesce(F.col("quality"), F.lit(1)) <= 0, 1).otherwise(0)
     chosen = (labels.filter("doc_id is not null and toxic is not null")
               .groupBy("doc_id").agg(F.max(grade).alias("grade"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     sample = (texts.join(F.broadcast(chosen), "doc_id")  # max_rows rows of two numbers
               .select("doc_id", "grade", "text")
-              .mapInArrow(_word_sets, "doc_id long, grade int, words array<string>"))
-    total = sample.agg(F.count("*").alias("n"), F.sum(F.expr("int(grade > 0)")).alias("t")).first()
-    if not total.n:
-        return OrdinalModel()
-    n, t = float(total.n), float(total.t or 0)
-    if t == 0:
+              .mapInArrow(_feature_sets, "doc_id long, grade int, features array<string>"))
+    sample = staged(sample, "toxicity-sample")
+    total = sample.agg(F.count("*").alias("n"), F.sum(F.expr("int(grade > 1)")).alias("t")).first()
+    if not total.n or not total.t:
+        dropped(sample)
         return OrdinalModel()
-    counts = (sample.select("grade", F.explode("words").alias("word")).groupBy("word")
-              .agg(F.count("*").cast("double").alias("c"), F.sum(F.expr("double(grade > 0)")).alias("a"))
-              .filter("c >= 3"))
+    n, t = float(total.n), float(total.t)
+    counts = (sample.select("grade", F.explode("features").alias("name")).groupBy("name")
+              .agg(F.count("*").cast("double").alias("c"), F.sum(F.expr("double(grade > 1)")).alias("a"))
+              .filter(F.col("a") * n > F.col("c") * t).filter("c >= 3"))
 
     def term(k, expected):
         return F.when(k > 0, k * F.log(k / expected)).otherwise(F.lit(0.0))
@@ -131,13 +159,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_features
     c, a = F.col("c"), F.col("a")
     gain = 2 * (term(a, c * (t / n)) + term(c - a, c * (1 - t / n) + 1e-9)
                 + term(F.lit(t) - a, (n - c) * (t / n) + 1e-9) + term((n - c) - (t - a), (n - c) * (1 - t / n) + 1e-9))
-    top = (counts.select("word", gain.alias("gain")).filter(F.col("gain") >= min_gain)
-           .orderBy(F.desc("gain"), "word").limit(max_features).collect())
-    vocabulary = {r.word: k for k, r in enumerate(top)}
+    top = (counts.select("name", gain.alias("gain")).filter(F.col("gain") >= min_gain)
+           .orderBy(F.desc("gain"), "name").limit(max_features).collect())
+    vocabulary = {r.name: k for k, r in enumerate(top)}
     known = F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.array().cast("array<string>")
-    rows = sample.select("doc_id", "grade", F.array_intersect("words", known).alias("words")).orderBy("doc_id").collect()
-    w, theta = fit([[vocabulary[x] for x in r.words] for r in rows], np.array([r.grade for r in rows]), len(vocabulary), l2=l2)
-    return OrdinalModel({word: float(w[k]) for word, k in vocabulary.items()}, tuple(float(x) for x in theta))
+    rows = sample.select("doc_id", "grade", F.array_intersect("features", known).alias("names")).orderBy("doc_id").collect()
+    dropped(sample)
+    w, theta = fit([[vocabulary[x] for x in r.names] for r in rows], np.array([r.grade for r in rows]), len(vocabulary), l2=l2)
+    return OrdinalModel({name: float(w[k]) for name, k in vocabulary.items()}, tuple(float(x) for x in theta))
 
 
 SCORED = "expected_severity double, p_toxic double, rejected boolean"
@@ -150,15 +179,17 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, reject_at: float = 0.5,
     Whole texts; null counts as empty (margin 0).  Repeated rows give repeated results.
     """
     inner = [f"c{k}" for k in range(len(keep))]
-    src = docs.select(*[F.col(c).alias(a) for c, a in zip(keep, inner)], text_or_empty(text_col).alias("t"))
+    own = [] if text_col in keep else [text_or_empty(text_col).alias("t")]  # a kept text is not sent twice
+    src = docs.select(*[F.col(c).alias(a) for c, a in zip(keep, inner)], *own)
     types = ", ".join(f"{a} {docs.schema[c].dataType.simpleString()}" for c, a in zip(keep, inner))
+    at = keep.index(text_col) if text_col in keep else len(keep)
 
     def score(batches):
         for batch in batches:
-            margin = np.array([model.margin(t) for t in batch.column(len(inner)).to_pylist()], float)
+            margin = np.array([model.margin(t or "") for t in batch.column(at).to_pylist()], float)
             p = model.at_least(margin)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(p[:, 0] >= reject_at)],
+                [*batch.columns[:len(inner)], pa.array(p.sum(axis=1)), pa.array(p[:, -1]), pa.array(p[:, -1] >= reject_at)],
                 names=[*inner, "expected_severity", "p_toxic", "rejected"])
 
     out = src.mapInArrow(score, f"{types}, {SCORED}")
