@@ -1,12 +1,72 @@
-"""A corpus filter built from the operators: STAGES and run()."""
+"""A corpus filter built from the operators of millrace.llm: STAGES and run().
+
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns
+of ``documents``.  Null texts count as empty, null ids are ids of their own, empty tables pass through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import decontaminate, line_dedup, minhash_dedup, sentencepiece_fst, toxicity
+from millrace.llm.common import staged, table
+from millrace.llm.queries import tokenizer_bytes
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model does not reject."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model, keep=COLUMNS).filter("not rejected").select(*COLUMNS)
+
+
+def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that stand earlier; one that loses all it had was a copy and goes, others stay."""
+    cut = line_dedup.dedup_lines(docs.select(*COLUMNS)).filter(r"n_removed = 0 or text rlike '\\S'")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", n_chars).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id (five words, 80 percent)."""
+    kept = minhash_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    out = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():  # rows that repeat an id are one document
+        out = out.dropDuplicates(["doc_id"])
+    return out
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no test item."""
+    hits = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    leaks = hits.select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.select(*COLUMNS).join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The SentencePiece encoding of every document that is left, and whether it decodes to the text."""
+    return sentencepiece_fst.encode_documents(docs, tokenizer_bytes())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", cut_repeated_lines),
+    ("near-copies", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("encoding", encode),
+]
 
-STAGES = []
+#: No stage order here is expressible in SQL (model scoring, tokenisation); tests use brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The stages over ``documents``, each written as Parquet to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = staged(docs, f"stage-{k}")
+    return docs

@@ -63,10 +63,29 @@ def _fields(data: bytes):
         yield key >> 3, value
 
 
+class Encodings(dict):
+    """Little-endian 32-bit ids by chunk, memoised in two generations of ``bound`` chunks at most."""
+
+    def __init__(self, fst: Transducer, bound: int):
+        super().__init__()
+        self.fst, self.bound, self.old = fst, bound, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.old.get(chunk)
+        if found is None:
+            found = np.array(self.fst.ids(self.fst.shortest_path(chunk)), "<i4").tobytes()
+        if len(chunk) <= 64:
+            if len(self) >= self.bound:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = found
+        return found
+
+
 class Transducer:
-    """The compiled model; ``encode_chunk`` composes one chunk and takes its shortest path."""
+    """The compiled model; ``shortest_path`` composes one chunk with it."""
 
-    def __init__(self, model: bytes, cache: int = 400_000):
+    def __init__(self, model: bytes, cache: int = 250_000):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.types: list[int] = []
@@ -97,7 +116,6 @@ class Transducer:
         self.unknown = self.types.index(UNKNOWN) if UNKNOWN in self.types else 0
         self.byte_ids = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == BYTE}
         self.arcs = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t in (NORMAL, USER) and p}
-        self.longest = max(map(len, self.arcs), default=1)
         self.worst = min((self.scores[i] for i in self.arcs.values()), default=0.0) - UNKNOWN_PENALTY
         self.bytes_of = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else p.encode()
                          for p, t in zip(self.pieces, self.types)]
@@ -109,13 +127,22 @@ class Transducer:
                 node = node.setdefault(c, {})
             node[""] = i
         self._linked: dict[int, bool] = {}
-        self._cache, self._bound = {}, cache
+        self._cache, self._bound = Encodings(self, cache), cache
+        # Exact places to cut an input: no arc spans them.  Controls that stand in no longer piece; a space mark, if it only
+        # begins pieces; between a letter or digit and a punctuation mark that never follows it in a piece.
         inner = {c for p in self.arcs if len(p) > 1 for c in p}
-        # No arc leaves a space mark after another character or takes these controls along: exact places to cut.
         whole = all(SPACE not in p.lstrip(SPACE) for p in self.arcs)
         alone = "".join(re.escape(chr(c)) for c in range(32) if chr(c) not in inner)
         mark = re.escape(SPACE)
-        self.chunk = re.compile(f"[{alone}]|{mark}+[^{mark}{alone}]*|[^{mark}{alone}]+" if alone and whole else "(?s:.+)")
+        before: dict[str, set[str]] = {chr(c): set() for c in range(33, 127) if not chr(c).isalnum()}
+        for p in self.arcs:
+            for x, y in zip(p, p[1:]):
+                if x.isalnum() and y in before:
+                    before[y].add(x)
+        free = "".join(re.escape(c) for c, xs in before.items() if not xs)
+        bound = "".join(f"|(?<![{re.escape(''.join(sorted(xs)))}]){re.escape(c)}" for c, xs in before.items() if xs)
+        self.chunk = re.compile(f"[{alone}]|{mark}*[^\\W_]++(?=[{mark}{alone}{free}]|\\Z{bound})|{mark}+[^{mark}{alone}]*|[^{mark}{alone}]+"
+                                if alone and whole else "(?s:.+)")
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -150,49 +177,68 @@ class Transducer:
         left = self.label(a)
         return self.merged(left + right) == [left, right]
 
+    def arcs_from(self, chunk: str, start: int) -> list[tuple[int, int]]:
+        """(end, arc) of every arc over the input from ``start`` on, the shortest first."""
+        out, node, end, n = [], self.trie, start, len(chunk)
+        while end < n:
+            node = node.get(chunk[end])
+            if node is None:
+                break
+            end += 1
+            arc = node.get("")
+            if arc is not None:
+                out.append((end, arc))
+        if not out or out[0][0] != start + 1:  # a character outside the vocabulary
+            out.insert(0, (start + 1, -ord(chunk[start]) - 2))
+        return out
+
     def shortest_path(self, chunk: str) -> list[int]:
         """Arcs of the shortest path through the composition of ``chunk`` with the transducer."""
-        n, root, bpe, memo, scores = len(chunk), self.trie, self.kind == BPE, self._linked, self.scores
-        last: list[int | None] = [START] + [None] * n
-        cost, origin = [0.0] * (n + 1), [0] * (n + 1)
-        for start in range(n):
-            state = last[start]
-            if state is None:
-                continue
-            node, end = root, start
-            while end < n:
-                node = node.get(chunk[end])
-                if node is None:
-                    if end > start:
-                        break
-                    arc = -ord(chunk[start]) - 2
-                else:
-                    arc = node.get("")
-                    if arc is None and end == start:
-                        arc = -ord(chunk[start]) - 2
-                end += 1
-                if arc is None:
+        return self._only_path(chunk) if self.kind == BPE else self._cheapest_path(chunk)
+
+    def _only_path(self, chunk: str) -> list[int]:
+        """The one path of finite weight, depth first with the longest arcs first.
+
+        A prefix has one finite path at most, so a position that led nowhere need not be tried again.
+        """
+        n, memo = len(chunk), self._linked
+        path, states, choices, dead = [], [START], [self.arcs_from(chunk, 0)], set()
+        while True:
+            options, state = choices[-1], states[-1]
+            while options:
+                end, arc = options.pop()
+                if end in dead:
                     continue
-                if bpe:
-                    if last[end] is None:
-                        key = state << 24 | arc + 0x200000
-                        link = memo.get(key)
-                        if link is None:
-                            if len(memo) >= 4 * self._bound:
-                                memo.clear()
-                            link = memo[key] = self.linked(state, arc)
-                        if link:
-                            last[end], origin[end] = arc, start
-                else:
-                    total = cost[start] - (scores[arc] if arc >= 0 else self.worst)
-                    if last[end] is None or total < cost[end]:
-                        last[end], cost[end], origin[end] = arc, total, start
-                if node is None:
+                key = state << 24 | arc + 0x200000
+                link = memo.get(key)
+                if link is None:
+                    if len(memo) >= 4 * self._bound:
+                        memo.clear()
+                    link = memo[key] = self.linked(state, arc)
+                if link:
+                    path.append((end, arc))
+                    if end == n:
+                        return [x for _, x in path]
+                    states.append(arc)
+                    choices.append(self.arcs_from(chunk, end))
                     break
+            else:
+                dead.add(path.pop()[0])
+                states.pop()
+                choices.pop()
+
+    def _cheapest_path(self, chunk: str) -> list[int]:
+        n, scores = len(chunk), self.scores
+        cost, best = [0.0] + [float("inf")] * n, [(0, 0)] * (n + 1)
+        for start in range(n):  # every position is reachable: each character has an arc
+            for end, arc in self.arcs_from(chunk, start):
+                total = cost[start] - (scores[arc] if arc >= 0 else self.worst)
+                if total < cost[end]:
+                    cost[end], best[end] = total, (start, arc)
         out, end = [], n
         while end > 0:
-            out.append(last[end])
-            end = origin[end]
+            end, arc = best[end]
+            out.append(arc)
         return out[::-1]
 
     def ids(self, arcs: list[int]) -> list[int]:
@@ -207,19 +253,8 @@ class Transducer:
                 out.append(self.unknown)
         return out
 
-    def encoded(self, chunk: str) -> bytes:
-        """Little-endian 32-bit ids of a chunk, memoised (bounded)."""
-        found = self._cache.get(chunk)
-        if found is None:
-            found = np.array(self.ids(self.shortest_path(chunk)), "<i4").tobytes()
-            if len(chunk) <= 64:
-                if len(self._cache) >= self._bound:
-                    self._cache.clear()
-                self._cache[chunk] = found
-        return found
-
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.encoded, self.chunk.findall(self.normalise(text)))), "<i4")
+        return np.frombuffer(b"".join(map(self._cache.__getitem__, self.chunk.findall(self.normalise(text)))), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a sequence of ids: bytes joined, invalid ones replaced, space marks undone, dummy prefix dropped."""
