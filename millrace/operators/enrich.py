@@ -10,8 +10,14 @@ from millrace.model import DEFAULT_FLOW, FLOW_TYPES, UNKNOWN_STAGE, Settings
 
 #: Total order of a case's events.
 ORDER = ("ts", "event_seq")
-BY_CASE = Window.partitionBy("case_id")
-IN_ORDER = BY_CASE.orderBy(*ORDER)
+
+
+def by_case():
+    return Window.partitionBy("case_id")
+
+
+def in_order():
+    return by_case().orderBy(*ORDER)
 
 
 def resource_type(resource: Column) -> Column:
@@ -45,12 +51,13 @@ def enriched(events: DataFrame, s: Settings = Settings()) -> DataFrame:
     """All event columns that later steps use: one shuffle and one sort by case for every window."""
     out = calendar_flags(events, s).withColumn("resource_type", resource_type(F.col("resource")))
     out = out.withColumn("process_stage", map_value(s.stages, F.col("activity"), UNKNOWN_STAGE))
+    w = in_order()
     return out.withColumns({
-        "event_order": F.row_number().over(IN_ORDER).cast("long"),
-        "prev_ts": F.lag("ts").over(IN_ORDER), "next_ts": F.lead("ts").over(IN_ORDER),
-        "prev_activity": F.lag("activity").over(IN_ORDER), "next_activity": F.lead("activity").over(IN_ORDER),
-        "prev_resource": F.lag("resource").over(IN_ORDER),
-        "case_start": F.min("ts").over(BY_CASE),
+        "event_order": F.row_number().over(w).cast("long"),
+        "prev_ts": F.lag("ts").over(w), "next_ts": F.lead("ts").over(w),
+        "prev_activity": F.lag("activity").over(w), "next_activity": F.lead("activity").over(w),
+        "prev_resource": F.lag("resource").over(w),
+        "case_start": F.min("ts").over(by_case()),
     }).withColumns({
         "time_since_case_start": micro_seconds_between("case_start", "ts"),
         "time_since_prev_event": micro_seconds_between("prev_ts", "ts"),
