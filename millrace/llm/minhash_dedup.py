@@ -5,8 +5,10 @@
    the signature holds the smallest value at each position.  Steps end when no position can improve.
 3. Bands of a signature are buckets.  A bucket links each class to one centre, chosen by a hash of bucket and class, so a
    class meets different centres in its buckets; links are confirmed on the full shingle sets.
-4. Buckets whose classes still lie in different components get the pairs across them (members of smaller components
-   against all) until every candidate pair is either inside one component or tested.  No cap anywhere.
+4. Classes that hang together by buckets are a family.  Where a family still has several components, the members of all
+   but its largest are compared with every member: in blocks of ``BLOCK`` members, each an inverted index of
+   shingles that all members of the family stream past.  So every candidate pair is inside one component or compared
+   on full sets; no pair becomes a row unless it links two components.  No cap anywhere.
 
 Scale: text is read twice and shuffled once (only where a full set is needed); bucket rows are 24 bytes; a hot
 bucket costs its size, not its square, while its members are linked; joins on buckets and classes start from
@@ -27,6 +29,8 @@ from millrace.llm.components import connected_components
 
 #: 96 positions in 24 bands of 4: a pair at 0.85 is missed with probability 2e-8, one at 0.8 with 3e-6.
 BANDS, ROWS = 24, 4
+#: Members of smaller components that are compared at once.
+BLOCK = 256
 
 
 def superminhash(elements: np.ndarray, sizes: np.ndarray, m: int = BANDS * ROWS, seed: int = 1) -> np.ndarray:
@@ -135,6 +139,70 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary"))
 
 
+def _links_across(families: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b) between different components of one family, as few as join them; None where no family is torn."""
+    rooted = (families.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")))
+    rooted = staged(rooted, "rooted")
+    parts = rooted.groupBy("family", "root").agg(F.count("*").alias("n"))
+    torn = (parts.groupBy("family").agg(F.sum("n").alias("members"), F.count("*").alias("parts"), F.max(F.struct("n", "root")).alias("most"))
+            .filter("parts > 1 and members > 2")  # of two members the only pair is tested
+            .select("family", F.col("most.root").alias("most"), F.ceil((F.col("members") - F.col("most.n")) / F.lit(BLOCK)).cast("int").alias("blocks")))
+    torn = staged(torn, "torn")
+    if torn.isEmpty():
+        return None
+    rows = staged(rooted.join(torn, "family"), "torn-members").join(sets, "class")
+    minor = rows.filter("root <> most").select(
+        "family", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "class", "root", "members")
+    every = rows.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "class", "root", "members")
+    both = (minor.unionByName(every).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "family", "block")
+            .sortWithinPartitions("family", "block", "side"))
+    return both.mapInArrow(_compare(percent), "a binary, b binary")
+
+
+def _compare(percent: int):
+    def compare(batches):
+        at, minors, index, joined = None, [], None, {}
+
+        def find(x):
+            while joined.get(x, x) != x:
+                x = joined[x]
+            return x
+
+        for batch in batches:
+            out = []
+            for family, block, side, class_, root, members in zip(*[c.to_pylist() for c in batch.columns]):
+                if (family, block) != at:
+                    at, minors, index, joined = (family, block), [], None, {}
+                members = np.frombuffer(members, U64)
+                if side == 0:
+                    minors.append((class_, root, members))
+                    continue
+                if not minors:
+                    continue
+                if index is None:  # all minors of the block are here
+                    sizes = np.array([len(m) for _, _, m in minors])
+                    flat, owner = np.concatenate([m for _, _, m in minors]), np.repeat(np.arange(len(minors)), sizes)
+                    order = np.argsort(flat, kind="stable")
+                    flat, owner = flat[order], owner[order]
+                    index = True
+                low, high = np.searchsorted(flat, members, "left"), np.searchsorted(flat, members, "right")
+                count = high - low
+                total = int(count.sum())
+                if not total:
+                    continue
+                hits = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(total)
+                shared = np.bincount(owner[hits], minlength=len(minors))
+                near = np.flatnonzero(100 * shared >= percent * (sizes + len(members) - shared))
+                for k in near.tolist():
+                    x, y = find(minors[k][1]), find(root)
+                    if x != y:
+                        joined[max(x, y)] = min(x, y)
+                        out.append((minors[k][0], class_))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    return compare
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 
@@ -161,19 +229,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     links = staged(_confirmed(tested, sets, percent), "confirmed")
     roots = staged(connected_components(links), "roots")
 
-    # Pairs across components that still share a bucket.
-    rooted = (members.select("key", "class").join(roots.withColumnRenamed("node", "class"), "class", "left")
-              .withColumn("root", F.coalesce("root", "class")))
-    torn = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    rooted = staged(rooted.join(torn, "key", "left_semi"), "torn")
-    if not rooted.isEmpty():
-        most = (rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-                .groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most")))
-        minor = rooted.join(most, "key").filter("root <> most").select("key", F.col("class").alias("c1"), F.col("root").alias("r1"))
-        more = ordered(staged(minor, "minor").join(rooted, "key").filter("r1 <> root"), "c1", "class")
-        more = staged(more.join(tested, ["a", "b"], "left_anti"), "more-pairs")
-        links = links.unionByName(_confirmed(more, sets, percent))
-        roots = staged(connected_components(links), "roots")
+    families = staged(connected_components(tested), "families").select(F.col("node").alias("class"), F.col("root").alias("family"))
+    more = _links_across(families, roots, sets, percent)
+    if more is not None:
+        more = staged(more, "more-links")
+        if not more.isEmpty():
+            roots = staged(connected_components(links.unionByName(more)), "roots")
     dropped(members)
 
     named = (classes.select("class", "rep").join(roots.withColumnRenamed("node", "class"), "class", "left")
