@@ -84,6 +84,12 @@ def train(rows: DataFrame, iterations: int = 30, depth: int = 5, step: float = 0
     return SlaModel(model, found, table)
 
 
+def load(path: str):
+    """A fitted pipeline that was written before."""
+    from pyspark.ml import PipelineModel
+    return PipelineModel.load(path)
+
+
 def score(model, rows: DataFrame) -> DataFrame:
     """case_id, target, in_test_set, sla_risk_score, sla_risk_predicted."""
     from pyspark.ml.functions import vector_to_array

@@ -5,6 +5,7 @@ Eight places: days and hours are multiples of a second, whose exact decimals end
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,8 +16,8 @@ from millrace.operators import automation, conformance, discovery, enrich, marts
 from millrace.plans import export
 from millrace.plans.context import Log
 from millrace.plans.oracles import RULE_IDS
-from millrace.sources import adapter
-from millrace.sources.tables import test_table
+from millrace.sources import adapter, xes
+from millrace.sources.tables import scratch, test_table
 from millrace.streaming.dfg import sessions
 
 
@@ -67,6 +68,14 @@ def _conversation_dfg(spark: SparkSession, sf_dir: str) -> DataFrame:
             .filter("to_activity is not null").groupBy("from_activity", "to_activity").agg(F.count("*").alias("transition_count")))
 
 
+def _xes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written as XES and read back."""
+    path = f"{scratch(spark)}/millrace-xes-{uuid.uuid4().hex}"
+    xes.write_xes(adapter.events(spark, sf_dir), path)
+    back = xes.bronze_events(xes.read_traces(spark, path))
+    return back.select("case_id", "activity", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "resource", "event_value", "event_seq")
+
+
 def _score_metrics(x: Log) -> DataFrame:
     rows = x.summary.select((F.col("sla_risk") != "low").cast("int").alias("target"), F.round(F.col("event_count") / F.lit(6.0), 6).alias("sla_risk_score"))
     return sla.metrics(rows)
@@ -178,5 +187,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _over_log(f)
     "bronze_dedupe": lambda spark, d: plain(_first_event(None, spark, d)),
     "conversation_variants": lambda spark, d: plain(_conversation_variants(spark, d)),
     "conversation_dfg": lambda spark, d: plain(_conversation_dfg(spark, d)),
+    "xes_roundtrip": lambda spark, d: plain(_xes_roundtrip(spark, d)),
     "user_sessions": lambda spark, d: sessions(test_table(spark, d, "events"), "user_id", "ts", "6 hours"),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (one machine)."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    return path.rstrip("/") if path else "file://" + tempfile.mkdtemp(prefix="millrace-")
+
+
 def missing(spark: SparkSession, paths: Iterable[str]) -> list[str]:
     """The inputs that are not there: the gate before a phase."""
     return [p for p in paths if not exists(spark, p)]
