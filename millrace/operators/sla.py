@@ -101,11 +101,18 @@ def score(model, rows: DataFrame) -> DataFrame:
 def metrics(scored: DataFrame, label: str = "target", value: str = "sla_risk_score", threshold: float = 0.5) -> DataFrame:
     """One row: AUC by rank sums with ties, average precision, precision, recall and F1 at the threshold.
 
-    Rows are counted by score first, so the cumulation runs over distinct scores.
+    Rows are counted by score first; scores are cumulated within 4,096 ranges of [0, 1] and the ranges among themselves,
+    so no task sorts all scores.
     """
     by_score = scored.groupBy(F.col(value).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label)).alias("p"))
-    up, down = Window.orderBy("s"), Window.orderBy(F.desc("s"))
-    cum = by_score.withColumns({"below": F.sum("n").over(up) - F.col("n"), "n_from": F.sum("n").over(down), "p_from": F.sum("p").over(down)})
+    by_score = by_score.withColumn("b", F.greatest(F.lit(0), F.least(F.lit(4095), F.floor(F.col("s") * 4096))).cast("int"))
+    ranges = by_score.groupBy("b").agg(F.sum("n").alias("bn"), F.sum("p").alias("bp"))
+    up, down = Window.orderBy("b"), Window.orderBy(F.desc("b"))  # 4,096 rows at most
+    ranges = ranges.select("b", (F.sum("bn").over(up) - F.col("bn")).alias("n_low"), (F.sum("bn").over(down) - F.col("bn")).alias("n_high"),
+                           (F.sum("bp").over(down) - F.col("bp")).alias("p_high"))
+    up, down = Window.partitionBy("b").orderBy("s"), Window.partitionBy("b").orderBy(F.desc("s"))
+    cum = by_score.join(F.broadcast(ranges), "b").withColumns({
+        "below": F.sum("n").over(up) - F.col("n") + F.col("n_low"), "n_from": F.sum("n").over(down) + F.col("n_high"), "p_from": F.sum("p").over(down) + F.col("p_high")})
     one = cum.agg(
         F.sum("n").alias("n"), F.sum("p").alias("pos"), F.sum(F.col("p") * (F.col("below") + (F.col("n") + 1) / 2.0)).alias("ranks"),
         F.sum(F.col("p") * F.col("p_from") / F.col("n_from")).alias("ap"),
