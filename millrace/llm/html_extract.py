@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import partitions, staged
+from millrace.llm.common import dropped, partitions, staged
 
 OPEN, ARTICLE, CHROME = 0, 1, 2
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*\Z""", re.S)
@@ -242,16 +242,21 @@ def _keys(batches):
 RESULT = "page_id long, url string, text string, n_chars long, n_lines long, n_shared long"
 
 
+def _nearest(batches):
+    """Line hashes of the neighbour whose path shares the longer prefix; of equals the previous page."""
+    for batch in batches:
+        out = []
+        for path, *sides in zip(*[c.to_pylist() for c in batch.columns[1:]]):
+            out.append(max((s for s in sides if s is not None), key=lambda s: _common(s["path"], path))["hashes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["rid", "near"])
+
+
 def _extract(batches):
     for batch in batches:
         out = [[] for _ in range(4)]
-        for page, path, prev, next_ in zip(*[c.to_pylist() for c in batch.columns[2:]]):
+        for page, near in zip(*[c.to_pylist() for c in batch.columns[2:]]):
             lines, zones = lines_of(page)
-            sides = [s for s in (prev, next_) if s is not None]
-            shared = [False] * len(lines)
-            if sides:
-                near = max(sides, key=lambda s: _common(s["path"], path or ""))  # the first of equals: the previous page
-                shared = shared_lines(_hashes(lines), near["hashes"])
+            shared = shared_lines(_hashes(lines), near) if near is not None else [False] * len(lines)
             text = "\n\n".join(main_text(lines, zones, shared))
             for col, x in zip(out, (text, len(text), len(lines), sum(shared))):
                 col.append(x)
@@ -268,12 +273,13 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    src = src.withColumn("rid", F.substring(F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("page_id").cast("string"), F.lit("-")),
-                                                               F.coalesce("url", F.lit("\x1e")), "html"), 256), 1, 32))
-    keyed = staged(src.select("rid", "url", "html").mapInArrow(_keys, "rid string, host string, path string, hashes array<long>"), "page-keys")
+    src = src.withColumn("rid", F.unhex(F.substring(F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("page_id").cast("string"), F.lit("-")),
+                                                               F.coalesce("url", F.lit("\x1e")), "html"), 256), 1, 32)))
+    keyed_raw = staged(src.select("rid", "url", "html").mapInArrow(_keys, "rid binary, host string, path string, hashes array<long>"), "page-keys")
     order = ["host", "path", "rid"]
-    keyed = keyed.groupBy(*order).agg(F.min("hashes").alias("hashes"))
+    keyed = keyed_raw.groupBy(*order).agg(F.min("hashes").alias("hashes"))
     placed = staged(keyed.repartitionByRange(partitions(pages.sparkSession), *order).withColumn("part", F.spark_partition_id()), "page-order")
+    dropped(keyed_raw)
     me = F.struct("host", "path", "hashes")
     by = Window.partitionBy("part").orderBy(*order)
     placed_by = placed.withColumn("prev", F.lag(me).over(by)).withColumn("next", F.lead(me).over(by))
@@ -284,5 +290,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     near = placed_by.join(ends, "part", "left").select(
         "rid", "path", *[F.when(F.coalesce(a, b)["host"] == F.col("host"), F.coalesce(a, b)).alias(c)
                          for a, b, c in (("prev", "before", "prev"), ("next", "after", "next"))])
-    near = staged(near, "page-pairs")
-    return src.join(near, "rid", "left").select("page_id", "url", "html", "path", "prev", "next").mapInArrow(_extract, RESULT)
+    near = staged(near.filter("prev is not null or next is not null").mapInArrow(_nearest, "rid binary, near array<long>"), "page-pairs")
+    dropped(placed)
+    pages.sparkSession._jvm.System.gc()  # lets Spark drop the shuffle files of the pairing
+    return src.join(near, "rid", "left").select("page_id", "url", "html", "near").mapInArrow(_extract, RESULT)
