@@ -17,7 +17,7 @@ def automation_base(log: DataFrame) -> DataFrame:
         F.count("*").alias("total_count"), F.count_if(F.col("resource_type") == "batch").alias("batch_count"),
         F.count_if(F.col("resource_type") == "human").alias("human_count"), F.count_distinct("case_id").alias("case_count"),
         F.avg("wait_minutes").alias("avg_wait_minutes"), F.stddev_samp("wait_minutes").alias("std_wait_minutes"))
-    middle = group_quantiles(base, ["activity"], "wait_minutes", median_wait_minutes=("linear", 0.5))
+    middle = group_quantiles(base, ["activity"], "wait_minutes", fine=True, median_wait_minutes=("linear", 0.5))
     return out.join(middle, "activity", "left").withColumn("batch_ratio", F.col("batch_count") / F.col("total_count"))
 
 

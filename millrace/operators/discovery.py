@@ -49,10 +49,10 @@ def transitions(log: DataFrame) -> DataFrame:
                       F.col("ts").alias("from_ts"), F.col("next_ts").alias("to_ts"), "wait_hours", "is_business_hours", *extra)
 
 
-def edges(steps: DataFrame, keys: list[str], s: Settings = Settings()) -> DataFrame:
-    """Counts and waits of transitions by ``keys``."""
+def edges(steps: DataFrame, keys: list[str], s: Settings = Settings(), fine: bool = False) -> DataFrame:
+    """Counts and waits of transitions by ``keys``; ``fine`` for waits in microseconds."""
     base = steps.groupBy(*keys).agg(F.count("*").alias("transition_count"), F.max("wait_hours").alias("max_wait_hours"))
-    waits = group_quantiles(steps, keys, "wait_hours", median_wait_hours=("linear", 0.5), p90_wait_hours=("nearest", s.quantile))
+    waits = group_quantiles(steps, keys, "wait_hours", fine, median_wait_hours=("linear", 0.5), p90_wait_hours=("nearest", s.quantile))
     return with_group(base, waits, keys)
 
 
@@ -81,7 +81,7 @@ def dfg_by_flow(log: DataFrame, cases: DataFrame, min_count: int, s: Settings =
              .select("case_id", F.col("activity").alias("from_activity"), F.col("next_activity").alias("to_activity"),
                      (F.expr("timestampdiff(MICROSECOND, ts, next_ts)") / F.lit(3.6e9)).alias("wait_hours"))
              .join(cases.select("case_id", "flow_type"), "case_id"))
-    return edges(steps, ["flow_type", "from_activity", "to_activity"], s).filter(F.col("transition_count") >= min_count)
+    return edges(steps, ["flow_type", "from_activity", "to_activity"], s, fine=True).filter(F.col("transition_count") >= min_count)
 
 
 def rework(log: DataFrame) -> DataFrame:

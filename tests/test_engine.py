@@ -130,8 +130,9 @@ def test_acyclic(spark):
 
 def test_expressions(spark):
     df = spark.createDataFrame([("a", float(x)) for x in (1, 2, 3, 4, 10)] + [("b", 7.0), ("b", None), (None, 1.0), (None, 2.0)], "g string, v double")
-    got = {r.g: (r.med, r.p90, r.p0) for r in expr.group_quantiles(df, ["g"], "v", med=("linear", 0.5), p90=("nearest", 0.9), p0=("nearest", 0.0)).collect()}
-    assert got == {"a": (3.0, 10.0, 1.0), "b": (7.0, 7.0, 7.0), None: (1.5, 2.0, 1.0)}
+    for fine in (False, True):
+        got = {r.g: (r.med, r.p90, r.p0) for r in expr.group_quantiles(df, ["g"], "v", fine, med=("linear", 0.5), p90=("nearest", 0.9), p0=("nearest", 0.0)).collect()}
+        assert got == {"a": (3.0, 10.0, 1.0), "b": (7.0, 7.0, 7.0), None: (1.5, 2.0, 1.0)}
     one = spark.createDataFrame([(None,), (-1.0,), (0.3,), (5.0,)], "x double").select(expr.clip(F.col("x"), 0.0, 1.0))
     assert [r[0] for r in one.collect()] == [None, 0.0, 0.3, 1.0]
     items = spark.createDataFrame([("k", "x"), ("k", "y"), ("k", None), ("s", "x")], "g string, i string")
@@ -139,6 +140,15 @@ def test_expressions(spark):
     assert items.groupBy("g").agg(expr.distinct_with_null("i").alias("n")).orderBy("g").collect()[0].n == 3
 
 
+def test_fine_quantiles_with_negative_values(spark):
+    import random
+    rng = random.Random(2)
+    values = sorted(rng.choice([-1, 1]) * rng.random() * 10 ** rng.randint(-3, 6) for _ in range(301))
+    df = spark.createDataFrame([(v,) for v in values], "v double").withColumn("g", F.lit(1))
+    got = expr.group_quantiles(df, ["g"], "v", True, a=("nearest", 0.25), b=("linear", 0.5), c=("nearest", 0.9)).first()
+    assert (got.a, got.b, got.c) == (values[75], values[150], values[270])
+
+
 def test_settings():
     assert sum(Settings().weights) == pytest.approx(1.0)
     assert {conformance.RULES[r].severity for r in ("CR-001", "CR-002", "CR-006")} == {"critical"} and len(conformance.RULES) == 9
