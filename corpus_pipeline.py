@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, line_dedup, minhash_dedup, sentencepiece_fst, toxicity
-from millrace.llm.common import staged, table
+from millrace.llm.common import small_batches, staged, table
 from millrace.llm.queries import tokenizer_bytes
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -18,12 +18,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model does not reject."""
+    small_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(docs, model, keep=COLUMNS).filter("not rejected").select(*COLUMNS)
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand earlier; one that loses all it had was a copy and goes, others stay."""
+    small_batches(spark)
     cut = line_dedup.dedup_lines(docs.select(*COLUMNS)).filter(r"n_removed = 0 or text rlike '\\S'")
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", n_chars).select(*COLUMNS)
@@ -31,6 +33,7 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id (five words, 80 percent)."""
+    small_batches(spark)
     kept = minhash_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
     out = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():  # rows that repeat an id are one document
@@ -40,6 +43,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no test item."""
+    small_batches(spark)
     hits = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
     leaks = hits.select(F.col("doc_id").alias("_leak")).distinct()
     return docs.select(*COLUMNS).join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
@@ -47,6 +51,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The SentencePiece encoding of every document that is left, and whether it decodes to the text."""
+    small_batches(spark)
     return sentencepiece_fst.encode_documents(docs, tokenizer_bytes())
 
 

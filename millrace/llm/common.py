@@ -15,7 +15,19 @@ U64 = np.uint64
 _MASK = (1 << 64) - 1
 
 
+#: Rows that Spark hands to a Python worker at once: texts are long, and the default of 10,000 rows is tens of megabytes a batch.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds, in the JVM and in the worker, unless the session asks for less."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

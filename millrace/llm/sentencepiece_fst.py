@@ -85,7 +85,7 @@ class Encodings(dict):
 class Transducer:
     """The compiled model; ``shortest_path`` composes one chunk with it."""
 
-    def __init__(self, model: bytes, cache: int = 250_000):
+    def __init__(self, model: bytes, cache: int = 200_000):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.types: list[int] = []
@@ -212,7 +212,7 @@ class Transducer:
                 key = state << 24 | arc + 0x200000
                 link = memo.get(key)
                 if link is None:
-                    if len(memo) >= 4 * self._bound:
+                    if len(memo) >= 2 * self._bound:
                         memo.clear()
                     link = memo[key] = self.linked(state, arc)
                 if link:
