@@ -7,12 +7,13 @@ A line goes when the same line, or one within ``edits`` insertions, deletions or
 2. Every line is cut into edits + 1 even segments.  Two lines within the threshold share one of them at nearly the same
    place, so a line is indexed by (length, segment number, segment) and probes the indexes of its own and shorter
    lengths with the substrings that the multi-match rule leaves.
-3. Candidate pairs, without repeats, are verified by a bit-parallel edit distance over the band of 2 * edits + 1
+3. Candidate pairs whose letter counts allow the threshold, without repeats, are verified by a bit-parallel edit distance over the band of 2 * edits + 1
    diagonals, held in one 64-bit word however long the lines are.
 4. Places to remove are joined back to the documents by id; the text is rebuilt from the lines that stay.
 
-Scale: joins are by hash key from written tables, so AQE splits skewed ones; the whole text is shuffled twice (distinct
-lines; documents with their places), candidates' texts once more.
+Scale: lines travel as two hashes, a place and their segment keys; joins are by hash from written tables, so AQE splits
+skewed ones.  Texts of candidates only are fetched for verification (a Bloom bitmap of bounded size holds the others
+back) and documents are shuffled once, to meet the places to remove.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import dropped, staged, text_or_empty
+from millrace.llm.bloom import bitmap, cells_for, looked_up
+from millrace.llm.common import dropped, partitions, staged, text_or_empty
 
 
 def _segment(n: str, i: int, parts: int) -> tuple[str, str]:
@@ -30,25 +32,43 @@ def _segment(n: str, i: int, parts: int) -> tuple[str, str]:
     return start, f"({stop} - {start})"
 
 
-def index_keys(edits: int) -> Column:
-    """Keys of the segments of column ``line`` (of ``n`` characters)."""
-    keys = []
-    for i in range(edits + 1):
-        start, size = _segment("n", i, edits + 1)
-        keys.append(f"xxhash64({i}, n, substring(line, {start} + 1, {size}))")
-    return F.expr(f"array({', '.join(keys)})")
+#: Groups of characters whose counts tell lines apart (any groups are sound; these are common in Latin scripts).
+COUNTED = ("ea", "tn", "oirs")
 
 
-def probe_keys(edits: int) -> Column:
-    """Keys under which lines of the same or a smaller length within the threshold must be found."""
-    keys = []
+def letter_counts() -> Column:
+    """Counts of the groups in column ``line``, each modulo 16, packed into one number."""
+    out = F.lit(0)
+    for k, letters in enumerate(COUNTED):
+        count = F.col("n") - F.length(F.translate("line", letters, ""))
+        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(15)), 4 * k))
+    return out
+
+
+def may_be_close(a: str, b: str, edits: int) -> Column:
+    """No pair within the threshold fails this: an edit changes the counts by two in all, and modulo only hides changes."""
+    total = F.lit(0)
+    for k in range(len(COUNTED)):
+        x, y = (F.shiftright(F.col(c), 4 * k).bitwiseAND(F.lit(15)) for c in (a, b))
+        total = total + F.least((x - y).bitwiseAND(F.lit(15)), (y - x).bitwiseAND(F.lit(15)))
+    return total <= 2 * edits
+
+
+def segment_keys(edits: int) -> tuple[list[Column], list[Column]]:
+    """Keys of column ``line`` (of ``n`` characters): those of its own segments, and further ones to probe.
+
+    Under its own keys a line is found by lines as long or longer; under all of them it finds lines as long or shorter.
+    """
+    own, more = [], []
     for shorter in range(edits + 1):
         m = f"(n - {shorter})"
         for i in range(edits + 1):
             start, size = _segment(m, i, edits + 1)
             low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            keys += [f"xxhash64({i}, {m}, substring(line, {start} + {1 + shift}, {size}))" for shift in range(low, high + 1)]
-    return F.expr(f"array_distinct(array({', '.join(keys)}))")
+            for shift in range(low, high + 1):
+                key = F.expr(f"xxhash64({i}, {m}, substring(line, {start} + {1 + shift}, {size}))")
+                (own if shorter == shift == 0 else more).append(key)
+    return own, more
 
 
 def banded_distance(x: str, y: str, edits: int) -> Column:
@@ -104,29 +124,43 @@ def repeated_lines(docs: DataFrame, edits: int = 1, min_chars: int = 20, id_col:
     """(doc_id, h, places): per document (id and hash of its text) the numbers of the lines to remove."""
     base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     each = (base.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-            .filter(F.length("line") >= max(min_chars, edits + 1)))
+            .withColumn("n", F.length("line")).filter(F.col("n") >= max(min_chars, edits + 1)))
     name = [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), F.col("line")).alias("k2")]
     place = F.struct("doc_id", "h", "pos")
-    lines = (each.select(*name, "line", place.alias("place"))
-             .groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count("*").alias("times"), F.first("line").alias("line")))
-    lines = staged(lines, "lines").withColumn("n", F.length("line"))
+    own, more = segment_keys(edits)
+    keys = [k.alias(f"s{i}") for i, k in enumerate(own + more)]
+    keyed = each.select(*name, place.alias("place"), letter_counts().alias("c"), *keys)
+    lines = staged(keyed.groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count("*").alias("times"), F.max("c").alias("c"),
+                                                 *[F.max(f"s{i}").alias(f"s{i}") for i in range(len(keys))]), "lines")
     docs.sparkSession._jvm.System.gc()  # lets Spark drop the shuffle files of the step before
 
-    indexed = lines.select(F.explode(index_keys(edits)).alias("key"), F.col("k1").alias("a1"), F.col("k2").alias("a2"))
-    probing = lines.select(F.explode(probe_keys(edits)).alias("key"), F.col("k1").alias("b1"), F.col("k2").alias("b2"))
+    def exploded(n, side):
+        return lines.select(F.explode(F.array_distinct(F.array(*[F.col(f"s{i}") for i in range(n)]))).alias("key"),
+                            *[F.col(x).alias(f"{side}{y}") for x, y in (("k1", "1"), ("k2", "2"), ("c", "c"))])
+
+    indexed, probing = exploded(len(own), "a"), exploded(len(keys), "b")
     flip = F.struct("a1", "a2") > F.struct("b1", "b2")
-    pairs = (probing.join(indexed, "key").filter("a1 <> b1 or a2 <> b2")
+    pairs = (probing.join(indexed, "key").filter("a1 <> b1 or a2 <> b2").filter(may_be_close("ac", "bc", edits))
              .select(*[F.when(flip, F.col(s)).otherwise(F.col(t)).alias(c)
                        for c, s, t in (("a1", "b1", "a1"), ("a2", "b2", "a2"), ("b1", "a1", "b1"), ("b2", "a2", "b2"))]).distinct())
     pairs = staged(pairs, "line-pairs")
     ids = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionByName(pairs.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))).distinct()
-    texts = staged(lines.join(ids, ["k1", "k2"], "left_semi").select("k1", "k2", "line", "first"), "line-texts")
+    ids = staged(ids, "line-ids")
+    # Only lines that may be candidates travel: a Bloom bitmap of bounded size is looked up first.
+    n_cells = cells_for(ids.count())
+    cell = F.pmod(F.xxhash64("k2", "k1"), F.lit(n_cells))
+    bits = staged(bitmap(ids.select(cell.alias("cell")).distinct()), "line-bloom")
+    maybe = looked_up(each.select(*name, "line"), bits, cell, "maybe").filter("maybe").drop("maybe")
+    # an inner join: a semi join would be pushed below the bitmap
+    texts = maybe.join(ids, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("line").alias("line"))
+    texts = staged(texts.join(lines.select("k1", "k2", "first"), ["k1", "k2"]), "line-texts")
 
     def side(s):
         return texts.select(*[F.col(c).alias(f"{s}{d}") for c, d in (("k1", 1), ("k2", 2), ("line", "x"), ("first", "f"))])
 
     close = (pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
              .filter(F.abs(F.length("ax") - F.length("bx")) <= edits)
+             .repartition(partitions(docs.sparkSession))  # few bytes, much work
              .filter(banded_distance("ax", "bx", edits) <= edits))
     later = F.col("af") > F.col("bf")
     gone = close.select(F.when(later, F.col("a1")).otherwise(F.col("b1")).alias("k1"),
