@@ -14,24 +14,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.bloom import MAX_CELLS, bitmap, cells_for, looked_up
 from millrace.llm.common import staged, text_or_empty
 
-#: Cells of one bitmap row as produced by bitmap_construct_agg (Spark's fixed size).
-BITMAP = 32768
-
 
 def _cells(n_cells: int, probes: int):
-    return F.array(*[F.pmod(F.xxhash64("text_sha256", F.lit(k)), F.lit(n_cells)) for k in range(probes)])
-
-
-def bloom_cells(n_rows: int, bits_per_row: int = 16, max_cells: int = 1 << 29) -> int:
-    """Cells of the filter: a power of two, ``bits_per_row`` a row, at most ``max_cells``."""
-    want = max(BITMAP, n_rows * bits_per_row)
-    return min(max_cells, 1 << (want - 1).bit_length())
+    return [F.pmod(F.xxhash64("text_sha256", F.lit(k)), F.lit(n_cells)) for k in range(probes)]
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", probes: int = 2,
-                     bits_per_row: int = 16, max_cells: int = 1 << 29) -> DataFrame:
+                     bits_per_row: int = 16, max_cells: int = MAX_CELLS) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical; null counts as empty.  The largest id of a group stays.  Rows repeated with
@@ -41,25 +33,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_or_empty(text_col), 256).alias("text_sha256"))
     digests = staged(base, "digests")
-    n_cells = bloom_cells(digests.count(), bits_per_row, max_cells)
+    n_cells = cells_for(digests.count(), bits_per_row, max_cells)
 
-    hit = (digests.select(F.explode(F.array_distinct(_cells(n_cells, probes))).alias("cell"))
+    hit = (digests.select(F.explode(F.array_distinct(F.array(*_cells(n_cells, probes)))).alias("cell"))
            .groupBy("cell").agg(F.count("*").alias("n")).filter("n >= 2"))
-    bitmap = (hit.groupBy(F.expr("bitmap_bucket_number(cell)").alias("bucket"))
-              .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(cell))").alias("bits")))
-    bitmap = staged(bitmap, "bloom")  # at most max_cells / 8 bytes, hence the broadcast below
+    bits = staged(bitmap(hit), "bloom")  # at most max_cells / 8 bytes, hence the broadcast
 
-    probe = digests.withColumn("cells", _cells(n_cells, probes))
-    for k in range(probes):
-        side = F.broadcast(bitmap.select(F.col("bucket").alias(f"b{k}"), F.col("bits").alias(f"m{k}")))
-        cell = F.col("cells")[k]
-        probe = (probe.withColumn("_b", F.expr(f"bitmap_bucket_number(cells[{k}])"))
-                 .join(side, F.col("_b") == F.col(f"b{k}"), "left")
-                 .withColumn("_p", F.expr(f"bitmap_bit_position(cells[{k}])"))
-                 .withColumn(f"hit{k}", F.expr(
-                     f"m{k} is not null and (cast(conv(hex(substring(m{k}, cast(_p div 8 as int) + 1, 1)), 16, 10) as int)"
-                     " & shiftleft(1, cast(_p % 8 as int))) <> 0"))
-                 .drop(f"b{k}", f"m{k}", "_b", "_p"))
+    probe = digests
+    for k, cell in enumerate(_cells(n_cells, probes)):
+        probe = looked_up(probe, bits, cell, f"hit{k}")
     repeated = " and ".join(f"hit{k}" for k in range(probes))
     columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
 
@@ -67,7 +49,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
               .select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
                       F.lit(True).alias("kept"), "text_sha256"))
     maybe = probe.filter(repeated).select("doc_id", "text_sha256")
-    groups = maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = staged(maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")),
+                    "groups")  # written, so that AQE can split a skewed join with it
     verdict = (maybe.join(groups, "text_sha256")
                .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(*columns))
     return unique.select(*columns).unionByName(verdict)
