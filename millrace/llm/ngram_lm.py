@@ -73,6 +73,14 @@ def merged(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ordered[first], order[first], [np.add.reduceat(c[order].astype(np.int64), first) for c in columns]
 
 
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each distinct key's first occurrence in key order, and how often it occurs."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return order[first], np.diff(np.append(first, len(keys)))
+
+
 def packed(*columns: np.ndarray) -> bytes:
     return b"".join(c.tobytes() for c in columns)
 
@@ -120,8 +128,11 @@ def mapped_array(folder: str, name: str) -> np.ndarray:
 
 
 def _count_pairs(shards: int):
-    def emit(left, right):
-        _, at, (count,) = merged(pair_keys(left, right), np.ones(len(left), np.int64))
+    def emit(lefts, rights):
+        left, right = np.concatenate(lefts), np.concatenate(rights)
+        lefts.clear()
+        rights.clear()
+        at, count = counted(pair_keys(left, right))
         left, right = left[at], right[at]
         shard = shard_of(left, shards)
         order = np.argsort(shard, kind="stable")
@@ -144,10 +155,10 @@ def _count_pairs(shards: int):
                 rights.append(right)
                 held += len(left)
                 if held >= FLUSH_TOKENS:
-                    yield emit(np.concatenate(lefts), np.concatenate(rights))
-                    lefts, rights, held = [], [], 0
+                    yield emit(lefts, rights)
+                    held = 0
         if held:
-            yield emit(np.concatenate(lefts), np.concatenate(rights))
+            yield emit(lefts, rights)
 
     return count
 
