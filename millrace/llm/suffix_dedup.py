@@ -9,12 +9,15 @@ Which bytes are covered by a ``width``-byte string that also starts earlier?
    may share only a part and goes on to the suffix array, with its text.
 3. A shard (all such segments of a range of keys, in corpus order) is sorted by external induced sorting, see
    ``suffix_sort``: neighbours in suffix order with a common prefix of ``width`` are equal windows, all but the
-   first in corpus order are repeats.
+   first in corpus order are repeats.  A key with more than ``memory`` bytes of different segments (a short common
+   line in many contexts) would be a shard that grows with the corpus: its windows are dealt by the hash of the whole
+   window instead, and all but the first of equal ones are repeats.
 4. The covered spans of each document are merged and cut out.
 
 Scale: segments cross the network as 36-byte rows, the text twice at most through one reused exchange (once to fetch
 segments, once to cut); identical segments never meet as pairs; a very common passage is one sorted run that streams
-through its task; suffix shards spill their queues to disk.
+through its task, and so do the windows of a hot key; a suffix shard holds twice ``memory`` bytes of text at most and
+spills its queues to disk.
 """
 
 from __future__ import annotations
@@ -196,6 +199,51 @@ def _fetch(width: int):
     return fetch
 
 
+WINDOW = "key long, window long, id long, copy int, start int"
+
+
+def _windows(width: int):
+    """Every window of the segments of hot keys, by its hash."""
+    def hashed(batches):
+        hashes = RollingHash(_BASES[1])
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2000):
+                key, id_, copy, first, text = batch.slice(a, 2000).columns
+                texts = text.to_pylist()
+                lengths = np.array([len(t) for t in texts], np.int64)
+                counts = lengths - width + 1
+                row = np.repeat(np.arange(len(texts)), counts)
+                within = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+                at = (np.cumsum(lengths) - lengths)[row] + within
+                prefix = hashes.prefix(np.frombuffer(b"".join(texts), np.uint8))
+                window = hashes.between(prefix, at, at + width)
+                start = (first.to_numpy()[row] + within).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.to_numpy()[row]), pa.array(signed(window)), pa.array(id_.to_numpy()[row]), pa.array(copy.to_numpy()[row]), pa.array(start)],
+                    names=["key", "window", "id", "copy", "start"])
+
+    return hashed
+
+
+def _again(width: int):
+    """Streams windows sorted by key, hash and place: all but the first of equal ones."""
+    def again(batches):
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, window, start = (batch.column(k).to_numpy() for k in (0, 1, 4))
+            same = np.zeros(len(key), bool)
+            same[1:] = (key[1:] == key[:-1]) & (window[1:] == window[:-1])
+            same[0] = last == (key[0], window[0])
+            last = key[-1], window[-1]
+            at = pa.array(np.flatnonzero(same))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in (2, 3)], pa.array(start[same]), pa.array(start[same] + np.int32(width))],
+                                             names=["id", "copy", "start", "stop"])
+
+    return again
+
+
 SPAN = "id long, copy int, start int, stop int"
 
 
@@ -264,11 +312,22 @@ def covered_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, mem
              .sortWithinPartitions("key", "content", "id", "copy", "first").mapInArrow(_meet, FOUND))
     found = staged(found, "segments")
     spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of the step before
-    wanted = (found.filter("not whole").groupBy("id")
-              .agg(F.collect_list(F.struct("copy", "key", "first", "windows")).alias("wanted")))
-    fetched = (numbered.join(wanted, "id").select("id", "copy", "text", "wanted")
-               .mapInArrow(_fetch(width), "key long, id long, copy int, first int, text binary"))
-    partial = (fetched.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_repeats(width, memory), SPAN))
+    several = found.filter("not whole")
+    hot = staged(several.groupBy("key").agg(F.sum(F.col("windows").cast("long") + (width - 1)).alias("n"))
+                 .filter(F.col("n") > memory).select("key"), "hot-keys")  # one for each ``memory`` bytes of text at most
+
+    def fetched(rows):
+        wanted = rows.groupBy("id").agg(F.collect_list(F.struct("copy", "key", "first", "windows")).alias("wanted"))
+        return (numbered.join(wanted, "id").select("id", "copy", "text", "wanted")
+                .mapInArrow(_fetch(width), "key long, id long, copy int, first int, text binary"))
+
+    any_hot = not hot.isEmpty()
+    cold = several.join(F.broadcast(hot), "key", "left_anti") if any_hot else several
+    partial = fetched(cold).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_repeats(width, memory), SPAN)
+    if any_hot:
+        windows = fetched(several.join(F.broadcast(hot), "key", "left_semi")).mapInArrow(_windows(width), WINDOW)
+        partial = partial.unionByName(windows.repartition(n, "key", "window").sortWithinPartitions("key", "window", "id", "copy", "start")
+                                      .mapInArrow(_again(width), SPAN))
     whole = found.filter("whole").select("id", "copy", F.col("first").alias("start"),
                                          (F.col("first") + F.col("windows") + (width - 1)).alias("stop"))
     return numbered, whole.unionByName(partial)

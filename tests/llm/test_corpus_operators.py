@@ -75,6 +75,37 @@ def test_remove_repeats_edges(documents):
     assert suffix_dedup.remove_repeats(documents([])).count() == 0
 
 
+def test_suffix_shards_are_bounded_when_a_line_is_common(documents, monkeypatch):
+    """One line under the width in many contexts: its key's different segments pass any bound, a task's shard must not."""
+    rng = random.Random(4)
+    line, text = "all rights reserved, see the notice on page one of it, and no part may be copied by anyone", lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(k, f"{text(70)}\n{line}\n{text(70)}") for k in range(150)]
+    rows += [(200 + k, rows[k][1][20:] + text(30)) for k in range(0, 150, 3)] + [(400, rows[5][1]), (None, rows[9][1][:130])]
+    want = suffix_dedup.brute_force([(i if i is not None else -1, t.encode()) for i, t in rows])
+    memory, plain = 3000, suffix_dedup._repeats
+
+    def checked(width, bound):
+        inner = plain(width, bound)
+
+        def run(batches):
+            def watched():
+                sums = {}
+                for batch in batches:
+                    for key, part in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist()):
+                        sums[key] = sums.get(key, 0) + len(part)
+                        if sums[key] > bound:
+                            raise AssertionError("a key of more than the bound in one task")
+                    yield batch
+            yield from inner(watched())
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_repeats", checked)
+    got = suffix_dedup.remove_repeats(documents(rows).repartition(5), memory=memory).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in got) == sorted(want)
+
+
+
 # --- lines
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_banded_distance(spark, edits):
