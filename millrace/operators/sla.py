@@ -65,7 +65,7 @@ class SlaModel:
     importance: DataFrame
 
 
-def train(rows: DataFrame, iterations: int = 30, depth: int = 5, step: float = 0.05, seed: int = 42) -> SlaModel:
+def train(rows: DataFrame, iterations: int = 300, depth: int = 5, step: float = 0.05, seed: int = 42) -> SlaModel:
     """Boosted trees with class weights; metrics on the held-out rows, importances by feature."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier

@@ -92,7 +92,7 @@ def _features(x: Log) -> DataFrame:
 
 def _model_scores(x: Log) -> DataFrame:
     rows = _features(x).persist()
-    return sla.score(sla.train(rows, iterations=5, depth=3).model, rows)
+    return sla.score(sla.train(rows).model, rows)
 
 
 def _timelines(x: Log) -> DataFrame:

@@ -35,7 +35,7 @@ class Pipeline:
     """Runs phases over one output folder: bronze, silver, gold and export tables below it."""
 
     def __init__(self, spark: SparkSession, output_dir: str, source: str | None = None, settings: Settings = Settings(),
-                 skip_validation: bool = False, gbt_iterations: int = 30):
+                 skip_validation: bool = False, gbt_iterations: int = 300):
         self.spark, self.out, self.source, self.settings = spark, output_dir.rstrip("/"), source, settings
         self.skip_validation, self.gbt_iterations = skip_validation, gbt_iterations
 

@@ -167,6 +167,25 @@ def test_split_and_model(spark, make_log):
     assert sla.score(fitted.model, rows).count() == 100 and 0 <= fitted.metrics["auc_roc"] <= 1 and fitted.importance.count() == len(sla.FEATURES)
 
 
+def test_model_has_the_size_of_the_reference(spark, make_log, monkeypatch):
+    """300 trees of depth 5 and step 0.05, in the registered query and in the predict phase."""
+    import inspect
+
+    from millrace.plans import catalogue, pipeline
+    plain, asked = sla.train, []
+
+    def small(rows, *args, **kwargs):
+        given = inspect.signature(plain).bind(rows, *args, **kwargs)
+        given.apply_defaults()
+        asked.append(tuple(given.arguments[k] for k in ("iterations", "depth", "step")))
+        return plain(rows, iterations=1, depth=1)
+
+    monkeypatch.setattr(sla, "train", small)
+    x = make_log([(f"c{k}", "A", k, "u") for k in range(40)], [(f"c{k}", TWO, f"v{k % 3}", f"D{k}") for k in range(40)])
+    assert catalogue.OVER_LOG["sla_model_scores"](x).columns[0] == "case_id" and asked == [(300, 5, 0.05)]
+    assert pipeline.Pipeline(spark, "out").gbt_iterations == 300
+
+
 def test_metrics_against_definition(spark):
     import random
     rng = random.Random(1)
