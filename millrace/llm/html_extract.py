@@ -3,10 +3,10 @@
 1. A page becomes text lines (blocks), each in a zone: declared article, chrome (menus, headers, footers, sidebars,
    notices, adverts, forms, reader comments: by element, role, class and id), or open.
 2. Pages are ordered by host and URL path; a page is paired with the neighbour on its host whose path shares the
-   longer prefix.  The pair's lines are aligned by a longest common subsequence; shared lines are the template.
+   longer prefix and whose lines are not the same.  The pair's lines are aligned by a longest common subsequence.
 3. Chrome goes.  Where a page declares an article (article, main), its lines are the text, shared or not: prose
-   may repeat, and nothing else of it may be dropped.  Where it declares none, the open lines that the
-   neighbour does not share are the text.
+   may repeat, and nothing else of it may be dropped.  Where it declares none, shared lines before the first and after
+   the last open line of the page's own are the template, and go; shared ones between are prose that repeats.
 
 Scale: only line hashes travel for the pairing.  The order is a range partition of (host, path), so a host with a third
 of all pages spreads over many tasks; pairs across partition ends are mended by one row an end.  The text is
@@ -215,10 +215,15 @@ def _hashes(lines: list[str]) -> list[int]:
 
 
 def main_text(lines: list[str], zones: list[int], shared: list[bool]) -> list[str]:
-    """Lines that stay: the declared article's, or else the open ones that the neighbour does not share."""
+    """Lines that stay: the declared article's, or else the open ones from the first to the last that the neighbour does not share.
+
+    A neighbour that shares every open line tells nothing of a template: all open lines stay.
+    """
     if ARTICLE in zones:
         return [x for x, z in zip(lines, zones) if z == ARTICLE]
-    return [x for x, z, s in zip(lines, zones, shared) if z == OPEN and not s]
+    rows = [(x, s) for x, z, s in zip(lines, zones, shared) if z == OPEN]
+    own = [k for k, (_, s) in enumerate(rows) if not s] or [0, len(rows) - 1]
+    return [x for x, _ in rows[own[0]:own[-1] + 1]]
 
 
 def _common(a: str, b: str) -> int:
@@ -243,11 +248,12 @@ RESULT = "page_id long, url string, text string, n_chars long, n_lines long, n_s
 
 
 def _nearest(batches):
-    """Line hashes of the neighbour whose path shares the longer prefix; of equals the previous page."""
+    """Line hashes of the neighbour whose path shares the longer prefix; of equals the previous page.  A copy is none."""
     for batch in batches:
         out = []
-        for path, *sides in zip(*[c.to_pylist() for c in batch.columns[1:]]):
-            out.append(max((s for s in sides if s is not None), key=lambda s: _common(s["path"], path))["hashes"])
+        for path, hashes, *sides in zip(*[c.to_pylist() for c in batch.columns[1:]]):
+            sides = [s for s in sides if s is not None and s["hashes"] != hashes]
+            out.append(max(sides, key=lambda s: _common(s["path"], path))["hashes"] if sides else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["rid", "near"])
 
 
@@ -288,7 +294,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     along = Window.orderBy("part")  # one row a partition
     ends = ends.select("part", F.lag("high").over(along).alias("before"), F.lead("low").over(along).alias("after"))
     near = placed_by.join(ends, "part", "left").select(
-        "rid", "path", *[F.when(F.coalesce(a, b)["host"] == F.col("host"), F.coalesce(a, b)).alias(c)
+        "rid", "path", "hashes", *[F.when(F.coalesce(a, b)["host"] == F.col("host"), F.coalesce(a, b)).alias(c)
                          for a, b, c in (("prev", "before", "prev"), ("next", "after", "next"))])
     near = staged(near.filter("prev is not null or next is not null").mapInArrow(_nearest, "rid binary, near array<long>"), "page-pairs")
     dropped(placed)

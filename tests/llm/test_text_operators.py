@@ -248,3 +248,16 @@ def test_registered_queries_return_the_contract(spark):
     assert text.columns[:4] == ["page_id", "url", "text", "n_chars"] and text.filter("n_chars <> length(text)").count() == 0
     assert not re.search("<", "".join(r.text for r in text.filter("page_id < 20").collect()))
     assert queries.op9_toxicity(spark, SF).agg(F.count("*").alias("n")).first().n == len(docs)
+
+
+def test_differencing_keeps_the_text_of_copies_and_repeated_prose(spark):
+    """Pages without an article: a copy next door must not empty a page, nor a shared line in the middle go."""
+    def page(*body):
+        return "<html><body>" + "".join(f"<p>{x}</p>" for x in ("Site name", *body, "All pages")) + "</body></html>"
+
+    rows = [(1, "http://a.x/p/1", page("first story", "it repeats", "its end")), (2, "http://a.x/p/2", page("second story", "it repeats", "other end")),
+            (3, "http://b.x/q/1", page("copied story", "of two lines")), (4, "http://b.x/q/1?print=1", page("copied story", "of two lines"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in html_extract.extract_main_text(df).collect()}
+    assert got[1] == ["first story", "it repeats", "its end"] and got[2] == ["second story", "it repeats", "other end"]
+    assert got[3] == got[4] == ["Site name", "copied story", "of two lines", "All pages"]
