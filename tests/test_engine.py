@@ -1,8 +1,10 @@
 """The mini-log of three cases and edge rows, operator by operator."""
 
 import datetime as dt
+import hashlib
 
 import pytest
+from minilog import CASES
 from pyspark.sql import functions as F
 
 from millrace.functions import expr
@@ -41,8 +43,6 @@ def test_mini_rules(mini):
 
 def test_variants(mini):
     ids = by_case(mini.cases, "variant_id")
-    import hashlib
-    from conftest import CASES
     assert all(ids[c] == hashlib.md5(a.encode()).hexdigest()[:12] for c, (a, _, _) in CASES.items())
     rows = mini.variants.collect()
     assert sum(r.case_percentage for r in rows) == pytest.approx(100) and sum(r.is_happy_path for r in rows) == 2
