@@ -1,17 +1,5 @@
-import os
-
 import pytest
 
-SF = "/root/testdata/sf0.001"
-HAVE = os.path.isdir(SF)
-needs_tables = pytest.mark.skipif(not HAVE, reason="test tables are not here")
-PROSE = "the river ran past a quiet mill where seven people worked each day and none of them ever saw the sea before winter came back again".split()
-
-
-def prose(seed: int, n: int) -> str:
-    """Words in an order that differs by seed."""
-    return " ".join(PROSE[(seed * 7 + k * (seed % 5 + 1) + k * k % (seed + 3)) % len(PROSE)] for k in range(n))
-
 
 @pytest.fixture()
 def documents(spark):
@@ -20,6 +8,3 @@ def documents(spark):
         data = [(i, t, "en", "src0", len(t or ""), "x", 1, "y") for i, t in rows]
         return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, class string, n long, keep_id string")
     return make
-
-
-EDGES = [(1, None), (2, ""), (3, " \n\t "), (None, "no id at all"), (4, "x"), (5, "déjà vu — naïve 日本語 🤪"), (6, "x"), (6, "x"), (7, "word " * 20_000)]

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import EDGES, SF, needs_tables, prose
+from corpus_cases import EDGES, SF, needs_tables, prose
 from pyspark.sql import functions as F
 
 from millrace.llm import components, exact_dedup, line_dedup, minhash_dedup, ngram_lm, queries, suffix_dedup, suffix_sort

@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import EDGES, SF, needs_tables, prose
+from corpus_cases import EDGES, SF, needs_tables, prose
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, html_extract, queries, secrets, sentencepiece_fst, toxicity
