@@ -70,7 +70,70 @@ def test_blocks_and_zones():
             "<article><header><h1>Title &amp; more</h1></header><p>One <b>two<br>three</b>\n four<p>five<script>var x='</p>';</script>"
             "<aside>side</aside><form>f<input></form><div class='ad'>ad</div><section class='comments'><p>reader</p></section></article><footer>&copy;</footer>")
     lines, zones = html_extract.lines_of(page)
-    assert html_extract.main_text(lines, zones, [False] * len(lines)) == ["Title & more", "One two three four", "five"]
+    assert html_extract.main_text(lines, zones, bytes(len(lines))) == ["Title & more", "One two three four", "five"]
+
+
+def text_of(page):
+    lines, zones = html_extract.lines_of(page)
+    return html_extract.main_text(lines, zones, bytes(len(lines)))
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<article><p>one <span class="ad">BUY NOW</span> two', ["one two"]),
+    ("<article><p>one <button>Share</button> two</p>", ["one two"]),
+    ('<article><p>one <a class="share" href="/x">Share</a><i> two</i></p><p>three</p>', ["one two", "three"]),
+    ('<article><p>one <span class="ad">x<p>two</p></article>', ["one", "two"]),
+    ('<article><section id="discussion"><p>it holds</section><section id="related-work"><p>so does this</section>', ["it holds", "so does this"]),
+    ('<article><p class="notice">mind the gap</p><div class="comment-list"><p>first!</p></div>', ["mind the gap"]),
+    ("<article><p><math><mi>E</mi><mo>=</mo><mi>mc2</mi></math> holds", ["E=mc2 holds"]),
+    ("<html><head><title>t</title><meta name=a><body><p>text", ["text"]),
+    ("<html><head><style>p{}<body><p>text<p>more</html>", ["text", "more"]),
+    ("<p>a<script>if (x < 3) y()<p>b</p>", ["a", "b"]),
+    ("<article><ul><li>one<li>two <b>three</ul>four</article>", ["one", "two three", "four"]),
+    ("", []), ("no markup &lt;at&gt; all", ["no markup <at> all"]), ("<p>" * 3000 + "deep", ["deep"]), ("<div>" * 3000 + "deep", ["deep"])])
+def test_texts_of_pages(page, want):
+    assert text_of(page) == want
+
+
+def test_long_pages():
+    words = " ".join(f"w{k}" for k in range(50_000))
+    assert text_of(f"<article><p>{words}</p></article>") == [words]
+    assert len(text_of("<article>" + "<p>x &amp; y" * 20_000)) == 20_000
+
+
+def test_extraction_equals_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(90):
+        body = [prose(rng.randrange(60), 5) for _ in range(rng.randint(2, 8))]
+        around = ["<h2>Share this</h2>", "<div>Site name</div>"][: rng.randint(0, 2) if k % 5 == 0 else 2]
+        inner = "".join(around) + "".join(f"<p>{x}" for x in body) + "<p>More on this site"
+        page = rng.choice(["<html><body><nav>menu</nav><article>{}</article><footer>(c)</footer>", "<body><p>Top</p>{}<p>Bottom", "<main>{}<button>Go</button></main>"]).format(inner)
+        rows.append((k, f"http://h{k % 3}.x/{rng.choice('ab')}/{rng.randrange(30)}", page))
+    rows += [(100 + k, u, p) for k, (_, u, p) in enumerate(rng.sample(rows, 10))] + [(200, None, None), (201, "http://h1.x/a/1", "")]
+    got = {r.page_id: (r.text, r.n_template) for r in html_extract.extract_main_text(
+        spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    want = html_extract.brute_force(rows)
+    ties = {k for k, v in want.items() if got[k][0] != v}  # neighbours of one path: their order is free
+    keys = [html_extract.url_key(u) for _, u, _ in rows]
+    assert ties <= {r[0] for r, key in zip(rows, keys) if keys.count(key) > 1 or any(keys.count(o) > 1 for o in keys if o[0] == key[0])}
+    assert sum(n > 0 for _, n in got.values()) >= 10
+    unique = {key: r for r, key in zip(rows, keys)}.values()
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(
+        spark.createDataFrame(list(unique), "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == html_extract.brute_force(list(unique))
+
+
+def test_template_inside_articles_goes_and_repeated_prose_stays(spark):
+    page = "<article><h2>Share this</h2><p>{0} first<p>{0} and<p>the same prose<p>{0} last<p>More on this site</article>"
+    rows = [(k, f"http://a.x/{k:02d}", page.format(prose(k, 6))) for k in range(12)]
+    rows += [(40 + k, f"http://c.x/{k:02d}", page.format(prose(k, 6)) if k in (4, 5, 6) else f"<article><p>{prose(k, 9)}") for k in range(12)]  # not on half of the host
+    rows += [(20 + k, f"http://b.x/{k}", "<article><p>a story<p>in two parts</article>") for k in range(3)]  # copies
+    got = {r.page_id: r for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[5].text == f"{prose(5, 6)} first\n\n{prose(5, 6)} and\n\nthe same prose\n\n{prose(5, 6)} last" and got[5].n_template == 2
+    assert got[0].n_template == 0  # one neighbour proves no template
+    assert got[45].text.startswith("Share this") and got[45].n_template == 0
+    assert all(got[20 + k].text == "a story\n\nin two parts" for k in range(3))
 
 
 def test_differencing_removes_the_template(spark):
