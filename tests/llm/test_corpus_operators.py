@@ -180,6 +180,20 @@ def test_exact_duplicates(documents):
     assert exact_dedup.exact_duplicates(documents([])).count() == 0
 
 
+def test_cells_seen_twice(spark):
+    """The merged bitmap against counting, with sparse and dense buckets and any number of tasks."""
+    rng = random.Random(3)
+    rows = [(f"d{min(rng.randrange(9000), rng.randrange(9000))}",) for _ in range(9000)]
+    df = spark.createDataFrame(rows, "text_sha256 string")
+    for n_cells, parts in ((1 << 15, 1), (1 << 15, 6), (1 << 18, 5)):
+        cells = df.select(F.explode(F.array_distinct(F.array(*exact_dedup._cells(n_cells, 2)))).alias("c"))
+        want = {r.c for r in cells.groupBy("c").count().filter("count > 1").collect()}
+        got = set()
+        for r in exact_dedup.seen_twice(df.repartition(parts), n_cells, 2).collect():
+            got |= {(r.bucket - 1) * 32768 + int(k) + 1 for k in np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little"))}
+        assert got == want
+
+
 # --- near copies
 def test_superminhash_estimates_jaccard():
     rng = np.random.default_rng(1)
