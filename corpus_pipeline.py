@@ -1,7 +1,8 @@
 """A corpus filter built from the operators of millrace.llm: STAGES and run().
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns
-of ``documents``.  Null texts count as empty, null ids are ids of their own, empty tables pass through.
+of ``documents``.  Null texts count as empty, empty tables pass through.  Where ids repeat or are null, every row is a document
+of its own, in order of id (null last) and text: no row stands or falls with another one of its id.
 """
 
 from __future__ import annotations
@@ -10,12 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, line_dedup, minhash_dedup, sentencepiece_fst, toxicity
-from millrace.llm.common import small_batches, staged, table
+from millrace.llm.common import partitions, small_batches, staged, table
 from millrace.llm.queries import tokenizer_bytes
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, an id that no two rows share: doc_id, or the place in order of id and text where ids repeat or are null."""
+    docs = docs.select(*COLUMNS)
+    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        return docs.withColumn("_row", F.col("doc_id"))
+    order = [F.asc_nulls_last("doc_id"), *[c for c in COLUMNS if c != "doc_id"]]
+    sorted_ = docs.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return staged(sorted_.withColumn("_row", F.monotonically_increasing_id()), "numbered")  # written: the numbers must not change
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model does not reject."""
     small_batches(spark)
@@ -34,19 +45,18 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id (five words, 80 percent)."""
     small_batches(spark)
-    kept = minhash_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():  # rows that repeat an id are one document
-        out = out.dropDuplicates(["doc_id"])
-    return out
+    rows = with_row(docs)
+    kept = minhash_dedup.near_duplicates(rows, id_col="_row").filter("kept").select(F.col("doc_id").alias("_kept"))
+    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no test item."""
     small_batches(spark)
-    hits = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    rows = with_row(docs)
+    hits = decontaminate.find_contamination(rows, table(spark, sf_dir, "benchmark"), id_col="_row")
     leaks = hits.select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.select(*COLUMNS).join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    return rows.join(leaks, F.col("_row") == F.col("_leak"), "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
