@@ -374,3 +374,19 @@ def test_pipeline_edges(spark, documents):
             assert stage(spark, docs, SF).columns == list(cp.COLUMNS)
             assert stage(spark, docs, SF).count() <= len(rows)
         assert cp.STAGES[-1][1](spark, docs, SF).count() == len(rows)
+
+
+@needs_tables
+def test_pipeline_loses_no_row_of_a_repeated_or_null_id(spark, documents):
+    """Rows that share an id, or have none, are documents of their own in every stage."""
+    import corpus_pipeline as cp
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").filter("length(text) > 100").first().text
+    texts = [f"{prose(k, 40)} and number {k} {prose(k + 3, 30)}" for k in range(9)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (2, texts[2]), (3, None), (3, ""), (4, texts[5]), (4, f"{texts[6]} {leak}"), (None, texts[7])]
+    docs = documents(rows).select(*cp.COLUMNS)
+    near = sorted((r.doc_id or 0, r.text or "") for r in cp.drop_near_copies(spark, docs.repartition(3), SF).collect())
+    want = [(1, texts[0]), (1, texts[1]), (0, texts[3]), (2, texts[2]), (3, ""), (3, ""), (4, texts[5]), (4, f"{texts[6]} {leak}"), (0, texts[7])]
+    assert near == sorted(want)
+    clean = sorted((r.doc_id or 0, r.text or "") for r in cp.drop_contaminated(spark, docs.repartition(2), SF).collect())
+    assert clean == sorted((i or 0, t or "") for i, t in rows if leak not in (t or ""))
+    assert cp.encode(spark, docs, SF).count() == len(rows)
