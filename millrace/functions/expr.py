@@ -44,7 +44,7 @@ def map_value(mapping: dict[str, str], key: Column, default: str) -> Column:
 
 
 def group_quantiles(df: DataFrame, keys: list[str], value: str, fine: bool = False, **wanted: tuple[str, float]) -> DataFrame:
-    """Exact quantiles by group: name=("nearest" | "linear", q).  Nulls are left out.
+    """Exact quantiles by group: name=("nearest" | "linear", q), and from the same pass name=("count", 0) and ("max", 0).  Nulls are left out.
 
     Values are counted by (group, value) first, so a group holds its distinct values only, sorted and cumulated by a
     window that spills; no list or map of a group's values is built in memory.  ``fine`` is for values with as many
@@ -69,7 +69,11 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, fine: bool = Fal
     place = lambda q: (F.col("_total") - 1) * F.lit(float(q))
     aggs = []
     for name, (kind, q) in wanted.items():
-        if kind == "nearest":
+        if kind == "count":
+            aggs.append(F.max("_total").alias(name))
+        elif kind == "max":
+            aggs.append(F.max("_v").alias(name))
+        elif kind == "nearest":
             aggs.append(at(F.round(place(q)).cast("long")).cast("double").alias(name))
         else:
             aggs += [at(F.floor(place(q))).cast("double").alias(f"_lo_{name}"), at(F.ceil(place(q))).cast("double").alias(f"_up_{name}"),
@@ -89,10 +93,14 @@ def with_group(left: DataFrame, right: DataFrame, keys: list[str], how: str = "l
     return left.join(named, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def normalised_entropy(df: DataFrame, keys: list[str], item: str, name: str) -> DataFrame:
-    """Shannon entropy of ``item`` by group over log2 of its number of items; 0 for a single item.  Nulls are left out."""
-    counted = df.filter(F.col(item).isNotNull()).groupBy(*keys, item).agg(F.count("*").alias("_c"))
+def entropy_of_counts(counted: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Shannon entropy by group over log2 of its number of items, from a row an item with its count ``_c``; 0 for a single item."""
     total = counted.groupBy(*keys).agg(F.sum("_c").alias("_t"), F.sum(F.col("_c") * F.log2("_c")).alias("_s"), F.count("*").alias("_k"))
     # -sum p log2 p = log2 t - (sum c log2 c) / t
     value = (F.log2("_t") - F.col("_s") / F.col("_t")) / F.log2("_k")
     return total.select(*keys, F.when(F.col("_k") > 1, value).otherwise(F.lit(0.0)).alias(name))
+
+
+def normalised_entropy(df: DataFrame, keys: list[str], item: str, name: str) -> DataFrame:
+    """Entropy of the values of ``item`` by group.  Nulls are left out."""
+    return entropy_of_counts(df.filter(F.col(item).isNotNull()).groupBy(*keys, item).agg(F.count("*").alias("_c")), keys, name)

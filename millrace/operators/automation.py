@@ -2,55 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.expr import clip, group_quantiles, normalised_entropy
+from millrace.functions.expr import clip, entropy_of_counts, group_quantiles
 from millrace.model import Settings
 
 
-def automation_base(log: DataFrame) -> DataFrame:
-    """Counts and waits (minutes since the previous event) by activity."""
+def by_case_and_activity(log: DataFrame) -> DataFrame:
+    """One row a case and activity: counts, moments of the waits (minutes), mean position, rework of the case.
+
+    The log is partitioned by case already, so neither this grain nor the window over a case moves a row.
+    """
     wait = F.col("time_since_prev_event") / F.lit(60.0)
-    base = log.withColumn("wait_minutes", wait)
-    out = base.groupBy("activity").agg(
-        F.count("*").alias("total_count"), F.count_if(F.col("resource_type") == "batch").alias("batch_count"),
-        F.count_if(F.col("resource_type") == "human").alias("human_count"), F.count_distinct("case_id").alias("case_count"),
-        F.avg("wait_minutes").alias("avg_wait_minutes"), F.stddev_samp("wait_minutes").alias("std_wait_minutes"))
-    middle = group_quantiles(base, ["activity"], "wait_minutes", fine=True, median_wait_minutes=("linear", 0.5))
-    return out.join(middle, "activity", "left").withColumn("batch_ratio", F.col("batch_count") / F.col("total_count"))
+    each = log.groupBy("case_id", "activity").agg(
+        F.count("*").alias("_n"), F.count_if(F.col("resource_type") == "batch").alias("_batch"), F.count_if(F.col("resource_type") == "human").alias("_human"),
+        F.count(wait).alias("_waits"), F.sum(wait).alias("_sum"), F.sum(wait * wait).alias("_squares"), F.avg("event_order").alias("_place"))
+    return each.withColumn("_rework", F.max("_n").over(Window.partitionBy("case_id")) > 1)
+
+
+def automation_base(log: DataFrame) -> DataFrame:
+    """Counts, waits (minutes since the previous event), spread of positions and share of rework by activity, from one aggregate."""
+    c = F.col
+    spread = F.greatest(c("_q") - c("_s") * c("_s") / c("_w"), F.lit(0.0)) / (c("_w") - 1)
+    out = by_case_and_activity(log).groupBy("activity").agg(
+        F.sum("_n").alias("total_count"), F.sum("_batch").alias("batch_count"), F.sum("_human").alias("human_count"), F.count("*").alias("case_count"),
+        F.sum("_waits").alias("_w"), F.sum("_sum").alias("_s"), F.sum("_squares").alias("_q"),
+        F.avg("_place").alias("_m"), F.stddev_samp("_place").alias("_sd"), F.sum(F.when(c("_rework"), c("_n")).otherwise(0)).alias("_again"))
+    out = out.select(
+        "activity", "total_count", "batch_count", "human_count", "case_count", (c("_s") / F.nullif(c("_w"), F.lit(0))).alias("avg_wait_minutes"),
+        F.when(c("_w") > 1, F.sqrt(spread)).alias("std_wait_minutes"), (c("batch_count") / c("total_count")).alias("batch_ratio"),
+        F.when(c("_m") > 0, c("_sd") / c("_m")).otherwise(0.0).alias("position_cv"), (c("_again") / c("total_count")).alias("error_rate"))
+    waits = log.select("activity", (F.col("time_since_prev_event") / F.lit(60.0)).alias("wait_minutes"))
+    return out.join(group_quantiles(waits, ["activity"], "wait_minutes", fine=True, median_wait_minutes=("linear", 0.5)), "activity", "left")
+
+
+def activity_pairs(log: DataFrame) -> DataFrame:
+    """Counts of neighbouring activities: both entropies come from it."""
+    return log.filter("next_activity is not null").groupBy("activity", "next_activity").agg(F.count("*").alias("_c"))
 
 
 def predecessor_entropy(log: DataFrame) -> DataFrame:
-    return normalised_entropy(log, ["activity"], "prev_activity", "predecessor_entropy")
+    pairs = activity_pairs(log).filter("activity is not null").withColumnsRenamed({"activity": "_before", "next_activity": "activity"})
+    return entropy_of_counts(pairs, ["activity"], "predecessor_entropy")
 
 
 def successor_entropy(log: DataFrame) -> DataFrame:
-    return normalised_entropy(log, ["activity"], "next_activity", "successor_entropy")
+    return entropy_of_counts(activity_pairs(log), ["activity"], "successor_entropy")
 
 
 def position_cv(log: DataFrame) -> DataFrame:
     """Spread over mean of an activity's mean position by case; 0 where the mean is not positive, null for one case."""
-    each = log.groupBy("activity", "case_id").agg(F.avg("event_order").alias("_p"))
-    out = each.groupBy("activity").agg(F.avg("_p").alias("_m"), F.stddev_samp("_p").alias("_s"))
-    return out.select("activity", F.when(F.col("_m") > 0, F.col("_s") / F.col("_m")).otherwise(0.0).alias("position_cv"))
+    return automation_base(log).select("activity", "position_cv")
 
 
-def error_rate(log: DataFrame, repeats: DataFrame) -> DataFrame:
+def error_rate(log: DataFrame) -> DataFrame:
     """Share of an activity's events that lie in a case with rework."""
-    return (log.select("case_id", "activity").join(repeats.select("case_id", "has_rework"), "case_id")
-            .groupBy("activity").agg(F.avg(F.col("has_rework").cast("double")).alias("error_rate")))
+    return automation_base(log).select("activity", "error_rate")
 
 
-def automation_score(log: DataFrame, repeats: DataFrame, s: Settings = Settings()) -> DataFrame:
+def automation_score(log: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row an activity: inputs, six scores, weighted score, tier and hours saved a month."""
-    parts = [predecessor_entropy(log), successor_entropy(log), position_cv(log), error_rate(log, repeats)]
-    row = automation_base(log)
-    for part in parts:
-        row = row.join(part, "activity", "left")
+    row = automation_base(log).join(predecessor_entropy(log), "activity", "left").join(successor_entropy(log), "activity", "left")
     row = row.na.fill(0.0, ["predecessor_entropy", "successor_entropy", "position_cv", "error_rate"])
-    ends = row.agg(F.min("total_count").alias("_lo"), F.max("total_count").alias("_hi"), F.max("avg_wait_minutes").alias("_wait"))
-    row = row.crossJoin(F.broadcast(ends))  # ends: one row
+    every = Window.partitionBy()  # a row an activity
+    row = row.withColumns({"_lo": F.min("total_count").over(every), "_hi": F.max("total_count").over(every), "_wait": F.max("avg_wait_minutes").over(every)})
     c = F.col
     median = c("median_wait_minutes")
     row = row.withColumns({

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.expr import group_quantiles
-from millrace.model import Roles, Settings
+from millrace.functions.expr import distinct_with_null, group_quantiles
+from millrace.model import Settings
 
 
 @dataclass(frozen=True)
@@ -32,24 +32,6 @@ RULES = {r.rule_id: r for r in (
 )}
 
 
-def rule_inputs(log: DataFrame, roles: Roles = Roles()) -> DataFrame:
-    """Per case: the times and activities that the rules look at, from one aggregation."""
-    a, order = F.col("activity"), F.struct("ts", "event_seq")
-
-    def first_time(*names: str) -> Column:
-        return F.min(F.when(a.isin(*names), F.col("ts")))
-
-    def first_of(names: tuple[str, ...]) -> Column:
-        return F.min_by("activity", F.when(a.isin(*names), order))
-
-    return log.groupBy("case_id").agg(
-        first_time(*roles.receipt).alias("receipt_ts"), first_time(roles.invoice).alias("invoice_ts"),
-        first_time(roles.clear).alias("clear_ts"), F.min_by("activity", order).alias("first_activity"),
-        F.bool_or(a == roles.create).alias("has_create"), F.bool_or(a == roles.clear).alias("has_clear"),
-        F.count_if(a.isin(*roles.invoice_set)).alias("invoice_events"), first_of(roles.invoice_set).alias("first_invoice"),
-        first_of(roles.terminal_set).alias("terminal_found"))
-
-
 def _days(c: Column) -> Column:
     return F.format_string("%.1f", c)
 
@@ -67,19 +49,30 @@ def _precedence(before: Column, after: Column, strict: bool, no_before: str, lat
     return passed.otherwise(holds), detail.when(holds, done).otherwise(late)
 
 
-def compliance_checks(log: DataFrame, cases: DataFrame, repeats: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """case_id, rule_id, rule_name, passed, severity, detail of every rule in whose scope a case is.
+def flow_limits(cases: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """flow_type with the duration quantiles that rules (p95) and SLA bands (p_sla) compare with, all flows spread over many tasks."""
+    return group_quantiles(cases, ["flow_type"], "case_duration_days", fine=True, p95=("nearest", s.duration_quantile), p_sla=("nearest", s.sla_quantile))
+
+
+def with_limits(cases: DataFrame, limits: DataFrame) -> DataFrame:
+    """Broadcast: flow_type takes the values of model.FLOW_TYPES only, so the limits have four rows at most."""
+    return cases.join(F.broadcast(limits), "flow_type", "left")
+
 
-    cases: case_id, flow_type, purchasing_document, vendor, case_duration_days.  All rules come from one joined row a case.
+def document_vendors(cases: DataFrame) -> DataFrame:
+    """Distinct vendors of every purchasing document; null counts as one."""
+    return cases.groupBy(F.col("purchasing_document").alias("_doc")).agg(distinct_with_null("vendor").alias("document_vendors"))
+
+
+def case_checks(cases: DataFrame, attributes: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """``cases`` with p95, p_sla and ``checks``: the array of all rules in whose scope a case is.
+
+    cases: flow_type, purchasing_document and the columns of enrich.case_facts.  One row a case, two joins: the limits of its
+    flow and the vendors of its document.
     """
     roles = s.roles
-    limits = group_quantiles(cases, ["flow_type"], "case_duration_days", p95=("nearest", s.duration_quantile))
-    vendors = (cases.groupBy("purchasing_document").agg(
-        (F.count_distinct("vendor") + F.max(F.col("vendor").isNull().cast("int"))).alias("document_vendors")))
-    row = (cases.select("case_id", "flow_type", "purchasing_document", "case_duration_days")
-           .join(rule_inputs(log, roles), "case_id", "left").join(repeats.select("case_id", "max_repeat"), "case_id", "left")
-           .join(F.broadcast(limits), "flow_type", "left")  # a row a flow
-           .join(vendors.withColumnRenamed("purchasing_document", "_doc"), F.col("purchasing_document").eqNullSafe(F.col("_doc")), "left"))
+    row = with_limits(cases, flow_limits(cases, s)).join(
+        document_vendors(attributes), F.col("purchasing_document").eqNullSafe(F.col("_doc")), "left").drop("_doc")
     c, flow = F.col, F.col("flow_type")
     gr, ir, clear = c("receipt_ts"), c("invoice_ts"), c("clear_ts")
     ok = "GR precedes clearance (compliant)"
@@ -88,6 +81,7 @@ def compliance_checks(log: DataFrame, cases: DataFrame, repeats: DataFrame, s: S
     count = F.coalesce(c("invoice_events"), F.lit(0))
     worst = F.coalesce(c("max_repeat"), F.lit(1))
     quick = c("case_duration_days") <= c("p95")
+    # The detail texts.
     checks = [
         ("CR-001", flow == "3way_invoice_after_gr",
          *_precedence(gr, clear, True, "No goods receipt found before invoice clearance", late, ok, open_, False)),
@@ -117,18 +111,28 @@ def compliance_checks(log: DataFrame, cases: DataFrame, repeats: DataFrame, s: S
     ]
     items = F.array(*[F.struct(F.lit(i).alias("rule_id"), F.lit(RULES[i].name).alias("rule_name"), p.alias("passed"),
                                F.lit(RULES[i].severity).alias("severity"), d.alias("detail"), scope.alias("_in")) for i, scope, p, d in checks])
-    return row.select("case_id", F.explode(F.filter(items, lambda x: x["_in"])).alias("r")).select(
+    return row.withColumn("checks", F.filter(items, lambda x: x["_in"])).drop("document_vendors")
+
+
+def compliance_checks(checked: DataFrame) -> DataFrame:
+    """case_id, rule_id, rule_name, passed, severity, detail: a row for each check of case_checks."""
+    return checked.select("case_id", F.explode("checks").alias("r")).select(
         "case_id", "r.rule_id", "r.rule_name", "r.passed", "r.severity", "r.detail")
 
 
-def compliance_scores(checks: DataFrame) -> DataFrame:
+def compliance_scores(checked: DataFrame) -> DataFrame:
     """Per case: share of checks passed (a null check counts as not passed), checks, critical violations, failed rules by name."""
-    failed = ~F.col("passed")
-    return checks.groupBy("case_id").agg(
-        F.sum(F.col("passed").cast("long")).alias("passed_checks"), F.count("*").alias("total_checks"),
-        F.count_if(failed & (F.col("severity") == "critical")).alias("critical_violations"),
-        F.array_sort(F.collect_list(F.when(failed, F.col("rule_name")))).alias("compliance_flags"),
-    ).withColumn("compliance_score", F.col("passed_checks") / F.col("total_checks"))
+    return checked.select("case_id", *score_columns())
+
+
+def score_columns() -> list[Column]:
+    """The scores of a case from its array of checks: no row a check, no shuffle."""
+    passed = F.size(F.filter("checks", lambda x: x["passed"])).cast("long")
+    total = F.size("checks").cast("long")
+    failed = F.filter("checks", lambda x: ~x["passed"])
+    return [passed.alias("passed_checks"), total.alias("total_checks"),
+            F.size(F.filter(failed, lambda x: x["severity"] == "critical")).cast("long").alias("critical_violations"),
+            F.array_sort(F.transform(failed, lambda x: x["rule_name"])).alias("compliance_flags"), (passed / total).alias("compliance_score")]
 
 
 def by_rule(checks: DataFrame) -> DataFrame:
@@ -137,15 +141,14 @@ def by_rule(checks: DataFrame) -> DataFrame:
         F.avg(F.col("passed").cast("double")).alias("compliance_rate"), F.count_if(~F.col("passed")).alias("violations"))
 
 
-def by_group(scores: DataFrame, cases: DataFrame, *keys: str) -> DataFrame:
+def by_group(scored: DataFrame, *keys: str) -> DataFrame:
     """Mean score, critical violations and cases by attributes of the case."""
-    return cases.select("case_id", *keys).join(scores, "case_id").groupBy(*keys).agg(
+    return scored.groupBy(*keys).agg(
         F.avg("compliance_score").alias("compliance_rate"), F.sum("critical_violations").alias("critical_violations"), F.count("*").alias("case_count"))
 
 
-def top_violating_vendors(scores: DataFrame, cases: DataFrame, limit: int) -> DataFrame:
+def top_violating_vendors(scored: DataFrame, limit: int) -> DataFrame:
     """Vendors with most cases that score under one half."""
-    return (cases.select("case_id", "vendor", "vendor_name").join(scores, "case_id").groupBy("vendor", "vendor_name").agg(
-        F.count_if(F.col("compliance_score") < 0.5).alias("violations"), F.count("*").alias("case_count"))
-        .withColumn("violation_rate", F.col("violations") / F.col("case_count"))
-        .orderBy(F.desc("violations"), "vendor", "vendor_name").limit(limit))
+    return (scored.groupBy("vendor", "vendor_name").agg(F.count_if(F.col("compliance_score") < 0.5).alias("violations"), F.count("*").alias("case_count"))
+            .withColumn("violation_rate", F.col("violations") / F.col("case_count"))
+            .orderBy(F.desc("violations"), "vendor", "vendor_name").limit(limit))

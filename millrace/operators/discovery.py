@@ -7,31 +7,42 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.expr import HOUR, group_quantiles, with_group
+from millrace.functions.expr import HOUR, group_quantiles, map_value
 from millrace.model import STAGE_NAMES, UNKNOWN_STAGE, Settings
-from millrace.functions.expr import map_value
+from millrace.operators.enrich import REPEATS, case_facts
 
 
 def variant_stats(cases: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """One row a variant: cases, share, length, days, dominant flow, happy path (most frequent of its dominant flow)."""
-    counts = cases.groupBy("variant_id").agg(
-        F.count("*").alias("case_count"), F.min("activity_sequence").alias("activity_sequence"))
+    """One row a variant: cases, share, length, days, dominant flow, happy path (most frequent of its dominant flow).
+
+    Counts, sequence, dominant flow and happy path all come from one aggregate by variant and flow.
+    """
+    per_flow = cases.groupBy("variant_id", "flow_type").agg(F.count("*").alias("_n"), F.min("activity_sequence").alias("_s"))
+    counts = per_flow.groupBy("variant_id").agg(
+        F.sum("_n").alias("case_count"), F.min("_s").alias("activity_sequence"),
+        F.min(F.struct((-F.col("_n")).alias("n"), "flow_type"))["flow_type"].alias("dominant_flow_type"))
     days = group_quantiles(cases, ["variant_id"], "case_duration_days", median_duration_days=("linear", 0.5), p90_duration_days=("nearest", s.quantile))
-    per_flow = cases.groupBy("flow_type", "variant_id").agg(F.count("*").alias("_n"))
-    dominant = per_flow.groupBy("variant_id").agg(F.min(F.struct((-F.col("_n")).alias("n"), "flow_type"))["flow_type"].alias("dominant_flow_type"))
-    happy = happy_variants(per_flow)
     total = cases.agg(F.count("*").alias("_all"))
-    out = (counts.join(dominant, "variant_id").join(days, "variant_id", "left").crossJoin(F.broadcast(total))  # total: one row
+    out = (counts.join(days, "variant_id", "left").crossJoin(F.broadcast(total))  # total: one row
            .withColumns({"case_percentage": 100.0 * F.col("case_count") / F.col("_all"), "variant_length": F.size("activity_sequence")}))
-    own = happy.select(F.col("flow_type").alias("_flow"), F.col("variant_id").alias("_happy"))
-    return (out.join(F.broadcast(own), (F.col("_flow") == F.col("dominant_flow_type")) & (F.col("_happy") == F.col("variant_id")), "left")  # a row a flow
-            .withColumn("is_happy_path", F.col("_happy").isNotNull()).drop("_flow", "_happy", "_all"))
+    own = happy_variants(per_flow).select(F.col("flow_type").alias("_flow"), F.col("variant_id").alias("_happy"))
+    return (out.join(F.broadcast(own), (F.col("_flow") == F.col("dominant_flow_type")) & (F.col("_happy") == F.col("variant_id")), "left")  # a row for each of the four flows
+            .withColumn("is_happy_path", F.col("_happy").isNotNull())
+            .select("variant_id", "case_count", "activity_sequence", "dominant_flow_type", "median_duration_days", "p90_duration_days",
+                    "case_percentage", "variant_length", "is_happy_path"))
 
 
 def happy_variants(per_flow: DataFrame) -> DataFrame:
     """Most frequent variant of each flow, the smaller id of equals."""
-    top = per_flow.groupBy("flow_type").agg(F.min(F.struct((-F.col("_n")).alias("n"), "variant_id"))["variant_id"].alias("variant_id"))
-    return top
+    return per_flow.groupBy("flow_type").agg(F.min(F.struct((-F.col("_n")).alias("n"), "variant_id"))["variant_id"].alias("variant_id"))
+
+
+def happy_paths(cases: DataFrame) -> DataFrame:
+    """variant_id of the variants that are the most frequent of their own dominant flow: one for each of the four flows at most."""
+    per_flow = cases.groupBy("variant_id", "flow_type").agg(F.count("*").alias("_n"))
+    dominant = per_flow.groupBy("variant_id").agg(F.min(F.struct((-F.col("_n")).alias("n"), "flow_type"))["flow_type"].alias("_flow"))
+    top = happy_variants(per_flow)
+    return top.join(dominant, "variant_id").filter(F.col("_flow") == F.col("flow_type")).select("variant_id").distinct()
 
 
 def case_happy_path(cases: DataFrame, variants: DataFrame) -> DataFrame:
@@ -50,10 +61,10 @@ def transitions(log: DataFrame) -> DataFrame:
 
 
 def edges(steps: DataFrame, keys: list[str], s: Settings = Settings(), fine: bool = False) -> DataFrame:
-    """Counts and waits of transitions by ``keys``; ``fine`` for waits in microseconds."""
-    base = steps.groupBy(*keys).agg(F.count("*").alias("transition_count"), F.max("wait_hours").alias("max_wait_hours"))
-    waits = group_quantiles(steps, keys, "wait_hours", fine, median_wait_hours=("linear", 0.5), p90_wait_hours=("nearest", s.quantile))
-    return with_group(base, waits, keys)
+    """Counts and waits of transitions by ``keys`` in one pass; ``fine`` for waits in microseconds."""
+    return group_quantiles(steps, keys, "wait_hours", fine, transition_count=("count", 0), max_wait_hours=("max", 0),
+                           median_wait_hours=("linear", 0.5), p90_wait_hours=("nearest", s.quantile)).select(
+        *keys, "transition_count", "max_wait_hours", "median_wait_hours", "p90_wait_hours")
 
 
 def dfg_edges(steps: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -86,21 +97,16 @@ def dfg_by_flow(log: DataFrame, cases: DataFrame, min_count: int, s: Settings =
 
 def rework(log: DataFrame) -> DataFrame:
     """Per case: activities that occur more than once, repeats beyond the first, flag, largest number of repeats."""
-    each = log.groupBy("case_id", "activity").agg(F.count("*").alias("_n"))
-    return each.groupBy("case_id").agg(
-        F.sum((F.col("_n") > 1).cast("long")).alias("rework_count"),
-        F.sum(F.when(F.col("_n") > 1, F.col("_n") - 1).otherwise(0)).cast("long").alias("loop_count"),
-        F.bool_or(F.col("_n") > 1).alias("has_rework"), F.max("_n").alias("max_repeat"))
-
-
-def top_variants(variants: DataFrame, per_case_score: DataFrame, cases: DataFrame, limit: int) -> DataFrame:
-    """The ``limit`` most frequent variants with their own mean compliance and the global one."""
-    scored = cases.select("case_id", "variant_id").join(per_case_score, "case_id")
-    own = scored.groupBy("variant_id").agg(F.avg("compliance_score").alias("variant_compliance"))
-    rate = per_case_score.agg((F.sum("passed_checks") / F.sum("total_checks")).alias("compliance_rate"))
-    return (variants.join(own, "variant_id", "left").crossJoin(F.broadcast(rate))  # rate: one row
+    return case_facts(log).select("case_id", *REPEATS)
+
+
+def top_variants(variants: DataFrame, checked: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` most frequent variants with their own mean compliance and the global one; checked: cases with their scores."""
+    own = checked.groupBy("variant_id").agg(F.avg("compliance_score").alias("variant_compliance"))
+    rate = checked.agg((F.sum("passed_checks") / F.sum("total_checks")).alias("compliance_rate"))
+    top = variants.orderBy(F.desc("case_count"), "variant_id").limit(limit)
+    return (top.join(own, "variant_id", "left").crossJoin(F.broadcast(rate))  # rate: one row
             .withColumn("activities", F.array_join("activity_sequence", "|"))
-            .orderBy(F.desc("case_count"), "variant_id").limit(limit)
             .select("variant_id", "case_count", "case_percentage", "variant_length", "is_happy_path", "dominant_flow_type",
                     "median_duration_days", "activities", "variant_compliance", "compliance_rate"))
 

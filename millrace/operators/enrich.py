@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.expr import distinct_with_null, group_quantiles, map_value, micro_seconds_between, seconds_between, variant_id
-from millrace.model import DEFAULT_FLOW, FLOW_TYPES, UNKNOWN_STAGE, Settings
+from millrace.functions.expr import group_quantiles, map_value, micro_seconds_between, seconds_between, variant_id
+from millrace.model import DEFAULT_FLOW, FLOW_TYPES, UNKNOWN_STAGE, Roles, Settings
 
 #: Total order of a case's events.
 ORDER = ("ts", "event_seq")
@@ -71,15 +71,58 @@ def sequence(order: Column, activity: Column = None) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(order, activity.alias("_a")))), lambda x: x["_a"])
 
 
-def case_metrics(log: DataFrame) -> DataFrame:
-    """One row a case: start, end, days, counts, batch flag, activity sequence, variant."""
+def _first_time(*names: str) -> Column:
+    return F.min(F.when(F.col("activity").isin(*names), F.col("ts")))
+
+
+def _first_of(names: tuple[str, ...]) -> Column:
+    return F.min_by("activity", F.when(F.col("activity").isin(*names), F.struct(*ORDER)))
+
+
+def _set_size(name: str) -> Column:
+    """Distinct values within a case, null counting as one."""
+    return F.size(F.collect_set(name)).cast("long") + F.max(F.col(name).isNull().cast("int"))
+
+
+#: Columns of case_facts: what a case table shows, repeats of activities, and what the rules look at.
+METRICS = ["case_start", "case_end", "event_count", "activity_count", "resource_count", "has_batch_activity", "activity_sequence",
+           "case_duration_days", "variant_id"]
+REPEATS = ["rework_count", "loop_count", "has_rework", "max_repeat"]
+RULE_INPUTS = ["receipt_ts", "invoice_ts", "clear_ts", "first_activity", "has_create", "has_clear", "invoice_events", "first_invoice", "terminal_found"]
+
+
+def case_facts(log: DataFrame, roles: Roles = Roles()) -> DataFrame:
+    """All that is known of a case from its events, one row a case: METRICS, REPEATS, touchless_ratio, handoff_count, RULE_INPUTS.
+
+    One aggregation over the log, which is partitioned by case already; what a query does not use is pruned from it.  A
+    case's own events are gathered (its sequence of activities), nothing larger.
+    """
+    a = F.col("activity")
     out = log.groupBy("case_id").agg(
         F.min("ts").alias("case_start"), F.max("ts").alias("case_end"), F.count("*").alias("event_count"),
-        distinct_with_null("activity").alias("activity_count"), distinct_with_null("resource").alias("resource_count"),
+        _set_size("activity").alias("activity_count"), _set_size("resource").alias("resource_count"),
         F.bool_or(F.col("resource_type") == "batch").alias("has_batch_activity"),
-        sequence(F.struct(*ORDER).alias("_o")).alias("activity_sequence"))
-    return out.withColumns({"case_duration_days": seconds_between("case_start", "case_end") / F.lit(86400.0),
-                            "variant_id": variant_id(F.col("activity_sequence"))})
+        sequence(F.struct(*ORDER).alias("_o")).alias("activity_sequence"),
+        F.avg((F.col("resource_type") == "batch").cast("double")).alias("touchless_ratio"),
+        F.count_if(F.col("prev_resource").isNotNull() & (F.col("resource") != F.col("prev_resource"))).alias("handoff_count"),
+        _first_time(*roles.receipt).alias("receipt_ts"), _first_time(roles.invoice).alias("invoice_ts"), _first_time(roles.clear).alias("clear_ts"),
+        F.min_by("activity", F.struct(*ORDER)).alias("first_activity"),
+        F.bool_or(a == roles.create).alias("has_create"), F.bool_or(a == roles.clear).alias("has_clear"),
+        F.count_if(a.isin(*roles.invoice_set)).alias("invoice_events"), _first_of(roles.invoice_set).alias("first_invoice"),
+        _first_of(roles.terminal_set).alias("terminal_found"))
+    seq = F.col("activity_sequence")
+    times = F.transform(F.array_distinct(seq), lambda x: F.size(F.filter(seq, lambda y: y.eqNullSafe(x))).cast("long"))
+    out = out.withColumns({"case_duration_days": seconds_between("case_start", "case_end") / F.lit(86400.0), "variant_id": variant_id(seq), "_times": times})
+    more = F.filter("_times", lambda n: n > 1)
+    return out.withColumns({
+        "rework_count": F.size(more).cast("long"), "loop_count": F.aggregate(more, F.lit(0).cast("long"), lambda s, n: s + n - 1),
+        "has_rework": F.size(more) > 0, "max_repeat": F.array_max("_times")}).select(
+        "case_id", *METRICS, *REPEATS, "touchless_ratio", "handoff_count", *RULE_INPUTS)
+
+
+def case_metrics(log: DataFrame) -> DataFrame:
+    """One row a case: start, end, days, counts, batch flag, activity sequence, variant."""
+    return case_facts(log).select("case_id", *METRICS)
 
 
 def resource_profile(log: DataFrame) -> DataFrame:

@@ -13,9 +13,9 @@ EVENT_FACT = ["case_id", "activity", "ts", "event_seq", "date", "hour", "day_of_
               "resource_type", "event_value", "event_order", "time_since_prev_event", "process_stage"]
 
 
-def case_table(log: DataFrame, attributes: DataFrame) -> DataFrame:
-    """Attributes, flow and metrics of every case; cases without events have null metrics."""
-    return enrich.with_flow(attributes).join(enrich.case_metrics(log), "case_id", "left")
+def case_table(attributes: DataFrame, facts: DataFrame) -> DataFrame:
+    """Attributes, flow and facts (enrich.case_facts) of every case; cases without events have null facts."""
+    return enrich.with_flow(attributes).join(facts, "case_id", "left")
 
 
 def fact_event_log(log: DataFrame, cases: DataFrame) -> DataFrame:
@@ -23,14 +23,19 @@ def fact_event_log(log: DataFrame, cases: DataFrame) -> DataFrame:
     return log.select(*EVENT_FACT).join(cases.select("case_id", "flow_type", "company", "vendor"), "case_id", "left")
 
 
-def fact_case_summary(log: DataFrame, cases: DataFrame, checks: DataFrame, variants: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Cases with rework, compliance, touchless share, happy path, handoffs and SLA band; what is missing counts as none (compliance 1)."""
-    score = conformance.compliance_scores(checks).select("case_id", "compliance_score", "compliance_flags")
-    out = (cases.join(discovery.rework(log), "case_id", "left").join(score, "case_id", "left").join(throughput.touchless(log), "case_id", "left")
-           .join(discovery.case_happy_path(cases, variants), "case_id", "left").join(throughput.handoffs(log), "case_id", "left")
-           .join(throughput.sla_band(cases, s).select("case_id", "sla_risk"), "case_id", "left"))
-    fills = {"rework_count": 0, "loop_count": 0, "has_rework": False, "compliance_score": 1.0, "touchless_ratio": 0.0, "is_happy_path": False, "handoff_count": 0}
-    return out.na.fill(fills).drop("max_repeat")
+SUMMARY_MORE = ["rework_count", "loop_count", "has_rework", "compliance_score", "compliance_flags", "touchless_ratio", "is_happy_path", "handoff_count", "sla_risk"]
+
+
+def fact_case_summary(checked: DataFrame, attributes: list[str], s: Settings = Settings()) -> DataFrame:
+    """Cases with rework, compliance, touchless share, happy path, handoffs and SLA band; what is missing counts as none (compliance 1).
+
+    checked: rows of conformance.case_checks, one a case; only the happy paths (four variants at most, hence the broadcast) are joined.
+    """
+    happy = discovery.happy_paths(checked).select(F.col("variant_id").alias("_happy"))
+    out = checked.select("*", *conformance.score_columns()).join(F.broadcast(happy), F.col("variant_id") == F.col("_happy"), "left")
+    out = out.withColumns({"is_happy_path": F.col("_happy").isNotNull(), "sla_risk": throughput.band(s)})
+    fills = {"rework_count": 0, "loop_count": 0, "has_rework": False, "compliance_score": 1.0, "touchless_ratio": 0.0, "handoff_count": 0}
+    return out.na.fill(fills).select("case_id", *[c for c in attributes if c != "case_id"], "flow_type", *enrich.METRICS, *SUMMARY_MORE)
 
 
 def dim_activity(profile: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -39,11 +44,13 @@ def dim_activity(profile: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def _dim(cases: DataFrame, keys: list[str]) -> DataFrame:
-    base = cases.groupBy(*keys).agg(F.count("*").alias("case_count"), F.avg("case_duration_days").alias("avg_duration_days"))
-    flows = cases.groupBy(*keys, "flow_type").agg(F.count("*").alias("_n"))
-    main = flows.groupBy(*keys).agg(F.min(F.struct((-F.col("_n")).alias("n"), "flow_type"))["flow_type"].alias("primary_flow_type"))
+    """Cases, days and main flow by ``keys``: counts and sums by flow first, which also give the main one."""
+    flows = cases.groupBy(*keys, "flow_type").agg(F.count("*").alias("_n"), F.sum("case_duration_days").alias("_d"), F.count("case_duration_days").alias("_m"))
+    base = flows.groupBy(*keys).agg(
+        F.sum("_n").alias("case_count"), (F.sum("_d") / F.sum("_m")).alias("avg_duration_days"),
+        F.min(F.struct((-F.col("_n")).alias("n"), "flow_type"))["flow_type"].alias("primary_flow_type"))
     days = group_quantiles(cases, keys, "case_duration_days", median_duration_days=("linear", 0.5))
-    return with_group(with_group(base, main, keys), days, keys)
+    return with_group(base, days, keys)
 
 
 def dim_company(cases: DataFrame) -> DataFrame:

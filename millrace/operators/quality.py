@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from millrace.functions.expr import group_quantiles
+from millrace.model import FLOW_TYPES, RESOURCE_TYPES, SILVER_CASES, SILVER_EVENTS, SILVER_MINIMUM, Settings
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
@@ -38,34 +39,59 @@ def run_gates(df: DataFrame, gates: list[Gate]) -> DataFrame:
     return one.select(F.explode(items).alias("r")).select("r.*")
 
 
-def bronze_gates(events: DataFrame, expected_events: int | None = None, tolerance: float = 0.01, activities: int = 1,
-                 max_null_ts: float = 0.001, ts: str = "ts") -> DataFrame:
+def count_gate(name: str, expected: int | None, tolerance: float) -> list[Gate]:
+    return [] if expected is None else [Gate(name, F.abs(F.count("*") - expected) <= tolerance * expected)]
+
+
+def orphan_gate(events: DataFrame, cases: DataFrame) -> DataFrame:
+    """Does every case of the events have a row of its own?"""
+    return run_gates(orphans(events.filter("case_id is not null"), cases, "case_id"), [Gate("no_orphan_cases", F.count("*") == 0)])
+
+
+def bronze_gates(events: DataFrame, cases: DataFrame | None = None, s: Settings = Settings(), max_null_ts: float = 0.001, ts: str = "ts") -> DataFrame:
+    """Gates of the raw tables: nulls, activities, and where ``cases`` are given and counts expected, counts and integrity."""
     gates = [
         Gate("case_id_not_null", F.count_if(F.col("case_id").isNull()) == 0),
         Gate("activity_not_null", F.count_if(F.col("activity").isNull()) == 0),
         Gate("timestamp_null_rate", F.avg(F.col(ts).isNull().cast("double")) <= max_null_ts),
-        Gate("enough_activities", F.count_distinct("activity") >= activities),
+        Gate("enough_activities", F.count_distinct("activity") >= s.expected_activities),
     ]
-    if expected_events is not None:
-        gates.append(Gate("event_count", F.abs(F.count("*") - expected_events) <= tolerance * expected_events))
-    return run_gates(events, gates)
+    out = run_gates(events, gates + count_gate("event_count", s.expected_events, s.count_tolerance))
+    if cases is not None:
+        out = out.unionByName(orphan_gate(events, cases))
+        if s.expected_cases is not None:
+            out = out.unionByName(run_gates(cases, count_gate("case_count", s.expected_cases, s.count_tolerance)))
+    return out
 
 
-def silver_gates(log: DataFrame, cases: DataFrame) -> DataFrame:
-    """Gates of the enriched log and of the case table."""
-    flows = ["3way_invoice_after_gr", "3way_invoice_before_gr", "2way", "consignment"]
+def silver_gates(log: DataFrame, cases: DataFrame, events_before: int | None = None, cases_before: int | None = None, tolerance: float = 0.0) -> DataFrame:
+    """Gates of the enriched log and of the case table; with the numbers of raw rows, also that none was lost."""
     return run_gates(log, [
         Gate("resource_type_not_null", F.count_if(F.col("resource_type").isNull()) == 0),
-        Gate("resource_type_known", F.count_if(~F.col("resource_type").isin("human", "batch", "unknown")) == 0),
+        Gate("resource_type_known", F.count_if(~F.col("resource_type").isin(*RESOURCE_TYPES)) == 0),
         Gate("event_order_positive", F.min("event_order") >= 1),
+        *count_gate("events_kept", events_before, tolerance),
     ]).unionByName(run_gates(cases, [
         Gate("flow_type_not_null", F.count_if(F.col("flow_type").isNull()) == 0),
-        Gate("flow_type_known", F.count_if(~F.col("flow_type").isin(*flows)) == 0),
+        Gate("flow_type_known", F.count_if(~F.col("flow_type").isin(*FLOW_TYPES.values())) == 0),
         Gate("duration_not_negative", F.coalesce(F.min("case_duration_days"), F.lit(0.0)) >= 0),
         Gate("variant_not_null", F.count_if(F.col("variant_id").isNull() & F.col("event_count").isNotNull()) == 0),
+        *count_gate("cases_kept", cases_before, tolerance),
     ]))
 
 
+def silver_violations(log: DataFrame, cases: DataFrame) -> list[str]:
+    """What the silver tables break of their contracts; facts of cases without events may be null."""
+    with_events = cases.filter("event_count is not null")
+    return (contract_violations(log, SILVER_EVENTS, {"resource_type": list(RESOURCE_TYPES)}, SILVER_MINIMUM)
+            + contract_violations(with_events, SILVER_CASES, {"flow_type": list(FLOW_TYPES.values())}, SILVER_MINIMUM))
+
+
+def anomalies(log: DataFrame) -> int:
+    """Events with a time before the log's first sensible year."""
+    return log.filter("is_timestamp_anomaly").count()
+
+
 def contract_violations(df: DataFrame, schema: StructType, allowed: dict[str, list] | None = None, minimum: dict[str, float] | None = None) -> list[str]:
     """What a table breaks of its contract: missing columns, types, nulls, values outside a list, values too small."""
     out, have = [], {f.name: f for f in df.schema}
@@ -100,7 +126,28 @@ def frequencies(df: DataFrame, column: str, limit: int = 20) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(limit)
 
 
-def profile_report(log: DataFrame) -> str:
-    """A short Markdown report of the profile (one row, made on the driver)."""
-    row = log_profile(log).first().asDict()
-    return "# Log profile\n\n| measure | value |\n| --- | --- |\n" + "".join(f"| {k} | {v} |\n" for k, v in row.items())
+def profile_tables(log: DataFrame, cases: DataFrame, s: Settings = Settings()) -> dict[str, DataFrame]:
+    """The parts of a profile by title; each has a row a column, a gate or one of the most frequent values."""
+    sane = log.filter(~F.col("is_timestamp_anomaly"))
+    return {
+        "Log": log_profile(log),
+        "Time range without anomalies": sane.agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("events")),
+        "Null rates of events": null_rates(log, [c for c in log.columns if c in ("case_id", "activity", "ts", "resource", "event_value", "event_seq")]),
+        "Null rates of cases": null_rates(cases),
+        "Activities": frequencies(log, "activity", 50), "Resources": frequencies(log, "resource"),
+        "Item categories": frequencies(cases, "item_category"), "Companies": frequencies(cases, "company"),
+        "Gates": bronze_gates(log, cases, s),
+    }
+
+
+def profile_report(log: DataFrame, cases: DataFrame, s: Settings = Settings()) -> str:
+    """The profile as Markdown (tables of some tens of rows, put together on the driver)."""
+    out = ["# Log profile"]
+    for title, df in profile_tables(log, cases, s).items():
+        rows = [r.asDict() for r in df.collect()]
+        if len(rows) == 1 and title != "Gates":  # one row of measures reads better downwards
+            rows = [{"measure": k, "value": v} for k, v in rows[0].items()]
+        names = list(rows[0]) if rows else df.columns
+        lines = [" | ".join(str(r[n]) for n in names) for r in rows]
+        out.append(f"## {title}\n\n" + "\n".join(f"| {x} |" for x in (" | ".join(names), " | ".join("---" for _ in names), *lines)))
+    return "\n\n".join(out) + "\n"

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.expr import HOUR, group_quantiles
 from millrace.model import Settings
 from millrace.operators.discovery import dfg_edges, edges
+from millrace.operators.enrich import case_facts
 
 
 def bottlenecks(steps: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -35,21 +36,24 @@ def waiting_split(log: DataFrame) -> DataFrame:
 
 def handoffs(log: DataFrame) -> DataFrame:
     """Changes of resource within a case; nothing changes from a missing resource or at the first event."""
-    change = F.col("prev_resource").isNotNull() & (F.col("resource") != F.col("prev_resource"))
-    return log.groupBy("case_id").agg(F.count_if(change).alias("handoff_count"))
+    return case_facts(log).select("case_id", "handoff_count")
 
 
 def touchless(log: DataFrame) -> DataFrame:
     """Share of batch events by case."""
-    return log.groupBy("case_id").agg(F.avg((F.col("resource_type") == "batch").cast("double")).alias("touchless_ratio"))
+    return case_facts(log).select("case_id", "touchless_ratio")
+
+
+def band(s: Settings = Settings()) -> Column:
+    """high, medium or low by the quantile of days of the case's flow (column p_sla)."""
+    d, p = F.col("case_duration_days"), F.col("p_sla")
+    return F.when(d > s.sla_high * p, "high").when(d > p, "medium").otherwise("low")
 
 
 def sla_band(cases: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """high, medium or low by the quantile of days of the case's flow."""
-    limits = group_quantiles(cases, ["flow_type"], "case_duration_days", _p=("nearest", s.sla_quantile))
-    joined = cases.select("case_id", "flow_type", "case_duration_days").join(F.broadcast(limits), "flow_type", "left")  # a row a flow
-    d, p = F.col("case_duration_days"), F.col("_p")
-    return joined.select("case_id", "flow_type", F.when(d > s.sla_high * p, "high").when(d > p, "medium").otherwise("low").alias("sla_risk"))
+    limits = group_quantiles(cases, ["flow_type"], "case_duration_days", fine=True, p_sla=("nearest", s.sla_quantile))
+    joined = cases.select("case_id", "flow_type", "case_duration_days").join(F.broadcast(limits), "flow_type", "left")  # four flows at most
+    return joined.select("case_id", "flow_type", band(s).alias("sla_risk"))
 
 
 def top_bottlenecks(table: DataFrame, limit: int) -> DataFrame:

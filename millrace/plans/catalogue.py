@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -91,22 +92,26 @@ def _features(x: Log) -> DataFrame:
 
 
 def _model_scores(x: Log) -> DataFrame:
-    rows = _features(x).persist()
-    return sla.score(sla.train(rows).model, rows)
+    rows = _features(x).persist()  # every tree reads them
+    try:
+        model = sla.train(rows).model
+    finally:
+        rows.unpersist()
+    return sla.score(model, rows)
 
 
 def _timelines(x: Log) -> DataFrame:
-    text = F.transform("events", lambda e: F.concat_ws(":", e["event_order"].cast("string"), e["activity"], e["resource"], e["resource_type"], e["stage"]))
-    return export.case_timelines(x).withColumn("events", text).drop("vendor_name")
+    text = F.transform("events", lambda e: F.concat_ws(":", e["event_order"].cast("string"), e["activity"], e["resource"], e["resource_type"], e["stage"],
+                                                        F.format_string("%.2f", e["time_since_prev_hours"])))
+    return export.case_timelines(x).withColumn("events", text)
 
 
 def _gates(x: Log) -> DataFrame:
-    return quality.bronze_gates(x.events, activities=5).unionByName(quality.silver_gates(x.log, x.cases))
+    return quality.bronze_gates(x.events, s=replace(x.settings, expected_activities=5)).unionByName(quality.silver_gates(x.log, x.cases))
 
 
 def _rule(rule_id: str) -> Callable[[Log], DataFrame]:
-    columns = ["case_id", "rule_name", "passed", "severity"] + ([] if rule_id == "CR-008" else ["detail"])
-    return lambda x: x.checks.filter(F.col("rule_id") == rule_id).select(*columns)
+    return lambda x: x.checks.filter(F.col("rule_id") == rule_id).select("case_id", "rule_name", "passed", "severity", "detail")
 
 
 #: Queries over the event log.
@@ -120,7 +125,7 @@ OVER_LOG: dict[str, Callable[[Log], DataFrame]] = {
     "resource_profile": lambda x: enrich.dim_resource(x.log),
     "activity_profile": lambda x: x.profile,
     "variant_stats": lambda x: _sequence_as_text(x.variants),
-    "case_happy_path": lambda x: discovery.case_happy_path(x.cases, x.variants),
+    "case_happy_path": lambda x: discovery.case_happy_path(x.kept_cases, x.variants),
     "transitions": lambda x: x.steps,
     "dfg_edges": lambda x: discovery.dfg_edges(x.steps, x.settings),
     "dfg_nodes": lambda x: discovery.dfg_nodes(discovery.dfg_edges(x.steps, x.settings), x.profile, x.settings),
@@ -134,32 +139,32 @@ OVER_LOG: dict[str, Callable[[Log], DataFrame]] = {
     "predecessor_entropy": lambda x: automation.predecessor_entropy(x.log),
     "successor_entropy": lambda x: automation.successor_entropy(x.log),
     "position_cv": lambda x: automation.position_cv(x.log),
-    "error_rate": lambda x: automation.error_rate(x.log, x.repeats),
+    "error_rate": lambda x: automation.error_rate(x.log),
     "handoffs": lambda x: throughput.handoffs(x.log),
     "touchless": lambda x: throughput.touchless(x.log),
-    "sla_band": lambda x: throughput.sla_band(x.cases, x.settings),
-    "automation_base": lambda x: automation.automation_base(x.log),
-    "automation_score": lambda x: automation.automation_score(x.log, x.repeats, x.settings),
-    "tier_histogram": lambda x: automation.tier_histogram(automation.automation_score(x.log, x.repeats, x.settings)),
+    "sla_band": lambda x: throughput.sla_band(x.kept_cases, x.settings),
+    "automation_base": lambda x: automation.automation_base(x.log).drop("position_cv", "error_rate"),
+    "automation_score": lambda x: automation.automation_score(x.log, x.settings),
+    "tier_histogram": lambda x: automation.tier_histogram(automation.automation_score(x.log, x.settings)),
     **{r.lower().replace("-", ""): _rule(r) for r in RULE_IDS},
-    "compliance_checks": lambda x: x.checks.withColumn("detail", F.when((F.col("rule_id") != "CR-008") | F.col("passed"), F.col("detail"))),
+    "compliance_checks": lambda x: x.checks,
     "compliance_scores": lambda x: x.scores,
     "fact_event_log": lambda x: marts.fact_event_log(x.log, x.cases),
     "fact_case_summary": lambda x: _sequence_as_text(x.summary),
     "dim_activity": lambda x: marts.dim_activity(x.profile, x.settings),
-    "dim_company": lambda x: marts.dim_company(x.cases),
-    "dim_vendor": lambda x: marts.dim_vendor(x.cases),
+    "dim_company": lambda x: marts.dim_company(x.kept_cases),
+    "dim_vendor": lambda x: marts.dim_vendor(x.kept_cases),
     "dim_calendar": lambda x: marts.dim_calendar(x.log, x.settings),
     "exec_kpis": export.executive_kpis,
     "monthly_trend": export.monthly_trend,
     "sla_distribution": export.sla_distribution,
-    "top_variants": lambda x: discovery.top_variants(x.variants, x.scores, x.cases, x.settings.max_variants),
+    "top_variants": lambda x: discovery.top_variants(x.variants, x.scored, x.settings.max_variants),
     "variant_concentration": lambda x: discovery.variant_concentration(x.variants),
     "compliance_by_rule": lambda x: conformance.by_rule(x.checks),
-    "compliance_by_company": lambda x: conformance.by_group(x.scores, x.cases, "company"),
-    "compliance_by_flow": lambda x: conformance.by_group(x.scores, x.cases, "flow_type"),
-    "compliance_heatmap": lambda x: conformance.by_group(x.scores, x.cases, "company", "flow_type"),
-    "top_violating_vendors": lambda x: conformance.top_violating_vendors(x.scores, x.cases, x.settings.max_vendors),
+    "compliance_by_company": lambda x: conformance.by_group(x.scored, "company"),
+    "compliance_by_flow": lambda x: conformance.by_group(x.scored, "flow_type"),
+    "compliance_heatmap": lambda x: conformance.by_group(x.scored, "company", "flow_type"),
+    "top_violating_vendors": lambda x: conformance.top_violating_vendors(x.scored, x.settings.max_vendors),
     "top_bottlenecks": lambda x: throughput.top_bottlenecks(x.bottlenecks, x.settings.max_bottlenecks),
     "chart_cap": lambda x: throughput.chart_cap(throughput.top_bottlenecks(x.bottlenecks, x.settings.max_bottlenecks)),
     "process_counts": export.process_counts,
@@ -172,7 +177,7 @@ OVER_LOG: dict[str, Callable[[Log], DataFrame]] = {
     "score_metrics": _score_metrics,
     "sla_model_scores": _model_scores,
     "orphan_cases": lambda x: quality.orphans(x.log, x.cases.filter("flow_type <> 'consignment'"), "case_id"),
-    "null_rates": lambda x: quality.null_rates(x.log, ["case_id", "activity", "prev_ts", "next_activity"]),
+    "null_rates": lambda x: quality.null_rates(x.log),
     "quality_gates": _gates,
     "log_profile": lambda x: quality.log_profile(x.log),
     "activity_frequency": lambda x: quality.frequencies(x.log, "activity"),

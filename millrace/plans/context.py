@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.model import Settings
 from millrace.operators import conformance, discovery, enrich, marts, throughput
+from millrace.sources.tables import written
 
 
 class Log:
@@ -24,13 +25,41 @@ class Log:
     def log(self) -> DataFrame:
         return enrich.enriched(self.events, self.settings)
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        return enrich.case_facts(self.log, self.settings.roles)
+
+    @cached_property
+    def whole(self) -> DataFrame:
+        """Every case with attributes, flow and all facts: the one join by case."""
+        return marts.case_table(self.attributes, self.facts)
+
+    @cached_property
+    def kept(self) -> DataFrame:
+        """The same as a table in the shared folder, for what reads it more than once: the log is shuffled once, not for each branch.
+
+        A row a case, far smaller than the log; it stays until the folder is cleared, since lazy results read it.
+        """
+        return written(self.whole, "cases")
+
     @cached_property
     def cases(self) -> DataFrame:
-        return marts.case_table(self.log, self.attributes)
+        return self._cases(self.whole)
+
+    @cached_property
+    def kept_cases(self) -> DataFrame:
+        return self._cases(self.kept)
+
+    def _cases(self, whole: DataFrame) -> DataFrame:
+        return whole.select("case_id", *self.case_columns, "flow_type", *enrich.METRICS)
+
+    @property
+    def case_columns(self) -> list[str]:
+        return [c for c in self.attributes.columns if c != "case_id"]
 
     @cached_property
     def repeats(self) -> DataFrame:
-        return discovery.rework(self.log)
+        return self.facts.select("case_id", *enrich.REPEATS)
 
     @cached_property
     def steps(self) -> DataFrame:
@@ -42,15 +71,25 @@ class Log:
 
     @cached_property
     def variants(self) -> DataFrame:
-        return discovery.variant_stats(self.cases, self.settings)
+        return discovery.variant_stats(self.kept_cases, self.settings)
+
+    @cached_property
+    def checked(self) -> DataFrame:
+        """Every case with its facts and the array of its checks."""
+        return conformance.case_checks(self.kept, self.kept, self.settings)
 
     @cached_property
     def checks(self) -> DataFrame:
-        return conformance.compliance_checks(self.log, self.cases, self.repeats, self.settings)
+        return conformance.compliance_checks(self.checked)
 
     @cached_property
     def scores(self) -> DataFrame:
-        return conformance.compliance_scores(self.checks)
+        return conformance.compliance_scores(self.checked)
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Cases with attributes and scores, for reports by attribute."""
+        return self.checked.select("*", *conformance.score_columns())
 
     @cached_property
     def profile(self) -> DataFrame:
@@ -62,14 +101,15 @@ class Log:
 
     @cached_property
     def summary(self) -> DataFrame:
-        return marts.fact_case_summary(self.log, self.cases, self.checks, self.variants, self.settings)
+        return marts.fact_case_summary(self.checked, self.case_columns, self.settings)
 
     def cached(self) -> Log:
-        """Keep the enriched log and the case table in memory and on disk for a run of many queries."""
+        """Keep the enriched log and the checked cases in memory and on disk for a run of many queries; see release."""
         self.log = self.log.persist()
-        self.cases = self.cases.persist()
+        self.checked = self.checked.persist()
+        self.whole = self.kept = self.checked
         return self
 
     def release(self) -> None:
         self.log.unpersist()
-        self.cases.unpersist()
+        self.checked.unpersist()

@@ -19,16 +19,18 @@ def executive_kpis(x: Log) -> DataFrame:
         pct(F.col("is_happy_path")).alias("happy_path_rate"), pct(F.col("touchless_ratio") == 1.0).alias("touchless_rate"),
         F.round(F.avg("touchless_ratio") * 100, 1).alias("automation_coverage"), pct(F.col("sla_risk") == "high").alias("high_sla_risk_rate"),
         F.round(100.0 * F.sum(F.col("touchless_ratio") * F.col("event_count")) / F.sum("event_count"), 1).alias("batch_event_share"))
-    rate = x.checks.agg(pct(F.col("passed")).alias("compliance_rate"))
+    # checks without a verdict (null) count in neither part
+    decided = F.size(F.filter("checks", lambda c: c["passed"].isNotNull()))
+    passed = F.size(F.filter("checks", lambda c: c["passed"]))
+    rate = x.checked.agg(F.round(F.sum(passed) / F.sum(decided) * 100, 1).alias("compliance_rate"))
     return main.crossJoin(F.broadcast(rate))  # one row each
 
 
 def monthly_trend(x: Log) -> DataFrame:
     """Cases, mean compliance of their cases and mean days by month of start, from the cohort's first year on."""
-    rows = x.summary.filter(F.year("case_start") >= x.settings.cohort_year).withColumn("month", F.date_format("case_start", "yyyy-MM"))
-    own = x.scores.select("case_id", F.col("compliance_score").alias("_c"))
-    return rows.join(own, "case_id", "left").groupBy("month").agg(
-        F.count("*").alias("cases"), F.round(F.coalesce(F.avg("_c"), F.lit(0.0)) * 100, 1).alias("compliance_rate"),
+    rows = x.scored.filter(F.year("case_start") >= x.settings.cohort_year).withColumn("month", F.date_format("case_start", "yyyy-MM"))
+    return rows.groupBy("month").agg(
+        F.count("*").alias("cases"), F.round(F.coalesce(F.avg("compliance_score"), F.lit(0.0)) * 100, 1).alias("compliance_rate"),
         F.round(F.coalesce(F.avg("case_duration_days"), F.lit(0.0)), 1).alias("avg_duration"))
 
 
@@ -45,11 +47,15 @@ def bottleneck_stages(x: Log) -> DataFrame:
 
 
 def case_timelines(x: Log, limit: int | None = None) -> DataFrame:
-    """A sample of cases, the first by a hash of their id, each with its ordered events."""
-    chosen = x.summary.orderBy(F.md5(F.col("case_id").cast("binary")), "case_id").limit(limit or x.settings.max_cases)
+    """A sample of cases, the first by a hash of their id, each with its ordered events.
+
+    The ids are chosen from the case attributes alone; rows and events of just these (``limit`` of them, hence the broadcasts) follow.
+    """
+    ids = x.kept.select("case_id").distinct().orderBy(F.md5(F.col("case_id").cast("binary")), "case_id").limit(limit or x.settings.max_cases)
+    chosen = x.summary.join(F.broadcast(ids), "case_id", "left_semi")
     wait = F.round(F.coalesce("time_since_prev_event", F.lit(0.0)) / 3600, 2)
     item = F.struct("event_order", "activity", "ts", "resource", "resource_type", F.col("process_stage").alias("stage"), wait.alias("time_since_prev_hours"))
-    events = (x.log.join(F.broadcast(chosen.select("case_id")), "case_id", "left_semi")  # ``limit`` ids
+    events = (x.log.join(F.broadcast(ids), "case_id", "left_semi")
               .groupBy("case_id").agg(F.array_sort(F.collect_list(item)).alias("events")))
     return chosen.select("case_id", "flow_type", "company", "vendor", "vendor_name", F.round("case_duration_days", 1).alias("duration_days"), "event_count",
                          F.round("compliance_score", 3).alias("compliance_score"), "has_rework", "variant_id", "is_happy_path", "sla_risk"
@@ -77,6 +83,11 @@ def process_counts(x: Log) -> DataFrame:
     return x.bottlenecks.agg(F.count_if("is_bottleneck").alias("bottlenecks"), F.count("*").alias("edges"), F.sum("transition_count").alias("transitions"))
 
 
+def rounded(df: DataFrame, places: int, other: dict[str, int]) -> DataFrame:
+    """Doubles to ``places``, some to ``other`` places: how a report shows them."""
+    return df.withColumns({c: F.round(c, other.get(c, places)) for c, t in df.dtypes if t == "double"})
+
+
 def documents(x: Log) -> dict[str, DataFrame]:
     """One-row tables, each of which is one JSON document."""
     def listed(df: DataFrame, name: str) -> DataFrame:  # reports: bounded by their limits or by activities, flows and companies
@@ -84,19 +95,19 @@ def documents(x: Log) -> dict[str, DataFrame]:
 
     s = x.settings
     graph = discovery.dfg_edges(x.steps, s)
-    score = automation.automation_score(x.log, x.repeats, s)
+    score = automation.automation_score(x.log, s)
     return {
         "executive_kpis": executive_kpis(x).crossJoin(listed(monthly_trend(x).orderBy("month"), "monthly_trend")).crossJoin(listed(sla_distribution(x), "sla_risk_distribution")),
         "process_flow": listed(discovery.dfg_nodes(graph, x.profile, s), "nodes").crossJoin(listed(graph, "edges"))
         .crossJoin(listed(discovery.dfg_by_flow(x.log, x.cases, s.min_transitions_by_flow, s), "by_flow_type")),
-        "variants": listed(discovery.top_variants(x.variants, x.scores, x.cases, s.max_variants), "variants")
+        "variants": listed(discovery.top_variants(x.variants, x.scored, s.max_variants), "variants")
         .crossJoin(listed(discovery.variant_concentration(x.variants), "concentration")),
-        "compliance_summary": listed(conformance.by_rule(x.checks), "by_rule").crossJoin(listed(conformance.by_group(x.scores, x.cases, "company"), "by_company"))
-        .crossJoin(listed(conformance.by_group(x.scores, x.cases, "flow_type"), "by_flow_type"))
-        .crossJoin(listed(conformance.by_group(x.scores, x.cases, "company", "flow_type"), "heatmap"))
-        .crossJoin(listed(conformance.top_violating_vendors(x.scores, x.cases, s.max_vendors), "top_vendors")),
+        "compliance_summary": listed(conformance.by_rule(x.checks), "by_rule").crossJoin(listed(conformance.by_group(x.scored, "company"), "by_company"))
+        .crossJoin(listed(conformance.by_group(x.scored, "flow_type"), "by_flow_type"))
+        .crossJoin(listed(conformance.by_group(x.scored, "company", "flow_type"), "heatmap"))
+        .crossJoin(listed(conformance.top_violating_vendors(x.scored, s.max_vendors), "top_vendors")),
         "bottlenecks": listed(bottleneck_stages(x), "transitions").crossJoin(listed(throughput.top_bottlenecks(x.bottlenecks, s.max_bottlenecks), "top_bottlenecks")),
-        "automation_candidates": listed(score, "candidates"),
+        "automation_candidates": listed(rounded(score, 3, {"hours_saved_per_month": 0}), "candidates"),
         "case_summaries": listed(case_timelines(x), "sample_cases"),
         "company_benchmarks": listed(marts.company_radar(x.summary), "companies"),
     }

@@ -81,7 +81,8 @@ PARTS: dict[str, tuple[str, str]] = {  # name -> (names it needs, query)
         else 'Invoice cleared before invoice was recorded' end from rr where has_clear
       union all select case_id, 'CR-007', 'Single vendor per purchasing document', nv = 1, 'info', case when nv = 1 then 'Single vendor per document (compliant)'
         else concat('Document has ', nv, ' different vendors') end from rr
-      union all select case_id, 'CR-008', 'Throughput time within P95', case_duration_days <= p95, 'warning', case when case_duration_days <= p95 then 'Duration within P95 (compliant)' end from rr
+      union all select case_id, 'CR-008', 'Throughput time within P95', case_duration_days <= p95, 'warning', case when case_duration_days <= p95 then 'Duration within P95 (compliant)'
+        else printf('Duration %.1fd exceeds P95 %.1fd', case_duration_days, p95) end from rr
       union all select case_id, 'CR-009', 'No excessive rework (activity repeated > 2 times)', max_repeat <= 2, 'warning', case when max_repeat <= 2 then 'No excessive rework (compliant)'
         else concat('An activity repeats ', max_repeat, ' times') end from rr
       union all select case_id, 'CR-010', 'Proper closure (terminal activity present)', term is not null, 'info', case when term is not null then concat('Terminal activity ''', term, ''' present')
@@ -150,6 +151,9 @@ WAITS = ("max_wait_hours", "median_wait_hours", "p90_wait_hours")
 CASE_COLUMNS = ("case_id, purchasing_document, item_type, gr_based_iv, goods_receipt, company, vendor, vendor_name, document_type, item_category, flow_type, case_start, case_end, "
                 "event_count, activity_count, resource_count, has_batch_activity, activities, case_duration_days, variant_id")
 
+LOG_COLUMNS = ("case_id", "activity", "ts", "event_seq", "resource", "event_value", "date", "hour", "day_of_week", "is_timestamp_anomaly", "is_weekend", "is_business_hours", "resource_type",
+               "process_stage", "event_order", "prev_ts", "next_ts", "prev_activity", "next_activity", "prev_resource", "time_since_case_start", "time_since_prev_event", "seconds_to_next")
+
 ORACLES: dict[str, str] = {
     "resource_class": build("select event_seq, resource, resource_type from lg", "lg"),
     "flow_type": build(f"select case_id, item_category, {FLOW} as flow_type from att", "att"),
@@ -187,8 +191,8 @@ ORACLES: dict[str, str] = {
         ("batch_ratio", "median_wait_minutes", "volume_score", "batch_gap_score", "input_uniformity_score", "timing_regularity_score", "error_reduction_score", "wait_reduction_score", "error_rate",
          "automation_score", "hours_saved_per_month")),
     "tier_histogram": build("select automation_tier, count(*) as activities from au group by 1", "au"),
-    **{r.lower().replace("-", ""): build(f"select case_id, rule_name, passed, severity{'' if r == 'CR-008' else ', detail'} from ch where rule_id = '{r}'", "ch") for r in RULE_IDS},
-    "compliance_checks": build("select case_id, rule_id, rule_name, passed, severity, case when rule_id = 'CR-008' and not passed then null else detail end as detail from ch", "ch"),
+    **{r.lower().replace("-", ""): build(f"select case_id, rule_name, passed, severity, detail from ch where rule_id = '{r}'", "ch") for r in RULE_IDS},
+    "compliance_checks": build("select * from ch", "ch"),
     "compliance_scores": build("select * from sc", "sc", ("compliance_score",)),
     "fact_event_log": build("""select case_id, activity, ts, event_seq, cast(date as varchar) as date, hour, day_of_week, is_weekend, is_business_hours, resource, resource_type, event_value, event_order, time_since_prev_event,
         process_stage, flow_type, company, vendor from lg join (select case_id, flow_type, company, vendor from ct) using (case_id)""", "lg,ct", ("event_value", "time_since_prev_event")),
@@ -222,9 +226,9 @@ ORACLES: dict[str, str] = {
         order by p90_wait_hours desc, from_activity, to_activity limit 15) where p90_wait_hours <= 20 * (select list_extract(list_sort(list(p90_wait_hours), 'desc'), cast(floor(count(*) / 2) as int) + 1) from
         (select p90_wait_hours from bn where is_bottleneck order by p90_wait_hours desc, from_activity, to_activity limit 15)) order by p90_wait_hours desc, from_activity, to_activity limit 10""", "bn", ("p90_wait_hours",)),
     "process_counts": build("select count(*) filter (is_bottleneck) as bottlenecks, count(*) as edges, cast(sum(transition_count) as bigint) as transitions from bn", "bn"),
-    "case_timelines": build("""select case_id, flow_type, company, vendor, round(case_duration_days, 1) as duration_days, event_count, round(compliance_score, 3) as compliance_score, has_rework, variant_id,
-        is_happy_path, sla_risk, string_agg(concat(event_order, ':', activity, ':', resource, ':', resource_type, ':', process_stage), '|' order by event_order) as events
-        from (select * from fs order by md5(case_id), case_id limit 1000) join (select case_id, event_order, activity, resource, resource_type, process_stage from lg) using (case_id) group by all""", "fs,lg"),
+    "case_timelines": build("""select case_id, flow_type, company, vendor, vendor_name, round(case_duration_days, 1) as duration_days, event_count, round(compliance_score, 3) as compliance_score, has_rework, variant_id,
+        is_happy_path, sla_risk, string_agg(concat(event_order, ':', activity, ':', resource, ':', resource_type, ':', process_stage, ':', printf('%.2f', round(coalesce(time_since_prev_event, 0) / 3600, 2))), '|' order by event_order) as events
+        from (select * from fs order by md5(case_id), case_id limit 1000) join (select case_id, event_order, activity, resource, resource_type, process_stage, time_since_prev_event from lg) using (case_id) group by all""", "fs,lg"),
     "company_radar": build("""select *, 1 - avg_duration_days / max(avg_duration_days) over () as speed, 1 - rework_rate as efficiency, case_count::double / max(case_count) over () as volume from
         (select company, count(*) as case_count, avg(case_duration_days) as avg_duration_days, avg(has_rework::int) as rework_rate, avg(touchless_ratio) as mean_touchless_ratio,
          avg(is_happy_path::int) as happy_path_rate, avg(compliance_score) as compliance_rate from fs group by 1)""", "fs",
@@ -246,8 +250,8 @@ ORACLES: dict[str, str] = {
         (select s, count(*) as n, sum(target) as p from (select cast(sla_risk <> 'low' as int) as target, round(event_count / 6.0::double, 6) as s from fs) group by s))""", "fs",
         ("auc_roc", "average_precision", "precision", "recall", "f1")),
     "orphan_cases": build("select distinct case_id from lg where case_id not in (select case_id from ct where flow_type <> 'consignment')", "lg,ct"),
-    "null_rates": build("""select unnest(['case_id', 'activity', 'prev_ts', 'next_activity']) as column_name, unnest([avg((case_id is null)::int), avg((activity is null)::int), avg((prev_ts is null)::int),
-        avg((next_activity is null)::int)]) as null_rate from lg""", "lg", ("null_rate",)),
+    "null_rates": build("select unnest(" + str(list(LOG_COLUMNS)) + ") as column_name, unnest([" + ", ".join(f"avg(({c} is null)::int)" for c in LOG_COLUMNS) + "]) as null_rate from lg",
+                        "lg", ("null_rate",)),
     "quality_gates": build("""select unnest(['case_id_not_null', 'activity_not_null', 'timestamp_null_rate', 'enough_activities', 'resource_type_not_null', 'resource_type_known', 'event_order_positive', 'flow_type_not_null',
         'flow_type_known', 'duration_not_negative', 'variant_not_null']) as gate, unnest([g1, g2, g3, g4, g5, g6, g7, g8, g9, g10, g11]) as passed from
         (select count(*) filter (case_id is null) = 0 as g1, count(*) filter (activity is null) = 0 as g2, avg((ts is null)::int) <= 0.001 as g3, count(distinct activity) >= 5 as g4,

@@ -6,8 +6,9 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +18,9 @@ from millrace.plans import export
 from millrace.plans.context import Log
 from millrace.session import session
 from millrace.sources import xes
-from millrace.sources.tables import exists, missing, write_parquet
+from millrace.sources.tables import exists, missing, stage_mapping, write_parquet, write_text
 
+log_ = logging.getLogger("millrace")
 PHASES = ("ingest", "silver", "gold", "analytics", "predict", "export")
 
 
@@ -92,38 +94,55 @@ class Pipeline:
         traces = xes.read_traces(self.spark, self.source).persist()
         try:
             events, cases = xes.bronze_events(traces), xes.bronze_cases(traces)
-            self._validate(quality.bronze_gates(events, ts="timestamp"),
+            self._validate(quality.bronze_gates(events, cases, self.settings, ts="timestamp"),
                            quality.contract_violations(events, BRONZE_EVENTS) + quality.contract_violations(cases, BRONZE_CASES))
-            return self._write({"bronze/events": events, "bronze/cases": cases})
+            rows = self._write({"bronze/events": events, "bronze/cases": cases})
+            for table in ("bronze/events", "bronze/cases"):
+                log_schema(table, self.read(table))
+            return rows
         finally:
             traces.unpersist()
 
     def _silver(self) -> int:
         events = self.read("bronze/events").withColumnRenamed("timestamp", "ts").drop("user")
-        log = enrich.enriched(events, self.settings).persist()
+        log, raw = enrich.enriched(events, self.settings).persist(), self.read("bronze/cases")
         try:
-            cases = marts.case_table(log, self.read("bronze/cases"))
-            self._validate(quality.silver_gates(log, cases))
+            cases = marts.case_table(raw, enrich.case_facts(log, self.settings.roles))
+            self._validate(quality.silver_gates(log, cases, events.count(), raw.count()), quality.silver_violations(log, cases))
+            log_.info("timestamp anomalies: %d events", quality.anomalies(log))
             return self._write({"silver/events": log, "silver/cases": cases, "silver/resources": enrich.resource_profile(log),
                                 "silver/activities": enrich.activity_profile(log, self.settings)})
         finally:
             log.unpersist()
 
     def context(self) -> Log:
-        x = Log(self.read("silver/events"), self.read("silver/cases"), self.settings)
-        x.log, x.cases = self.read("silver/events"), self.read("silver/cases")
+        whole = self.read("silver/cases")
+        x = Log(self.read("silver/events"), whole.select(*BRONZE_CASES.fieldNames()), self.settings)
+        x.log, x.whole, x.kept = x.events, whole, whole
         return x
 
     def _gold(self) -> int:
         x, s = self.context(), self.settings
-        profile = self.read("silver/activities")
-        rows = self._write({
-            "gold/dim_activity": marts.dim_activity(profile, s), "gold/dim_company": marts.dim_company(x.cases), "gold/dim_vendor": marts.dim_vendor(x.cases),
-            "gold/dim_calendar": marts.dim_calendar(x.log, s), "gold/dim_resource": enrich.dim_resource(x.log),
-            "gold/fact_event_log": marts.fact_event_log(x.log, x.cases), "gold/fact_variant_stats": x.variants, "gold/fact_compliance_checks": x.checks,
-            "gold/fact_bottleneck_analysis": x.bottlenecks})
-        x.checks, x.variants = self.read("gold/fact_compliance_checks"), self.read("gold/fact_variant_stats")
-        return rows + self._write({"gold/fact_case_summary": x.summary, "gold/fact_automation_opportunities": automation.automation_score(x.log, x.repeats, s)})
+        x.checked = x.checked.persist()  # checks, variants and the summary all start from it
+        try:
+            rows = self._write({
+                "gold/dim_activity": marts.dim_activity(self.read("silver/activities"), s), "gold/dim_company": marts.dim_company(x.cases),
+                "gold/dim_vendor": marts.dim_vendor(x.cases), "gold/dim_calendar": marts.dim_calendar(x.log, s), "gold/dim_resource": enrich.dim_resource(x.log),
+                "gold/fact_event_log": marts.fact_event_log(x.log, x.cases), "gold/fact_variant_stats": x.variants, "gold/fact_compliance_checks": x.checks,
+                "gold/fact_bottleneck_analysis": x.bottlenecks, "gold/fact_case_summary": x.summary,
+                "gold/fact_automation_opportunities": automation.automation_score(x.log, s)})
+            x.summary = self.read("gold/fact_case_summary")
+            for name, value in export.executive_kpis(x).first().asDict().items():
+                log_.info("KPI %s: %s", name, value)
+            return rows
+        finally:
+            x.checked.unpersist()
+
+    def profile(self) -> str:
+        """Write the Markdown profile of the silver tables; returns its text."""
+        text = quality.profile_report(self.read("silver/events"), self.read("silver/cases").select(*BRONZE_CASES.fieldNames()), self.settings)
+        write_text(self.spark, text, self.path("reports/profile"))
+        return text
 
     def _analytics(self) -> int:
         """The analytics tables are part of gold: nothing to do if they are there."""
@@ -147,7 +166,19 @@ class Pipeline:
         x.summary = self.read("gold/fact_case_summary")
         if not self.skip_validation and quality.orphans(x.log, x.cases, "case_id").limit(1).count():
             raise ValueError("events without a case")
-        return export.export_all(x, self.path("export"))
+        x.checked, x.bottlenecks = x.checked.persist(), x.bottlenecks.persist()
+        try:
+            return export.export_all(x, self.path("export"))
+        finally:
+            x.checked.unpersist()
+            x.bottlenecks.unpersist()
+
+
+def log_schema(name: str, df: DataFrame) -> None:
+    """Columns, types and null rates of a table, as log lines."""
+    rates = {r.column_name: r.null_rate for r in quality.null_rates(df).collect()}
+    for f in df.schema:
+        log_.info("%s %s %s nulls %.1f%%", name, f.name, f.dataType.simpleString(), 100 * (rates[f.name] or 0.0))
 
 
 def register_views(pipeline: Pipeline) -> list[str]:
@@ -171,10 +202,23 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--output-dir", default="out")
     parser.add_argument("--skip-validation", action="store_true")
     parser.add_argument("--dry-run", action="store_true")
+    parser.add_argument("--profile", action="store_true", help="write the Markdown profile of the silver tables")
+    parser.add_argument("--stages", help="JSON document with the stage of every activity")
+    parser.add_argument("--expected-events", type=int)
+    parser.add_argument("--expected-cases", type=int)
+    parser.add_argument("--expected-activities", type=int, default=1)
     given = parser.parse_args(args)
-    if not given.all and not given.phase:
-        parser.error("give --phase or --all")
-    pipeline = Pipeline(session(), given.output_dir, given.input, skip_validation=given.skip_validation)
+    if not (given.all or given.phase or given.profile):
+        parser.error("give --phase, --all or --profile")
+    logging.basicConfig(level=logging.INFO, format="%(name)s %(message)s")
+    spark = session()
+    settings = Settings(expected_events=given.expected_events, expected_cases=given.expected_cases, expected_activities=given.expected_activities)
+    if given.stages:
+        settings = replace(settings, stages=stage_mapping(spark, given.stages))
+    pipeline = Pipeline(spark, given.output_dir, given.input, settings, skip_validation=given.skip_validation)
+    if given.profile:
+        print(pipeline.profile())
+        return 0
     results = pipeline.run_all(given.dry_run) if given.all else [pipeline.run(given.phase, given.dry_run)]
     for r in results:
         print(f"{r.phase}: {r.status}, {r.seconds:.1f} s, {r.rows_written} rows" + "".join(f"\n  {e}" for e in r.errors))

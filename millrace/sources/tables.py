@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,13 @@ def scratch(spark: SparkSession) -> str:
     return path.rstrip("/") if path else "file://" + tempfile.mkdtemp(prefix="millrace-")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: what several branches of a query read is computed once."""
+    path = f"{scratch(df.sparkSession)}/millrace/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def missing(spark: SparkSession, paths: Iterable[str]) -> list[str]:
     """The inputs that are not there: the gate before a phase."""
     return [p for p in paths if not exists(spark, p)]

@@ -32,7 +32,9 @@ def _attributes(prefix: str) -> Column:
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", "trace").schema(SCHEMA).load(path)
+    """A row a trace with ``_place``, its position in the log: file, block of the file, order within the block."""
+    rows = spark.read.format("xml").option("rowTag", "trace").schema(SCHEMA).load(path)
+    return rows.withColumn("_place", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")))
 
 
 def bronze_events(traces: DataFrame) -> DataFrame:
@@ -45,11 +47,11 @@ def bronze_events(traces: DataFrame) -> DataFrame:
 
 
 def bronze_cases(traces: DataFrame) -> DataFrame:
-    """One row a case with its attributes; of traces that share an id one row stays (the smallest of its attributes)."""
-    named = traces.select(_attributes("").alias("c")).select(*[F.col("c")[k].alias(v) for k, v in CASE_ATTRIBUTES.items()])
+    """One row a case with its attributes; of traces that share an id the first of the log stays."""
+    named = traces.select("_place", _attributes("").alias("c")).select("_place", *[F.col("c")[k].alias(v) for k, v in CASE_ATTRIBUTES.items()])
     typed = named.withColumns({c: F.expr(f"try_cast({c} as boolean)") for c in ("gr_based_iv", "goods_receipt")})
-    rest = [c for c in typed.columns if c != "case_id"]
-    return typed.groupBy("case_id").agg(F.min(F.struct(*rest)).alias("s")).select("case_id", "s.*")
+    rest = [c for c in typed.columns if c not in ("case_id", "_place")]
+    return typed.groupBy("case_id").agg(F.min_by(F.struct(*rest), "_place").alias("s")).select("case_id", "s.*")
 
 
 def _escaped(c: Column) -> Column:

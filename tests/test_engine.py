@@ -101,13 +101,13 @@ def test_ties_nulls_and_single_events(make_log):
     assert by_case(throughput.handoffs(x.log), "handoff_count") == {"a": 1, "b": 0, "o": 0}  # nothing changes from a null resource
     assert by_case(throughput.waiting_split(x.log), "total_wait_hours") == {"a": 0.0}
     assert [r.case_id for r in quality.orphans(x.log, x.cases, "case_id").collect()] == ["o"]
-    score = {r.activity: r for r in automation.automation_score(x.log, x.repeats).collect()}
+    score = {r.activity: r for r in automation.automation_score(x.log).collect()}
     assert score["C"].timing_regularity_score == 1.0 and all(r.automation_score is None or 0 <= r.automation_score <= 1 for r in score.values())
 
 
 def test_empty_log(make_log):
     x = make_log([], [])
-    for df in (x.log, x.cases, x.repeats, x.steps, x.variants, x.checks, x.scores, x.profile, x.bottlenecks, x.summary, automation.automation_score(x.log, x.repeats),
+    for df in (x.log, x.cases, x.repeats, x.steps, x.variants, x.checks, x.scores, x.profile, x.bottlenecks, x.summary, automation.automation_score(x.log),
                marts.dim_calendar(x.log), discovery.dfg_nodes(discovery.dfg_edges(x.steps), x.profile), sla.stratified_split(sla.cohort(x.summary))):
         assert df.count() == 0
 
@@ -200,12 +200,21 @@ def test_metrics_against_definition(spark):
 
 
 def test_quality(mini):
-    assert all(r.passed for r in quality.bronze_gates(mini.events, 15, activities=6).collect())
-    assert not all(r.passed for r in quality.bronze_gates(mini.events, 100).collect())
-    assert all(r.passed for r in quality.silver_gates(mini.log, mini.cases).collect())
+    fits = Settings(expected_events=15, expected_cases=3, expected_activities=6)
+    got = {r.gate: r.passed for r in quality.bronze_gates(mini.events, mini.attributes, fits).collect()}
+    assert len(got) == 7 and all(got.values())
+    off = Settings(expected_events=100, expected_cases=4, expected_activities=9)
+    got = {r.gate for r in quality.bronze_gates(mini.events, mini.attributes.filter("vendor = 'vendorID_0001'"), off).collect() if not r.passed}
+    assert got == {"event_count", "case_count", "enough_activities", "no_orphan_cases"}
+    assert all(r.passed for r in quality.silver_gates(mini.log, mini.cases, 15, 3).collect())
+    assert [r.gate for r in quality.silver_gates(mini.log, mini.cases, 16, 3).collect() if not r.passed] == ["events_kept"]
+    assert quality.silver_violations(mini.log, mini.cases) == [] and quality.anomalies(mini.log) == 0
+    broken = mini.log.withColumn("resource_type", F.lit("robot")).withColumn("event_order", F.lit(0).cast("long"))
+    assert quality.silver_violations(broken, mini.cases.drop("variant_id")) == ["resource_type: not allowed", "event_order: below 1", "variant_id: missing"]
     assert {r.column_name: r.null_rate for r in quality.null_rates(mini.log, ["case_id", "prev_ts"]).collect()} == {"case_id": 0.0, "prev_ts": 3 / 15}
     assert "timestamp: missing" in quality.contract_violations(mini.events, BRONZE_EVENTS)
-    assert "| event_count | 15 |" in quality.profile_report(mini.log)
+    report = quality.profile_report(mini.log, mini.attributes)
+    assert "| event_count | 15 |" in report and "## Companies" in report and "| no_orphan_cases | True |" in report
 
 
 def test_exports(mini):

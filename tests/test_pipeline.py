@@ -42,6 +42,20 @@ def test_xes(spark, source):
     assert len(cases) == 40 and all(c.goods_receipt for c in cases)
 
 
+def test_the_first_trace_of_an_id_stays(spark, tmp_path):
+    """The second trace has the smaller attributes; position decides, not order of values."""
+    rows = [TRACE.format(case="c1", category=c, vendor=v, events="") for c, v in (("Consignment", "v9"), ("2-way match", "v1"))]
+    (tmp_path / "log.xes").write_text(log_text(rows))
+    cases = xes.bronze_cases(xes.read_traces(spark, str(tmp_path / "log.xes"))).collect()
+    assert [(c.vendor, c.item_category) for c in cases] == [("v9", "Consignment")]
+
+
+def test_stage_mapping(spark, tmp_path):
+    from millrace.sources.tables import stage_mapping
+    (tmp_path / "stages.json").write_text('{"_meta": {"x": 1},\n "mapping": {"A b": "S1", "C": "S9"}}')
+    assert stage_mapping(spark, str(tmp_path / "stages.json")) == {"A b": "S1", "C": "S9"}
+
+
 def test_phases(spark, source, tmp_path):
     p = Pipeline(spark, str(tmp_path / "out"), source, gbt_iterations=2)
     assert p.run("silver").status == "failed" and "missing input" in p.run("silver").errors[0]
@@ -53,6 +67,7 @@ def test_phases(spark, source, tmp_path):
     assert "fact_case_summary" in names and spark.sql("select count(*) n from fact_case_summary").first().n == 40
     assert spark.sql("select sum(transition_count) n from fact_bottleneck_analysis").first().n is None  # none is frequent enough
     assert (tmp_path / "out" / "export" / "executive_kpis").exists()
+    assert "| event_count | 80 |" in p.profile() and (tmp_path / "out" / "reports" / "profile").exists()
     with pytest.raises(ValueError):
         p.run("nothing")
 
