@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns plus two character Markov models compared by log-likelihood ratio.
 
 One model is trained on random strings, the other on ordinary identifiers (labelled samples).  A token of an
-unbroken secret alphabet is a secret when random strings explain it better than identifiers by a margin.
+unbroken secret alphabet is a secret when random strings explain it better than identifiers by a margin, and by nothing
+else: its classes of characters do not count.
 Row-local: no shuffle at all, memory of one text per worker.
 """
 
@@ -15,6 +16,7 @@ from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from millrace.llm.common import text_or_empty
 
@@ -22,7 +24,10 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: Shortest token that the models judge: below it random strings and words overlap (see the README for figures).
+MIN_CHARS = 20
+#: Log-likelihood ratio from which a token is a secret: on held-out samples no identifier and no prose word reaches it.
+MARGIN = 24.0
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 #: Words from which ordinary identifiers are put together for training.
@@ -84,7 +89,7 @@ class MarkovModel:
 class SecretModel:
     """The pair of models; ``ratio`` is log P(random) - log P(identifier)."""
 
-    def __init__(self, samples: Iterable[tuple[str, int]], margin: float = 10.0):
+    def __init__(self, samples: Iterable[tuple[str, int]], margin: float = MARGIN):
         samples = [(t or "", int(y or 0)) for t, y in samples]
         self.random = MarkovModel(t for t, y in samples if y)
         self.ordinary = MarkovModel(t for t, y in samples if not y)
@@ -94,8 +99,7 @@ class SecretModel:
         return self.random.score(text) - self.ordinary.score(text)
 
     def is_secret(self, text: str) -> bool:
-        """Random by the likelihood ratio, and of two classes of characters at least (a word is no secret)."""
-        return bool(re.search("[0-9]", text) and re.search("[A-Za-z]", text)) and self.ratio(text) > self.margin
+        return self.ratio(text) > self.margin
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -106,12 +110,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def model_spans(text: str, model: SecretModel, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+def tokens(min_chars: int) -> re.Pattern:
+    """Unbroken runs of the secret alphabet of ``min_chars`` characters or more."""
+    return re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % min_chars)
+
+
+def model_spans(text: str, model: SecretModel, base: list[tuple[int, int, str]], min_chars: int = MIN_CHARS) -> list[tuple[int, int, str]]:
     """Spans that the likelihood ratio adds; tokens that touch a base span are not reported again."""
-    out = []
-    for m in TOKEN.finditer(text):
+    out, at, covered = [], 0, 0  # base spans are ordered by start: those before ``at`` begin before the token ends
+    for m in tokens(min_chars).finditer(text):
         s, e = m.span()
-        if model.is_secret(m.group()) and not any(a < e and s < b for a, b, _ in base):
+        while at < len(base) and base[at][0] < e:
+            covered = max(covered, base[at][1])
+            at += 1
+        if covered <= s and model.is_secret(m.group()):
             out.append((s, e, "markov"))
     return out
 
@@ -120,9 +132,13 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{s}:{e}" for s, e, kind in spans)
 
 
-def scan_secrets(docs: DataFrame, samples: Iterable[tuple[str, int]] | None = None, margin: float = 10.0,
+FOUND = "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans array<struct<kind:string,start:int,end:int>>"
+
+
+def scan_secrets(docs: DataFrame, samples: Iterable[tuple[str, int]] | None = None, margin: float = MARGIN, min_chars: int = MIN_CHARS,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_assign, n_access, n_hex, n_markov, spans (list of kind, start, end).
+    """One row per row of ``docs``: id, n_assign, n_access, n_hex, n_markov, base_sha256 (digest of the spans of the fixed
+    patterns), spans (list of kind, start, end).
 
     Whole texts; null counts as empty and has no spans.  ``samples``: labelled strings (1 random, 0 ordinary);
     by default the generated ones.  Repeated rows give repeated results; other columns are ignored.
@@ -132,23 +148,29 @@ def scan_secrets(docs: DataFrame, samples: Iterable[tuple[str, int]] | None = No
     def scan(batches):
         model = SecretModel(pairs, margin)
         for batch in batches:
-            ids, counts, spans = batch.column(0), [[], [], [], []], []
+            counts, digests, spans = [[], [], [], []], [], []
             for text in batch.column(1).to_pylist():
                 base = base_spans(text)
-                found = sorted(base + model_spans(text, model, base), key=lambda s: (s[0], KINDS.index(s[2])))
+                found = sorted(base + model_spans(text, model, base, min_chars), key=lambda s: (s[0], KINDS.index(s[2])))
                 kinds = [k for _, _, k in found]
                 for out, kind in zip(counts, KINDS):
                     out.append(kinds.count(kind))
+                digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
                 spans.append([{"kind": k, "start": s, "end": e} for s, e, k in found])
             kind_t = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
             yield pa.RecordBatch.from_arrays(
-                [ids, *[pa.array(c, pa.int64()) for c in counts], pa.array(spans, pa.list_(kind_t))],
-                names=["doc_id", "n_assign", "n_access", "n_hex", "n_markov", "spans"])
+                [batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.array(spans, pa.list_(kind_t))],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans"])
 
-    from pyspark.sql import functions as F
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return src.mapInArrow(scan, "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, "
-                                "spans array<struct<kind:string,start:int,end:int>>")
+    return src.mapInArrow(scan, FOUND)
+
+
+def precision_and_recall(model: SecretModel, held_out: list[tuple[str, int]]) -> tuple[float, float]:
+    """Of labelled strings: the share of secrets among those called so, and the share of secrets that are called so."""
+    called = [y for t, y in held_out if model.is_secret(t)]
+    secrets = sum(y for _, y in held_out)
+    return sum(called) / max(len(called), 1), sum(called) / max(secrets, 1)
 
 
 def brute_force(text: str) -> str:
