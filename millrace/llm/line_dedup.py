@@ -1,7 +1,8 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
 A line goes when the same line, or one within ``edits`` insertions, deletions or substitutions, stands earlier
-(smaller doc_id, or the same document and an earlier line).
+(smaller doc_id, or the same document and an earlier line).  Lines under ``near_chars`` characters go only for an equal
+one ("item 1" and "item 2" are different lines); blank lines stay, they part paragraphs.
 
 1. Distinct lines with their first places (partial aggregation first: a very common line is a row a task).
 2. Every line is cut into edits + 1 even segments.  Two lines within the threshold share one of them at nearly the same
@@ -120,22 +121,22 @@ def banded_distance(x: str, y: str, edits: int) -> Column:
     return let(both, lambda p: F.aggregate(F.sequence(F.lit(1), F.size(p["b"])), start, lambda s, j: step(s, j, p), lambda s: s["d"]))
 
 
-def repeated_lines(docs: DataFrame, edits: int = 1, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = 1, near_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, h, places): per document (id and hash of its text) the numbers of the lines to remove."""
     base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     each = (base.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-            .withColumn("n", F.length("line")).filter(F.col("n") >= max(min_chars, edits + 1)))
+            .filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("n", F.length("line")))
     name = [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), F.col("line")).alias("k2")]
     place = F.struct("doc_id", "h", "pos")
     own, more = segment_keys(edits)
-    keys = [k.alias(f"s{i}") for i, k in enumerate(own + more)]
+    long_enough = F.col("n") >= max(near_chars, edits + 1)
+    keys = [F.when(long_enough, k).alias(f"s{i}") for i, k in enumerate(own + more)]
     keyed = each.select(*name, place.alias("place"), letter_counts().alias("c"), *keys)
     lines = staged(keyed.groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count("*").alias("times"), F.max("c").alias("c"),
                                                  *[F.max(f"s{i}").alias(f"s{i}") for i in range(len(keys))]), "lines")
-    docs.sparkSession._jvm.System.gc()  # lets Spark drop the shuffle files of the step before
 
     def exploded(n, side):
-        return lines.select(F.explode(F.array_distinct(F.array(*[F.col(f"s{i}") for i in range(n)]))).alias("key"),
+        return lines.select(F.explode(F.array_compact(F.array_distinct(F.array(*[F.col(f"s{i}") for i in range(n)])))).alias("key"),
                             *[F.col(x).alias(f"{side}{y}") for x, y in (("k1", "1"), ("k2", "2"), ("c", "c"))])
 
     indexed, probing = exploded(len(own), "a"), exploded(len(keys), "b")
@@ -174,15 +175,15 @@ def repeated_lines(docs: DataFrame, edits: int = 1, min_chars: int = 20, id_col:
             .groupBy("doc_id", "h").agg(F.collect_set("pos").alias("places")))
 
 
-def dedup_lines(docs: DataFrame, edits: int = 1, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = 1, near_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with repeated lines cut out of the text, plus n_lines and n_removed.
 
-    Lines are split at \\n; those under ``min_chars`` characters always stay.  Null counts as empty (one empty line).
+    Lines are split at \\n; blank ones always stay, those under ``near_chars`` characters go only for an equal one.  Null counts as empty (one empty line).
     Rows that repeat an id with the same text are one document for this purpose and share its verdict; with different
     texts they are documents in order of a hash of their texts; a null id comes first.  Columns of ``docs`` named
     n_lines or n_removed are replaced.  An empty table gives an empty result.
     """
-    gone = repeated_lines(docs, edits, min_chars, id_col, text_col).select(
+    gone = repeated_lines(docs, edits, near_chars, id_col, text_col).select(
         F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("places").alias("_places"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     base = docs.select(*columns).withColumn(text_col, text_or_empty(text_col)).withColumn("_hash", F.xxhash64(text_col))

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,18 +23,8 @@ def tokenizer_bytes(name: str = PIECES, folder: str = TOKENIZERS) -> bytes:
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov of every document."""
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
-
-    def digest(batches):
-        for batch in batches:
-            base, spans = [], []
-            for row in batch.column(5).to_pylist():
-                each = [(s["start"], s["end"], s["kind"]) for s in row]
-                base.append(hashlib.sha256(secrets.joined([s for s in each if s[2] != "markov"]).encode()).hexdigest())
-                spans.append(secrets.joined(each))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(base), pa.array(spans, pa.string()), batch.column(4)],
-                                             names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov"])
-
-    return found.mapInArrow(digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"), "n_markov")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,16 +92,17 @@ QUERIES = {
 }
 
 ORACLES = {
-    # One edit touches one place, so the first or the last half of the shorter line is common: a sound filter.
+    # Blank lines stay; lines under 20 characters repeat only when equal.  One edit touches one place, so the first or the last
+    # half of the shorter line is common: a sound filter.
     "op6_line_dedup": """
         with t as (select doc_id, coalesce(text, '') as text from documents),
         e as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from t),
-        f as (select line, min(row(doc_id, pos)) as place, length(line) as n from e where length(line) >= 20 group by line),
-        g as (select distinct b.line from f a join f b on b.n between a.n - 1 and a.n + 1 and a.place < b.place
+        f as (select line, min(row(doc_id, pos)) as place, length(line) as n from e where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by line),
+        g as (select distinct b.line from f a join f b on a.n >= 20 and b.n >= 20 and b.n between a.n - 1 and a.n + 1 and a.place < b.place
               and (left(a.line, cast(floor(least(a.n, b.n) / 2) as int)) = left(b.line, cast(floor(least(a.n, b.n) / 2) as int))
                 or right(a.line, cast(floor(least(a.n, b.n) / 2) as int)) = right(b.line, cast(floor(least(a.n, b.n) / 2) as int)))
               where levenshtein(a.line, b.line) <= 1),
-        k as (select e.*, length(e.line) < 20 or (f.place = row(e.doc_id, e.pos) and g.line is null) as stays
+        k as (select e.*, f.line is null or (f.place = row(e.doc_id, e.pos) and g.line is null) as stays
               from e left join f on e.line = f.line left join g on e.line = g.line)
         select doc_id, coalesce(string_agg(line, chr(10) order by pos) filter (stays), '') as text,
                count(*) as n_lines, count(*) filter (not stays) as n_removed from k group by doc_id""",

@@ -3,6 +3,7 @@
 Severity grades come from ``labels``: 0 fair text, 1 poor text without toxicity, 2 toxic text.
 Features are words and their beginnings (3 to 8 letters), each at the levels "occurs once, twice, three times at least".
 One weight vector serves all grades; ordered thresholds separate them: P(grade <= k) = sigmoid(theta_k - w.x).
+Features are picked for each threshold: those commoner above it than below.
 The result is the expected severity, and a document is rejected when P(grade >= 2) reaches ``reject_at``.
 
 Scale: the fit uses a bounded sample of labelled rows (``max_rows``); feature statistics for selection are
@@ -79,10 +80,11 @@ class OrdinalModel:
 
 
 def fit(rows: list[list[int]], grades: np.ndarray, n_features: int, grade_count: int = GRADES, l2: float = 1.0,
-        steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+        steps: int = 600, rate: float = 0.1, tolerance: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
     """Maximum a-posteriori weights and thresholds by Adam on the exact gradient.
 
-    rows: feature ids of each example.  Without an example the thresholds are infinite (grade 0 for all).
+    rows: feature ids of each example.  Ends after ``steps``, or once 25 of them improve the loss by less than ``tolerance``
+    of itself.  Without an example the thresholds are infinite (grade 0 for all).
     """
     n = len(rows)
     if n == 0:
@@ -99,11 +101,17 @@ def fit(rows: list[list[int]], grades: np.ndarray, n_features: int, grade_count:
     def theta(p):
         return np.cumsum(np.concatenate([p[n_features:n_features + 1], np.exp(p[n_features + 1:])]))
 
+    last = np.inf
     for step in range(1, steps + 1):
         th = np.concatenate([[-np.inf], theta(p), [np.inf]])
         score = np.bincount(owner, p[feature], minlength=n)
         hi, lo = sigmoid(th[grades + 1] - score), sigmoid(th[grades] - score)
         prob = np.maximum(hi - lo, 1e-12)
+        if step % 25 == 0:
+            loss = -np.log(prob).sum() + 0.5 * l2 * (p[:n_features] @ p[:n_features])
+            if last - loss < tolerance * loss:
+                break
+            last = loss
         d_hi, d_lo = hi * (1 - hi) / prob, lo * (1 - lo) / prob  # of log prob by its two thresholds
         g_score = -(d_hi - d_lo)
         g = np.zeros_like(p)
@@ -127,13 +135,22 @@ def _feature_sets(batches):
             names=["doc_id", "grade", "features"])
 
 
+def _gain(c, a, n: float, t: float):
+    """Likelihood-ratio statistic of a feature in ``c`` of ``n`` texts, ``a`` of them among the ``t`` above a threshold."""
+    def term(k, expected):
+        return F.when(k > 0, k * F.log(k / expected)).otherwise(F.lit(0.0))
+
+    return 2 * (term(a, c * (t / n)) + term(c - a, c * (1 - t / n) + 1e-9)
+                + term(F.lit(t) - a, (n - c) * (t / n) + 1e-9) + term((n - c) - (t - a), (n - c) * (1 - t / n) + 1e-9))
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_features: int = 2000,
           min_gain: float = 24.0, l2: float = 0.2) -> OrdinalModel:
     """Fit on at most ``max_rows`` labelled documents, taken in order of a hash of their id.
 
-    Features are those that are commoner in toxic texts with a likelihood-ratio statistic of ``min_gain`` or more, the
-    strongest ``max_features`` of them.  Labels with null doc_id or null toxic are left out; null quality counts as
-    fair; repeated labels of a document count once, the most severe one.  Without labels nothing is toxic.
+    Features of a threshold are those that are commoner above it with a likelihood-ratio statistic of ``min_gain`` or more,
+    the strongest ``max_features`` of them.  Labels with null doc_id or null toxic are left out; null quality counts as
+    fair; repeated labels of a document count once, the most severe one.  Without toxic labels nothing is toxic.
     """
     grade = F.when(F.col("toxic") > 0, 2).when(F.coalesce(F.col("quality"), F.lit(1)) <= 0, 1).otherwise(0)
     chosen = (labels.filter("doc_id is not null and toxic is not null")
@@ -144,24 +161,21 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_features
               .select("doc_id", "grade", "text")
               .mapInArrow(_feature_sets, "doc_id long, grade int, features array<string>"))
     sample = staged(sample, "toxicity-sample")
-    total = sample.agg(F.count("*").alias("n"), F.sum(F.expr("int(grade > 1)")).alias("t")).first()
-    if not total.n or not total.t:
+    over = range(1, GRADES)  # thresholds: the grades from which they ask
+    above = [F.sum(F.expr(f"double(grade >= {k})")).alias(f"a{k}") for k in over]
+    total = sample.agg(F.count("*").cast("double").alias("n"), *above).first()
+    if not total.n or not total[f"a{GRADES - 1}"]:
         dropped(sample)
         return OrdinalModel()
-    n, t = float(total.n), float(total.t)
-    counts = (sample.select("grade", F.explode("features").alias("name")).groupBy("name")
-              .agg(F.count("*").cast("double").alias("c"), F.sum(F.expr("double(grade > 1)")).alias("a"))
-              .filter(F.col("a") * n > F.col("c") * t).filter("c >= 3"))
-
-    def term(k, expected):
-        return F.when(k > 0, k * F.log(k / expected)).otherwise(F.lit(0.0))
-
-    c, a = F.col("c"), F.col("a")
-    gain = 2 * (term(a, c * (t / n)) + term(c - a, c * (1 - t / n) + 1e-9)
-                + term(F.lit(t) - a, (n - c) * (t / n) + 1e-9) + term((n - c) - (t - a), (n - c) * (1 - t / n) + 1e-9))
-    top = (counts.select("name", gain.alias("gain")).filter(F.col("gain") >= min_gain)
-           .orderBy(F.desc("gain"), "name").limit(max_features).collect())
-    vocabulary = {r.name: k for k, r in enumerate(top)}
+    counts = staged(sample.select("grade", F.explode("features").alias("name")).groupBy("name")
+                    .agg(F.count("*").cast("double").alias("c"), *above).filter("c >= 3"), "toxicity-counts")
+    names: set[str] = set()
+    for k in over:
+        n, t, c, a = total.n, total[f"a{k}"], F.col("c"), F.col(f"a{k}")
+        strength = counts.filter(a * n > c * t).select("name", _gain(c, a, n, t).alias("gain"))
+        names |= {r.name for r in strength.filter(F.col("gain") >= min_gain).orderBy(F.desc("gain"), "name").limit(max_features).collect()}
+    dropped(counts)
+    vocabulary = {name: k for k, name in enumerate(sorted(names))}
     known = F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.array().cast("array<string>")
     rows = sample.select("doc_id", "grade", F.array_intersect("features", known).alias("names")).orderBy("doc_id").collect()
     dropped(sample)
@@ -172,6 +186,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_features
 SCORED = "expected_severity double, p_toxic double, rejected boolean"
 
 
+def brute_force(text: str | None, model: OrdinalModel) -> tuple[float, float]:
+    """Expected severity and P(toxic) by the definition: every feature of the text looked up by its name (for tests)."""
+    x = sum(model.weights.get(name, 0.0) for name in features(text or ""))
+    at_least = [1.0 / (1.0 + math.exp(min(t - x, 700.0))) for t in model.thresholds]
+    return sum(at_least), at_least[-1]
+
+
 def score_toxicity(docs: DataFrame, model: OrdinalModel, reject_at: float = 0.5, text_col: str = "text",
                    keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns of every row, then expected_severity, p_toxic and rejected.

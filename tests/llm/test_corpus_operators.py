@@ -145,12 +145,12 @@ def test_dedup_lines_equals_brute_force(documents, edits):
             s[k:k + rng.randint(0, 1)] = rng.choice(["", "x", "é"])
         return "".join(s)
 
-    rows = [(k, "\n".join(line() if rng.random() < 0.8 else rng.choice(["", "short"]) for _ in range(rng.randint(0, 6)))) for k in range(40)]
+    rows = [(k, "\n".join(line() if rng.random() < 0.8 else rng.choice(["", " \t", "short", "shore", "x"]) for _ in range(rng.randint(0, 6)))) for k in range(40)]
     places = [(k, n, x) for k, t in rows for n, x in enumerate(t.split("\n"))]
     want = {}
     for k, t in rows:
-        keep = [x for n, x in enumerate(t.split("\n")) if len(x) < 20 or not any(
-            (a, b) < (k, n) and len(y) >= 20 and abs(len(x) - len(y)) <= edits and distance(x, y) <= edits for a, b, y in places)]
+        keep = [x for n, x in enumerate(t.split("\n")) if not x.strip() or not any(
+            (a, b) < (k, n) and (x == y or min(len(x), len(y)) >= 20 and abs(len(x) - len(y)) <= edits and distance(x, y) <= edits) for a, b, y in places)]
         want[k] = "\n".join(keep)
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(rows).repartition(4), edits=edits).collect()}
     assert got == want
@@ -158,7 +158,8 @@ def test_dedup_lines_equals_brute_force(documents, edits):
 
 def test_dedup_lines_edges(documents):
     out = line_dedup.dedup_lines(documents(EDGES))
-    assert out.count() == len(EDGES) and out.columns[:4] == ["doc_id", "text", "lang", "source"] and out.filter("n_removed > 0").count() == 0
+    assert out.count() == len(EDGES) and out.columns[:4] == ["doc_id", "text", "lang", "source"]
+    assert [(r.doc_id, r.n_removed, r.text) for r in out.filter("n_removed > 0").collect()] == [(6, 1, "")] * 2  # short, and equal to that of 4
     assert line_dedup.dedup_lines(documents([])).count() == 0
     line = "this line is longer than twenty characters"
     got = line_dedup.dedup_lines(documents([(None, line), (1, line), (2, f"{line}\n{line}")])).collect()

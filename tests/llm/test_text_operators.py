@@ -31,12 +31,35 @@ def test_assign_scans_on_after_a_short_value():
 def test_markov_models_on_held_out_samples():
     model = secrets.SecretModel(secrets.labelled_samples(seed=1))
     held = secrets.labelled_samples(500, seed=99)
-    right = sum((model.ratio(t) > 0) == bool(y) for t, y in held)
-    assert right / len(held) > 0.97
+    precision, recall = secrets.precision_and_recall(model, held)
+    assert precision == 1.0 and recall > 0.97
+    for letters in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz"):  # no digit is needed
+        rng = random.Random(4)
+        assert sum(model.is_secret("".join(rng.choice(letters) for _ in range(32))) for _ in range(200)) > 195
     text = "see Zx9fQ2LmP7vKt4RwB8nYc3HsJ6dGq1 and internationalisation_of_modules"
     assert [k for _, _, k in secrets.model_spans(text, model, secrets.base_spans(text))] == ["markov"]
 
 
+def test_model_spans_equal_plain_search():
+    model, rng = secrets.SecretModel(secrets.labelled_samples()), random.Random(12)
+    bits = ["password = ", "Zx9fQ2LmP7vKt4RwB8nYc3HsJ6dGq1", " ", "deadbeef" * 4, "internationalisation_of_modules", "AKIA" + "Q7" * 10, ".", "é"]
+    added = 0
+    for _ in range(400):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))
+        base = secrets.base_spans(text)
+        want, at = [], 0
+        while at < len(text):  # character by character
+            end = at
+            while end < len(text) and text[end] in secrets.ALPHABET:
+                end += 1
+            if end - at >= 20 and model.ratio(text[at:end]) > secrets.MARGIN and not any(s < end and at < e for s, e, _ in base):
+                want.append((at, end, "markov"))
+            at = max(end, at + 1)
+        assert secrets.model_spans(text, model, base) == want
+        added += len(want)
+    assert added > 50
+
+
 def test_secret_scan_edges(documents):
     rows = secrets.scan_secrets(documents(EDGES)).collect()
     assert len(rows) == len(EDGES) and all(r.spans == [] for r in rows)
@@ -246,6 +269,33 @@ def test_toxicity_held_out(spark, documents):
     assert kept.count() == len(EDGES) and kept.filter("rejected").count() == 0 and kept.filter("text is null").count() == 1
 
 
+@needs_tables
+def test_toxicity_scores_equal_the_definition(spark):
+    """The scorer takes another way to the margin than the features that the fit sees."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    usual, rich = toxicity.train(docs, labels), toxicity.train(docs, labels, min_gain=4.0)  # few labels here
+    assert len(rich.weights) > 10 and rich.thresholds[0] < rich.thresholds[1]
+    for model, scored in ((usual, queries.op9_toxicity(spark, SF)), (rich, toxicity.score_toxicity(docs, rich))):
+        rows = scored.collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            want = toxicity.brute_force(texts[r.doc_id], model)
+            assert (r.expected_severity, r.p_toxic) == (pytest.approx(want[0]), pytest.approx(want[1])) and r.rejected == (r.p_toxic >= 0.5)
+
+
+def test_every_threshold_has_features(spark, documents):
+    """A word of poor texts and a word of toxic ones both get weights."""
+    rng = random.Random(3)
+    grades = [rng.choice([0, 0, 1, 2]) for _ in range(400)]
+    docs = [(k, f"{prose(k, 20)} {['', 'clickbait', 'rotten'][g]}") for k, g in enumerate(grades)]
+    labels = spark.createDataFrame([(k, int(g != 1), int(g == 2)) for k, g in enumerate(grades)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(documents(docs), labels)
+    assert {"1clickbait", "1rotten"} <= set(model.weights)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(documents(docs), model).collect()}
+    assert all(got[k].rejected == (g == 2) and abs(got[k].expected_severity - g) < 0.6 for k, g in enumerate(grades))
+
+
 def test_toxicity_without_labels(spark, documents):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(documents([(1, "a")]), none)
