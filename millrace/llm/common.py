@@ -44,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = getattr(spark, "_millrace_shared", None)
         if not path:
             path = "file://" + tempfile.mkdtemp(prefix="millrace-")
@@ -69,6 +71,29 @@ def dropped(df: DataFrame) -> None:
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def filesystem(uri: str):
+    """The file system of a folder and the folder's path in it, for tasks that read and write files of the shared folder."""
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri.removeprefix("file:")))
+
+
+def write_bytes(folder: str, name: str, *data: bytes) -> None:
+    """Write a file into the shared folder: temporary name first, then renamed, so a task that runs again does no harm."""
+    files, base = filesystem(folder)
+    files.create_dir(base, recursive=True)
+    part = f"{base}/.{name}-{uuid.uuid4().hex}"
+    with files.open_output_stream(part) as out:
+        for block in data:
+            out.write(block)
+    files.move(part, f"{base}/{name}")
+
+
+def read_bytes(folder: str, name: str) -> bytes:
+    files, base = filesystem(folder)
+    with files.open_input_stream(f"{base}/{name}") as src:
+        return src.read()
+
+
 def partitions(spark: SparkSession, at_least: int = 1) -> int:
     """Partitions for a keyed exchange: the session's shuffle width."""
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -13,6 +13,7 @@ and renamed, so tasks that run again after a lost executor write the same files.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import U64, WordHashes, dropped, mixed, partitions, shared_dir, staged, text_or_empty
+from millrace.llm.common import U64, WordHashes, dropped, filesystem, mixed, partitions, shared_dir, staged, text_or_empty, write_bytes
 
 #: No word holds white space, so these two are no words.
 START = U64(xxhash.xxh3_64_intdigest(b"\nstart"))
@@ -97,25 +98,16 @@ def unpacked(blocks: list[bytes], dtypes: tuple[str, ...]) -> list[np.ndarray]:
     return [np.concatenate(c) if c else np.zeros(0, d) for c, d in zip(out, dtypes)]
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri))
-
-
 def save_array(folder: str, name: str, array: np.ndarray) -> None:
-    """Write an array into the shared folder: temporary name first, then renamed."""
-    files, base = _filesystem(folder)
-    files.create_dir(base, recursive=True)
-    part = f"{base}/.{name}-{uuid.uuid4().hex}"
-    with files.open_output_stream(part) as out:
-        np.lib.format.write_array_header_1_0(out, np.lib.format.header_data_from_array_1_0(array))
-        out.write(array.tobytes())
-    files.move(part, f"{base}/{name}.npy")
+    """Write an array into the shared folder in numpy's file format."""
+    head = io.BytesIO()
+    np.lib.format.write_array_header_1_0(head, np.lib.format.header_data_from_array_1_0(array))
+    write_bytes(folder, f"{name}.npy", head.getvalue(), array.tobytes())
 
 
 def mapped_array(folder: str, name: str) -> np.ndarray:
     """Memory-map an array of the shared folder; from a store without paths it is fetched into this worker's temp first."""
-    files, base = _filesystem(folder)
+    files, base = filesystem(folder)
     path = f"{base}/{name}.npy"
     if type(files).__name__ == "LocalFileSystem":
         return np.load(path, mmap_mode="r")

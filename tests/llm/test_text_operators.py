@@ -324,15 +324,16 @@ def test_ordinal_gradient_finds_the_maximum():
 # --- decontamination
 def test_decontamination_equals_brute_force(spark, documents):
     rng = random.Random(5)
-    items = [(k, f"What is the {prose(k, 8 + k)} of it? The answer is {prose(k + 50, 4)}.") for k in range(30)] + [(90, ""), (91, None), (92, "...")]
+    items = [(k, f"What is the {prose(k, 8 + k)} of it? The answer is {prose(k + 50, 4)}.") for k in range(30)] + [(90, ""), (91, None), (92, "..."), (93, "seven quiet mills ran"), (94, prose(77, 300))]
     docs = [(k, " ".join([prose(k, rng.randint(0, 120)), rng.choice(items[:30])[1] if k % 3 == 0 else "", prose(k + 9, 30)])) for k in range(60)]
     docs.append((77, items[4][1][: len(items[4][1]) // 2]))
+    docs += [(78, f"{prose(3, 90)} Seven quiet mills ran {prose(8, 200)}"), (79, f"{prose(5, 900)} {items[-1][1]} {prose(6, 30)} {items[2][1]}")]
     bench = spark.createDataFrame([(*i, "z") for i in items], "item_id long, text string, doc_id string")
     want = decontaminate.brute_force(docs, items)
     for chars in (4_000_000, 500):  # one shard, several shards
         got = {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(documents(docs), bench, shard_chars=chars).collect()}
         assert got == want
-    assert len(want) >= 20
+    assert len(want) >= 20 and {(78, 93), (79, 94), (79, 2)} <= want
     assert decontaminate.find_contamination(documents(EDGES), bench).count() == 0
     assert decontaminate.find_contamination(documents(docs), bench.limit(0)).count() == 0
 
@@ -351,6 +352,23 @@ def test_wand_equals_exhaustive_search():
         assert [k for k, _ in index.search(ids, threshold)] == [k for k, v in sorted(exact.items()) if v + 1e-12 >= threshold]
 
 
+def test_portions_of_long_documents_change_nothing(monkeypatch):
+    """All windows that exact search finds something in are passages, however few numbers are held at a time."""
+    from collections import Counter
+    items = [(k, prose(k, 12 + k % 9)) for k in range(40)]
+    df = Counter(t for _, x in items for t in set(decontaminate.terms(x)))
+    index = decontaminate.BlockMaxIndex(items, df, len(items), 15.0)
+    rng, half = random.Random(8), 10
+    ids = np.array([index.term_ids.get(w, 0) for k in range(300) for w in (prose(k, 12) if rng.random() < 0.3 else "x y z u v").split()], np.int64)
+    got = []
+    for portion in (1, 300, 1_000_000):
+        monkeypatch.setattr(decontaminate, "PORTION", portion)
+        got.append(list(index.passages(ids, 0.6)))
+    assert index.longest == 2 * half and got[0] == got[1] == got[2] and 0 < len(got[0]) < len(ids) // half
+    found = {(s, min(s + 3 * half, len(ids))) for s in range(0, len(ids) - 2 * half, half) if index.search(ids[s:s + 3 * half].tolist(), 0.6)}
+    assert found <= set(got[0])
+
+
 @needs_tables
 def test_registered_queries_return_the_contract(spark):
     got = queries.op1_secrets(spark, SF)
