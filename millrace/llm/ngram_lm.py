@@ -1,14 +1,17 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney bigram model.
+"""Language-model scoring: an interpolated modified Kneser-Ney model of two or three words.
 
-Counting runs in Spark.  Every task pre-aggregates its word pairs and sends each shard one packed block of them; a
-shard (all pairs of a range of hashed left words) merges its blocks into sorted 64-bit hash arrays in the shared folder:
-pair keys with counts, left words with their totals and numbers of followers seen once, twice and more often.
-A second exchange merges right words (times seen, distinct left words).  Workers memory-map those arrays and score
-whole texts by binary search; only discounts and totals pass through the driver.
+Counting runs in Spark.  Every task pre-aggregates its n-grams (u, v, w) and sends each shard one packed block of them.  A shard
+holds all n-grams of a range of hashed middle words v: it merges its blocks and so has complete counts of the n-grams, of
+their contexts (u, v), of the pairs (v, w) with the number of different words before them, and of the contexts v.  These are
+written as sorted hash arrays into the shared folder.  A second exchange merges right words (times seen, words before them).
+Workers memory-map the arrays and score whole texts by binary search; only discounts and totals pass through the driver.
 
-Scale: a frequent word or pair is one entry a task after pre-aggregation, so no shard grows with its
-frequency; a shard holds one part in ``shards`` of the distinct pairs.  Files are written under a temporary name
-and renamed, so tasks that run again after a lost executor write the same files.
+Words are known by 48 bits of a hash.  An array holds, in order of a 64-bit key, the 32 bits of it behind those that choose one
+of its buckets of about ``BUCKET`` entries, and counts of one byte with a table of the larger ones.
+
+Scale: a frequent word or n-gram is one entry a task after pre-aggregation; the number of shards follows the size of the corpus
+(``SHARD_BYTES`` of text for each), so tasks stay of one size, but for a very common middle word, whose n-grams share a
+shard.  Files are written under a temporary name and renamed, so tasks that run again after a lost executor do no harm.
 """
 
 from __future__ import annotations
@@ -28,14 +31,16 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import U64, WordHashes, dropped, filesystem, mixed, partitions, shared_dir, staged, text_or_empty, write_bytes
 
-#: No word holds white space, so these two are no words.
-START = U64(xxhash.xxh3_64_intdigest(b"\nstart"))
+WORD_BYTES = 6
+_SHORT = U64(64 - 8 * WORD_BYTES)
+#: No word holds white space, so these two are no words; NONE stands for "no word before".
+START = U64(xxhash.xxh3_64_intdigest(b"\nstart")) >> _SHORT
 END_MARK = b"\nend"
-END = U64(xxhash.xxh3_64_intdigest(END_MARK))
+NONE = U64(0)
 #: Words that a task gathers before it packs them.
 FLUSH_TOKENS = 3_000_000
-#: Leading bits of a pair's key that come from its left word, so pairs of one left word lie together.
-LEFT_BITS = 20
+#: Bytes of text for each shard, and entries of a bucket of a hash array.
+SHARD_BYTES, BUCKET = 32_000_000, 64
 
 
 def tokens(texts: list[bytes], cache: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,21 +52,36 @@ def tokens(texts: list[bytes], cache: WordHashes) -> tuple[np.ndarray, np.ndarra
         flat += words
         flat.append(END_MARK)
         lengths[k] = len(words) + 1
-    right = cache.of(flat)
+    right = cache.of(flat) >> _SHORT
     left = np.empty_like(right)
     left[1:] = right[:-1]
     left[np.cumsum(lengths) - lengths] = START
     return left, right, lengths
 
 
+def before_left(left: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The word before the left word of every token; NONE where the left word is the start."""
+    out = np.empty_like(left)
+    out[1:] = left[:-1]
+    out[np.cumsum(lengths) - lengths] = NONE
+    return out
+
+
+def word_keys(word: np.ndarray) -> np.ndarray:
+    return mixed(word + U64(1))
+
+
 def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    low = mixed(mixed(left) ^ (right * U64(0x9E3779B97F4A7C15)))
-    shift = U64(64 - LEFT_BITS)
-    return (mixed(left) >> shift << shift) | (low >> U64(LEFT_BITS))
+    return mixed(word_keys(left) ^ (right * U64(0x9E3779B97F4A7C15)))
 
 
-def shard_of(left: np.ndarray, shards: int) -> np.ndarray:
-    return ((mixed(left) >> U64(64 - LEFT_BITS)) % U64(shards)).astype(np.int64)
+def triple_keys(first: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Keys of n-grams from their first word and the key of the pair behind it."""
+    return mixed(pair ^ mixed(first + U64(0xD1B54A32D192ED03)))
+
+
+def shard_of(word: np.ndarray, shards: int) -> np.ndarray:
+    return ((word_keys(word) >> U64(40)) % U64(shards)).astype(np.int64)
 
 
 def merged(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -82,22 +102,53 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[first], np.diff(np.append(first, len(keys)))
 
 
-def packed(*columns: np.ndarray) -> bytes:
-    return b"".join(c.tobytes() for c in columns)
+# --- packed columns
+def _short(words: np.ndarray) -> bytes:
+    return np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]).tobytes()
 
 
-def unpacked(blocks: list[bytes], dtypes: tuple[str, ...]) -> list[np.ndarray]:
-    """Columns of all blocks, each block being its columns one after the other."""
-    width = sum(np.dtype(d).itemsize for d in dtypes)
-    out: list[list[np.ndarray]] = [[] for _ in dtypes]
-    for block in blocks:
-        n, at = len(block) // width, 0
-        for col, d in zip(out, dtypes):
-            col.append(np.frombuffer(block, d, n, at))
-            at += n * np.dtype(d).itemsize
-    return [np.concatenate(c) if c else np.zeros(0, d) for c, d in zip(out, dtypes)]
+def _long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // WORD_BYTES, 8), np.uint8)
+    out[:, :WORD_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, WORD_BYTES)
+    return out.reshape(-1).view("<u8").astype(U64)
+
+
+def small_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts as bytes, and places and values of those that do not fit (255 there)."""
+    large = np.flatnonzero(counts >= 255)
+    return np.minimum(counts, 255).astype(np.uint8), large.astype("<i8"), counts[large].astype("<i8")
 
 
+def packed(words: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
+    """A block of rows in order of the first word: its runs, the other words, the counts."""
+    first = words[0]
+    at = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
+    parts = [_short(first[at]), np.diff(np.append(at, len(first))).astype("<u4").tobytes(), *[_short(w) for w in words[1:]]]
+    for c in counts:
+        parts += [x.tobytes() for x in small_counts(c)]
+    head = np.array([len(parts), *map(len, parts)], "<u4")
+    return head.tobytes() + b"".join(parts)
+
+
+def unpacked(blocks: list[bytes], n_words: int, n_counts: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Columns of all blocks, one after the other."""
+    words, counts = [[np.zeros(0, U64)] for _ in range(n_words)], [[np.zeros(0, np.int64)] for _ in range(n_counts)]
+    for block in blocks:
+        sizes = np.frombuffer(block, "<u4", int(np.frombuffer(block, "<u4", 1)[0]), 4)
+        ends = 4 + 4 * len(sizes) + np.cumsum(sizes, dtype=np.int64)
+        parts = [block[e - n:e] for e, n in zip(ends.tolist(), sizes.tolist())]
+        words[0].append(np.repeat(_long(parts[0]), np.frombuffer(parts[1], "<u4")))
+        for k in range(1, n_words):
+            words[k].append(_long(parts[k + 1]))
+        for k in range(n_counts):
+            small, place, value = parts[n_words + 1 + 3 * k:n_words + 4 + 3 * k]
+            column = np.frombuffer(small, np.uint8).astype(np.int64)
+            column[np.frombuffer(place, "<i8")] = np.frombuffer(value, "<i8")
+            counts[k].append(column)
+    return [np.concatenate(w) for w in words], [np.concatenate(c) for c in counts]
+
+
+# --- hash arrays in the shared folder
 def save_array(folder: str, name: str, array: np.ndarray) -> None:
     """Write an array into the shared folder in numpy's file format."""
     head = io.BytesIO()
@@ -119,38 +170,84 @@ def mapped_array(folder: str, name: str) -> np.ndarray:
     return array
 
 
-def _count_pairs(shards: int):
-    def emit(lefts, rights):
-        left, right = np.concatenate(lefts), np.concatenate(rights)
-        lefts.clear()
-        rights.clear()
-        at, count = counted(pair_keys(left, right))
-        left, right = left[at], right[at]
-        shard = shard_of(left, shards)
-        order = np.argsort(shard, kind="stable")
-        ends = np.searchsorted(shard[order], np.arange(shards + 1))
+def save_table(folder: str, name: str, keys: np.ndarray, counts: list[np.ndarray]) -> None:
+    """Counts by sorted distinct key: starts of buckets, 32 bits of each key, bytes of counts and the larger counts."""
+    bits = max(0, (len(keys) // BUCKET).bit_length())
+    starts = np.searchsorted(keys >> U64(64 - bits), np.arange(1 << bits, dtype=U64)) if bits else np.zeros(1, np.int64)
+    save_array(folder, f"{name}-starts", np.append(starts, len(keys)).astype("<i8"))
+    save_array(folder, f"{name}-keys", ((keys << U64(bits)) >> U64(32)).astype("<u4"))
+    for k, column in enumerate(counts):
+        for part, x in zip(("small", "place", "value"), small_counts(column)):
+            save_array(folder, f"{name}-{k}-{part}", x)
+
+
+class Table:
+    """A memory-mapped table of save_table."""
+
+    def __init__(self, folder: str, name: str, columns: int):
+        self.starts, self.keys = (mapped_array(folder, f"{name}-{x}") for x in ("starts", "keys"))
+        self.columns = [[mapped_array(folder, f"{name}-{k}-{x}") for x in ("small", "place", "value")] for k in range(columns)]
+        self.bits = (len(self.starts) - 1).bit_length() - 1
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """A row of counts for each key, zeros where it is missing."""
+        out = np.zeros((len(keys), len(self.columns)), np.int64)
+        bucket = (keys >> U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+        low, end = self.starts[bucket], self.starts[bucket + 1]
+        high, rest = end.copy(), ((keys << U64(self.bits)) >> U64(32)).astype(np.uint32)
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            middle = (low[open_] + high[open_]) >> 1
+            less = self.keys[middle] < rest[open_]
+            low[open_[less]] = middle[less] + 1
+            high[open_[~less]] = middle[~less]
+            open_ = open_[low[open_] < high[open_]]
+        hit = np.flatnonzero(low < end)
+        hit = hit[self.keys[low[hit]] == rest[hit]]
+        for k, (small, place, value) in enumerate(self.columns):
+            got = small[low[hit]].astype(np.int64)
+            large = np.flatnonzero(got == 255)
+            if len(large):
+                got[large] = value[np.searchsorted(place, low[hit[large]])]
+            out[hit, k] = got
+        return out
+
+
+# --- counting
+def _by_shard(shard: np.ndarray, first: np.ndarray, shards: int):
+    """(shard, rows of it in order of the first word) of every shard that has rows."""
+    order = np.lexsort((first, shard))
+    ends = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(ends)).tolist():
+        yield s, order[ends[s]:ends[s + 1]]
+
+
+def _count(order: int, shards: int):
+    def emit(held):
+        u, v, w = (np.concatenate(x) for x in held)
+        keys = pair_keys(v, w)
+        at, count = counted(triple_keys(u, keys) if order == 3 else keys)
+        u, v, w = u[at], v[at], w[at]
         ids, blocks = [], []
-        for s in range(shards):
-            rows = order[ends[s]:ends[s + 1]]
-            if len(rows):
-                ids.append(s)
-                blocks.append(packed(left[rows], right[rows], count[rows].astype("<u4")))
+        for s, rows in _by_shard(shard_of(v, shards), v, shards):
+            ids.append(s)
+            blocks.append(packed([v[rows], w[rows], u[rows]][:order], [count[rows]]))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blocks, pa.binary())], names=["shard", "block"])
 
     def count(batches: Iterator[pa.RecordBatch]):
-        cache, lefts, rights, held = WordHashes(), [], [], 0
+        cache, held, size = WordHashes(), ([], [], []), 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for at in range(0, len(texts), 300):
-                left, right, _ = tokens(texts[at:at + 300], cache)
-                lefts.append(left)
-                rights.append(right)
-                held += len(left)
-                if held >= FLUSH_TOKENS:
-                    yield emit(lefts, rights)
-                    held = 0
-        if held:
-            yield emit(lefts, rights)
+                left, right, lengths = tokens(texts[at:at + 300], cache)
+                for column, x in zip(held, (before_left(left, lengths), left, right)):
+                    column.append(x)
+                size += len(left)
+                if size >= FLUSH_TOKENS:
+                    yield emit(held)
+                    held, size = ([], [], []), 0
+        if size:
+            yield emit(held)
 
     return count
 
@@ -160,54 +257,63 @@ def _times(counts: np.ndarray) -> list[int]:
     return [int(np.sum(counts == k)) for k in (1, 2, 3, 4)]
 
 
-PART = pa.schema([("shard", pa.int32()), ("block", pa.binary()), ("n1", pa.int64()), ("n2", pa.int64()), ("n3", pa.int64()), ("n4", pa.int64())])
-PART_DDL = "shard int, block binary, n1 long, n2 long, n3 long, n4 long"
+PART_COLUMNS = [f"{k}{i}" for k in ("top", "pair") for i in (1, 2, 3, 4)]
+PART = pa.schema([("shard", pa.int32()), ("block", pa.binary()), ("writer", pa.int32()), *[(c, pa.int64()) for c in PART_COLUMNS]])
+PART_DDL = "shard int, block binary, writer int, " + ", ".join(f"{c} long" for c in PART_COLUMNS)
 
 
-def _merge_pairs(folder: str, shards: int):
+def _merge(folder: str, shards: int, order: int):
+    """Write the tables of a shard; pass blocks of right words on, and a row (shard -1) with the times of its counts."""
     def merge(table: pa.Table) -> pa.Table:
         shard = table.column(0)[0].as_py()
-        left, right, count = unpacked(table.column(1).to_pylist(), ("<u8", "<u8", "<u4"))
-        keys, at, (count,) = merged(pair_keys(left, right), count)
-        left, right = left[at], right[at]
-        save_array(folder, f"pairs-{shard}", keys)
-        save_array(folder, f"pair-counts-{shard}", count.astype("<u4"))
-        ctx, _, (total, n1, n2, n3) = merged(left, count, count == 1, count == 2, count >= 3)
-        save_array(folder, f"lefts-{shard}", ctx)
-        save_array(folder, f"left-counts-{shard}", np.stack([total, n1, n2, n3], axis=1).astype("<i8"))
-        word, _, (before, seen) = merged(right, np.ones(len(right), np.int64), count)
-        to = shard_of(word, shards)
-        order = np.argsort(to, kind="stable")
-        ends = np.searchsorted(to[order], np.arange(shards + 1))
-        ids, blocks = [], []
-        for s in range(shards):
-            rows = order[ends[s]:ends[s + 1]]
-            if len(rows):
-                ids.append(s)
-                blocks.append(packed(word[rows], before[rows].astype("<u4"), seen[rows].astype("<u8")))
-        n = _times(count)
-        return pa.table([pa.array([*ids, -1], pa.int32()), pa.array([*blocks, b""], pa.binary()),
-                         *[pa.array([0] * len(ids) + [x], pa.int64()) for x in n]], schema=PART)
+        (v, w, *first), (count,) = unpacked(table.column(1).to_pylist(), order, 1)
+        pair = pair_keys(v, w)
+        top, adjusted = [0] * 4, count
+        if order == 3:
+            keys, at, (count,) = merged(triple_keys(first[0], pair), count)
+            u, v, w, pair = first[0][at], v[at], w[at], pair[at]
+            inner = v != START
+            save_table(folder, f"three-{shard}", keys[inner], [count[inner]])
+            top = _times(count[inner])
+            save_table(folder, f"context-three-{shard}", *_contexts(pair_keys(u[inner], v[inner]), count[inner]))
+            adjusted = np.where(inner, 1, count)  # words before a pair; nothing stands before the start, its raw count counts
+        pair, at, (adjusted, count) = merged(pair, adjusted, count)
+        v, w = v[at], w[at]
+        save_table(folder, f"two-{shard}", pair, [adjusted])
+        save_table(folder, f"context-two-{shard}", *_contexts(word_keys(v), adjusted))
+        _, at, (before, seen) = merged(w, np.ones(len(w), np.int64), count)
+        word, ids, blocks = w[at], [], []
+        for s, rows in _by_shard(shard_of(word, shards), word, shards):
+            ids.append(s)
+            blocks.append(packed([word[rows]], [before[rows], seen[rows]]))
+        times = [*top, *_times(adjusted)]
+        return pa.table([pa.array([*ids, -1], pa.int32()), pa.array([*blocks, b""], pa.binary()), pa.array([shard] * (len(ids) + 1), pa.int32()),
+                         *[pa.array([0] * len(ids) + [x], pa.int64()) for x in times]], schema=PART)
 
     return merge
 
 
+def _contexts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct context keys with their sums of counts and numbers of followers seen once, twice and more often."""
+    keys, _, columns = merged(keys, counts, counts == 1, counts == 2, counts >= 3)
+    return keys, columns
+
+
+WORD_PART = ["shard", "words", "types", "tokens", "n1", "n2", "n3", "n4", "n3plus"]
+
+
 def _merge_words(folder: str):
     def merge(table: pa.Table) -> pa.Table:
         shard = table.column(0)[0].as_py()
-        word, before, seen = unpacked(table.column(1).to_pylist(), ("<u8", "<u4", "<u8"))
-        word, _, (before, seen) = merged(word, before, seen)
-        save_array(folder, f"words-{shard}", word)
-        save_array(folder, f"word-counts-{shard}", np.stack([before, seen], axis=1).astype("<i8"))
-        cols = [shard, len(word), int(before.sum()), int(seen.sum()), *_times(before), int(np.sum(before >= 3))]
+        (word,), (before, seen) = unpacked(table.column(1).to_pylist(), 1, 2)
+        keys, _, (before, seen) = merged(word_keys(word), before, seen)
+        save_table(folder, f"words-{shard}", keys, [before, seen])
+        cols = [shard, len(keys), int(before.sum()), int(seen.sum()), *_times(before), int(np.sum(before >= 3))]
         return pa.table([pa.array([c], pa.int64()) for c in cols], names=WORD_PART)
 
     return merge
 
 
-WORD_PART = ["shard", "words", "types", "tokens", "n1", "n2", "n3", "n4", "n3plus"]
-
-
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Discounts of counts 1, 2 and 3 or more by the modified Kneser-Ney estimate; 0.5, 1, 1.5 where it is undefined."""
     if min(n1, n2, n3, n4) > 0:
@@ -223,96 +329,108 @@ class Model:
     """What a worker needs beside the mapped arrays."""
 
     folder: str
+    order: int
     shards: int
+    top_discounts: tuple[float, float, float]  # of n-grams of three words
     pair_discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
     tokens: int  # N
     words: int  # V
     types: int  # distinct pairs
     word_mass: float  # what the discounts of the unigram level free
-    have_pairs: frozenset
-    have_words: frozenset
+    written: dict[str, frozenset]  # shards that have tables of n-grams, of words: one that is missing there is an error
 
 
-def train(docs: DataFrame, text_col: str = "text", shards: int | None = None) -> Model:
-    """Count ``docs`` (null texts count as empty) and write the model into a new folder of the shared folder."""
+def train(docs: DataFrame, text_col: str = "text", order: int = 3, shards: int | None = None) -> Model:
+    """Count ``docs`` (null texts count as empty) and write the model of ``order`` 2 or 3 into a new folder of the shared folder."""
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = docs.sparkSession
-    shards = shards or partitions(spark)
-    folder = f"{shared_dir(spark)}/millrace/lm-{uuid.uuid4().hex}"
     texts = docs.select(text_or_empty(text_col).cast("binary").alias("text"))
-    blocks = texts.mapInArrow(_count_pairs(shards), "shard int, block binary")
-    parts = staged(blocks.groupBy("shard").applyInArrow(_merge_pairs(folder, shards), PART_DDL), "lm-words")
-    n = parts.filter("shard = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4")]).first()
+    if shards is None:
+        size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+        shards = max(partitions(spark), -(-int(size) // SHARD_BYTES))
+    folder = f"{shared_dir(spark)}/millrace/lm-{uuid.uuid4().hex}"
+    blocks = texts.mapInArrow(_count(order, shards), "shard int, block binary")
+    parts = staged(blocks.groupBy("shard").applyInArrow(_merge(folder, shards, order), PART_DDL), "lm-words")
+    ends = parts.filter("shard = -1")
+    n = ends.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in PART_COLUMNS], F.collect_set("writer").alias("writers")).first()  # a number a shard
     ddl = ", ".join(f"{c} long" for c in WORD_PART)
     merged_words = (parts.filter("shard >= 0").select("shard", "block").groupBy("shard")
                     .applyInArrow(_merge_words(folder), ddl).collect())  # a row of totals for each shard
-    have_pairs = frozenset(range(shards)) if merged_words else frozenset()
     dropped(parts)
     total = {c: sum(r[c] for r in merged_words) for c in WORD_PART}
     word_d = discounts(total["n1"], total["n2"], total["n3"], total["n4"])
     mass = word_d[0] * total["n1"] + word_d[1] * total["n2"] + word_d[2] * total["n3plus"]
-    return Model(folder, shards, discounts(n.n1, n.n2, n.n3, n.n4), word_d, total["tokens"], total["words"],
-                 total["types"], mass, have_pairs, frozenset(r["shard"] for r in merged_words))
+    top, pair = (discounts(*[n[f"{k}{i}"] for i in (1, 2, 3, 4)]) for k in ("top", "pair"))
+    main, words = frozenset(n.writers), frozenset(r["shard"] for r in merged_words)
+    return Model(folder, order, shards, top, pair, word_d, total["tokens"], total["words"], total["types"], mass,
+                 {"three": main, "context-three": main, "two": main, "context-two": main, "words": words})
 
 
 class Reader:
-    """Memory-mapped arrays of a model; lookups go shard by shard with sorted queries."""
+    """Memory-mapped tables of a model; lookups go shard by shard."""
 
     def __init__(self, model: Model):
         self.model, self.open = model, {}
 
-    def array(self, name: str) -> np.ndarray | None:
-        if name not in self.open:
-            try:
-                self.open[name] = mapped_array(self.model.folder, name)
-            except FileNotFoundError:  # a shard without entries
-                self.open[name] = None
-        return self.open[name]
-
-    def find(self, keys_name: str, values_name: str, shard: np.ndarray, keys: np.ndarray, columns: int) -> np.ndarray:
-        """Rows of the values by key (zeros where it is missing) for queries sorted by (shard, key)."""
+    def lookup(self, name: str, by: np.ndarray, keys: np.ndarray, columns: int) -> np.ndarray:
+        """Rows of counts by distinct key (zeros where it is missing); ``by``: the word that decides the shard."""
         out = np.zeros((len(keys), columns), np.int64)
-        ends = np.searchsorted(shard, np.arange(self.model.shards + 1))
-        for s in range(self.model.shards):
-            a, b = ends[s], ends[s + 1]
-            have = self.array(f"{keys_name}-{s}") if a < b else None
-            if have is None or not len(have):
+        shard = shard_of(by, self.model.shards)
+        order = np.argsort(shard, kind="stable")
+        ends = np.searchsorted(shard[order], np.arange(self.model.shards + 1))
+        for s in np.flatnonzero(np.diff(ends)).tolist():
+            if s not in self.model.written[name]:
                 continue
-            at = np.minimum(np.searchsorted(have, keys[a:b]), len(have) - 1)
-            hit = np.flatnonzero(have[at] == keys[a:b])
-            values = self.array(f"{values_name}-{s}")
-            out[a + hit] = values[at[hit]].reshape(len(hit), columns)
+            table = self.open.get((name, s))
+            if table is None:
+                table = self.open[name, s] = Table(self.model.folder, f"{name}-{s}", columns)
+            rows = order[ends[s]:ends[s + 1]]
+            out[rows] = table.find(keys[rows])
         return out
 
-    def lookup(self, keys_name: str, values_name: str, by: np.ndarray, keys: np.ndarray, columns: int) -> np.ndarray:
-        """``find`` for queries in any order with repeats; ``by``: the word that decides the shard."""
-        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        shard = shard_of(by[first], self.model.shards)
-        order = np.argsort(shard, kind="stable")
-        found = np.empty((len(distinct), columns), np.int64)
-        found[order] = self.find(keys_name, values_name, shard[order], distinct[order], columns)
-        return found[inverse]
-
-    def score(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, left: np.ndarray, right: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token: its training count, base log10 probability and the model's log10 probability."""
         m = self.model
-        words = self.lookup("words", "word-counts", right, right, 2)
-        before, seen = words[:, 0], words[:, 1]
+        begin = np.cumsum(lengths) - lengths
+        word, which = np.unique(np.append(right, START), return_inverse=True)
+        behind = np.append(which[-1], which[:-2])  # of the left word
+        behind[begin] = which[-1]
+        before, seen = self.lookup("words", word, word_keys(word), 2)[which[:-1]].T
         base = np.log10((seen + 0.1) / (m.tokens + 0.1 * (m.words + 1)))
         rest = m.word_mass / m.types if m.types else 1.0
         d = np.array([0.0, *m.word_discounts])
         p = np.maximum(before - d[np.minimum(before, 3)], 0.0) / max(m.types, 1) + rest / (m.words + 1)
-        ctx = self.lookup("lefts", "left-counts", left, left, 4)
-        pair = self.lookup("pairs", "pair-counts", left, pair_keys(left, right), 1)[:, 0]
-        d = np.array([0.0, *m.pair_discounts])
-        total = np.maximum(ctx[:, 0], 1)
-        free = (ctx[:, 1:] @ d[1:]) / total
-        high = np.maximum(pair - d[np.minimum(pair, 3)], 0.0) / total + free * p
-        return seen, base, np.log10(np.where(ctx[:, 0] > 0, high, p))
+        context = self.lookup("context-two", word, word_keys(word), 4)[behind]
+        keys = pair_keys(left, right)
+        pair, at, which = np.unique(keys, return_index=True, return_inverse=True)
+        count = self.lookup("two", left[at], pair, 1)[which, 0]
+        p = interpolated(count, context, m.pair_discounts, p)
+        if m.order == 3:
+            # the context of a token is the pair of the token before it
+            context = np.roll(self.lookup("context-three", right[at], pair, 4)[which], 1, axis=0)
+            context[begin] = 0
+            keys = triple_keys(before_left(left, lengths), keys)
+            triple, at, which = np.unique(keys, return_index=True, return_inverse=True)
+            count = self.lookup("three", left[at], triple, 1)[which, 0]
+            p = interpolated(count, context, m.top_discounts, p)
+        return seen, base, np.log10(p)
+
+
+def interpolated(count: np.ndarray, context: np.ndarray, d: tuple[float, float, float], lower: np.ndarray) -> np.ndarray:
+    """Probabilities of one level from those of the level below; where the context was never seen, those."""
+    d = np.array([0.0, *d])
+    total = np.maximum(context[:, 0], 1)
+    p = np.maximum(count - d[np.minimum(count, 3)], 0.0) / total + (context[:, 1:] @ d[1:]) / total * lower
+    return np.where(context[:, 0] > 0, p, lower)
 
 
 def score_texts(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """``keep`` columns, then n_tokens, n_known, base_score, score (log10) and perplexity of every row's whole text."""
+    """``keep`` columns, then n_tokens, n_known, base_score, score (log10) and perplexity of every row's whole text.
+
+    Null counts as empty (one token, the end).  Repeated rows give repeated results; an empty table gives an empty one.
+    """
     src = docs.select(*keep, text_or_empty(text_col).cast("binary").alias("_text"))
     ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
@@ -327,7 +445,7 @@ def score_texts(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id"
                     size += len(texts[end])
                     end += 1
                 left, right, lengths = tokens(texts[at:end], cache)
-                seen, base, logp = reader.score(left, right)
+                seen, base, logp = reader.score(left, right, lengths)
                 first = np.cumsum(lengths) - lengths
                 total = np.add.reduceat(logp, first)
                 yield pa.RecordBatch.from_arrays(

@@ -13,6 +13,8 @@ from millrace.llm.common import table
 #: Folder of public tokenizer files and the model that the query uses; both can be set.
 TOKENIZERS = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
 PIECES = "piece_bpe_32k.model"
+#: Words of the longest n-grams of op10.
+ORDER = 3
 
 
 def tokenizer_bytes(name: str = PIECES, folder: str = TOKENIZERS) -> bytes:
@@ -72,7 +74,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document under a model of those with crc32(doc_id) mod 10 other than 0 (a null id: held out)."""
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "text", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0).alias("held_out"))
-    model = ngram_lm.train(docs.filter("not held_out"))
+    model = ngram_lm.train(docs.filter("not held_out"), order=ORDER)
     return (ngram_lm.score_texts(docs, model, keep=("doc_id", "held_out"))
             .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
                     "base_score", "score", "perplexity"))

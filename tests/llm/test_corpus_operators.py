@@ -271,55 +271,81 @@ def test_components(spark):
 
 
 # --- language model
-def kneser_ney(train):
-    """The model by definition on token lists."""
-    pairs, words = Counter(), Counter()
+def kneser_ney(train, order):
+    """The model by definition on token lists: count(context, word) at the top, words before a pair below (raw at the start)."""
+    triples, raw, words = Counter(), Counter(), Counter()
     for t in train:
         seq = [None, *t, "\n"]
-        pairs.update(zip(seq, seq[1:]))
+        raw.update(zip(seq, seq[1:]))
+        triples.update(zip(seq, seq[1:], seq[2:]))
         words.update(seq[1:])
+    before_pair = Counter((v, w) for _, v, w in triples)
+    pairs = raw if order == 2 else Counter({(v, w): c if v is None else before_pair[v, w] for (v, w), c in raw.items()})
     times = lambda c: [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
     before = Counter(w for _, w in pairs)
-    d2, d1 = (0.0, *ngram_lm.discounts(*times(pairs))), (0.0, *ngram_lm.discounts(*times(before)))
+    d3, d2, d1 = ((0.0, *ngram_lm.discounts(*times(c))) for c in (triples, pairs, before))
     types, v = len(pairs), len(before)
     mass = sum(d1[min(c, 3)] for c in before.values()) / types
 
-    def p1(w):
-        c = before[w]
-        return max(c - d1[min(c, 3)], 0) / types + mass / (v + 1)
+    def level(counts, d, key):
+        follow = defaultdict(list)
+        for k, c in counts.items():
+            follow[key(k)].append(c)
 
-    follow = defaultdict(list)
-    for (a, _), c in pairs.items():
-        follow[a].append(c)
+        def p(context, k, lower):
+            if context not in follow:
+                return lower
+            total = sum(follow[context])
+            return max(counts[k] - d[min(counts[k], 3)], 0) / total + sum(d[min(x, 3)] for x in follow[context]) / total * lower
+        return p
 
-    def p2(a, w):
-        if a not in follow:
-            return p1(w)
-        total, c = sum(follow[a]), pairs[a, w]
-        return max(c - d2[min(c, 3)], 0) / total + sum(d2[min(x, 3)] for x in follow[a]) / total * p1(w)
+    p2, p3 = level(pairs, d2, lambda k: k[0]), level(triples, d3, lambda k: k[:2])
 
-    return words, p2
+    def p(u, a, w):
+        one = max(before[w] - d1[min(before[w], 3)], 0) / types + mass / (v + 1)
+        two = p2(a, (a, w), one)
+        return two if order == 2 or a is None else p3((u, a), (u, a, w), two)
 
+    return words, p
 
-def test_language_model_equals_definition(spark, documents):
+
+@pytest.mark.parametrize("order, shards", [(2, 1), (2, 7), (3, 1), (3, 7), (3, None)])
+def test_language_model_equals_definition(spark, documents, monkeypatch, order, shards):
+    monkeypatch.setattr(ngram_lm, "BUCKET", 4)
     rng = random.Random(10)
     rows = [(k, None if k == 3 else " ".join(f"W{min(rng.randrange(1, 40), rng.randrange(1, 40))}" for _ in range(rng.randint(0, 40)))) for k in range(120)]
+    rows += [(200, "often " * 900), (201, "often often w1")]  # counts beyond a byte
     toks = lambda t: [w.decode() for w in (t or "").encode().lower().split()]
     learn = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 10]
-    words, p2 = kneser_ney([toks(t) for _, t in learn])
+    words, p = kneser_ney([toks(t) for _, t in learn], order)
     n, v = sum(words.values()), len(words)
-    for shards in (1, 7):
-        model = ngram_lm.train(documents(learn).repartition(5), shards=shards)
-        assert (model.tokens, model.words) == (n, v)
-        extra = rows + [(500, "never seen"), (None, "w1")]
-        got = {r.doc_id: r for r in ngram_lm.score_texts(documents(extra), model).collect()}
-        for i, t in extra:
-            seq = [None, *toks(t), "\n"]
-            assert got[i].score == pytest.approx(sum(math.log10(p2(a, w)) for a, w in zip(seq, seq[1:])))
-            assert got[i].base_score == pytest.approx(sum(math.log10((words[w] + 0.1) / (n + 0.1 * (v + 1))) for w in seq[1:]))
-            assert got[i].n_known == sum(words[w] > 0 for w in seq[1:]) and got[i].n_tokens == len(seq) - 1
+    model = ngram_lm.train(documents(learn).repartition(5), order=order, shards=shards)
+    assert (model.tokens, model.words) == (n, v)
+    extra = rows + [(500, "never seen"), (None, "w1")]
+    got = {r.doc_id: r for r in ngram_lm.score_texts(documents(extra), model).collect()}
+    for i, t in extra:
+        seq = [None, None, *toks(t), "\n"]
+        assert got[i].score == pytest.approx(sum(math.log10(p(*g)) for g in zip(seq, seq[1:], seq[2:])))
+        assert got[i].base_score == pytest.approx(sum(math.log10((words[w] + 0.1) / (n + 0.1 * (v + 1))) for w in seq[2:]))
+        assert got[i].n_known == sum(words[w] > 0 for w in seq[2:]) and got[i].n_tokens == len(seq) - 2
     known = sorted(words)
-    assert sum(p2("w1", w) for w in known) + p2("w1", "unseen") == pytest.approx(1.0)
+    for context in ((None, None), (None, "w1"), ("w2", "w1"), ("no", "w3")):
+        assert sum(p(*context, w) for w in known) + p(*context, "unseen") == pytest.approx(1.0)
+
+
+def test_language_model_edges(documents):
+    """Repeated rows score alike, long texts whole, an empty table gives nothing, and a lost file is an error, not a score."""
+    import glob
+    import os
+    rows = [(1, "a b c"), (1, "a b c"), (2, "word " * 200_000), (3, None)]
+    model = ngram_lm.train(documents(rows))
+    got = ngram_lm.score_texts(documents(rows), model).collect()
+    assert len(got) == 4 and len({r.score for r in got if r.doc_id == 1}) == 1 and {r.n_tokens for r in got} == {4, 200_001, 1}
+    assert ngram_lm.score_texts(documents([]), model).count() == 0
+    for f in glob.glob(f"{model.folder.removeprefix('file://')}/two-*-keys.npy"):
+        os.remove(f)
+    with pytest.raises(Exception, match="two-"):
+        ngram_lm.score_texts(documents(rows), model).collect()
 
 
 def test_language_model_of_nothing(documents):
