@@ -6,8 +6,9 @@ their contexts (u, v), of the pairs (v, w) with the number of different words be
 written as sorted hash arrays into the shared folder.  A second exchange merges right words (times seen, words before them).
 Workers memory-map the arrays and score whole texts by binary search; only discounts and totals pass through the driver.
 
-Words are known by 48 bits of a hash.  An array holds, in order of a 64-bit key, the 32 bits of it behind those that choose one
-of its buckets of about ``BUCKET`` entries, and counts of one byte with a table of the larger ones.
+Words are known by 48 bits of a hash, the first word of an n-gram by 40 of them (it only has to differ from others before the
+same words).  A table holds, in order of a 64-bit key, the 32 bits of it behind those that choose one
+of its buckets of about ``BUCKET`` entries, and its counts as one byte: the commonest rows of counts are numbered.
 
 Scale: a frequent word or n-gram is one entry a task after pre-aggregation; the number of shards follows the size of the corpus
 (``SHARD_BYTES`` of text for each), so tasks stay of one size, but for a very common middle word, whose n-grams share a
@@ -29,16 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import U64, WordHashes, dropped, filesystem, mixed, partitions, shared_dir, staged, text_or_empty, write_bytes
+from millrace.llm.common import U64, WordHashes, filesystem, mixed, partitions, shared_dir, text_or_empty, write_bytes
 
-WORD_BYTES = 6
+WORD_BYTES, FIRST_BYTES = 6, 5
 _SHORT = U64(64 - 8 * WORD_BYTES)
 #: No word holds white space, so these two are no words; NONE stands for "no word before".
 START = U64(xxhash.xxh3_64_intdigest(b"\nstart")) >> _SHORT
 END_MARK = b"\nend"
 NONE = U64(0)
 #: Words that a task gathers before it packs them.
-FLUSH_TOKENS = 3_000_000
+FLUSH_TOKENS = 4_000_000
 #: Bytes of text for each shard, and entries of a bucket of a hash array.
 SHARD_BYTES, BUCKET = 32_000_000, 64
 
@@ -71,12 +72,18 @@ def word_keys(word: np.ndarray) -> np.ndarray:
     return mixed(word + U64(1))
 
 
-def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return mixed(word_keys(left) ^ (right * U64(0x9E3779B97F4A7C15)))
+def as_first(word: np.ndarray) -> np.ndarray:
+    """What is kept of a word that begins an n-gram."""
+    return word >> U64(8 * (WORD_BYTES - FIRST_BYTES))
+
+
+def pair_keys(first: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Keys of pairs; first: as_first of the left word."""
+    return mixed(word_keys(first) ^ (right * U64(0x9E3779B97F4A7C15)))
 
 
 def triple_keys(first: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """Keys of n-grams from their first word and the key of the pair behind it."""
+    """Keys of n-grams; first: as_first of their first word, pair: key of the pair behind it."""
     return mixed(pair ^ mixed(first + U64(0xD1B54A32D192ED03)))
 
 
@@ -103,48 +110,56 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 # --- packed columns
-def _short(words: np.ndarray) -> bytes:
-    return np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]).tobytes()
+def _short(words: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def _long(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // WORD_BYTES, 8), np.uint8)
-    out[:, :WORD_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, WORD_BYTES)
+def _long(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
     return out.reshape(-1).view("<u8").astype(U64)
 
 
-def small_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts as bytes, and places and values of those that do not fit (255 there)."""
-    large = np.flatnonzero(counts >= 255)
-    return np.minimum(counts, 255).astype(np.uint8), large.astype("<i8"), counts[large].astype("<i8")
+def _mostly_ones(counts: np.ndarray) -> list[bytes]:
+    """Places of the counts other than one, these as bytes, and those of them that do not fit (255 there)."""
+    at = np.flatnonzero(counts != 1)
+    other = counts[at]
+    return [at.astype("<u4").tobytes(), np.minimum(other, 255).astype(np.uint8).tobytes(), other[other >= 255].astype("<i8").tobytes()]
+
+
+def _with_ones(n: int, at: bytes, small: bytes, large: bytes) -> np.ndarray:
+    out, other = np.ones(n, np.int64), np.frombuffer(small, np.uint8).astype(np.int64)
+    other[other == 255] = np.frombuffer(large, "<i8")
+    out[np.frombuffer(at, "<u4")] = other
+    return out
 
 
-def packed(words: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
-    """A block of rows in order of the first word: its runs, the other words, the counts."""
+def packed(words: list[np.ndarray], widths: list[int], counts: list[np.ndarray]) -> bytes:
+    """A block of rows in order of the first column of words: its runs, the other words, the counts."""
     first = words[0]
     at = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-    parts = [_short(first[at]), np.diff(np.append(at, len(first))).astype("<u4").tobytes(), *[_short(w) for w in words[1:]]]
+    parts = [_short(first[at], widths[0]), *_mostly_ones(np.diff(np.append(at, len(first))))]
+    parts += [_short(w, n) for w, n in zip(words[1:], widths[1:])]
     for c in counts:
-        parts += [x.tobytes() for x in small_counts(c)]
-    head = np.array([len(parts), *map(len, parts)], "<u4")
-    return head.tobytes() + b"".join(parts)
+        parts += _mostly_ones(c)
+    return np.array([len(first), len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
 
 
-def unpacked(blocks: list[bytes], n_words: int, n_counts: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def unpacked(blocks: list[bytes], widths: list[int], n_counts: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Columns of all blocks, one after the other."""
-    words, counts = [[np.zeros(0, U64)] for _ in range(n_words)], [[np.zeros(0, np.int64)] for _ in range(n_counts)]
+    words, counts = [[np.zeros(0, U64)] for _ in widths], [[np.zeros(0, np.int64)] for _ in range(n_counts)]
     for block in blocks:
-        sizes = np.frombuffer(block, "<u4", int(np.frombuffer(block, "<u4", 1)[0]), 4)
-        ends = 4 + 4 * len(sizes) + np.cumsum(sizes, dtype=np.int64)
-        parts = [block[e - n:e] for e, n in zip(ends.tolist(), sizes.tolist())]
-        words[0].append(np.repeat(_long(parts[0]), np.frombuffer(parts[1], "<u4")))
-        for k in range(1, n_words):
-            words[k].append(_long(parts[k + 1]))
+        rows, n = np.frombuffer(block, "<u4", 2).tolist()
+        sizes = np.frombuffer(block, "<u4", n, 8)
+        ends = (8 + 4 * n + np.cumsum(sizes, dtype=np.int64)).tolist()
+        parts = [block[e - size:e] for e, size in zip(ends, sizes.tolist())]
+        first = _long(parts[0], widths[0])
+        words[0].append(np.repeat(first, _with_ones(len(first), *parts[1:4])))
+        for k in range(1, len(widths)):
+            words[k].append(_long(parts[3 + k], widths[k]))
         for k in range(n_counts):
-            small, place, value = parts[n_words + 1 + 3 * k:n_words + 4 + 3 * k]
-            column = np.frombuffer(small, np.uint8).astype(np.int64)
-            column[np.frombuffer(place, "<i8")] = np.frombuffer(value, "<i8")
-            counts[k].append(column)
+            begin = 3 + len(widths) + 3 * k
+            counts[k].append(_with_ones(rows, *parts[begin:begin + 3]))
     return [np.concatenate(w) for w in words], [np.concatenate(c) for c in counts]
 
 
@@ -171,27 +186,38 @@ def mapped_array(folder: str, name: str) -> np.ndarray:
 
 
 def save_table(folder: str, name: str, keys: np.ndarray, counts: list[np.ndarray]) -> None:
-    """Counts by sorted distinct key: starts of buckets, 32 bits of each key, bytes of counts and the larger counts."""
+    """Rows of counts by sorted distinct key: starts of buckets, 32 bits of each key, and a byte a row.
+
+    The byte is the number of one of the 255 commonest rows of counts; all others (255) stand in a list with their places.
+    """
     bits = max(0, (len(keys) // BUCKET).bit_length())
     starts = np.searchsorted(keys >> U64(64 - bits), np.arange(1 << bits, dtype=U64)) if bits else np.zeros(1, np.int64)
-    save_array(folder, f"{name}-starts", np.append(starts, len(keys)).astype("<i8"))
-    save_array(folder, f"{name}-keys", ((keys << U64(bits)) >> U64(32)).astype("<u4"))
-    for k, column in enumerate(counts):
-        for part, x in zip(("small", "place", "value"), small_counts(column)):
-            save_array(folder, f"{name}-{k}-{part}", x)
+    rows = np.stack(counts, axis=1).astype("<i8")
+    mark = np.zeros(len(rows), U64)
+    for column in counts:
+        mark = mixed(mark ^ (column.astype(U64) + U64(1))) * U64(0x9E3779B97F4A7C15)
+    _, first, which, times = np.unique(mark, return_index=True, return_inverse=True, return_counts=True)
+    common = np.argsort(-times, kind="stable")[:255]
+    code = np.full(len(times), 255, np.uint8)
+    code[common] = np.arange(len(common))
+    code = code[which]
+    other = np.flatnonzero(code == 255)
+    for part, x in (("starts", np.append(starts, len(keys)).astype("<i8")), ("keys", ((keys << U64(bits)) >> U64(32)).astype("<u4")),
+                    ("codes", code), ("common", rows[first[common]]), ("place", other.astype("<i8")), ("other", rows[other])):
+        save_array(folder, f"{name}-{part}", x)
 
 
 class Table:
     """A memory-mapped table of save_table."""
 
-    def __init__(self, folder: str, name: str, columns: int):
-        self.starts, self.keys = (mapped_array(folder, f"{name}-{x}") for x in ("starts", "keys"))
-        self.columns = [[mapped_array(folder, f"{name}-{k}-{x}") for x in ("small", "place", "value")] for k in range(columns)]
+    def __init__(self, folder: str, name: str):
+        self.starts, self.keys, self.codes, self.common, self.place, self.other = (
+            mapped_array(folder, f"{name}-{x}") for x in ("starts", "keys", "codes", "common", "place", "other"))
         self.bits = (len(self.starts) - 1).bit_length() - 1
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """A row of counts for each key, zeros where it is missing."""
-        out = np.zeros((len(keys), len(self.columns)), np.int64)
+        out = np.zeros((len(keys), self.common.shape[1]), np.int64)
         bucket = (keys >> U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
         low, end = self.starts[bucket], self.starts[bucket + 1]
         high, rest = end.copy(), ((keys << U64(self.bits)) >> U64(32)).astype(np.uint32)
@@ -204,12 +230,11 @@ class Table:
             open_ = open_[low[open_] < high[open_]]
         hit = np.flatnonzero(low < end)
         hit = hit[self.keys[low[hit]] == rest[hit]]
-        for k, (small, place, value) in enumerate(self.columns):
-            got = small[low[hit]].astype(np.int64)
-            large = np.flatnonzero(got == 255)
-            if len(large):
-                got[large] = value[np.searchsorted(place, low[hit[large]])]
-            out[hit, k] = got
+        code = self.codes[low[hit]]
+        rare = np.flatnonzero(code == 255)
+        usual = np.flatnonzero(code != 255)
+        out[hit[usual]] = self.common[code[usual]]
+        out[hit[rare]] = self.other[np.searchsorted(self.place, low[hit[rare]])]
         return out
 
 
@@ -222,16 +247,20 @@ def _by_shard(shard: np.ndarray, first: np.ndarray, shards: int):
         yield s, order[ends[s]:ends[s + 1]]
 
 
+#: Bytes of the words of an entry: middle, right, first.
+WIDTHS = [WORD_BYTES, WORD_BYTES, FIRST_BYTES]
+
+
 def _count(order: int, shards: int):
     def emit(held):
         u, v, w = (np.concatenate(x) for x in held)
-        keys = pair_keys(v, w)
+        u, keys = as_first(u), pair_keys(as_first(v), w)
         at, count = counted(triple_keys(u, keys) if order == 3 else keys)
         u, v, w = u[at], v[at], w[at]
         ids, blocks = [], []
         for s, rows in _by_shard(shard_of(v, shards), v, shards):
             ids.append(s)
-            blocks.append(packed([v[rows], w[rows], u[rows]][:order], [count[rows]]))
+            blocks.append(packed([v[rows], w[rows], u[rows]][:order], WIDTHS[:order], [count[rows]]))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blocks, pa.binary())], names=["shard", "block"])
 
     def count(batches: Iterator[pa.RecordBatch]):
@@ -257,17 +286,18 @@ def _times(counts: np.ndarray) -> list[int]:
     return [int(np.sum(counts == k)) for k in (1, 2, 3, 4)]
 
 
-PART_COLUMNS = [f"{k}{i}" for k in ("top", "pair") for i in (1, 2, 3, 4)]
-PART = pa.schema([("shard", pa.int32()), ("block", pa.binary()), ("writer", pa.int32()), *[(c, pa.int64()) for c in PART_COLUMNS]])
-PART_DDL = "shard int, block binary, writer int, " + ", ".join(f"{c} long" for c in PART_COLUMNS)
+#: How many counts of n-grams of three words, and of pairs, are 1, 2, 3 and 4.
+TIMES = [f"{k}{i}" for k in ("top", "pair") for i in (1, 2, 3, 4)]
+PART = pa.schema([("shard", pa.int32()), ("block", pa.binary()), ("writer", pa.int32()), *[(c, pa.int64()) for c in TIMES]])
+PART_DDL = "shard int, block binary, writer int, " + ", ".join(f"{c} long" for c in TIMES)
 
 
 def _merge(folder: str, shards: int, order: int):
     """Write the tables of a shard; pass blocks of right words on, and a row (shard -1) with the times of its counts."""
     def merge(table: pa.Table) -> pa.Table:
         shard = table.column(0)[0].as_py()
-        (v, w, *first), (count,) = unpacked(table.column(1).to_pylist(), order, 1)
-        pair = pair_keys(v, w)
+        (v, w, *first), (count,) = unpacked(table.column(1).to_pylist(), WIDTHS[:order], 1)
+        pair = pair_keys(as_first(v), w)
         top, adjusted = [0] * 4, count
         if order == 3:
             keys, at, (count,) = merged(triple_keys(first[0], pair), count)
@@ -285,7 +315,7 @@ def _merge(folder: str, shards: int, order: int):
         word, ids, blocks = w[at], [], []
         for s, rows in _by_shard(shard_of(word, shards), word, shards):
             ids.append(s)
-            blocks.append(packed([word[rows]], [before[rows], seen[rows]]))
+            blocks.append(packed([word[rows]], [WORD_BYTES], [before[rows], seen[rows]]))
         times = [*top, *_times(adjusted)]
         return pa.table([pa.array([*ids, -1], pa.int32()), pa.array([*blocks, b""], pa.binary()), pa.array([shard] * (len(ids) + 1), pa.int32()),
                          *[pa.array([0] * len(ids) + [x], pa.int64()) for x in times]], schema=PART)
@@ -300,16 +330,23 @@ def _contexts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[np
 
 
 WORD_PART = ["shard", "words", "types", "tokens", "n1", "n2", "n3", "n4", "n3plus"]
+TOTALS = pa.schema([*[(c, pa.int64()) for c in WORD_PART + TIMES], ("writers", pa.list_(pa.int32()))])
+TOTALS_DDL = ", ".join(f"{c} long" for c in WORD_PART + TIMES) + ", writers array<int>"
 
 
 def _merge_words(folder: str):
+    """Write the words of a shard and give their totals; of the rows without words (shard -1) the sums and the writers."""
     def merge(table: pa.Table) -> pa.Table:
         shard = table.column(0)[0].as_py()
-        (word,), (before, seen) = unpacked(table.column(1).to_pylist(), 1, 2)
-        keys, _, (before, seen) = merged(word_keys(word), before, seen)
-        save_table(folder, f"words-{shard}", keys, [before, seen])
-        cols = [shard, len(keys), int(before.sum()), int(seen.sum()), *_times(before), int(np.sum(before >= 3))]
-        return pa.table([pa.array([c], pa.int64()) for c in cols], names=WORD_PART)
+        if shard < 0:
+            times = [sum(table.column(c).to_pylist()) for c in TIMES]
+            row = [-1, *[0] * (len(WORD_PART) - 1), *times, table.column("writer").to_pylist()]
+        else:
+            (word,), (before, seen) = unpacked(table.column(1).to_pylist(), [WORD_BYTES], 2)
+            keys, _, (before, seen) = merged(word_keys(word), before, seen)
+            save_table(folder, f"words-{shard}", keys, [before, seen])
+            row = [shard, len(keys), int(before.sum()), int(seen.sum()), *_times(before), int(np.sum(before >= 3)), *[0] * len(TIMES), []]
+        return pa.table([pa.array([c], f.type) for c, f in zip(row, TOTALS)], schema=TOTALS)
 
     return merge
 
@@ -352,18 +389,13 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 3, shards: int |
         shards = max(partitions(spark), -(-int(size) // SHARD_BYTES))
     folder = f"{shared_dir(spark)}/millrace/lm-{uuid.uuid4().hex}"
     blocks = texts.mapInArrow(_count(order, shards), "shard int, block binary")
-    parts = staged(blocks.groupBy("shard").applyInArrow(_merge(folder, shards, order), PART_DDL), "lm-words")
-    ends = parts.filter("shard = -1")
-    n = ends.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in PART_COLUMNS], F.collect_set("writer").alias("writers")).first()  # a number a shard
-    ddl = ", ".join(f"{c} long" for c in WORD_PART)
-    merged_words = (parts.filter("shard >= 0").select("shard", "block").groupBy("shard")
-                    .applyInArrow(_merge_words(folder), ddl).collect())  # a row of totals for each shard
-    dropped(parts)
-    total = {c: sum(r[c] for r in merged_words) for c in WORD_PART}
+    parts = blocks.groupBy("shard").applyInArrow(_merge(folder, shards, order), PART_DDL)
+    rows = parts.groupBy("shard").applyInArrow(_merge_words(folder), TOTALS_DDL).collect()  # a row of totals for each shard
+    total = {c: sum(r[c] for r in rows) for c in WORD_PART + TIMES}
     word_d = discounts(total["n1"], total["n2"], total["n3"], total["n4"])
     mass = word_d[0] * total["n1"] + word_d[1] * total["n2"] + word_d[2] * total["n3plus"]
-    top, pair = (discounts(*[n[f"{k}{i}"] for i in (1, 2, 3, 4)]) for k in ("top", "pair"))
-    main, words = frozenset(n.writers), frozenset(r["shard"] for r in merged_words)
+    top, pair = (discounts(*[total[f"{k}{i}"] for i in (1, 2, 3, 4)]) for k in ("top", "pair"))
+    main, words = frozenset(w for r in rows for w in r.writers), frozenset(r.shard for r in rows if r.shard >= 0)
     return Model(folder, order, shards, top, pair, word_d, total["tokens"], total["words"], total["types"], mass,
                  {"three": main, "context-three": main, "two": main, "context-two": main, "words": words})
 
@@ -385,7 +417,7 @@ class Reader:
                 continue
             table = self.open.get((name, s))
             if table is None:
-                table = self.open[name, s] = Table(self.model.folder, f"{name}-{s}", columns)
+                table = self.open[name, s] = Table(self.model.folder, f"{name}-{s}")
             rows = order[ends[s]:ends[s + 1]]
             out[rows] = table.find(keys[rows])
         return out
@@ -403,7 +435,7 @@ class Reader:
         d = np.array([0.0, *m.word_discounts])
         p = np.maximum(before - d[np.minimum(before, 3)], 0.0) / max(m.types, 1) + rest / (m.words + 1)
         context = self.lookup("context-two", word, word_keys(word), 4)[behind]
-        keys = pair_keys(left, right)
+        keys = pair_keys(as_first(left), right)
         pair, at, which = np.unique(keys, return_index=True, return_inverse=True)
         count = self.lookup("two", left[at], pair, 1)[which, 0]
         p = interpolated(count, context, m.pair_discounts, p)
@@ -411,7 +443,7 @@ class Reader:
             # the context of a token is the pair of the token before it
             context = np.roll(self.lookup("context-three", right[at], pair, 4)[which], 1, axis=0)
             context[begin] = 0
-            keys = triple_keys(before_left(left, lengths), keys)
+            keys = triple_keys(as_first(before_left(left, lengths)), keys)
             triple, at, which = np.unique(keys, return_index=True, return_inverse=True)
             count = self.lookup("three", left[at], triple, 1)[which, 0]
             p = interpolated(count, context, m.top_discounts, p)
