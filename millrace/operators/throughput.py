@@ -66,6 +66,6 @@ def top_bottlenecks(table: DataFrame, limit: int) -> DataFrame:
 def chart_cap(top: DataFrame, factor: float = 20.0, limit: int = 10) -> DataFrame:
     """Of a top list (some tens of rows) the rows within ``factor`` upper medians of the P90 waits, the longest first."""
     middle = top.agg(F.sort_array(F.collect_list("p90_wait_hours"), asc=False).alias("_l")).select(
-        F.expr("element_at(_l, cast(floor(size(_l) / 2) as int) + 1)").alias("_m"))
+        F.expr("try_element_at(_l, cast(floor(size(_l) / 2) as int) + 1)").alias("_m"))
     return (top.crossJoin(F.broadcast(middle)).filter(F.col("p90_wait_hours") <= factor * F.col("_m"))  # middle: one row
             .orderBy(F.desc("p90_wait_hours"), "from_activity", "to_activity").limit(limit).drop("_m"))
