@@ -266,6 +266,8 @@ def _hashes(lines: list[str], zones: list[int]) -> list[int]:
 NEAREST, BOTH = 1, 2
 #: Pages, and the share of a host's pages, whose articles must hold a common line.
 COMMON_PAGES, COMMON_SHARE = 3, 0.5
+#: Tasks over which the pages of one host spread at most, when they meet their host's common lines.
+SALTS = 32
 
 
 def shared_flags(own: list[int], sides: list[tuple[str, list[int]]], path: str, common: set[int]) -> bytes:
@@ -371,12 +373,16 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     common = (lines.join(sizes, "host").filter(F.col("n") >= F.col("pages") * COMMON_SHARE)
               .groupBy(F.col("host").alias("_host")).agg(F.collect_set("h").alias("common")))
     near = placed_by.join(ends, "part", "left").filter(F.coalesce("prev", "before", "next", "after").isNotNull())
-    near = near.join(common, F.col("host") == F.col("_host"), "left").select(
+    # a host's pages spread over SALTS tasks to meet its few common lines
+    common = common.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    near = near.withColumn("_salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)))
+    near = near.join(common, (F.col("host") == F.col("_host")) & (F.col("_salt") == F.col("_part")), "left").select(
         "rid", "path", "hashes", "common", *[F.when(F.coalesce(a, b)["host"] == F.col("host"), F.coalesce(a, b)).alias(c)
                                    for a, b, c in (("prev", "before", "prev"), ("next", "after", "next"))])
     flags = staged(near.filter("prev is not null or next is not null").mapInArrow(_aligned, "rid binary, flags binary"), "page-flags")
     dropped(placed)
-    return src.join(flags, "rid", "left").select("page_id", "url", "html", "flags").mapInArrow(_extract, RESULT)
+    # merged, not broadcast: there is a row of flags for each page
+    return src.join(flags.hint("merge"), "rid", "left").select("page_id", "url", "html", "flags").mapInArrow(_extract, RESULT)
 
 
 def brute_force(pages: list[tuple[int, str | None, str | None]]) -> dict[int, str]:
