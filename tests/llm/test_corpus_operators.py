@@ -333,6 +333,26 @@ def test_language_model_equals_definition(spark, documents, monkeypatch, order,
         assert sum(p(*context, w) for w in known) + p(*context, "unseen") == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("top", [1, 5, 1 << 20, 1 << 63])
+def test_key_order_is_exact_and_blocks_come_back(top):
+    rng = np.random.default_rng(4)
+    keys = rng.integers(0, top, 5_000).astype(np.uint64)
+    assert np.array_equal(keys[ngram_lm.key_order(keys)], np.sort(keys))
+    lead = np.repeat(keys[:50] << np.uint64(1), 3)  # keys that differ in their last bits only
+    near = np.concatenate([lead ^ np.tile(np.array([2, 0, 1], np.uint64), 50), rng.integers(0, 1 << 63, 9_000).astype(np.uint64)])
+    assert np.array_equal(near[ngram_lm.key_order(near)], np.sort(near))
+    at, times = ngram_lm.counted(near)
+    got = Counter()
+    for k, n in zip(near[at].tolist(), times.tolist()):
+        got[k] += n
+    assert got == Counter(near.tolist())
+    words = np.sort(keys >> np.uint64(16))
+    counts = rng.integers(1, 400, 5_000)
+    (back,), (again,) = ngram_lm.unpacked([ngram_lm.packed([words], [6], [counts])] * 2, [6], 1)
+    assert np.array_equal(back, np.tile(words, 2)) and np.array_equal(again, np.tile(counts, 2))
+    assert ngram_lm.key_order(np.zeros(0, np.uint64)).size == 0
+
+
 def test_language_model_edges(documents):
     """Repeated rows score alike, long texts whole, an empty table gives nothing, and a lost file is an error, not a score."""
     import glob
