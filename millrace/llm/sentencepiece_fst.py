@@ -1,13 +1,15 @@
 """SentencePiece encoding and decoding with a weighted finite-state transducer.
 
-The transducer is compiled from a model file: a normaliser (dummy prefix, space escape), one path per piece, and
-a byte-fallback path for every character outside the vocabulary.  An input is composed with it and the
-tropical-semiring shortest path is its encoding.
+Three machines are compiled from a model file: the normaliser (rewrites of the file's character map, then spaces squeezed,
+prefixed and escaped: the longest match is taken, so it has one output for an input), the pieces (numbered states with an arc a
+character, and where a piece ends an arc with its id and weight back to the start), and the byte fallback (an arc over any
+character outside the vocabulary, that puts out its bytes).  A normalised input is composed with the last two
+lazily, state by state, and the tropical-semiring shortest path is its encoding.  Encodings of chunks are a cache on top.
 
 * Unigram models: an arc for a piece costs its negative score; the cheapest path wins.
 * BPE models: scores are merge ranks, which no sum of arc weights can order.  Their transducer remembers the
   last piece (one state per piece) and has an arc a -> b of weight 0 only where merging the characters of a+b by
-  rank leaves just the pieces a, b; all other arcs weigh infinity.  Merges cross a boundary of a whole
+  rank leaves just the pieces a, b; all other arcs weigh infinity.  The same shortest path search runs on both kinds.  Merges cross a boundary of a whole
   text only if they cross it for the two pieces beside it, so exactly one path is finite: the library's encoding.
 
 Row-local: no shuffle; the model file's bytes travel with the tasks (bounded: a vocabulary).
@@ -16,8 +18,8 @@ Row-local: no shuffle; the model file's bytes travel with the tasks (bounded: a
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +65,26 @@ def _fields(data: bytes):
         yield key >> 3, value
 
 
+def character_map(blob: bytes) -> dict[str, str]:
+    """Rewrites of a compiled character map: a double-array trie of keys (the published layout), then the texts it points into."""
+    size = int(np.frombuffer(blob, "<u4", 1)[0])
+    units, texts = np.frombuffer(blob, "<u4", size // 4, 4).astype(np.int64), blob[4 + size:]
+    step = (units >> 10) << ((units & (1 << 9)) >> 6)
+    labels, out = np.arange(1, 256), {}
+    todo = [(0, b"")]
+    while todo:
+        at, key = todo.pop()
+        base = at ^ int(step[at])
+        if key and units[at] >> 8 & 1:
+            begin = int(units[base]) & 0x7FFFFFFF
+            out[key.decode()] = texts[begin:texts.index(b"\0", begin)].decode()
+        near = base ^ labels
+        inside = near < len(units)
+        for c in labels[inside][units[near[inside]] & 0x800000FF == labels[inside]].tolist():
+            todo.append((base ^ c, key + bytes([c])))
+    return out
+
+
 class Encodings(dict):
     """Little-endian 32-bit ids by chunk, memoised in two generations of ``bound`` chunks at most."""
 
@@ -89,7 +111,7 @@ class Transducer:
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.types: list[int] = []
-        kind, prefix, squeeze, escape = UNIGRAM, True, True, True
+        kind, prefix, squeeze, escape, rewrites = UNIGRAM, True, True, True, {}
         for number, value in _fields(model):
             if number == 1:
                 piece, score, type_ = "", 0.0, NORMAL
@@ -107,8 +129,7 @@ class Transducer:
                 kind = dict(_fields(value)).get(3, UNIGRAM)
             elif number == 3:
                 spec = dict(_fields(value))
-                if spec.get(2):
-                    raise ValueError("models with a compiled character map are not supported; use the identity normaliser")
+                rewrites = character_map(spec[2]) if spec.get(2) else {}
                 prefix, squeeze, escape = spec.get(3, 1), spec.get(4, 1), spec.get(5, 1)
         if kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models are supported")
@@ -120,12 +141,23 @@ class Transducer:
         self.bytes_of = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else p.encode()
                          for p, t in zip(self.pieces, self.types)]
         self.bytes_of[self.unknown] = " ⁇ ".encode()
-        self.trie: dict = {}
+        self.rewrites, self.longest = rewrites, max(map(len, rewrites), default=0)
+        self.rewritten = re.compile("[" + "".join(map(re.escape, sorted({k[0] for k in rewrites}))) + "]") if rewrites else None
+        # States of the piece machine: arcs by character, and the piece that ends there (-1: none).
+        self.states: list[dict[str, int]] = [{}]
+        self.ends: list[int] = [-1]
         for p, i in self.arcs.items():
-            node = self.trie
+            state = 0
             for c in p:
-                node = node.setdefault(c, {})
-            node[""] = i
+                after = self.states[state].get(c)
+                if after is None:
+                    after = self.states[state][c] = len(self.states)
+                    self.states.append({})
+                    self.ends.append(-1)
+                state = after
+            self.ends[state] = i
+        # Added for every character, the same for all paths over an input, so that no weight is below zero.
+        self.lift = 0.0 if kind == BPE else max([0.0, *(self.scores[i] / len(p) for p, i in self.arcs.items())])
         self._linked: dict[int, bool] = {}
         self._cache, self._bound = Encodings(self, cache), cache
         # Exact places to cut an input: no arc spans them.  Controls that stand in no longer piece; a space mark, if it only
@@ -144,7 +176,25 @@ class Transducer:
         self.chunk = re.compile(f"[{alone}]|{mark}*[^\\W_]++(?=[{mark}{alone}{free}]|\\Z{bound})|{mark}+[^{mark}{alone}]*|[^{mark}{alone}]+"
                                 if alone and whole else "(?s:.+)")
 
+    def rewrite(self, text: str) -> str:
+        """The text after the character map: the longest key at every place gives way to its text."""
+        out, done = [], 0
+        while hit := self.rewritten.search(text, done):
+            at = hit.start()
+            out.append(text[done:at])
+            for size in range(min(self.longest, len(text) - at), 0, -1):
+                new = self.rewrites.get(text[at:at + size])
+                if new is not None:
+                    break
+            else:
+                size, new = 1, text[at]
+            out.append(new)
+            done = at + size
+        return "".join(out) + text[done:]
+
     def normalise(self, text: str) -> str:
+        if self.rewritten:
+            text = self.rewrite(text)
         if self.squeeze:
             text = " ".join(x for x in text.split(" ") if x)
         if self.prefix and text:
@@ -178,66 +228,51 @@ class Transducer:
         return self.merged(left + right) == [left, right]
 
     def arcs_from(self, chunk: str, start: int) -> list[tuple[int, int]]:
-        """(end, arc) of every arc over the input from ``start`` on, the shortest first."""
-        out, node, end, n = [], self.trie, start, len(chunk)
-        while end < n:
-            node = node.get(chunk[end])
-            if node is None:
+        """(end, arc) of every arc that the composition has over the input from ``start`` on, the shortest first."""
+        out, states, ends, state = [], self.states, self.ends, 0
+        for end in range(start, len(chunk)):
+            state = states[state].get(chunk[end])
+            if state is None:
                 break
-            end += 1
-            arc = node.get("")
-            if arc is not None:
-                out.append((end, arc))
+            if ends[state] >= 0:
+                out.append((end + 1, ends[state]))
         if not out or out[0][0] != start + 1:  # a character outside the vocabulary
             out.insert(0, (start + 1, -ord(chunk[start]) - 2))
         return out
 
-    def shortest_path(self, chunk: str) -> list[int]:
-        """Arcs of the shortest path through the composition of ``chunk`` with the transducer."""
-        return self._only_path(chunk) if self.kind == BPE else self._cheapest_path(chunk)
+    def allowed(self, last: int, arc: int) -> bool:
+        """Is the weight of ``arc`` after the arc ``last`` of a BPE model (START: none) zero, not infinity?"""
+        key, memo = last << 24 | arc + 0x200000, self._linked
+        link = memo.get(key)
+        if link is None:
+            if len(memo) >= 2 * self._bound:
+                memo.clear()
+            link = memo[key] = self.linked(last, arc)
+        return link
 
-    def _only_path(self, chunk: str) -> list[int]:
-        """The one path of finite weight, depth first with the longest arcs first.
+    def shortest_path(self, chunk: str) -> list[int]:
+        """Arcs of the tropical shortest path through the composition of ``chunk`` with the machines.
 
-        A prefix has one finite path at most, so a position that led nowhere need not be tried again.
+        Best first, of equal costs the farthest; whether a weight is infinite is asked when its arc's turn comes.  One entry a
+        place is enough: unigram weights do not depend on the last arc, and for BPE a prefix has one path of finite weight at most.
         """
-        n, memo = len(chunk), self._linked
-        path, states, choices, dead = [], [START], [self.arcs_from(chunk, 0)], set()
+        n, unigram, lift = len(chunk), self.kind == UNIGRAM, self.lift
+        back: dict[int, tuple[int, int]] = {}
+        heap = [(0.0, 0, 0, START)]
         while True:
-            options, state = choices[-1], states[-1]
-            while options:
-                end, arc = options.pop()
-                if end in dead:
-                    continue
-                key = state << 24 | arc + 0x200000
-                link = memo.get(key)
-                if link is None:
-                    if len(memo) >= 2 * self._bound:
-                        memo.clear()
-                    link = memo[key] = self.linked(state, arc)
-                if link:
-                    path.append((end, arc))
-                    if end == n:
-                        return [x for _, x in path]
-                    states.append(arc)
-                    choices.append(self.arcs_from(chunk, end))
-                    break
-            else:
-                dead.add(path.pop()[0])
-                states.pop()
-                choices.pop()
-
-    def _cheapest_path(self, chunk: str) -> list[int]:
-        n, scores = len(chunk), self.scores
-        cost, best = [0.0] + [float("inf")] * n, [(0, 0)] * (n + 1)
-        for start in range(n):  # every position is reachable: each character has an arc
-            for end, arc in self.arcs_from(chunk, start):
-                total = cost[start] - (scores[arc] if arc >= 0 else self.worst)
-                if total < cost[end]:
-                    cost[end], best[end] = total, (start, arc)
-        out, end = [], n
-        while end > 0:
-            end, arc = best[end]
+            total, place, before, arc = heapq.heappop(heap)
+            place = -place
+            if place in back or not (unigram or arc == START or self.allowed(back[before][1], arc)):
+                continue
+            back[place] = before, arc
+            if place == n:
+                break
+            for end, x in self.arcs_from(chunk, place):
+                cost = lift * (end - place) - (self.scores[x] if x >= 0 else self.worst) if unigram else 0.0
+                heapq.heappush(heap, (total + cost, -end, place, x))
+        out = []
+        while place > 0:
+            place, arc = back[place]
             out.append(arc)
         return out[::-1]
 

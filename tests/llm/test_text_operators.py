@@ -191,7 +191,39 @@ def test_encoding_equals_the_library():
             assert fst.decode(ids) == t
 
 
-def toy(kind: int) -> bytes:
+def compiled_map(rules: dict[str, str]) -> bytes:
+    """A character map in the published layout: a block of 256 units for each state of the trie."""
+    states, texts = {b"": 0}, b""
+    for key in (k.encode() for k in rules):
+        for n in range(1, len(key) + 1):
+            states.setdefault(key[:n], len(states))
+    units = [0] * (256 * (len(states) + 1))
+    place = {key: 256 * (states[key[:-1]] + 1) ^ key[-1] if key else 0 for key in states}
+    for key, k in states.items():
+        units[place[key]] = (place[key] ^ 256 * (k + 1)) << 10 | (key[-1] if key else 0)
+    for key, new in rules.items():
+        units[place[key.encode()]] |= 1 << 8
+        units[256 * (states[key.encode()] + 1)] = 1 << 31 | len(texts)
+        texts += new.encode() + b"\0"
+    return np.array([4 * len(units), *units], "<u4").tobytes() + texts
+
+
+RULES = {"A": "a", "B": "b", "AB": "ba", "é": "a b", "\t": " ", "ABz": "", "z": "Z"}
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+def test_character_maps_are_read_as_by_the_library(kind):
+    spm = pytest.importorskip("sentencepiece")
+    assert sentencepiece_fst.character_map(compiled_map(RULES)) == RULES
+    model = toy(kind, compiled_map(RULES), squeeze=1)
+    fst, lib = sentencepiece_fst.Transducer(model), spm.SentencePieceProcessor(model_proto=model)
+    rng = random.Random(8)
+    for _ in range(400):
+        t = "".join(rng.choice("ABabzé \t-") for _ in range(rng.randint(0, 14)))
+        assert fst.encode(t).tolist() == lib.encode(t), t
+
+
+def toy(kind: int, rules: bytes = b"", squeeze: int = 0) -> bytes:
     """A model file with a few pieces."""
     def number(x):
         out = b""
@@ -207,7 +239,7 @@ def toy(kind: int) -> bytes:
     pieces = [("<unk>", 0.0, 2)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
     pieces += [(p, s, 1) for p, s in (("▁", -3.0), ("a", -2.0), ("b", -2.1), ("ab", -2.7), ("ba", -3.3), ("aba", -4.4), ("▁a", -3.5))]
     body = b"".join(field(1, field(1, p.encode()) + b"\x15" + np.float32(s).tobytes() + number(3 << 3) + number(t)) for p, s, t in pieces)
-    return body + field(2, number(3 << 3) + number(kind)) + field(3, number(3 << 3) + number(1) + number(4 << 3) + number(0) + number(5 << 3) + number(1))
+    return body + field(2, number(3 << 3) + number(kind) + number(35 << 3) + number(1)) + field(3, (field(2, rules) if rules else b"") + number(3 << 3) + number(1) + number(4 << 3) + number(squeeze) + number(5 << 3) + number(1))
 
 
 def test_unigram_shortest_path_equals_brute_force():
