@@ -223,7 +223,7 @@ def test_character_maps_are_read_as_by_the_library(kind):
         assert fst.encode(t).tolist() == lib.encode(t), t
 
 
-def toy(kind: int, rules: bytes = b"", squeeze: int = 0) -> bytes:
+def toy(kind: int, rules: bytes = b"", squeeze: int = 0, raised: float = 0.0) -> bytes:
     """A model file with a few pieces."""
     def number(x):
         out = b""
@@ -237,13 +237,14 @@ def toy(kind: int, rules: bytes = b"", squeeze: int = 0) -> bytes:
         return number(n << 3 | 2) + number(len(data)) + data
 
     pieces = [("<unk>", 0.0, 2)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
-    pieces += [(p, s, 1) for p, s in (("▁", -3.0), ("a", -2.0), ("b", -2.1), ("ab", -2.7), ("ba", -3.3), ("aba", -4.4), ("▁a", -3.5))]
+    pieces += [(p, s + raised, 1) for p, s in (("▁", -3.0), ("a", -2.0), ("b", -2.1), ("ab", -2.7), ("ba", -3.3), ("aba", -4.4), ("▁a", -3.5))]
     body = b"".join(field(1, field(1, p.encode()) + b"\x15" + np.float32(s).tobytes() + number(3 << 3) + number(t)) for p, s, t in pieces)
     return body + field(2, number(3 << 3) + number(kind) + number(35 << 3) + number(1)) + field(3, (field(2, rules) if rules else b"") + number(3 << 3) + number(1) + number(4 << 3) + number(squeeze) + number(5 << 3) + number(1))
 
 
-def test_unigram_shortest_path_equals_brute_force():
-    fst = sentencepiece_fst.Transducer(toy(1))
+@pytest.mark.parametrize("raised", [0.0, 4.0])
+def test_unigram_shortest_path_equals_brute_force(raised):
+    fst = sentencepiece_fst.Transducer(toy(1, raised=raised))
     rng = random.Random(4)
 
     def all_paths(s):
