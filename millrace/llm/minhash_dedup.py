@@ -6,9 +6,10 @@
 3. Bands of a signature are buckets.  A bucket links each class to one centre, chosen by a hash of bucket and class, so a
    class meets different centres in its buckets; links are confirmed on the full shingle sets.
 4. Classes that hang together by buckets are a family.  Where a family still has several components, the members of all
-   but its largest are compared with every member: in blocks of ``BLOCK`` members, each an inverted index of
-   shingles that all members of the family stream past.  So every candidate pair is inside one component or compared
-   on full sets; no pair becomes a row unless it links two components.  No cap anywhere.
+   but its largest are compared with every member whose size allows a link: in blocks of ``BLOCK`` members of one range
+   of sizes, each an inverted index of shingles that the family's members of this and the adjacent ranges stream past.
+   So every candidate pair is inside one component or compared on full sets; no pair becomes a row unless it links two
+   components.  No cap anywhere.
 
 Scale: text is read twice and shuffled once (only where a full set is needed); bucket rows are 24 bytes; a hot
 bucket costs its size, not its square, while its members are linked; joins on buckets and classes start from
@@ -18,13 +19,14 @@ written tables, so AQE can split skewed ones.  Links and components stay in tabl
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import U64, WordHashes, dropped, mixed, shingle_hashes, signed, staged, text_or_empty, words_of
+from millrace.llm.common import U64, WordHashes, dropped, mixed, partitions, shingle_hashes, signed, staged, text_or_empty, words_of
 from millrace.llm.components import connected_components
 
 #: 96 positions in 24 bands of 4: a pair at 0.85 is missed with probability 2e-8, one at 0.8 with 3e-6.
@@ -139,23 +141,36 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary"))
 
 
+def _size_bin(percent: int) -> Column:
+    """Bins of set sizes (column ``n``) so wide that linked sets, whose sizes differ by the threshold's share at most, lie in the same or in adjacent ones."""
+    width = max(-math.log(min(percent, 100) / 100.0), 1e-9) * (1 + 1e-9) if percent > 0 else math.inf
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("long")
+
+
 def _links_across(families: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links (a, b) between different components of one family, as few as join them; None where no family is torn."""
-    rooted = (families.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")))
-    rooted = staged(rooted, "rooted")
+    """Links (a, b) between different components of one family, as few as join them; None where no family is torn.
+
+    Members of smaller components are the blocks, dealt by size of set; a member meets the blocks of sizes that allow a link only.
+    """
+    rooted = families.join(roots.withColumnRenamed("node", "class"), "class", "left").join(sets.select("class", "n"), "class")
+    rooted = staged(rooted.withColumn("root", F.coalesce("root", "class")), "rooted")
     parts = rooted.groupBy("family", "root").agg(F.count("*").alias("n"))
     torn = (parts.groupBy("family").agg(F.sum("n").alias("members"), F.count("*").alias("parts"), F.max(F.struct("n", "root")).alias("most"))
             .filter("parts > 1 and members > 2")  # of two members the only pair is tested
-            .select("family", F.col("most.root").alias("most"), F.ceil((F.col("members") - F.col("most.n")) / F.lit(BLOCK)).cast("int").alias("blocks")))
+            .select("family", F.col("most.root").alias("most")))
     torn = staged(torn, "torn")
     if torn.isEmpty():
         return None
-    rows = staged(rooted.join(torn, "family"), "torn-members").join(sets, "class")
-    minor = rows.filter("root <> most").select(
-        "family", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "class", "root", "members")
-    every = rows.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "class", "root", "members")
-    both = (minor.unionByName(every).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "family", "block")
-            .sortWithinPartitions("family", "block", "side"))
+    rows = staged(rooted.join(torn, "family").withColumn("bin", _size_bin(percent)), "torn-members")
+    minor = rows.filter("root <> most")
+    blocks = staged(minor.groupBy("family", "bin").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "blocks")
+    own = minor.join(blocks, ["family", "bin"]).select(
+        "family", "bin", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "class", "root")
+    near = F.explode(F.array(*[F.col("bin") + k for k in (-1, 0, 1)])).alias("bin")
+    every = (rows.select("family", near, "class", "root").join(blocks, ["family", "bin"])
+             .select("family", "bin", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "class", "root"))
+    both = own.unionByName(every).join(sets.select("class", "members"), "class").select("family", "bin", "block", "side", "class", "root", "members")
+    both = both.repartition(partitions(rows.sparkSession), "family", "bin", "block").sortWithinPartitions("family", "bin", "block", "side")
     return both.mapInArrow(_compare(percent), "a binary, b binary")
 
 
@@ -170,9 +185,9 @@ def _compare(percent: int):
 
         for batch in batches:
             out = []
-            for family, block, side, class_, root, members in zip(*[c.to_pylist() for c in batch.columns]):
-                if (family, block) != at:
-                    at, minors, index, joined = (family, block), [], None, {}
+            for family, bin_, block, side, class_, root, members in zip(*[c.to_pylist() for c in batch.columns]):
+                if (family, bin_, block) != at:
+                    at, minors, index, joined = (family, bin_, block), [], None, {}
                 members = np.frombuffer(members, U64)
                 if side == 0:
                     minors.append((class_, root, members))
@@ -225,7 +240,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     tested = staged(ordered(members, "class", "centre"), "pairs")
     reps = members.select("class").distinct().join(classes.select("class", "rep"), "class")
-    sets = staged(_full_sets(docs, reps, width).groupBy("class").agg(F.min("members").alias("members")), "sets")
+    sets = staged(_full_sets(docs, reps, width).groupBy("class").agg(F.min("members").alias("members"))
+                  .withColumn("n", (F.octet_length("members") / 8).cast("long")), "sets")
     links = staged(_confirmed(tested, sets, percent), "confirmed")
     roots = staged(connected_components(links), "roots")
 
