@@ -8,6 +8,8 @@ one ("item 1" and "item 2" are different lines); blank lines stay, they part par
 2. Every line is cut into edits + 1 even segments.  Two lines within the threshold share one of them at nearly the same
    place, so a line is indexed by (length, segment number, segment) and probes the indexes of its own and shorter
    lengths with the substrings that the multi-match rule leaves.
+   Where more than ``HOT`` lines (and more than they have characters) share a segment, its pairs are not formed: at one edit
+   these lines meet exactly, by what is left of them without one character (see ``_hot_pairs``).
 3. Candidate pairs whose letter counts allow the threshold, without repeats, are verified by a bit-parallel edit distance over the band of 2 * edits + 1
    diagonals, held in one 64-bit word however long the lines are.
 4. Places to remove are joined back to the documents by id; the text is rebuilt from the lines that stay.
@@ -33,6 +35,9 @@ def _segment(n: str, i: int, parts: int) -> tuple[str, str]:
     return start, f"({stop} - {start})"
 
 
+#: Lines that may share a segment before they meet in another way.
+HOT = 256
+
 #: Groups of characters whose counts tell lines apart (any groups are sound; these are common in Latin scripts).
 COUNTED = ("ea", "tn", "oirs")
 
@@ -72,6 +77,29 @@ def segment_keys(edits: int) -> tuple[list[Column], list[Column]]:
     return own, more
 
 
+def _hot_pairs(each: DataFrame, lines: DataFrame, hot: DataFrame, name: list[Column], n_keys: int) -> DataFrame:
+    """Pairs (k1, k2, m1, m2) for the lines that have a hot segment, at one edit, without forming the pairs of a segment.
+
+    Two lines of one length are within one edit if and only if they are equal without the character at one common place: all
+    lines that agree there are within one edit of each other, so each is paired with the earliest of them only.  Two lines whose
+    lengths differ by one are if and only if the longer is the shorter without one character: found by the shorter's name.
+    """
+    own = lines.select("k1", "k2", F.explode(F.array_compact(F.array_distinct(F.array(*[F.col(f"s{i}") for i in range(n_keys)])))).alias("key"))
+    ids = staged(own.join(hot, "key", "left_semi").select("k1", "k2").distinct(), "hot-ids")
+    found = each.select(*name, "line").join(ids, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("line").alias("line"))
+    texts = staged(found.join(lines.select("k1", "k2", "first"), ["k1", "k2"]), "hot-lines")
+    rest = F.concat(F.expr("substring(line, 1, place - 1)"), F.expr("substring(line, place + 1)"))
+    cut = (texts.select("k1", "k2", "first", "line", F.explode(F.sequence(F.lit(1), F.length("line"))).alias("place"))
+           .select("k1", "k2", "first", "place", F.xxhash64(rest).alias("r1"), F.xxhash64(F.lit(7), rest).alias("r2")))
+    cut = staged(cut, "hot-rests")
+    by = ["place", "r1", "r2"]
+    least = cut.groupBy(*by).agg(F.min(F.struct("first", "k1", "k2")).alias("m"), F.count("*").alias("n")).filter("n > 1")
+    same = cut.join(least, by).select("k1", "k2", F.col("m.k1").alias("m1"), F.col("m.k2").alias("m2"))
+    shorter = lines.filter("s0 is not null").select(F.col("k1").alias("r1"), F.col("k2").alias("r2"))
+    less = cut.join(shorter, ["r1", "r2"]).select("k1", "k2", F.col("r1").alias("m1"), F.col("r2").alias("m2"))
+    return same.unionByName(less).filter("k1 <> m1 or k2 <> m2").distinct()
+
+
 def banded_distance(x: str, y: str, edits: int) -> Column:
     """Edit distance of two string columns whose lengths differ by ``edits`` at most; exact up to ``edits``, larger beyond.
 
@@ -131,19 +159,33 @@ def repeated_lines(docs: DataFrame, edits: int = 1, near_chars: int = 20, id_col
     own, more = segment_keys(edits)
     long_enough = F.col("n") >= max(near_chars, edits + 1)
     keys = [F.when(long_enough, k).alias(f"s{i}") for i, k in enumerate(own + more)]
-    keyed = each.select(*name, place.alias("place"), letter_counts().alias("c"), *keys)
-    lines = staged(keyed.groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count("*").alias("times"), F.max("c").alias("c"),
+    keyed = each.select(*name, place.alias("place"), "n", letter_counts().alias("c"), *keys)
+    lines = staged(keyed.groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count("*").alias("times"), F.max("c").alias("c"), F.max("n").alias("n"),
                                                  *[F.max(f"s{i}").alias(f"s{i}") for i in range(len(keys))]), "lines")
 
     def exploded(n, side):
         return lines.select(F.explode(F.array_compact(F.array_distinct(F.array(*[F.col(f"s{i}") for i in range(n)])))).alias("key"),
-                            *[F.col(x).alias(f"{side}{y}") for x, y in (("k1", "1"), ("k2", "2"), ("c", "c"))])
+                            *[F.col(x).alias(f"{side}{y}") for x, y in (("k1", "1"), ("k2", "2"), ("c", "c"), ("n", "n"))])
 
     indexed, probing = exploded(len(own), "a"), exploded(len(keys), "b")
+    hot = None
+    if edits == 1:
+        hot = indexed.groupBy("key").agg(F.count("*").alias("times"), F.max("an").alias("an")).filter((F.col("times") > HOT) & (F.col("times") > F.col("an")))
+        hot = staged(hot.select("key"), "hot-segments")
+        if hot.isEmpty():
+            hot = None
+        else:
+            indexed = indexed.join(hot, "key", "left_anti")
     flip = F.struct("a1", "a2") > F.struct("b1", "b2")
     pairs = (probing.join(indexed, "key").filter("a1 <> b1 or a2 <> b2").filter(may_be_close("ac", "bc", edits))
              .select(*[F.when(flip, F.col(s)).otherwise(F.col(t)).alias(c)
                        for c, s, t in (("a1", "b1", "a1"), ("a2", "b2", "a2"), ("b1", "a1", "b1"), ("b2", "a2", "b2"))]).distinct())
+    if hot is not None:
+        more = _hot_pairs(each, lines, hot, name, len(keys))
+        a, b = F.struct("k1", "k2"), F.struct(F.col("m1").alias("k1"), F.col("m2").alias("k2"))
+        low, high = F.least(a, b), F.greatest(a, b)
+        pairs = pairs.unionByName(more.select(*[x[y].alias(z) for x, y, z in (
+            (low, "k1", "a1"), (low, "k2", "a2"), (high, "k1", "b1"), (high, "k2", "b2"))])).distinct()
     pairs = staged(pairs, "line-pairs")
     ids = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionByName(pairs.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))).distinct()
     ids = staged(ids, "line-ids")

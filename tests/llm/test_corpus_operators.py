@@ -156,6 +156,31 @@ def test_dedup_lines_equals_brute_force(documents, edits):
     assert got == want
 
 
+def test_dedup_lines_of_a_hot_segment(documents, monkeypatch):
+    """Many lines of one length that share a half: found without the pairs of the half, with the same result."""
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    rng = random.Random(3)
+    met, plain = [], line_dedup._hot_pairs
+
+    def counted(*args):
+        pairs = plain(*args)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(line_dedup, "_hot_pairs", counted)
+    lines = [f"order of the day {a}{b}{c}{d}" for a in "ab" for b in "ab" for c in "xyé" for d in "pqrst"]  # 21 characters
+    lines = [x for x in lines if rng.random() < 0.4] * 2 + [f"{x[:k]}{x[k + 1:]}" for x in lines[::3] for k in (2, 20)] + [x + "!" for x in lines[::4]]
+    lines += [f"{a}{b} day of all the days {c}" for a in "abcdefgh" for b in "abcdefgh" for c in "xy" if rng.random() < 0.5]
+    rng.shuffle(lines)
+    rows = [(k, "\n".join(lines[k::30])) for k in range(30)]
+    want, seen = {}, []
+    for k, t in rows:
+        want[k] = "\n".join(x for x in t.split("\n") if not [y for y in [seen.append(x)] + seen[:-1] if y is not None and (
+            x == y or min(len(x), len(y)) >= 20 and abs(len(x) - len(y)) <= 1 and distance(x, y) <= 1)])
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(rows).repartition(4)).collect()}
+    assert got == want and met[0] > 20
+
+
 def test_dedup_lines_edges(documents):
     out = line_dedup.dedup_lines(documents(EDGES))
     assert out.count() == len(EDGES) and out.columns[:4] == ["doc_id", "text", "lang", "source"]
