@@ -89,6 +89,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {("A", "B", 3600.0), ("B", "C", 7200.0)}
 
 
+def test_stream_late_and_idle(spark, tmp_path):
+    """A late event makes no negative wait, and a case that rested too long starts anew."""
+    day = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    parts = [[("a", "A", day(1, 5), 0), ("b", "A", day(1, 5), 1)], [("a", "late", day(1, 4), 2), ("c", "A", day(20), 3)], [("c", "B", day(21), 4)], [("a", "B", day(21, 1), 5)]]
+    ddl = "case_id string, activity string, ts timestamp, event_seq long"
+    for rows in parts:
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = (stream_transitions(stream, idle_days=5).writeStream.format("memory").queryName("late_pairs").outputMode("append")
+             .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    query.awaitTermination(120)
+    got = {(r.case_id, r.from_activity, r.to_activity, r.wait_seconds) for r in spark.table("late_pairs").collect()}
+    assert got == {("c", "A", "B", 86400.0)}
+
+
 def test_sessions(spark):
     df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 0)), (1, dt.datetime(2024, 1, 1, 0, 20)), (1, dt.datetime(2024, 1, 1, 2))], "u long, ts timestamp_ntz")
     assert sorted(r.events for r in sessions(df, "u", "ts").collect()) == [1, 2]
