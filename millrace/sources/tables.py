@@ -25,9 +25,15 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (one machine)."""
+    """A folder that driver and executors share: spark.checkpoint.dir, or one temporary folder a session where all run on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    return path.rstrip("/") if path else "file://" + tempfile.mkdtemp(prefix="millrace-")
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = getattr(spark, "_millrace_scratch", None)
+        if not path:
+            path = spark._millrace_scratch = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    return path.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,6 +43,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete a table that ``written`` made, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/millrace/" in folder:
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def missing(spark: SparkSession, paths: Iterable[str]) -> list[str]:
     """The inputs that are not there: the gate before a phase."""
     return [p for p in paths if not exists(spark, p)]
