@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, exact_dedup, html_extract, line_dedup, minhash_dedup, ngram_lm, secrets, sentencepiece_fst, suffix_dedup, toxicity
+from millrace.llm import decontaminate, exact_dedup, fill_middle, html_extract, line_dedup, minhash_dedup, ngram_lm, secrets, sentencepiece_fst, suffix_dedup, toxicity
 from millrace.llm.common import table
 
 #: Folder of public tokenizer files and the model that the query uses; both can be set.
@@ -80,6 +80,13 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "base_score", "score", "perplexity"))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256 of every document, cut by code points."""
+    cut = fill_middle.transform(table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", back["restored_sha256"].alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_html_text": op2_html_text,
@@ -91,6 +98,7 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_language_model": op10_language_model,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 ORACLES = {
@@ -128,4 +136,15 @@ ORACLES = {
         r as (select doc_id, doc_id as reach from documents union select l.y, r.reach from r join l on l.x = r.doc_id),
         m as (select doc_id, min(reach) as component_id from r group by doc_id)
         select doc_id, n_shingles, component_id, doc_id = component_id as kept from n join m using (doc_id)""",
+    "op13_fill_middle": """
+        with t as (select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as d from documents),
+        h as (select doc_id, text, length(text) as n, cast('0x' || d[1:8] as bigint) as h1, cast('0x' || d[9:16] as bigint) as h2,
+                     cast('0x' || d[17:24] as bigint) as h3, cast('0x' || d[25:32] as bigint) as h4 from t),
+        c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+                     case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+                          when h4 % 100 < 20 then 'spm' else 'psm' end as form from h),
+        p as (select *, substring(text, 1, a) as p, substring(text, a + 1, b - a) as m, substring(text, b + 1) as s from c)
+        select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+               sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+                      else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(text) as restored_sha256 from p""",
 }
