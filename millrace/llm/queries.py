@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, exact_dedup, fill_middle, html_extract, line_dedup, minhash_dedup, ngram_lm, secrets, sentencepiece_fst, suffix_dedup, toxicity
+from millrace.llm import decontaminate, exact_dedup, fill_middle, html_extract, importance_sampling, line_dedup, minhash_dedup, ngram_lm, secrets, sentencepiece_fst, suffix_dedup, toxicity
 from millrace.llm.common import table
 
 #: Folder of public tokenizer files and the model that the query uses; both can be set.
@@ -80,6 +80,12 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "base_score", "score", "perplexity"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_features, weight, score, rank of every document, drawn towards the benchmark's texts."""
+    drawn = importance_sampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256 of every document, cut by code points."""
     cut = fill_middle.transform(table(spark, sf_dir, "documents"))
@@ -98,6 +104,7 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_language_model": op10_language_model,
+    "op12_importance_resampling": op12_importance_resampling,
     "op13_fill_middle": op13_fill_middle,
 }
 
@@ -136,6 +143,26 @@ ORACLES = {
         r as (select doc_id, doc_id as reach from documents union select l.y, r.reach from r join l on l.x = r.doc_id),
         m as (select doc_id, min(reach) as component_id from r group by doc_id)
         select doc_id, n_shingles, component_id, doc_id = component_id as kept from n join m using (doc_id)""",
+    # crc32 by its table of 256, which is made by its rule.
+    "op12_importance_resampling": """
+        with k as (select list(c order by i) as tab from (select i, list_reduce(list_prepend(i, range(8)),
+                     lambda c, n: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) r(i))),
+        src as (select 0 as is_target, doc_id, coalesce(text, '') as text from documents union all select 1, null, coalesce(text, '') from benchmark),
+        w as (select is_target, doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws from src),
+        e as (select is_target, doc_id, unnest(ws) as word from w),
+        b as (select word, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(word))),
+                     lambda i: cast('0x' || hex(encode(word))[2 * i + 1:2 * i + 2] as bigint))),
+                     lambda c, x: xor(c >> 8, tab[1 + xor(c, x) % 256]))) % 10000 as bucket from (select distinct word from e), k),
+        n as (select bucket, count(*) filter (is_target = 0) as s, count(*) filter (is_target = 1) as t from e join b using (word) group by bucket),
+        g as (select bucket, cast(floor(1000 * ln(((t + 1)::double * (sum(s) over () + 10000)::double) / ((s + 1)::double * (sum(t) over () + 10000)::double))) as bigint) as gain
+              from n),
+        f as (select doc_id, count(*) as n_features, cast(sum(gain) as bigint) as weight from e join b using (word) join g using (bucket) where is_target = 0 group by doc_id),
+        h as (select d.doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+                     cast('0x' || sha256('2024:' || d.doc_id)[1:8] as bigint) as h from documents d left join f using (doc_id)),
+        o as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))) as bigint) as score from h),
+        r as (select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as eligible from o where n_features >= 20)
+        select doc_id, n_features, weight, score, case when rank <= eligible * 10 // 100 then rank end as rank from o left join r using (doc_id)""",
     "op13_fill_middle": """
         with t as (select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as d from documents),
         h as (select doc_id, text, length(text) as n, cast('0x' || d[1:8] as bigint) as h1, cast('0x' || d[9:16] as bigint) as h2,
