@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, exact_dedup, fill_middle, html_extract, importance_sampling, line_dedup, minhash_dedup, ngram_lm, secrets, sentencepiece_fst, suffix_dedup, toxicity
+from millrace.llm import decontaminate, exact_dedup, fill_middle, html_extract, importance_sampling, line_dedup, minhash_dedup, ngram_lm, quality, secrets, sentencepiece_fst, suffix_dedup, toxicity
 from millrace.llm.common import table
 
 #: Folder of public tokenizer files and the model that the query uses; both can be set.
@@ -15,6 +15,8 @@ TOKENIZERS = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
 PIECES = "piece_bpe_32k.model"
 #: Words of the longest n-grams of op10.
 ORDER = 3
+#: Score from which op11 calls a document good.
+QUALITY_FROM = 0.3
 
 
 def tokenizer_bytes(name: str = PIECES, folder: str = TOKENIZERS) -> bytes:
@@ -80,6 +82,14 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "base_score", "score", "perplexity"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document: labels of crc32(doc_id) mod 5 = 0 (null id: 0) are never learned from."""
+    docs, fold = table(spark, sf_dir, "documents"), F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
+    model = quality.train(docs, table(spark, sf_dir, "labels"), may_learn=fold != 0)
+    return quality.score_quality(docs, model).select(
+        "doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_FROM).cast("int").alias("predicted"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_features, weight, score, rank of every document, drawn towards the benchmark's texts."""
     drawn = importance_sampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -104,6 +114,7 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_language_model": op10_language_model,
+    "op11_quality": op11_quality,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_fill_middle": op13_fill_middle,
 }
