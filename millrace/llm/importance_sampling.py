@@ -55,12 +55,12 @@ def bucket_list(w: Column, how: Resampling) -> Column:
     def bucket(s: Column) -> Column:
         return (F.crc32(s.cast("binary")) % F.lit(how.buckets)).cast("int")
 
+    def runs(n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda at: bucket(F.array_join(F.slice(w, at, n), " ")))
+        return F.when(F.size(w) >= n, found).otherwise(F.array().cast("array<int>"))
+
     one = F.transform(w, bucket)
-    if how.longest == 1:
-        return one
-    runs = [F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda at, n=n: bucket(F.array_join(F.slice(w, at, n), " "))))
-            .otherwise(F.array().cast("array<int>")) for n in range(2, how.longest + 1)]
-    return F.concat(one, *runs)
+    return F.concat(one, *[runs(n) for n in range(2, how.longest + 1)]) if how.longest > 1 else one
 
 
 def collapsed(texts: DataFrame, how: Resampling) -> DataFrame:

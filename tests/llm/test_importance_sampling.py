@@ -76,7 +76,7 @@ def test_empty_tables(spark, documents):
 def test_draws_towards_the_target(spark, documents):
     """Texts in the words of the target are drawn far more often than others."""
     docs = [(k, prose(k, 40)) for k in range(100)] + [(k, "alpha beta gamma delta epsilon zeta " * 6 + f"n{k}") for k in range(100, 200)]
-    got = found(spark, documents, docs, ["gamma beta alpha zeta", "epsilon delta alpha gamma"], Resampling(percent=20))
+    got = found(spark, documents, docs, ["gamma beta alpha zeta " * 300, "epsilon delta alpha gamma " * 300], Resampling(percent=20))
     drawn = [r[0] for r in got if r[-1] is not None]
     assert len(drawn) == 40 and sum(i >= 100 for i in drawn) >= 38
 
