@@ -43,6 +43,24 @@ def map_value(mapping: dict[str, str], key: Column, default: str) -> Column:
     return F.when(key.isNull(), F.lit(default)).otherwise(F.coalesce(F.try_element_at(pairs, key), F.lit(default)))
 
 
+def cumulative_counts(df: DataFrame, keys: list[str], value: str, fine: bool = True) -> DataFrame:
+    """keys, _v, _n, _hi, _total: every value of a group with its count, the rows up to it and the rows of the group.  Nulls are left out.
+
+    ``fine``: values are cut into ranges of about one percent, ranges are cumulated by group and values within their range, so
+    a large group spreads over many tasks; otherwise a group's distinct values are cumulated by one window, which spills.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    by, upto = Window.partitionBy(*keys), lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    if not fine:
+        return counted.withColumns({"_hi": F.sum("_n").over(upto(by.orderBy("_v"))), "_total": F.sum("_n").over(by)})
+    size = F.floor(F.log2(F.abs("_v") + 1) * 64)
+    counted = counted.withColumn("_b", (F.signum("_v") * size).cast("int"))
+    ranges = counted.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m"))
+    ranges = ranges.select(*keys, "_b", (F.sum("_m").over(upto(by.orderBy("_b"))) - F.col("_m")).alias("_low"), F.sum("_m").over(by).alias("_total"))
+    return with_group(counted, ranges, [*keys, "_b"], "inner").withColumn(
+        "_hi", F.sum("_n").over(upto(Window.partitionBy(*keys, "_b").orderBy("_v"))) + F.col("_low")).drop("_b", "_low")
+
+
 def group_quantiles(df: DataFrame, keys: list[str], value: str, fine: bool = False, **wanted: tuple[str, float]) -> DataFrame:
     """Exact quantiles by group: name=("nearest" | "linear", q), and from the same pass name=("count", 0) and ("max", 0).  Nulls are left out.
 
@@ -51,17 +69,7 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, fine: bool = Fal
     distinct ones as rows (microseconds): they are cut into ranges of about one percent, ranges are cumulated by group and
     values within their range, so a large group spreads over many tasks.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    by, upto = Window.partitionBy(*keys), lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    if fine:
-        size = F.floor(F.log2(F.abs("_v") + 1) * 64)
-        counted = counted.withColumn("_b", (F.signum("_v") * size).cast("int"))
-        ranges = counted.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m"))
-        ranges = ranges.select(*keys, "_b", (F.sum("_m").over(upto(by.orderBy("_b"))) - F.col("_m")).alias("_low"), F.sum("_m").over(by).alias("_total"))
-        cum = with_group(counted, ranges, [*keys, "_b"], "inner").withColumn(
-            "_hi", F.sum("_n").over(upto(Window.partitionBy(*keys, "_b").orderBy("_v"))) + F.col("_low"))
-    else:
-        cum = counted.withColumns({"_hi": F.sum("_n").over(upto(by.orderBy("_v"))), "_total": F.sum("_n").over(by)})
+    cum = cumulative_counts(df, keys, value, fine)
 
     def at(rank: Column) -> Column:  # value at a 0-based rank
         return F.max(F.when((rank >= F.col("_hi") - F.col("_n")) & (rank < F.col("_hi")), F.col("_v")))

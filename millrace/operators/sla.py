@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.model import Settings
+from millrace.operators import boosting
+from millrace.operators.boosting import Boosting
 
 # Label encodings; anything else is -1.
 ENCODINGS = {
@@ -60,44 +62,41 @@ def features(cases: DataFrame, split: DataFrame, encodings: dict[str, dict[str,
 
 @dataclass
 class SlaModel:
-    model: object
+    """The fitted trees, metrics on the held-out rows, and how often and with what gain each feature divides a node."""
+
+    model: boosting.Model
     metrics: dict[str, float]
     importance: DataFrame
 
 
-def train(rows: DataFrame, iterations: int = 300, depth: int = 5, step: float = 0.05, seed: int = 42) -> SlaModel:
-    """Boosted trees with class weights; metrics on the held-out rows, importances by feature."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    learn = rows.filter("not in_test_set")
-    n = learn.agg(F.count("*").alias("n"), F.sum("target").alias("p")).first()
-    weight = (n.n - (n.p or 0)) / max(n.p or 0, 1)
-    weighted = learn.withColumn("weight", F.when(F.col("target") == 1, float(weight)).otherwise(1.0))
-    stages = [VectorAssembler(inputCols=FEATURES, outputCol="features"),
-              GBTClassifier(labelCol="target", weightCol="weight", maxIter=iterations, maxDepth=depth, stepSize=step, seed=seed)]
-    model = Pipeline(stages=stages).fit(weighted)
-    scored = score(model, rows)
-    found = metrics(scored.filter("in_test_set")).first().asDict()
-    values = list(zip(FEATURES, [float(x) for x in model.stages[-1].featureImportances.toArray()]))
-    table = rows.sparkSession.createDataFrame(values, "feature string, importance double").orderBy(F.desc("importance"), "feature")
-    return SlaModel(model, found, table)
-
-
-def load(path: str):
-    """A fitted pipeline that was written before."""
-    from pyspark.ml import PipelineModel
-    return PipelineModel.load(path)
-
-
-def score(model, rows: DataFrame) -> DataFrame:
+def train(rows: DataFrame, how: Boosting = Boosting()) -> SlaModel:
+    """Boosted trees of at most 31 leaves with class weights; metrics on the held-out rows, importances by number of splits."""
+    model = boosting.train(rows.filter("not in_test_set").select("target", *FEATURES), FEATURES, how=how)
+    found = metrics(score(model, rows.filter("in_test_set"))).first().asDict()
+    return SlaModel(model, found, importance(boosting.node_table(rows.sparkSession, model)))
+
+
+def importance(nodes: DataFrame) -> DataFrame:
+    """feature, importance (number of splits) and gain, the most used first."""
+    used = boosting.importances(nodes, FEATURES).withColumnRenamed("splits", "importance")
+    return used.orderBy(F.desc("importance"), F.desc("gain"), "feature")
+
+
+def score(model: boosting.Model, rows: DataFrame) -> DataFrame:
     """case_id, target, in_test_set, sla_risk_score, sla_risk_predicted."""
-    from pyspark.ml.functions import vector_to_array
-    p = F.get(vector_to_array("probability"), F.lit(1))
-    return model.transform(rows).select("case_id", "target", "in_test_set", p.alias("sla_risk_score")).withColumn(
+    p = 1.0 / (1.0 + F.exp(-F.col("margin")))
+    return boosting.margins(rows, model, "case_id", "target", "in_test_set").withColumn("sla_risk_score", p).drop("margin").withColumn(
         "sla_risk_predicted", F.when(F.col("sla_risk_score") >= 0.5, "above_p75").otherwise("below_p75"))
 
 
+def first_splits(rows: DataFrame, how: Boosting = Boosting()) -> DataFrame:
+    """Every split of the first tree's root: feature, threshold (values up to it go left), rows on the left, gain.
+
+    Of the same sums as the trees': whole units of gradient and hessian by bin.  No split without rows of both targets.
+    """
+    return boosting.root_splits(rows.filter("not in_test_set").select("target", *FEATURES), FEATURES, how=how)
+
+
 def metrics(scored: DataFrame, label: str = "target", value: str = "sla_risk_score", threshold: float = 0.5) -> DataFrame:
     """One row: AUC by rank sums with ties, average precision, precision, recall and F1 at the threshold.
 

@@ -18,7 +18,7 @@ from millrace.plans import export
 from millrace.plans.context import Log
 from millrace.plans.oracles import RULE_IDS
 from millrace.sources import adapter, xes
-from millrace.sources.tables import scratch, test_table
+from millrace.sources.tables import scratch, test_table, written
 from millrace.streaming.dfg import sessions
 
 
@@ -91,13 +91,19 @@ def _features(x: Log) -> DataFrame:
     return sla.features(chosen, sla.stratified_split(chosen))
 
 
+def _kept_features(x: Log) -> DataFrame:
+    return written(_features(x), "sla-features")  # bins, rows of the trees and scores all start from them
+
+
 def _model_scores(x: Log) -> DataFrame:
-    rows = _features(x).persist()  # every tree reads them
-    try:
-        model = sla.train(rows).model
-    finally:
-        rows.unpersist()
-    return sla.score(model, rows)
+    rows = _kept_features(x)
+    return sla.score(sla.train(rows).model, rows)
+
+
+def _model_metrics(x: Log) -> DataFrame:
+    """Metrics of the model's own scores of the held-out cases."""
+    rows = _kept_features(x)
+    return sla.metrics(sla.score(sla.train(rows).model, rows.filter("in_test_set")))
 
 
 def _timelines(x: Log) -> DataFrame:
@@ -175,7 +181,10 @@ OVER_LOG: dict[str, Callable[[Log], DataFrame]] = {
     "stratified_split": _split,
     "sla_features": _features,
     "score_metrics": _score_metrics,
+    "sla_first_splits": lambda x: sla.first_splits(_kept_features(x)),
     "sla_model_scores": _model_scores,
+    "sla_model_metrics": _model_metrics,
+    "sla_importance": lambda x: sla.train(_kept_features(x)).importance,
     "orphan_cases": lambda x: quality.orphans(x.log, x.cases.filter("flow_type <> 'consignment'"), "case_id"),
     "null_rates": lambda x: quality.null_rates(x.log),
     "quality_gates": _gates,

@@ -124,5 +124,5 @@ def export_all(x: Log, folder: str) -> int:
 def export_sla(scored: DataFrame, metrics: dict, importance: DataFrame, folder: str, limit: int = 100) -> None:
     """The model's document: metrics, importances and the cases with the highest scores."""
     top = scored.orderBy(F.desc("sla_risk_score"), "case_id").limit(limit)
-    one = top.agg(F.collect_list(F.struct(*top.columns)).alias("top_cases")).crossJoin(importance.agg(F.collect_list(F.struct("feature", "importance")).alias("feature_importance")))
+    one = top.agg(F.collect_list(F.struct(*top.columns)).alias("top_cases")).crossJoin(importance.agg(F.collect_list(F.struct("feature", "importance", "gain")).alias("feature_importance")))
     write_json_document(one.withColumns({k: F.lit(v) for k, v in metrics.items()}), f"{folder}/sla_risk")

@@ -151,6 +151,13 @@ WAITS = ("max_wait_hours", "median_wait_hours", "p90_wait_hours")
 CASE_COLUMNS = ("case_id, purchasing_document, item_type, gr_based_iv, goods_receipt, company, vendor, vendor_name, document_type, item_category, flow_type, case_start, case_end, "
                 "event_count, activity_count, resource_count, has_batch_activity, activities, case_duration_days, variant_id")
 
+FEATURE_ROWS = """select case_id, in_test_set, target, case flow_type when '2way' then 0 when '3way_invoice_after_gr' then 1 when '3way_invoice_before_gr' then 2 when 'consignment' then 3 else -1 end as flow_type_enc,
+        case item_type when 'Consignment' then 0 when 'Limit' then 1 when 'Service' then 2 when 'Standard' then 3 when 'Subcontracting' then 4 when 'Third-party' then 5 else -1 end as item_type_enc,
+        case document_type when 'EC Purchase order' then 0 when 'Framework order' then 1 when 'Standard PO' then 2 else -1 end as document_type_enc, -1 as company_enc,
+        cast(coalesce(vf, 1) as int) as vendor_freq, cast(gr_based_iv as int) as gr_based_iv, cast(goods_receipt as int) as goods_receipt, cast(month(case_start) as int) as start_month,
+        cast(quarter(case_start) as int) as start_quarter, cast(isodow(case_start) as int) as start_dow
+        from sp join ct using (case_id) left join (select vendor, count(*) as vf from sp join ct using (case_id) where not in_test_set group by 1) using (vendor)"""
+MODEL_INPUTS = ("flow_type_enc", "company_enc", "vendor_freq", "item_type_enc", "document_type_enc", "gr_based_iv", "goods_receipt", "start_month", "start_quarter", "start_dow")
 LOG_COLUMNS = ("case_id", "activity", "ts", "event_seq", "resource", "event_value", "date", "hour", "day_of_week", "is_timestamp_anomaly", "is_weekend", "is_business_hours", "resource_type",
                "process_stage", "event_order", "prev_ts", "next_ts", "prev_activity", "next_activity", "prev_resource", "time_since_case_start", "time_since_prev_event", "seconds_to_next")
 
@@ -237,12 +244,18 @@ ORACLES: dict[str, str] = {
         order by case_id limit 100""", "fs", ("case_duration_days",)),
     "sorted_cases": build("""select case_id, flow_type, event_count, case_duration_days from ct order by case_duration_days desc, case_id limit 100""", "ct", ("case_duration_days",)),
     "stratified_split": build("select * from sp", "sp"),
-    "sla_features": build("""select case_id, in_test_set, target, case flow_type when '2way' then 0 when '3way_invoice_after_gr' then 1 when '3way_invoice_before_gr' then 2 when 'consignment' then 3 else -1 end as flow_type_enc,
-        case item_type when 'Consignment' then 0 when 'Limit' then 1 when 'Service' then 2 when 'Standard' then 3 when 'Subcontracting' then 4 when 'Third-party' then 5 else -1 end as item_type_enc,
-        case document_type when 'EC Purchase order' then 0 when 'Framework order' then 1 when 'Standard PO' then 2 else -1 end as document_type_enc, -1 as company_enc,
-        cast(coalesce(vf, 1) as int) as vendor_freq, cast(gr_based_iv as int) as gr_based_iv, cast(goods_receipt as int) as goods_receipt, cast(month(case_start) as int) as start_month,
-        cast(quarter(case_start) as int) as start_quarter, cast(isodow(case_start) as int) as start_dow
-        from sp join ct using (case_id) left join (select vendor, count(*) as vf from sp join ct using (case_id) where not in_test_set group by 1) using (vendor)""", "sp,ct"),
+    "sla_features": build(FEATURE_ROWS, "sp,ct"),
+    "sla_first_splits": build(f"""select feature, cast(v as double) as threshold, cast(nl as bigint) as rows_left,
+        power(((nl - pl) * g0 + pl * g1) / 16777216, 2) / (((nl - pl) * h0 + pl * h1) / 16777216)
+        + power(((n - p - nl + pl) * g0 + (p - pl) * g1) / 16777216, 2) / (((n - p - nl + pl) * h0 + (p - pl) * h1) / 16777216)
+        - power(((n - p) * g0 + p * g1) / 16777216, 2) / (((n - p) * h0 + p * h1) / 16777216) as gain from
+        (select feature, v, sum(m) over w as nl, sum(q) over w as pl from (select feature, v, count(*) as m, sum(target) as q from
+          (select unnest([{", ".join(f"'{f}'" for f in MODEL_INPUTS)}]) as feature, unnest([{", ".join(MODEL_INPUTS)}]) as v, target from rw) group by 1, 2)
+         window w as (partition by feature order by v)),
+        (select n, p, round(r * 16777216::double) as g0, round(r * (1 - r) * 16777216::double) as h0, round((n - p) / p * (r - 1) * 16777216::double) as g1,
+                round((n - p) / p * r * (1 - r) * 16777216::double) as h1 from
+          (select n, p, 1 / (1 + exp(-ln((p / n) / (1 - p / n)))) as r from (select count(*)::double as n, sum(target)::double as p from rw)))
+        where nl >= 20 and n - nl >= 20""".replace("from rw", f"from ({FEATURE_ROWS}) where not in_test_set"), "sp,ct", ("gain",)),
     "score_metrics": build("""select (sum(p * (below + (n + 1) / 2.0::double)) - sum(p) * (sum(p) + 1) / 2.0::double) / (sum(p) * (sum(n) - sum(p))) as auc_roc, sum(p * pf::double / nf) / sum(p) as average_precision,
         sum(p) filter (s >= 0.5)::double / sum(n) filter (s >= 0.5) as precision, sum(p) filter (s >= 0.5)::double / sum(p) as recall,
         2.0::double * sum(p) filter (s >= 0.5) / (sum(n) filter (s >= 0.5) + sum(p)) as f1 from

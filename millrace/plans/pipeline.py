@@ -13,7 +13,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.model import BRONZE_CASES, BRONZE_EVENTS, Settings
-from millrace.operators import automation, discovery, enrich, marts, quality, sla, throughput
+from millrace.operators import automation, boosting, discovery, enrich, marts, quality, sla, throughput
 from millrace.plans import export
 from millrace.plans.context import Log
 from millrace.session import session
@@ -37,9 +37,9 @@ class Pipeline:
     """Runs phases over one output folder: bronze, silver, gold and export tables below it."""
 
     def __init__(self, spark: SparkSession, output_dir: str, source: str | None = None, settings: Settings = Settings(),
-                 skip_validation: bool = False, gbt_iterations: int = 300):
+                 skip_validation: bool = False, trees: int = 300):
         self.spark, self.out, self.source, self.settings = spark, output_dir.rstrip("/"), source, settings
-        self.skip_validation, self.gbt_iterations = skip_validation, gbt_iterations
+        self.skip_validation, self.trees = skip_validation, trees
 
     def path(self, table: str) -> str:
         return f"{self.out}/{table}"
@@ -152,9 +152,9 @@ class Pipeline:
         chosen = sla.cohort(self.read("gold/fact_case_summary"), self.settings)
         rows = sla.features(chosen, sla.stratified_split(chosen)).persist()
         try:
-            fitted = sla.train(rows, self.gbt_iterations)
+            fitted = sla.train(rows, boosting.Boosting(trees=self.trees))
             scored = sla.score(fitted.model, rows)
-            fitted.model.write().overwrite().save(self.path("models/sla_risk"))
+            boosting.save(self.spark, fitted.model, self.path("models/sla_risk"))
             facts = chosen.select("case_id", "flow_type", "sla_risk").join(scored.drop("target"), "case_id")
             export.export_sla(facts, fitted.metrics, fitted.importance, self.path("export"), self.settings.max_scores)
             return self._write({"gold/fact_sla_risk": facts})

