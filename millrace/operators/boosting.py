@@ -5,6 +5,9 @@ hessian and rows by (leaf, feature, bin) over all rows, for every leaf that the
 first) is played on the driver until it asks for a leaf that is not known yet.  So the tree is the one that grows a leaf at a
 time, but a round serves a whole front of leaves; a sibling's sums are its parent's less the other's.
 
+Where all groups of equal rows fit into one task, its rounds run within that task, one after the other, instead of as jobs from the
+driver: the same functions on the same sums, hence the same trees.
+
 Gradients are whole numbers (2^-24 of a unit), so sums are exact and the model does not depend on the partitioning.  The driver holds
 one histogram a leaf (bins x 3 numbers) and the trees, never rows; scores so far are written with the rows every ``rewrite`` trees, which
 bounds both the work of a round and the lineage.
@@ -30,7 +33,7 @@ from millrace.sources.tables import forget, written
 #: Gradients count in units of 2^-24.
 UNIT = float(1 << 24)
 #: Groups of equal rows to a task, and tasks whose sums the driver adds itself; more meet in an exchange first.
-GROUPS, FAN = 100_000, 32
+GROUPS, FAN = 25_000, 32
 NODES = ("tree int, node long, parent long, depth int, feature string, bin int, threshold double, gain double, cover long, hessian double, "
          "value double, left long, right long")
 
@@ -344,6 +347,28 @@ class Rows:
         forget(self.table)
 
 
+GROWN = "tree int, node long, g long, h long, n long, value double, feature int, bin int, gain double"
+
+
+def _in_one_task(n_features: int, weight: float, offsets: np.ndarray, how: Boosting):
+    """All trees from the blocks of a single task; a row a node."""
+    def grow(batches):
+        blocks = [block for batch in batches for block in _unpacked(batch, n_features)]
+        if not blocks:
+            return
+        codes, n, p, margin = (np.concatenate(parts) for parts in zip(*blocks))
+        for t in range(how.trees):
+            tree = grown(lambda tree, leaves: list(_sums(codes, n, p, margin, [], weight, tree, leaves, offsets)), offsets, how)  # noqa: B023
+            if tree[1].feature < 0:
+                return
+            margin = added(margin, codes, [tree])
+            columns = zip(*[(t, i, x.g, x.h, x.n, x.value, x.feature, x.bin, x.gain) for i, x in tree.items()])
+            types = (pa.int32(), *[pa.int64()] * 4, pa.float64(), pa.int32(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, a) for c, a in zip(columns, types)], names=["tree", "node", "g", "h", "n", "value", "feature", "bin", "gain"])
+
+    return grow
+
+
 def prepared(rows: DataFrame, features: Sequence[str], target: str, weight: float | None, how: Boosting) -> tuple[Model, Rows | None]:
     """The model without a tree, and the binned rows; None where not both targets occur."""
     rows = rows.filter(F.col(target).isNotNull())
@@ -367,6 +392,13 @@ def train(rows: DataFrame, features: Sequence[str], target: str = "target", weig
     model, data = prepared(rows, features, target, weight, how)
     if data is None:
         return model
+    if data.tasks == 1:
+        for r in data.blocks.mapInArrow(_in_one_task(len(features), model.weight, data.offsets, how), GROWN).collect():  # trees x twice the leaves
+            if r.tree == len(model.trees):
+                model.trees.append({})
+            model.trees[r.tree][r.node] = Node(r.node, r.g, r.h, r.n, r.value, r.feature, r.bin, r.gain)
+        data.close()
+        return model
     while len(model.trees) < how.trees:
         tree = grown(data.histograms, data.offsets, how)
         if tree[1].feature < 0:  # no split left: later trees would be the same

@@ -71,8 +71,10 @@ def plain_trees(rows, how, bounds, weight):
     return trees, margin
 
 
+@pytest.mark.parametrize("groups", [25_000, 50])  # rounds within one task, and as jobs over several
 @pytest.mark.parametrize("how", [Boosting(trees=4, leaves=6, depth=4, bins=12, rewrite=3), Boosting(trees=3, leaves=5, depth=20, bins=9, min_rows=40)])
-def test_equals_plain_trees(spark, how):
+def test_equals_plain_trees(spark, monkeypatch, how, groups):
+    monkeypatch.setattr(boosting, "GROUPS", groups)
     rows, df = table(spark, 500)
     model = boosting.train(df, NAMES, how=how)
     n, p = len(rows), sum(r[4] for r in rows)
@@ -84,11 +86,12 @@ def test_equals_plain_trees(spark, how):
     assert all(sum(t.feature < 0 for t in tree.values()) <= how.leaves for tree in model.trees)
 
 
-def test_two_thousand_rows_and_any_partitioning(spark):
+def test_two_thousand_rows_and_any_partitioning(spark, monkeypatch):
     """The same model, to the last bit, however the rows lie."""
     how = Boosting(trees=5, leaves=31, depth=5, rewrite=2)
     rows, df = table(spark, 2000, 7)
     one = boosting.train(df.coalesce(1), NAMES, how=how)
+    monkeypatch.setattr(boosting, "GROUPS", 400)
     for parts in (3, 11):
         other = boosting.train(df.repartition(parts, "c"), NAMES, how=how)
         assert other.trees == one.trees and all((a == b).all() for a, b in zip(one.bounds, other.bounds))
