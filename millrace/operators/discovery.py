@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,25 +119,3 @@ def variant_concentration(variants: DataFrame, tops: tuple[int, ...] = (5, 10, 2
             .agg(F.sum("case_count").alias("covered_cases")).crossJoin(F.broadcast(total))  # total: one row
             .select("top_n", "covered_cases", (100.0 * F.col("covered_cases") / F.col("_all")).alias("concentration_pct")))
 
-
-def acyclic_edges(graph: DataFrame) -> DataFrame:
-    """Greedy reduction to a drawing without cycles: edges by count, those that close a cycle or a self loop are skipped.
-
-    The graph of activities is small whatever the log's size (pairs of activity names), so the loop runs on the driver.
-    """
-    rows = graph.select("from_activity", "to_activity", "transition_count").orderBy(F.desc("transition_count"), "from_activity", "to_activity").collect()
-    after: dict[str, set[str]] = defaultdict(set)
-    kept = []
-    for a, b, n in rows:
-        if a == b:
-            continue
-        seen, todo = set(), [b]
-        while todo and a not in seen:
-            x = todo.pop()
-            if x not in seen:
-                seen.add(x)
-                todo += after[x]
-        if a not in seen:
-            after[a].add(b)
-            kept.append((a, b, n))
-    return graph.sparkSession.createDataFrame(kept, "from_activity string, to_activity string, transition_count long")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DateType, DoubleType
 
-from millrace.operators import automation, conformance, discovery, enrich, marts, quality, sla, throughput
+from millrace.operators import automation, conformance, discovery, enrich, graphs, marts, quality, sla, throughput
 from millrace.plans import export
 from millrace.plans.context import Log
 from millrace.plans.oracles import RULE_IDS
@@ -136,7 +136,7 @@ OVER_LOG: dict[str, Callable[[Log], DataFrame]] = {
     "dfg_edges": lambda x: discovery.dfg_edges(x.steps, x.settings),
     "dfg_nodes": lambda x: discovery.dfg_nodes(discovery.dfg_edges(x.steps, x.settings), x.profile, x.settings),
     "dfg_by_flow": lambda x: _to_six(discovery.dfg_by_flow(x.log, x.cases, x.settings.min_transitions_by_flow, x.settings)),
-    "dfg_acyclic": lambda x: discovery.acyclic_edges(discovery.dfg_edges(x.steps, x.settings)),
+    "dfg_acyclic": lambda x: graphs.acyclic_edges(discovery.dfg_edges(x.steps, x.settings)),
     "bottlenecks": lambda x: x.bottlenecks,
     "bottlenecks_by_flow": lambda x: throughput.bottlenecks_by_flow(x.flow_steps, x.settings),
     "bottleneck_stages": export.bottleneck_stages,

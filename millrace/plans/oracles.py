@@ -50,6 +50,15 @@ PARTS: dict[str, tuple[str, str]] = {  # name -> (names it needs, query)
       from lg where next_ts is not null and seconds_to_next >= 0"""),
     "dfg": ("tr", f"""select from_activity, to_activity, count(*) as transition_count, max(wait_hours) as max_wait_hours, {median('wait_hours')} as median_wait_hours,
       {nearest('wait_hours', 0.9)} as p90_wait_hours from tr group by all"""),
+    "ge": ("dfg", """select from_activity, to_activity, transition_count, row_number() over (order by transition_count desc, from_activity, to_activity) as k
+      from dfg where from_activity <> to_activity"""),
+    "st": ("ge", """select cast(0 as bigint) as k, cast([] as bigint[]) as kept, cast([] as varchar[]) as pairs union all
+      select ge.k, case when list_contains(pairs, to_activity || '>' || from_activity) then kept else list_append(kept, ge.k) end,
+        case when list_contains(pairs, to_activity || '>' || from_activity) then pairs else list_distinct(list_concat(pairs, flatten(list_transform(
+          list_append(list_transform(list_filter(pairs, lambda p: split_part(p, '>', 2) = from_activity), lambda p: split_part(p, '>', 1)), from_activity),
+          lambda x: list_transform(list_append(list_transform(list_filter(pairs, lambda p: split_part(p, '>', 1) = to_activity), lambda p: split_part(p, '>', 2)), to_activity),
+            lambda y: x || '>' || y))))) end
+      from st join ge on ge.k = st.k + 1"""),
     "bn": ("dfg", """select *, p90_wait_hours > 12 as is_bottleneck, case when p90_wait_hours > 12 then cast(row_number() over (order by p90_wait_hours desc, from_activity, to_activity) as int) end
       as bottleneck_rank from dfg where transition_count >= 50"""),
     "dom": ("ct", f"select variant_id, {mode('flow_type')} as dominant_flow_type from (select variant_id, flow_type, count(*) as n from ct group by all) group by variant_id"),
@@ -134,7 +143,7 @@ def build(final: str, needs: str, doubles: tuple[str, ...] = ()) -> str:
         add(name)
     rounded = ", ".join(f"round({d}, 8) as {d}" for d in doubles)
     body = f"select * replace ({rounded}) from ({final})" if doubles else final
-    return "with " + ",\n".join(f"{n} as materialized ({PARTS[n][1]})" for n in order) + "\n" + body
+    return "with " + ",\n".join(f"{n} as {'' if n == 'st' else 'materialized '}({PARTS[n][1]})" for n in order) + "\n" + body
 
 
 def dimension(keys: str) -> str:
@@ -179,6 +188,8 @@ ORACLES: dict[str, str] = {
     "dfg_by_flow": build(f"""select flow_type, activity as from_activity, next_activity as to_activity, count(*) as transition_count, round(max(w), 6) as max_wait_hours, round({median('w')}, 6) as median_wait_hours,
         round({nearest('w', 0.9)}, 6) as p90_wait_hours from (select *, date_sub('microsecond', ts, next_ts) / 3.6e9 as w from lg join (select case_id, flow_type from ct) using (case_id) where next_ts is not null)
         group by all having count(*) >= 10""", "lg,ct", WAITS),
+    # the edges in their order, one a step, beside all pairs that the kept ones connect
+    "dfg_acyclic": "with recursive" + build("""select from_activity, to_activity, transition_count from ge where list_contains((select kept from st order by k desc limit 1), k)""", "st")[4:],
     "bottlenecks": build("select * from bn", "bn", WAITS),
     "bottlenecks_by_flow": build(f"""select flow_type, from_activity, to_activity, count(*) as transition_count, max(wait_hours) as max_wait_hours, {median('wait_hours')} as median_wait_hours,
         {nearest('wait_hours', 0.9)} as p90_wait_hours from tr join (select case_id, flow_type from ct) using (case_id) group by all having count(*) >= 10""", "tr,ct", WAITS),

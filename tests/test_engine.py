@@ -124,11 +124,6 @@ def test_bottlenecks(make_log):
     assert throughput.top_bottlenecks(x.bottlenecks, 5).first().impact_score == 150.0
 
 
-def test_acyclic(spark):
-    graph = spark.createDataFrame([("a", "b", 9), ("b", "a", 8), ("b", "c", 7), ("c", "a", 6), ("a", "a", 99), ("a", "c", 1)], "from_activity string, to_activity string, transition_count long")
-    assert {(r[0], r[1]) for r in discovery.acyclic_edges(graph).collect()} == {("a", "b"), ("b", "c"), ("a", "c")}
-
-
 def test_expressions(spark):
     df = spark.createDataFrame([("a", float(x)) for x in (1, 2, 3, 4, 10)] + [("b", 7.0), ("b", None), (None, 1.0), (None, 2.0)], "g string, v double")
     for fine in (False, True):
