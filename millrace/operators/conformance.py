@@ -135,6 +135,11 @@ def score_columns() -> list[Column]:
             F.array_sort(F.transform(failed, lambda x: x["rule_name"])).alias("compliance_flags"), (passed / total).alias("compliance_score")]
 
 
+def with_scores(checked: DataFrame) -> DataFrame:
+    """``checked`` with the scores of its cases, unless it has them."""
+    return checked if "compliance_score" in checked.columns else checked.select("*", *score_columns())
+
+
 def by_rule(checks: DataFrame) -> DataFrame:
     """Compliance rate and violations of each rule."""
     return checks.groupBy("rule_id", "rule_name", "severity").agg(

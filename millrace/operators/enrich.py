@@ -135,7 +135,11 @@ def resource_profile(log: DataFrame) -> DataFrame:
 
 def dim_resource(log: DataFrame, primary: int = 3) -> DataFrame:
     """resource_profile with its first activities as text."""
-    return resource_profile(log).withColumn("primary_activities", F.array_join(F.slice("activity_set", 1, primary), ", "))
+    return with_primary(resource_profile(log), primary)
+
+
+def with_primary(profile: DataFrame, primary: int = 3) -> DataFrame:
+    return profile.withColumn("primary_activities", F.array_join(F.slice("activity_set", 1, primary), ", "))
 
 
 def activity_profile(log: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -32,7 +32,7 @@ def fact_case_summary(checked: DataFrame, attributes: list[str], s: Settings = S
     checked: rows of conformance.case_checks, one a case; only the happy paths (four variants at most, hence the broadcast) are joined.
     """
     happy = discovery.happy_paths(checked).select(F.col("variant_id").alias("_happy"))
-    out = checked.select("*", *conformance.score_columns()).join(F.broadcast(happy), F.col("variant_id") == F.col("_happy"), "left")
+    out = conformance.with_scores(checked).join(F.broadcast(happy), F.col("variant_id") == F.col("_happy"), "left")
     out = out.withColumns({"is_happy_path": F.col("_happy").isNotNull(), "sla_risk": throughput.band(s)})
     fills = {"rework_count": 0, "loop_count": 0, "has_rework": False, "compliance_score": 1.0, "touchless_ratio": 0.0, "handoff_count": 0}
     return out.na.fill(fills).select("case_id", *[c for c in attributes if c != "case_id"], "flow_type", *enrich.METRICS, *SUMMARY_MORE)

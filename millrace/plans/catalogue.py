@@ -151,6 +151,7 @@ OVER_LOG: dict[str, Callable[[Log], DataFrame]] = {
     "sla_band": lambda x: throughput.sla_band(x.kept_cases, x.settings),
     "automation_base": lambda x: automation.automation_base(x.log).drop("position_cv", "error_rate"),
     "automation_score": lambda x: automation.automation_score(x.log, x.settings),
+    "automation_candidates": lambda x: export.automation_candidates(x),
     "tier_histogram": lambda x: automation.tier_histogram(automation.automation_score(x.log, x.settings)),
     **{r.lower().replace("-", ""): _rule(r) for r in RULE_IDS},
     "compliance_checks": lambda x: x.checks,

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.model import Settings
-from millrace.operators import conformance, discovery, enrich, marts, throughput
+from millrace.operators import automation, conformance, discovery, enrich, marts, throughput
 from millrace.sources.tables import written
 
 
@@ -89,7 +89,7 @@ class Log:
     @cached_property
     def scored(self) -> DataFrame:
         """Cases with attributes and scores, for reports by attribute."""
-        return self.checked.select("*", *conformance.score_columns())
+        return conformance.with_scores(self.checked)
 
     @cached_property
     def profile(self) -> DataFrame:
@@ -99,6 +99,14 @@ class Log:
     def bottlenecks(self) -> DataFrame:
         return throughput.bottlenecks(self.steps, self.settings)
 
+    @cached_property
+    def graph(self) -> DataFrame:
+        return discovery.dfg_edges(self.steps, self.settings)
+
+    @cached_property
+    def automation(self) -> DataFrame:
+        return automation.automation_score(self.log, self.settings)
+
     @cached_property
     def summary(self) -> DataFrame:
         return marts.fact_case_summary(self.checked, self.case_columns, self.settings)

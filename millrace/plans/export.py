@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import automation, conformance, discovery, marts, throughput
+from millrace.functions.expr import map_value
+from millrace.model import UNKNOWN_STAGE
+from millrace.operators import conformance, discovery, marts, throughput
 from millrace.plans.context import Log
+from millrace.plans.together import run_together
 from millrace.sources.tables import write_json_document
 
 
@@ -40,8 +43,6 @@ def sla_distribution(x: Log) -> DataFrame:
 
 def bottleneck_stages(x: Log) -> DataFrame:
     """All transitions of the bottleneck table with the stages of both ends."""
-    from millrace.functions.expr import map_value
-    from millrace.model import UNKNOWN_STAGE
     stage = lambda c: map_value(x.settings.stages, F.col(c), UNKNOWN_STAGE)
     return x.bottlenecks.withColumns({"from_stage": stage("from_activity"), "to_stage": stage("to_activity")})
 
@@ -51,7 +52,7 @@ def case_timelines(x: Log, limit: int | None = None) -> DataFrame:
 
     The ids are chosen from the case attributes alone; rows and events of just these (``limit`` of them, hence the broadcasts) follow.
     """
-    ids = x.kept.select("case_id").distinct().orderBy(F.md5(F.col("case_id").cast("binary")), "case_id").limit(limit or x.settings.max_cases)
+    ids = x.attributes.select("case_id").distinct().orderBy(F.md5(F.col("case_id").cast("binary")), "case_id").limit(limit or x.settings.max_cases)
     chosen = x.summary.join(F.broadcast(ids), "case_id", "left_semi")
     wait = F.round(F.coalesce("time_since_prev_event", F.lit(0.0)) / 3600, 2)
     item = F.struct("event_order", "activity", "ts", "resource", "resource_type", F.col("process_stage").alias("stage"), wait.alias("time_since_prev_hours"))
@@ -88,17 +89,36 @@ def rounded(df: DataFrame, places: int, other: dict[str, int]) -> DataFrame:
     return df.withColumns({c: F.round(c, other.get(c, places)) for c, t in df.dtypes if t == "double"})
 
 
+# Names that the automation document must carry.
+AUTOMATION_NAMES = {
+    "total_count": "total_executions",
+    "human_count": "human_executions",
+    "input_uniformity_score": "input_uniformity",
+    "timing_regularity_score": "timing_regularity",
+    "error_reduction_score": "error_reduction",
+    "wait_reduction_score": "wait_reduction",
+    "hours_saved_per_month": "estimated_hours_saved_monthly",
+}
+AUTOMATION_FIELDS = ("activity", "stage", "total_executions", "human_executions", "batch_ratio", "volume_score", "batch_gap_score", "input_uniformity",
+                     "timing_regularity", "error_reduction", "wait_reduction", "automation_score", "automation_tier", "estimated_hours_saved_monthly")
+
+
+def automation_candidates(x: Log) -> DataFrame:
+    """A row an activity with its stage, scores to three places and whole hours, the best first."""
+    row = x.automation.withColumnsRenamed(AUTOMATION_NAMES).withColumn("stage", map_value(x.settings.stages, F.col("activity"), UNKNOWN_STAGE))
+    out = rounded(row, 3, {"estimated_hours_saved_monthly": 0})
+    return out.orderBy(F.desc_nulls_first("automation_score"), "activity").select(*AUTOMATION_FIELDS)
+
+
 def documents(x: Log) -> dict[str, DataFrame]:
     """One-row tables, each of which is one JSON document."""
     def listed(df: DataFrame, name: str) -> DataFrame:  # reports: bounded by their limits or by activities, flows and companies
         return df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
 
     s = x.settings
-    graph = discovery.dfg_edges(x.steps, s)
-    score = automation.automation_score(x.log, s)
     return {
         "executive_kpis": executive_kpis(x).crossJoin(listed(monthly_trend(x).orderBy("month"), "monthly_trend")).crossJoin(listed(sla_distribution(x), "sla_risk_distribution")),
-        "process_flow": listed(discovery.dfg_nodes(graph, x.profile, s), "nodes").crossJoin(listed(graph, "edges"))
+        "process_flow": listed(discovery.dfg_nodes(x.graph, x.profile, s), "nodes").crossJoin(listed(x.graph, "edges"))
         .crossJoin(listed(discovery.dfg_by_flow(x.log, x.cases, s.min_transitions_by_flow, s), "by_flow_type")),
         "variants": listed(discovery.top_variants(x.variants, x.scored, s.max_variants), "variants")
         .crossJoin(listed(discovery.variant_concentration(x.variants), "concentration")),
@@ -107,7 +127,7 @@ def documents(x: Log) -> dict[str, DataFrame]:
         .crossJoin(listed(conformance.by_group(x.scored, "company", "flow_type"), "heatmap"))
         .crossJoin(listed(conformance.top_violating_vendors(x.scored, s.max_vendors), "top_vendors")),
         "bottlenecks": listed(bottleneck_stages(x), "transitions").crossJoin(listed(throughput.top_bottlenecks(x.bottlenecks, s.max_bottlenecks), "top_bottlenecks")),
-        "automation_candidates": listed(rounded(score, 3, {"hours_saved_per_month": 0}), "candidates"),
+        "automation_candidates": listed(automation_candidates(x), "activities"),
         "case_summaries": listed(case_timelines(x), "sample_cases"),
         "company_benchmarks": listed(marts.company_radar(x.summary), "companies"),
     }
@@ -116,8 +136,7 @@ def documents(x: Log) -> dict[str, DataFrame]:
 def export_all(x: Log, folder: str) -> int:
     """Write every document under ``folder``; returns how many."""
     found = documents(x)
-    for name, df in found.items():
-        write_json_document(df, f"{folder}/{name}")
+    run_together(x.spark, {name: lambda df=df, name=name: write_json_document(df, f"{folder}/{name}") for name, df in found.items()})
     return len(found)
 
 

@@ -13,14 +13,18 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.model import BRONZE_CASES, BRONZE_EVENTS, Settings
-from millrace.operators import automation, boosting, discovery, enrich, marts, quality, sla, throughput
+from millrace.operators import boosting, enrich, marts, quality, sla
 from millrace.plans import export
 from millrace.plans.context import Log
+from millrace.plans.together import counted, run_together
 from millrace.session import session
 from millrace.sources import xes
 from millrace.sources.tables import exists, missing, stage_mapping, write_parquet, write_text
 
 log_ = logging.getLogger("millrace")
+#: The cases with facts, checks and scores: written first in the gold phase, read by all that follows.
+CHECKED = "gold/case_checks"
+FOR_EXPORT = ("case_checks", "fact_case_summary", "fact_variant_stats", "fact_compliance_checks", "fact_bottleneck_analysis", "fact_automation_opportunities")
 PHASES = ("ingest", "silver", "gold", "analytics", "predict", "export")
 
 
@@ -49,7 +53,7 @@ class Pipeline:
 
     def inputs(self, phase: str) -> list[str]:
         tables = {"silver": ["bronze/events", "bronze/cases"], "gold": ["silver/events", "silver/cases"], "analytics": ["silver/events", "silver/cases"],
-                  "predict": ["gold/fact_case_summary"], "export": ["silver/events", "silver/cases", "gold/fact_case_summary"]}
+                  "predict": ["gold/fact_case_summary"], "export": ["silver/events", "silver/cases", "silver/activities", *(f"gold/{t}" for t in FOR_EXPORT)]}
         return [self.source] if phase == "ingest" else [self.path(t) for t in tables[phase]]
 
     def run(self, phase: str, dry_run: bool = False) -> PhaseResult:
@@ -77,11 +81,9 @@ class Pipeline:
         return results
 
     def _write(self, tables: dict[str, DataFrame]) -> int:
-        rows = 0
-        for name, df in tables.items():
-            write_parquet(df, self.path(name))
-            rows += self.read(name).count()
-        return rows
+        """Write independent tables together; their rows in all."""
+        jobs = {name: lambda name=name, df=df: counted(df, lambda d: write_parquet(d, self.path(name))) for name, df in tables.items()}
+        return sum(run_together(self.spark, jobs).values())
 
     def _validate(self, gates: DataFrame, problems: list[str] = ()) -> None:
         if self.skip_validation:
@@ -106,14 +108,21 @@ class Pipeline:
     def _silver(self) -> int:
         events = self.read("bronze/events").withColumnRenamed("timestamp", "ts").drop("user")
         log, raw = enrich.enriched(events, self.settings).persist(), self.read("bronze/cases")
+        cases = marts.case_table(raw, enrich.case_facts(log, self.settings.roles)).persist()
         try:
-            cases = marts.case_table(raw, enrich.case_facts(log, self.settings.roles))
-            self._validate(quality.silver_gates(log, cases, events.count(), raw.count()), quality.silver_violations(log, cases))
-            log_.info("timestamp anomalies: %d events", quality.anomalies(log))
+            if not self.skip_validation:
+                before = run_together(self.spark, {"events": events.count, "cases": raw.count, "log": log.count, "facts": cases.count})
+                found = run_together(self.spark, {
+                    "gates": lambda: [r.gate for r in quality.silver_gates(log, cases, before["events"], before["cases"]).filter("not passed").collect()],
+                    "contracts": lambda: quality.silver_violations(log, cases), "anomalies": lambda: quality.anomalies(log)})
+                if problems := found["gates"] + found["contracts"]:
+                    raise ValueError("quality gates failed: " + ", ".join(problems))
+                log_.info("timestamp anomalies: %d events", found["anomalies"])
             return self._write({"silver/events": log, "silver/cases": cases, "silver/resources": enrich.resource_profile(log),
                                 "silver/activities": enrich.activity_profile(log, self.settings)})
         finally:
             log.unpersist()
+            cases.unpersist()
 
     def context(self) -> Log:
         whole = self.read("silver/cases")
@@ -122,21 +131,20 @@ class Pipeline:
         return x
 
     def _gold(self) -> int:
+        """The checked cases first, then all tables together: they read that one table and the log."""
         x, s = self.context(), self.settings
-        x.checked = x.checked.persist()  # checks, variants and the summary all start from it
-        try:
-            rows = self._write({
-                "gold/dim_activity": marts.dim_activity(self.read("silver/activities"), s), "gold/dim_company": marts.dim_company(x.cases),
-                "gold/dim_vendor": marts.dim_vendor(x.cases), "gold/dim_calendar": marts.dim_calendar(x.log, s), "gold/dim_resource": enrich.dim_resource(x.log),
-                "gold/fact_event_log": marts.fact_event_log(x.log, x.cases), "gold/fact_variant_stats": x.variants, "gold/fact_compliance_checks": x.checks,
-                "gold/fact_bottleneck_analysis": x.bottlenecks, "gold/fact_case_summary": x.summary,
-                "gold/fact_automation_opportunities": automation.automation_score(x.log, s)})
-            x.summary = self.read("gold/fact_case_summary")
-            for name, value in export.executive_kpis(x).first().asDict().items():
-                log_.info("KPI %s: %s", name, value)
-            return rows
-        finally:
-            x.checked.unpersist()
+        write_parquet(x.scored, self.path(CHECKED))
+        x.checked = x.scored = self.read(CHECKED)
+        rows = self._write({
+            "gold/fact_automation_opportunities": x.automation, "gold/fact_bottleneck_analysis": x.bottlenecks, "gold/fact_variant_stats": x.variants,
+            "gold/fact_case_summary": x.summary, "gold/dim_vendor": marts.dim_vendor(x.cases), "gold/dim_company": marts.dim_company(x.cases),
+            "gold/fact_event_log": marts.fact_event_log(x.log, x.cases), "gold/fact_compliance_checks": x.checks,
+            "gold/dim_activity": marts.dim_activity(self.read("silver/activities"), s), "gold/dim_calendar": marts.dim_calendar(x.log, s),
+            "gold/dim_resource": enrich.with_primary(self.read("silver/resources"))})
+        x.summary = self.read("gold/fact_case_summary")
+        for name, value in export.executive_kpis(x).first().asDict().items():
+            log_.info("KPI %s: %s", name, value)
+        return rows
 
     def profile(self) -> str:
         """Write the Markdown profile of the silver tables; returns its text."""
@@ -162,16 +170,18 @@ class Pipeline:
             rows.unpersist()
 
     def _export(self) -> int:
+        """Reports of the gold tables; only the graph and its flows go back to the log."""
         x = self.context()
-        x.summary = self.read("gold/fact_case_summary")
-        if not self.skip_validation and quality.orphans(x.log, x.cases, "case_id").limit(1).count():
+        x.checked = x.scored = self.read(CHECKED)
+        x.summary, x.variants, x.checks = (self.read(f"gold/{t}") for t in ("fact_case_summary", "fact_variant_stats", "fact_compliance_checks"))
+        x.bottlenecks, x.automation, x.profile = self.read("gold/fact_bottleneck_analysis"), self.read("gold/fact_automation_opportunities"), self.read("silver/activities")
+        if not self.skip_validation and not quality.orphans(x.log, x.cases, "case_id").isEmpty():
             raise ValueError("events without a case")
-        x.checked, x.bottlenecks = x.checked.persist(), x.bottlenecks.persist()
+        x.graph = x.graph.persist()  # pairs of activities
         try:
             return export.export_all(x, self.path("export"))
         finally:
-            x.checked.unpersist()
-            x.bottlenecks.unpersist()
+            x.graph.unpersist()
 
 
 def log_schema(name: str, df: DataFrame) -> None:

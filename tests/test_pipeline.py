@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.plans import export
 from millrace.plans.pipeline import Pipeline, main, register_views
 from millrace.sources import xes
 from millrace.streaming.dfg import sessions, stream_transitions
@@ -72,6 +73,40 @@ def test_phases(spark, source, tmp_path):
         p.run("nothing")
 
 
+def test_jobs_run_together(spark, tmp_path):
+    from millrace.plans.together import counted, run_together
+    seen = {}
+    def job(name):
+        def run():
+            seen[name] = (spark.sparkContext.getLocalProperty("spark.jobGroup.id"), spark.sparkContext.getLocalProperty("spark.scheduler.pool"))
+            return counted(spark.range(10 * len(name)), lambda d: d.write.parquet(str(tmp_path / name)))
+        return run
+    assert run_together(spark, {n: job(n) for n in ("a", "bb", "ccc")}) == {"a": 10, "bb": 20, "ccc": 30}
+    assert len({g for g, _ in seen.values()}) == 3 and {p for _, p in seen.values()} == {"a", "bb", "ccc"}
+    assert counted(spark.range(0), lambda d: d.write.parquet(str(tmp_path / "none"))) == 0 and run_together(spark, {}) == {}
+
+    def fails():
+        raise ValueError("no")
+
+    with pytest.raises(ValueError, match="no"):
+        run_together(spark, {"good": lambda: 1, "bad": fails})
+
+
+def test_documents_hold_what_dashboards_read(spark, source, tmp_path):
+    """Rows of the gold tables end up in the documents, under the names of the contract."""
+    import json
+    p = Pipeline(spark, str(tmp_path / "out"), source, trees=1)
+    assert all(p.run(phase).status == "ok" for phase in ("ingest", "silver", "gold", "export"))
+    read = lambda n: json.loads(spark.read.text(str(tmp_path / "out" / "export" / n)).first().value)
+    rows = read("automation_candidates")["activities"]
+    assert [r["activity"] for r in rows] == ["Clear Invoice", "Create Purchase Order Item"] or len(rows) == 2
+    assert list(rows[0]) == list(export.AUTOMATION_FIELDS) and {r["stage"] for r in rows} == {"S1", "S7"} and {r["total_executions"] for r in rows} == {40}
+    assert read("executive_kpis")["total_cases"] == 40 and len(read("case_summaries")["sample_cases"]) == 40
+    assert sum(v["case_count"] for v in read("variants")["variants"]) == 40 and len(read("process_flow")["edges"]) == 1
+    p.spark.sql("select 1").count()
+    assert p.run("gold").rows_written == p.run("gold").rows_written  # again over its own tables
+
+
 def test_command_line(spark, tmp_path):
     assert main(["--phase", "silver", "--output-dir", str(tmp_path / "none")]) == 1
 
