@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import logging
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,10 +81,13 @@ class Pipeline:
                 break
         return results
 
+    def _writes(self, tables: dict[str, DataFrame]) -> dict[str, Callable[[], int]]:
+        """A job a table that writes it and returns its rows."""
+        return {name: lambda name=name, df=df: counted(df, lambda d: write_parquet(d, self.path(name))) for name, df in tables.items()}
+
     def _write(self, tables: dict[str, DataFrame]) -> int:
         """Write independent tables together; their rows in all."""
-        jobs = {name: lambda name=name, df=df: counted(df, lambda d: write_parquet(d, self.path(name))) for name, df in tables.items()}
-        return sum(run_together(self.spark, jobs).values())
+        return sum(run_together(self.spark, self._writes(tables)).values())
 
     def _validate(self, gates: DataFrame, problems: list[str] = ()) -> None:
         if self.skip_validation:
@@ -131,16 +135,19 @@ class Pipeline:
         return x
 
     def _gold(self) -> int:
-        """The checked cases first, then all tables together: they read that one table and the log."""
+        """All tables together; what needs the checked cases follows that table as soon as it is written."""
         x, s = self.context(), self.settings
-        write_parquet(x.scored, self.path(CHECKED))
-        x.checked = x.scored = self.read(CHECKED)
-        rows = self._write({
+
+        def checked() -> int:
+            write_parquet(x.scored, self.path(CHECKED))
+            x.checked = x.scored = self.read(CHECKED)
+            return self._write({"gold/fact_case_summary": x.summary, "gold/fact_compliance_checks": x.checks})
+
+        rows = sum(run_together(self.spark, {"gold/case_checks": checked} | self._writes({
             "gold/fact_automation_opportunities": x.automation, "gold/fact_bottleneck_analysis": x.bottlenecks, "gold/fact_variant_stats": x.variants,
-            "gold/fact_case_summary": x.summary, "gold/dim_vendor": marts.dim_vendor(x.cases), "gold/dim_company": marts.dim_company(x.cases),
-            "gold/fact_event_log": marts.fact_event_log(x.log, x.cases), "gold/fact_compliance_checks": x.checks,
+            "gold/dim_vendor": marts.dim_vendor(x.cases), "gold/dim_company": marts.dim_company(x.cases), "gold/fact_event_log": marts.fact_event_log(x.log, x.cases),
             "gold/dim_activity": marts.dim_activity(self.read("silver/activities"), s), "gold/dim_calendar": marts.dim_calendar(x.log, s),
-            "gold/dim_resource": enrich.with_primary(self.read("silver/resources"))})
+            "gold/dim_resource": enrich.with_primary(self.read("silver/resources"))})).values())
         x.summary = self.read("gold/fact_case_summary")
         for name, value in export.executive_kpis(x).first().asDict().items():
             log_.info("KPI %s: %s", name, value)
@@ -175,10 +182,11 @@ class Pipeline:
         x.checked = x.scored = self.read(CHECKED)
         x.summary, x.variants, x.checks = (self.read(f"gold/{t}") for t in ("fact_case_summary", "fact_variant_stats", "fact_compliance_checks"))
         x.bottlenecks, x.automation, x.profile = self.read("gold/fact_bottleneck_analysis"), self.read("gold/fact_automation_opportunities"), self.read("silver/activities")
-        if not self.skip_validation and not quality.orphans(x.log, x.cases, "case_id").isEmpty():
-            raise ValueError("events without a case")
         x.graph = x.graph.persist()  # pairs of activities
         try:
+            orphans = lambda: not self.skip_validation and not quality.orphans(x.log, x.cases, "case_id").isEmpty()
+            if run_together(self.spark, {"graph": x.graph.count, "orphans": orphans})["orphans"]:
+                raise ValueError("events without a case")
             return export.export_all(x, self.path("export"))
         finally:
             x.graph.unpersist()
