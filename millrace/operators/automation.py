@@ -7,34 +7,33 @@ from pyspark.sql import functions as F
 
 from millrace.functions.expr import clip, entropy_of_counts, group_quantiles
 from millrace.model import Settings
+from millrace.sources.tables import written
 
 
 def by_case_and_activity(log: DataFrame) -> DataFrame:
-    """One row a case and activity: counts, moments of the waits (minutes), mean position, rework of the case.
+    """One row a case and activity: counts, mean position, rework of the case.
 
     The log is partitioned by case already, so neither this grain nor the window over a case moves a row.
     """
-    wait = F.col("time_since_prev_event") / F.lit(60.0)
     each = log.groupBy("case_id", "activity").agg(
         F.count("*").alias("_n"), F.count_if(F.col("resource_type") == "batch").alias("_batch"), F.count_if(F.col("resource_type") == "human").alias("_human"),
-        F.count(wait).alias("_waits"), F.sum(wait).alias("_sum"), F.sum(wait * wait).alias("_squares"), F.avg("event_order").alias("_place"))
+        F.avg("event_order").alias("_place"))
     return each.withColumn("_rework", F.max("_n").over(Window.partitionBy("case_id")) > 1)
 
 
 def automation_base(log: DataFrame) -> DataFrame:
-    """Counts, waits (minutes since the previous event), spread of positions and share of rework by activity, from one aggregate."""
+    """Counts, spread of positions and share of rework by activity from one aggregate; mean, deviation and median of its waits in minutes."""
     c = F.col
-    spread = F.greatest(c("_q") - c("_s") * c("_s") / c("_w"), F.lit(0.0)) / (c("_w") - 1)
     out = by_case_and_activity(log).groupBy("activity").agg(
         F.sum("_n").alias("total_count"), F.sum("_batch").alias("batch_count"), F.sum("_human").alias("human_count"), F.count("*").alias("case_count"),
-        F.sum("_waits").alias("_w"), F.sum("_sum").alias("_s"), F.sum("_squares").alias("_q"),
         F.avg("_place").alias("_m"), F.stddev_samp("_place").alias("_sd"), F.sum(F.when(c("_rework"), c("_n")).otherwise(0)).alias("_again"))
     out = out.select(
-        "activity", "total_count", "batch_count", "human_count", "case_count", (c("_s") / F.nullif(c("_w"), F.lit(0))).alias("avg_wait_minutes"),
-        F.when(c("_w") > 1, F.sqrt(spread)).alias("std_wait_minutes"), (c("batch_count") / c("total_count")).alias("batch_ratio"),
+        "activity", "total_count", "batch_count", "human_count", "case_count", (c("batch_count") / c("total_count")).alias("batch_ratio"),
         F.when(c("_m") > 0, c("_sd") / c("_m")).otherwise(0.0).alias("position_cv"), (c("_again") / c("total_count")).alias("error_rate"))
     waits = log.select("activity", (F.col("time_since_prev_event") / F.lit(60.0)).alias("wait_minutes"))
-    return out.join(group_quantiles(waits, ["activity"], "wait_minutes", fine=True, median_wait_minutes=("linear", 0.5)), "activity", "left")
+    moments = waits.groupBy("activity").agg(F.avg("wait_minutes").alias("avg_wait_minutes"), F.stddev_samp("wait_minutes").alias("std_wait_minutes"))
+    median = group_quantiles(waits, ["activity"], "wait_minutes", fine=True, median_wait_minutes=("linear", 0.5))
+    return out.join(moments, "activity", "left").join(median, "activity", "left")
 
 
 def activity_pairs(log: DataFrame) -> DataFrame:
@@ -65,8 +64,9 @@ def automation_score(log: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row an activity: inputs, six scores, weighted score, tier and hours saved a month."""
     row = automation_base(log).join(predecessor_entropy(log), "activity", "left").join(successor_entropy(log), "activity", "left")
     row = row.na.fill(0.0, ["predecessor_entropy", "successor_entropy", "position_cv", "error_rate"])
-    every = Window.partitionBy()  # a row an activity
-    row = row.withColumns({"_lo": F.min("total_count").over(every), "_hi": F.max("total_count").over(every), "_wait": F.max("avg_wait_minutes").over(every)})
+    base = written(row, "automation")  # a row an activity, read for the bounds and for the scores
+    bounds = base.agg(F.min("total_count").alias("_lo"), F.max("total_count").alias("_hi"), F.max("avg_wait_minutes").alias("_wait"))
+    row = base.crossJoin(F.broadcast(bounds))  # bounds: one row
     c = F.col
     median = c("median_wait_minutes")
     row = row.withColumns({

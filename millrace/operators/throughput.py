@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.expr import HOUR, group_quantiles
+from millrace.functions.ranks import global_rank
 from millrace.model import Settings
 from millrace.operators.discovery import dfg_edges, edges
 from millrace.operators.enrich import case_facts
@@ -14,9 +15,13 @@ from millrace.operators.enrich import case_facts
 def bottlenecks(steps: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Frequent edges; those whose P90 wait exceeds the threshold are ranked by it, the others have no rank."""
     graph = dfg_edges(steps, s).filter(F.col("transition_count") >= s.min_transitions)
-    by = Window.orderBy(F.desc("p90_wait_hours"), "from_activity", "to_activity")  # edges of activity names: few rows at any size
-    out = graph.withColumn("is_bottleneck", F.col("p90_wait_hours") > s.bottleneck_hours)
-    return out.withColumn("bottleneck_rank", F.when(F.col("is_bottleneck"), F.row_number().over(by)))
+    return ranked(graph.withColumn("is_bottleneck", F.col("p90_wait_hours") > s.bottleneck_hours))
+
+
+def ranked(graph: DataFrame) -> DataFrame:
+    """Edges with the global rank of their P90 wait, the longest first; those over the threshold come first, so theirs is 1, 2, 3..."""
+    out = global_rank(graph, [F.desc("p90_wait_hours"), F.asc("from_activity"), F.asc("to_activity")], "_rank")
+    return out.withColumn("bottleneck_rank", F.when(F.col("is_bottleneck"), F.col("_rank").cast("int"))).drop("_rank")
 
 
 def bottlenecks_by_flow(steps: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DateType, DoubleType
 
-from millrace.operators import automation, conformance, discovery, enrich, graphs, marts, quality, sla, throughput
+from millrace.operators import automation, conformance, discovery, enrich, graphs, marts, quality, sequences, sla, throughput
 from millrace.plans import export
 from millrace.plans.context import Log
 from millrace.plans.oracles import RULE_IDS
@@ -131,6 +131,8 @@ OVER_LOG: dict[str, Callable[[Log], DataFrame]] = {
     "resource_profile": lambda x: enrich.dim_resource(x.log),
     "activity_profile": lambda x: x.profile,
     "variant_stats": lambda x: _sequence_as_text(x.variants),
+    "variant_ids": lambda x: sequences.variant_ids(x.events),
+    "variant_frequencies": lambda x: sequences.variant_frequencies(x.events),
     "case_happy_path": lambda x: discovery.case_happy_path(x.kept_cases, x.variants),
     "transitions": lambda x: x.steps,
     "dfg_edges": lambda x: discovery.dfg_edges(x.steps, x.settings),

@@ -208,6 +208,9 @@ ORACLES: dict[str, str] = {
         error_reduction_score, wait_reduction_score, error_rate, automation_score, automation_tier, hours_saved_per_month from au""", "au",
         ("batch_ratio", "median_wait_minutes", "volume_score", "batch_gap_score", "input_uniformity_score", "timing_regularity_score", "error_reduction_score", "wait_reduction_score", "error_rate",
          "automation_score", "hours_saved_per_month")),
+    "variant_ids": build("""select case_id, variant_id, event_count as variant_length, array_to_string(string_split(activities, '|')[1:3], '|') as first_activities from cm""", "cm"),
+    "variant_frequencies": build("""select variant_id, count(*) as case_count, min(event_count) as variant_length, min(array_to_string(string_split(activities, '|')[1:3], '|')) as first_activities
+        from cm group by variant_id""", "cm"),
     "automation_candidates": build(f"""select activity, {STAGE.format('activity')} as stage, total_count as total_executions, human_count as human_executions, round(batch_ratio, 3) as batch_ratio,
         round(volume_score, 3) as volume_score, round(batch_gap_score, 3) as batch_gap_score, round(input_uniformity_score, 3) as input_uniformity, round(timing_regularity_score, 3) as timing_regularity,
         round(error_reduction_score, 3) as error_reduction, round(wait_reduction_score, 3) as wait_reduction, round(automation_score, 3) as automation_score, automation_tier,
