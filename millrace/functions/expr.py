@@ -61,6 +61,20 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str, fine: bool = T
         "_hi", F.sum("_n").over(upto(Window.partitionBy(*keys, "_b").orderBy("_v"))) + F.col("_low")).drop("_b", "_low")
 
 
+def with_places(counted: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``counted`` (rows of a group with their count ``_n``) with _hi, the group's rows up to this one in order of ``value``, and
+    _total, all that have a value.  A null value has no place.  Windows of the group's rows, which spill.
+    """
+    by, here = Window.partitionBy(*keys), F.when(F.col(value).isNotNull(), F.col("_n"))
+    upto = by.orderBy(F.asc_nulls_last(value)).rowsBetween(Window.unboundedPreceding, 0)
+    return counted.withColumns({"_hi": F.sum(here).over(upto), "_total": F.sum(here).over(by)})
+
+
+def value_at(rank: Column, value: str) -> Column:
+    """The value at a 0-based rank: aggregate expression over rows of with_places."""
+    return F.max(F.when((rank >= F.col("_hi") - F.col("_n")) & (rank < F.col("_hi")) & F.col(value).isNotNull(), F.col(value)))
+
+
 def group_quantiles(df: DataFrame, keys: list[str], value: str, fine: bool = False, **wanted: tuple[str, float]) -> DataFrame:
     """Exact quantiles by group: name=("nearest" | "linear", q), and from the same pass name=("count", 0) and ("max", 0).  Nulls are left out.
 

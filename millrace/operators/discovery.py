@@ -5,25 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.expr import HOUR, group_quantiles, map_value
+from millrace.functions.expr import HOUR, group_quantiles, map_value, value_at, with_places
 from millrace.model import STAGE_NAMES, UNKNOWN_STAGE, Settings
 from millrace.operators.enrich import REPEATS, case_facts
+from millrace.sources.tables import written
 
 
 def variant_stats(cases: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row a variant: cases, share, length, days, dominant flow, happy path (most frequent of its dominant flow).
 
-    Counts, sequence, dominant flow and happy path all come from one aggregate by variant and flow.
+    All of it follows from one table of (variant, flow, days) with counts, dealt by variant once: counts, dominant flow and both
+    quantiles share that partitioning.  The table is written, since the happy paths and the total read it too.
     """
-    per_flow = cases.groupBy("variant_id", "flow_type").agg(F.count("*").alias("_n"), F.min("activity_sequence").alias("_s"))
-    counts = per_flow.groupBy("variant_id").agg(
+    base = written(cases.groupBy("variant_id", "flow_type", "case_duration_days").agg(F.count("*").alias("_n"), F.min("activity_sequence").alias("_s")), "variants")
+    rows = with_places(base.repartition("variant_id"), ["variant_id"], "case_duration_days").withColumn(
+        "_f", F.sum("_n").over(Window.partitionBy("variant_id", "flow_type")))
+    days = lambda q: value_at(F.round((F.col("_total") - 1) * F.lit(q)).cast("long"), "case_duration_days")
+    middle = (F.col("_total") - 1) * F.lit(0.5)
+    counts = rows.groupBy("variant_id").agg(
         F.sum("_n").alias("case_count"), F.min("_s").alias("activity_sequence"),
-        F.min(F.struct((-F.col("_n")).alias("n"), "flow_type"))["flow_type"].alias("dominant_flow_type"))
-    days = group_quantiles(cases, ["variant_id"], "case_duration_days", median_duration_days=("linear", 0.5), p90_duration_days=("nearest", s.quantile))
-    total = cases.agg(F.count("*").alias("_all"))
-    out = (counts.join(days, "variant_id", "left").crossJoin(F.broadcast(total))  # total: one row
-           .withColumns({"case_percentage": 100.0 * F.col("case_count") / F.col("_all"), "variant_length": F.size("activity_sequence")}))
+        F.min(F.struct((-F.col("_f")).alias("n"), "flow_type"))["flow_type"].alias("dominant_flow_type"),
+        ((value_at(F.floor(middle), "case_duration_days") + value_at(F.ceil(middle), "case_duration_days")) / 2).alias("median_duration_days"),
+        days(s.quantile).alias("p90_duration_days"))
+    per_flow = base.groupBy("variant_id", "flow_type").agg(F.sum("_n").alias("_n"))
     own = happy_variants(per_flow).select(F.col("flow_type").alias("_flow"), F.col("variant_id").alias("_happy"))
+    total = base.agg(F.sum("_n").alias("_all"))
+    out = (counts.crossJoin(F.broadcast(total))  # total: one row
+           .withColumns({"case_percentage": 100.0 * F.col("case_count") / F.col("_all"), "variant_length": F.size("activity_sequence")}))
     return (out.join(F.broadcast(own), (F.col("_flow") == F.col("dominant_flow_type")) & (F.col("_happy") == F.col("variant_id")), "left")  # a row for each of the four flows
             .withColumn("is_happy_path", F.col("_happy").isNotNull())
             .select("variant_id", "case_count", "activity_sequence", "dominant_flow_type", "median_duration_days", "p90_duration_days",
@@ -100,10 +108,11 @@ def rework(log: DataFrame) -> DataFrame:
 
 def top_variants(variants: DataFrame, checked: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` most frequent variants with their own mean compliance and the global one; checked: cases with their scores."""
-    own = checked.groupBy("variant_id").agg(F.avg("compliance_score").alias("variant_compliance"))
-    rate = checked.agg((F.sum("passed_checks") / F.sum("total_checks")).alias("compliance_rate"))
+    own = written(checked.groupBy("variant_id").agg(F.avg("compliance_score").alias("variant_compliance"), F.sum("passed_checks").alias("_passed"),
+                                                    F.sum("total_checks").alias("_total")), "variant-scores")  # a row a variant: theirs and the global rate
+    rate = own.agg((F.sum("_passed") / F.sum("_total")).alias("compliance_rate"))
     top = variants.orderBy(F.desc("case_count"), "variant_id").limit(limit)
-    return (top.join(own, "variant_id", "left").crossJoin(F.broadcast(rate))  # rate: one row
+    return (top.join(own.drop("_passed", "_total"), "variant_id", "left").crossJoin(F.broadcast(rate))  # rate: one row
             .withColumn("activities", F.array_join("activity_sequence", "|"))
             .select("variant_id", "case_count", "case_percentage", "variant_length", "is_happy_path", "dominant_flow_type",
                     "median_duration_days", "activities", "variant_compliance", "compliance_rate"))

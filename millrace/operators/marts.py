@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.expr import group_quantiles, map_value, with_group
+from millrace.functions.expr import map_value, value_at, with_places
 from millrace.model import UNKNOWN_STAGE, Settings
 from millrace.operators import conformance, discovery, enrich, throughput
 
@@ -44,13 +44,14 @@ def dim_activity(profile: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def _dim(cases: DataFrame, keys: list[str]) -> DataFrame:
-    """Cases, days and main flow by ``keys``: counts and sums by flow first, which also give the main one."""
-    flows = cases.groupBy(*keys, "flow_type").agg(F.count("*").alias("_n"), F.sum("case_duration_days").alias("_d"), F.count("case_duration_days").alias("_m"))
-    base = flows.groupBy(*keys).agg(
-        F.sum("_n").alias("case_count"), (F.sum("_d") / F.sum("_m")).alias("avg_duration_days"),
-        F.min(F.struct((-F.col("_n")).alias("n"), "flow_type"))["flow_type"].alias("primary_flow_type"))
-    days = group_quantiles(cases, keys, "case_duration_days", median_duration_days=("linear", 0.5))
-    return with_group(base, days, keys)
+    """Cases, days and main flow by ``keys``: counted by flow and days first, then dealt by key once for everything else."""
+    counted = cases.groupBy(*keys, "flow_type", "case_duration_days").agg(F.count("*").alias("_n"))
+    rows = with_places(counted.repartition(*keys), keys, "case_duration_days").withColumn("_f", F.sum("_n").over(Window.partitionBy(*keys, "flow_type")))
+    middle, days = (F.col("_total") - 1) * F.lit(0.5), "case_duration_days"
+    return rows.groupBy(*keys).agg(
+        F.sum("_n").alias("case_count"), (F.sum(F.col(days) * F.col("_n")) / F.max("_total")).alias("avg_duration_days"),
+        F.min(F.struct((-F.col("_f")).alias("n"), "flow_type"))["flow_type"].alias("primary_flow_type"),
+        ((value_at(F.floor(middle), days) + value_at(F.ceil(middle), days)) / 2).alias("median_duration_days"))
 
 
 def dim_company(cases: DataFrame) -> DataFrame:

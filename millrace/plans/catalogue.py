@@ -133,7 +133,7 @@ OVER_LOG: dict[str, Callable[[Log], DataFrame]] = {
     "variant_stats": lambda x: _sequence_as_text(x.variants),
     "variant_ids": lambda x: sequences.variant_ids(x.events),
     "variant_frequencies": lambda x: sequences.variant_frequencies(x.events),
-    "case_happy_path": lambda x: discovery.case_happy_path(x.kept_cases, x.variants),
+    "case_happy_path": lambda x: discovery.case_happy_path(x.cases, x.variants),
     "transitions": lambda x: x.steps,
     "dfg_edges": lambda x: discovery.dfg_edges(x.steps, x.settings),
     "dfg_nodes": lambda x: discovery.dfg_nodes(discovery.dfg_edges(x.steps, x.settings), x.profile, x.settings),
@@ -150,7 +150,7 @@ OVER_LOG: dict[str, Callable[[Log], DataFrame]] = {
     "error_rate": lambda x: automation.error_rate(x.log),
     "handoffs": lambda x: throughput.handoffs(x.log),
     "touchless": lambda x: throughput.touchless(x.log),
-    "sla_band": lambda x: throughput.sla_band(x.kept_cases, x.settings),
+    "sla_band": lambda x: throughput.sla_band(x.cases, x.settings),
     "automation_base": lambda x: automation.automation_base(x.log).drop("position_cv", "error_rate"),
     "automation_score": lambda x: automation.automation_score(x.log, x.settings),
     "automation_candidates": lambda x: export.automation_candidates(x),
@@ -161,13 +161,13 @@ OVER_LOG: dict[str, Callable[[Log], DataFrame]] = {
     "fact_event_log": lambda x: marts.fact_event_log(x.log, x.cases),
     "fact_case_summary": lambda x: _sequence_as_text(x.summary),
     "dim_activity": lambda x: marts.dim_activity(x.profile, x.settings),
-    "dim_company": lambda x: marts.dim_company(x.kept_cases),
-    "dim_vendor": lambda x: marts.dim_vendor(x.kept_cases),
+    "dim_company": lambda x: marts.dim_company(x.cases),
+    "dim_vendor": lambda x: marts.dim_vendor(x.cases),
     "dim_calendar": lambda x: marts.dim_calendar(x.log, x.settings),
     "exec_kpis": export.executive_kpis,
     "monthly_trend": export.monthly_trend,
     "sla_distribution": export.sla_distribution,
-    "top_variants": lambda x: discovery.top_variants(x.variants, x.scored, x.settings.max_variants),
+    "top_variants": lambda x: discovery.top_variants(discovery.variant_stats(x.kept_cases, x.settings), x.scored, x.settings.max_variants),
     "variant_concentration": lambda x: discovery.variant_concentration(x.variants),
     "compliance_by_rule": lambda x: conformance.by_rule(x.checks),
     "compliance_by_company": lambda x: conformance.by_group(x.scored, "company"),

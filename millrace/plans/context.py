@@ -71,20 +71,26 @@ class Log:
 
     @cached_property
     def variants(self) -> DataFrame:
-        return discovery.variant_stats(self.kept_cases, self.settings)
+        return discovery.variant_stats(self.cases, self.settings)
 
     @cached_property
     def checked(self) -> DataFrame:
         """Every case with its facts and the array of its checks."""
         return conformance.case_checks(self.kept, self.kept, self.settings)
 
+    @cached_property
+    def checked_once(self) -> DataFrame:
+        """The same for what reads it once: only the limits of the flows read the log a second time, for starts and ends."""
+        made = self.__dict__.get("checked")
+        return made if made is not None else conformance.case_checks(self.whole, self.attributes, self.settings)
+
     @cached_property
     def checks(self) -> DataFrame:
-        return conformance.compliance_checks(self.checked)
+        return conformance.compliance_checks(self.checked_once)
 
     @cached_property
     def scores(self) -> DataFrame:
-        return conformance.compliance_scores(self.checked)
+        return conformance.compliance_scores(self.checked_once)
 
     @cached_property
     def scored(self) -> DataFrame:
