@@ -23,7 +23,8 @@ class OrderedSteps(StatefulProcessor):
 
     A timer stands at the earliest waiting event.  When the watermark passes it, all events before the watermark are final: they
     are sorted, joined to the one before and leave the list.  A case without waiting events gets a timer at its last event
-    plus ``idle_ms`` of event time (event-time state has no time to live of its own), and is forgotten then unless it went on.
+    plus ``idle_ms`` of event time (event-time state has no time to live of its own), and is forgotten then unless it went on; an event
+    that comes after such a rest starts the case anew in any case, so results do not depend on when timers fire.
     """
 
     def __init__(self, idle_ms: int | None):
@@ -52,7 +53,7 @@ class OrderedSteps(StatefulProcessor):
         final, rest = [e for e in events if _ms(e[0]) < mark], [e for e in events if _ms(e[0]) >= mark]
         before, out = tuple(self.last.get()) if self.last.exists() else None, []
         for e in final:
-            if before is not None:
+            if before is not None and (self.idle_ms is None or e[0] - before[0] <= 1000 * self.idle_ms):
                 out.append((key[0], before[2], e[2], e[0], e[0] - before[0]))
             before = e
         if final:
