@@ -131,8 +131,8 @@ def fit(rows: list[list[int]], grades: np.ndarray, n_features: int, grade_count:
 def _feature_sets(batches):
     for batch in batches:
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([features(t) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))],
-            names=["doc_id", "grade", "features"])
+            [*batch.columns[:3], pa.array([features(t) for t in batch.column(3).to_pylist()], pa.list_(pa.string()))],
+            names=["doc_id", "grade", "digest", "features"])
 
 
 def _gain(c, a, n: float, t: float):
@@ -149,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_features
     """Fit on at most ``max_rows`` labelled documents, taken in order of a hash of their id.
 
     Features of a threshold are those that are commoner above it with a likelihood-ratio statistic of ``min_gain`` or more,
-    the strongest ``max_features`` of them.  Labels with null doc_id or null toxic are left out; null quality counts as
+    the strongest ``max_features`` of them.  Documents that repeat a labelled id all count in these statistics; at most ``max_rows``
+    rows, by id and text, reach the driver.  Labels with null doc_id or null toxic are left out; null quality counts as
     fair; repeated labels of a document count once, the most severe one.  Without toxic labels nothing is toxic.
     """
     grade = F.when(F.col("toxic") > 0, 2).when(F.coalesce(F.col("quality"), F.lit(1)) <= 0, 1).otherwise(0)
@@ -158,8 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_features
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     sample = (texts.join(F.broadcast(chosen), "doc_id")  # max_rows rows of two numbers
-              .select("doc_id", "grade", "text")
-              .mapInArrow(_feature_sets, "doc_id long, grade int, features array<string>"))
+              .select("doc_id", "grade", F.md5(F.col("text").cast("binary")).alias("digest"), "text")
+              .mapInArrow(_feature_sets, "doc_id long, grade int, digest string, features array<string>"))
     sample = staged(sample, "toxicity-sample")
     over = range(1, GRADES)  # thresholds: the grades from which they ask
     above = [F.sum(F.expr(f"double(grade >= {k})")).alias(f"a{k}") for k in over]
@@ -177,7 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_features
     dropped(counts)
     vocabulary = {name: k for k, name in enumerate(sorted(names))}
     known = F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.array().cast("array<string>")
-    rows = sample.select("doc_id", "grade", F.array_intersect("features", known).alias("names")).orderBy("doc_id").collect()
+    # documents may repeat an id: the bound is one of rows, and their order is that of ids and texts
+    first = sample.orderBy("doc_id", "digest").limit(max_rows)
+    rows = first.select("grade", F.array_intersect("features", known).alias("names")).collect()
     dropped(sample)
     w, theta = fit([[vocabulary[x] for x in r.names] for r in rows], np.array([r.grade for r in rows]), len(vocabulary), l2=l2)
     return OrdinalModel({name: float(w[k]) for name, k in vocabulary.items()}, tuple(float(x) for x in theta))

@@ -425,3 +425,13 @@ def test_differencing_keeps_the_text_of_copies_and_repeated_prose(spark):
     got = {r.page_id: r.text.split("\n\n") for r in html_extract.extract_main_text(df).collect()}
     assert got[1] == ["first story", "it repeats", "its end"] and got[2] == ["second story", "it repeats", "other end"]
     assert got[3] == got[4] == ["Site name", "copied story", "of two lines", "All pages"]
+
+
+def test_toxicity_rows_are_bounded_and_ordered(spark, documents, monkeypatch):
+    """Documents that repeat labelled ids: no more rows than asked for reach the fit, the same at any partitioning."""
+    seen, plain = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda rows, grades, *a, **k: seen.append((rows, grades.tolist())) or plain(rows, grades, *a, **k))
+    texts = [(k % 20, ("awful nasty words " if k % 20 < 10 else "kind gentle words ") + prose(k % 7, 12)) for k in range(200)]
+    labels = spark.createDataFrame([(k, 1, int(k < 10)) for k in range(20)], "doc_id long, quality int, toxic int")
+    models = [toxicity.train(documents(texts).repartition(n), labels, max_rows=60) for n in (1, 5)]
+    assert len(seen) == 2 and len(seen[0][1]) == 60 and seen[0] == seen[1] and models[0].weights == models[1].weights
