@@ -179,8 +179,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_features
     vocabulary = {name: k for k, name in enumerate(sorted(names))}
     known = F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.array().cast("array<string>")
     # documents may repeat an id: the bound is one of rows, and their order is that of ids and texts
-    first = sample.orderBy("doc_id", "digest").limit(max_rows)
-    rows = first.select("grade", F.array_intersect("features", known).alias("names")).collect()
+    few = sample.select("doc_id", "digest", "grade", F.array_intersect("features", known).alias("names"))
+    rows = few.orderBy("doc_id", "digest").limit(max_rows).select("grade", "names").collect()
     dropped(sample)
     w, theta = fit([[vocabulary[x] for x in r.names] for r in rows], np.array([r.grade for r in rows]), len(vocabulary), l2=l2)
     return OrdinalModel({name: float(w[k]) for name, k in vocabulary.items()}, tuple(float(x) for x in theta))
