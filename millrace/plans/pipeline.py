@@ -13,7 +13,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.model import BRONZE_CASES, BRONZE_EVENTS, Settings
+from millrace.model import BRONZE_CASES, BRONZE_EVENTS, P2P_LOG, Settings
 from millrace.operators import boosting, enrich, marts, quality, sla
 from millrace.plans import export
 from millrace.plans.context import Log
@@ -222,15 +222,14 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--dry-run", action="store_true")
     parser.add_argument("--profile", action="store_true", help="write the Markdown profile of the silver tables")
     parser.add_argument("--stages", help="JSON document with the stage of every activity")
-    parser.add_argument("--expected-events", type=int)
-    parser.add_argument("--expected-cases", type=int)
-    parser.add_argument("--expected-activities", type=int, default=1)
+    for name, number in P2P_LOG.items():
+        parser.add_argument(f"--{name.replace('_', '-')}", type=int, default=number, help=f"{number:,} unless given; 0: any number")
     given = parser.parse_args(args)
     if not (given.all or given.phase or given.profile):
         parser.error("give --phase, --all or --profile")
     logging.basicConfig(level=logging.INFO, format="%(name)s %(message)s")
     spark = session()
-    settings = Settings(expected_events=given.expected_events, expected_cases=given.expected_cases, expected_activities=given.expected_activities)
+    settings = Settings(expected_events=given.expected_events or None, expected_cases=given.expected_cases or None, expected_activities=given.expected_activities or 1)
     if given.stages:
         settings = replace(settings, stages=stage_mapping(spark, given.stages))
     pipeline = Pipeline(spark, given.output_dir, given.input, settings, skip_validation=given.skip_validation)

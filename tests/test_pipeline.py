@@ -136,6 +136,16 @@ def test_command_line(spark, tmp_path):
     assert main(["--phase", "silver", "--output-dir", str(tmp_path / "none")]) == 1
 
 
+def test_ingest_expects_the_known_log(spark, source, tmp_path, capsys):
+    """Another log fails the counts unless they are given or switched off."""
+    ingest = ["--phase", "ingest", "--input", source, "--output-dir", str(tmp_path / "out")]
+    assert main(ingest) == 1
+    said = capsys.readouterr().out
+    assert "event_count" in said and "case_count" in said and "enough_activities" in said
+    assert main([*ingest, "--expected-events", "80", "--expected-cases", "40", "--expected-activities", "2"]) == 0
+    assert main([*ingest, "--expected-events", "0", "--expected-cases", "0", "--expected-activities", "0"]) == 0
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [("a", "A", dt.datetime(2024, 1, 1, 0), 0), ("a", "B", dt.datetime(2024, 1, 1, 1), 1), ("b", "A", dt.datetime(2024, 1, 1, 2), 2), ("a", "C", dt.datetime(2024, 1, 1, 3), 3)]
     ddl = "case_id string, activity string, ts timestamp, event_seq long"
