@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DateType, DoubleType
 
-from millrace.operators import automation, conformance, discovery, enrich, graphs, marts, quality, sequences, sla, throughput
+from millrace.operators import automation, conformance, discovery, enrich, graphs, marts, quality, sequences, sketches, sla, throughput
 from millrace.plans import export
 from millrace.plans.context import Log
 from millrace.plans.oracles import RULE_IDS
@@ -192,6 +192,7 @@ OVER_LOG: dict[str, Callable[[Log], DataFrame]] = {
     "null_rates": lambda x: quality.null_rates(x.log),
     "quality_gates": _gates,
     "log_profile": lambda x: quality.log_profile(x.log),
+    "sketch_profile": lambda x: sketches.within_bounds(x.log, sketches.merged(sketches.daily(x.log))),
     "activity_frequency": lambda x: quality.frequencies(x.log, "activity"),
 }
 

@@ -293,6 +293,10 @@ ORACLES: dict[str, str] = {
         count(*) filter (is_timestamp_anomaly) as anomaly_count, min(event_value) as min_value, max(event_value) as max_value, avg(event_value) as mean_value, any_value(m) as median_case_length, any_value(p) as p90_case_length,
         any_value(q) as p99_case_length from lg, (select {median('n')} as m, {nearest('n', 0.9)} as p, {nearest('n', 0.99)} as q from (select count(*) as n from lg group by case_id))""", "lg",
         ("min_value", "max_value", "mean_value")),
+    "sketch_profile": build("select c as \"column\", n as rows, u as nulls, true as distinct_within, m as median_within from (" + " union all ".join(
+        f"select '{c}' as c, count(*) as n, count(*) filter ({c} is null) as u, {m} as m from lg" for c, m in (
+            ("case_id", "cast(null as boolean)"), ("activity", "cast(null as boolean)"), ("resource", "cast(null as boolean)"), ("event_value", "true"),
+            ("time_since_prev_event", "true"))) + ")", "lg"),
     "activity_frequency": build("select activity as value, count(*) as n from lg group by 1 order by n desc, value limit 20", "lg"),
     "bronze_dedupe": build("select arg_min(event_type, row(ts, event_id)) as event_type, user_id, min(row(ts, event_id)).ts as ts from (select event_type, user_id, ts, event_id from events) group by user_id".replace(
         "min(row(ts, event_id)).ts", "min(ts)"), "ev"),
