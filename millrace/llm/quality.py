@@ -7,7 +7,8 @@ context vector at unit length followed by the index vector; a document is the me
 whole text.
 
 The network (numpy, one hidden layer of tanh, cross-entropy with weight decay, Adam) is fitted on a bounded sample of labelled
-rows; a fifth of the sample, chosen by hash, is set aside to fit the temperature that divides the logits.
+rows.  A fifth of the sample, chosen by hash, is set aside first: on it the network of the others shows by what temperature its
+logits must be divided; then the network is fitted on the whole sample and keeps that temperature.
 
 Scale: context vectors are integer sums that each task collects in one table of ``rows`` x ``width`` and sends row by row;
 they meet by row, so a shuffle holds at most a table a task, whatever the words' frequencies, and the result does not depend
@@ -246,8 +247,9 @@ def train(docs: DataFrame, labels: DataFrame, how: Vectors = Vectors(), max_rows
     x = np.array([np.frombuffer(r.x) for r in sample])
     apart = np.array([r.calibrates for r in sample])
     learn = ~apart if len(np.unique(y[~apart])) == 2 else np.ones(len(y), bool)
-    network = fit_network(x[learn], y[learn], units, decay)
-    network.temperature = calibrated_temperature(network.logit(x[apart]), y[apart]) if apart.any() else 1.0
+    part = fit_network(x[learn], y[learn], units, decay)
+    network = part if learn.all() else fit_network(x, y, units, decay)
+    network.temperature = calibrated_temperature(part.logit(x[apart]), y[apart]) if apart.any() else 1.0
     return QualityModel(how, vectors, network)
 
 
