@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns
 of ``documents``.  Null texts count as empty, empty tables pass through.  Where ids repeat or are null, every row is a document
-of its own, in order of id (null last) and text: no row stands or falls with another one of its id.
+of its own, in order of id (null last) and text; only rows equal in id and text share the verdict on their lines.
 """
 
 from __future__ import annotations
@@ -28,14 +28,22 @@ def with_row(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model does not reject."""
+    """Documents that the ordinal model does not reject.
+
+    Row-local: a null or empty text has margin 0 and stays unless the thresholds say otherwise; equal texts share their verdict whatever
+    their ids; a null id is scored like any other.
+    """
     small_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(docs, model, keep=COLUMNS).filter("not rejected").select(*COLUMNS)
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand earlier; one that loses all it had was a copy and goes, others stay."""
+    """Documents without lines that stand earlier; one that loses all it had was a copy and goes, others stay.
+
+    Earlier is by id, then text (its hash), then place.  Empty and blank texts lose nothing and stay, a null text as it is.  Rows of
+    one id and one text are one document here: both keep or lose the same lines, so exact repeats with their id stay for the next stage.
+    """
     small_batches(spark)
     cut = line_dedup.dedup_lines(docs.select(*COLUMNS)).filter(r"n_removed = 0 or text rlike '\\S'")
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -51,7 +59,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no test item."""
+    """Documents that leak no test item.
+
+    A null or empty text leaks nothing; rows that repeat an id are judged one by one; equal texts share their verdict.
+    """
     small_batches(spark)
     rows = with_row(docs)
     hits = decontaminate.find_contamination(rows, table(spark, sf_dir, "benchmark"), id_col="_row")
@@ -60,7 +71,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The SentencePiece encoding of every document that is left, and whether it decodes to the text."""
+    """The SentencePiece encoding of every document that is left, and whether it decodes to the text.
+
+    A null text is encoded as the empty one; a repeated row is encoded again.
+    """
     small_batches(spark)
     return sentencepiece_fst.encode_documents(docs, tokenizer_bytes())
 
