@@ -150,7 +150,10 @@ def banded_distance(x: str, y: str, edits: int) -> Column:
 
 
 def repeated_lines(docs: DataFrame, edits: int = 1, near_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, h, places): per document (id and hash of its text) the numbers of the lines to remove."""
+    """(doc_id, h, places): per document (id and hash of its text) the numbers of the lines to remove.
+
+    A line goes for any earlier line within ``edits`` edits, also for one that goes itself: chains are cut to their first line.
+    """
     base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     each = (base.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
             .filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("n", F.length("line")))

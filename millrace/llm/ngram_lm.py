@@ -8,7 +8,8 @@ Workers memory-map the arrays and score whole texts by binary search; only disco
 
 Words are known by 48 bits of a hash, the first word of an n-gram by 40 of them (it only has to differ from others before the
 same words).  A table holds, in order of a 64-bit key, the 32 bits of it behind those that choose one
-of its buckets of about ``BUCKET`` entries, and its counts as one byte: the commonest rows of counts are numbered.
+of its buckets of about ``BUCKET`` entries, and its counts as one byte: the commonest rows of counts are numbered.  So known words, V and
+the base score are exact up to collisions: two of n different words share 48 bits with probability of about n^2 / 2^49.
 
 Scale: a frequent word or n-gram is one entry a task after pre-aggregation; the number of shards follows the size of the corpus
 (``SHARD_BYTES`` of text for each), so tasks stay of one size, but for a very common middle word, whose n-grams share a
