@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DateType, DoubleType
 
-from millrace.operators import automation, conformance, discovery, enrich, graphs, marts, quality, sequences, sketches, sla, throughput
+from millrace.operators import automata, automation, conformance, discovery, enrich, graphs, marts, quality, sequences, sketches, sla, throughput
 from millrace.plans import export
 from millrace.plans.context import Log
 from millrace.plans.oracles import RULE_IDS
@@ -157,6 +157,7 @@ OVER_LOG: dict[str, Callable[[Log], DataFrame]] = {
     "tier_histogram": lambda x: automation.tier_histogram(automation.automation_score(x.log, x.settings)),
     **{r.lower().replace("-", ""): _rule(r) for r in RULE_IDS},
     "compliance_checks": lambda x: x.checks,
+    "ordered_checks": lambda x: automata.ordered_checks(x.events, x.attributes, x.settings),
     "compliance_scores": lambda x: x.scores,
     "fact_event_log": lambda x: marts.fact_event_log(x.log, x.cases),
     "fact_case_summary": lambda x: _sequence_as_text(x.summary),

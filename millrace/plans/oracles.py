@@ -96,6 +96,14 @@ PARTS: dict[str, tuple[str, str]] = {  # name -> (names it needs, query)
         else concat('An activity repeats ', max_repeat, ' times') end from rr
       union all select case_id, 'CR-010', 'Proper closure (terminal activity present)', term is not null, 'info', case when term is not null then concat('Terminal activity ''', term, ''' present')
         else 'No terminal activity found (case may be open)' end from rr"""),
+    "pl": ("lg,ri", """select case_id, min(event_order) filter (activity = 'purchase') as o_cl, min(event_order) filter (activity = 'click') as o_ir,
+      min(event_order) filter (ts > cl) as o_after, min(event_order) filter (activity in ('click', 'purchase')) as o_inv, min(event_order) filter (activity = 'signup') as o_create,
+      min(event_order) filter (activity in ('purchase', 'error')) as o_term, min(event_order) filter (nth = 3) as o_third, any_value(ir <= cl) as received
+      from (select *, row_number() over (partition by case_id, activity order by ts, event_seq) as nth from lg) join ri using (case_id) group by case_id"""),
+    "dc": ("ch,pl,lg", """select c.*, e.activity as decided_activity from (select ch.*, case when rule_id in ('CR-001', 'CR-002') then o_cl when rule_id = 'CR-003' then o_inv
+        when rule_id = 'CR-005' then o_create when rule_id = 'CR-006' and received then greatest(o_ir, o_cl) when rule_id = 'CR-006' then o_after
+        when rule_id = 'CR-009' then o_third when rule_id = 'CR-010' then o_term end as decided_order from ch left join pl using (case_id) where rule_id not in ('CR-007', 'CR-008')) c
+      left join lg e on e.case_id = c.case_id and e.event_order = c.decided_order"""),
     "sc": ("ch", """select case_id, cast(sum(case when passed then 1 else 0 end) as bigint) as passed_checks, count(*) as total_checks, count(*) filter (not passed and severity = 'critical') as critical_violations,
       coalesce(string_agg(rule_name, '|' order by rule_name) filter (not passed), '') as compliance_flags, sum(case when passed then 1 else 0 end)::double / count(*) as compliance_score from ch group by case_id"""),
     "ho": ("lg", "select case_id, count(*) filter (prev_resource is not null and resource <> prev_resource) as handoff_count from lg group by case_id"),
@@ -218,6 +226,7 @@ ORACLES: dict[str, str] = {
     "tier_histogram": build("select automation_tier, count(*) as activities from au group by 1", "au"),
     **{r.lower().replace("-", ""): build(f"select case_id, rule_name, passed, severity, detail from ch where rule_id = '{r}'", "ch") for r in RULE_IDS},
     "compliance_checks": build("select * from ch", "ch"),
+    "ordered_checks": build("select * from dc", "dc"),
     "compliance_scores": build("select * from sc", "sc", ("compliance_score",)),
     "fact_event_log": build("""select case_id, activity, ts, event_seq, cast(date as varchar) as date, hour, day_of_week, is_weekend, is_business_hours, resource, resource_type, event_value, event_order, time_since_prev_event,
         process_stage, flow_type, company, vendor from lg join (select case_id, flow_type, company, vendor from ct) using (case_id)""", "lg,ct", ("event_value", "time_since_prev_event")),

@@ -27,6 +27,8 @@ class OrderedSteps(StatefulProcessor):
     that comes after such a rest starts the case anew in any case, so results do not depend on when timers fire.
     """
 
+    columns = COLUMNS
+
     def __init__(self, idle_ms: int | None):
         self.idle_ms = idle_ms
 
@@ -45,17 +47,15 @@ class OrderedSteps(StatefulProcessor):
                 first = min([e[0] for e in events] + ([] if first is None else [first]))
         if first is not None:
             self.handle.registerTimer(max(_ms(first), mark + 1))
-        yield pd.DataFrame([], columns=COLUMNS)
+        yield pd.DataFrame([], columns=self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs()
         events = sorted(tuple(e) for e in self.waiting.get()) if self.waiting.exists() else []
         final, rest = [e for e in events if _ms(e[0]) < mark], [e for e in events if _ms(e[0]) >= mark]
         before, out = tuple(self.last.get()) if self.last.exists() else None, []
-        for e in final:
-            if before is not None and (self.idle_ms is None or e[0] - before[0] <= 1000 * self.idle_ms):
-                out.append((key[0], before[2], e[2], e[0], e[0] - before[0]))
-            before = e
+        if final:
+            out, before = self.pass_on(key[0], before, final), final[-1]
         if final:
             self.last.update(before)
         if rest:
@@ -67,9 +67,22 @@ class OrderedSteps(StatefulProcessor):
             if before is not None and self.idle_ms is not None:
                 if _ms(before[0]) + self.idle_ms < mark:
                     self.last.clear()
+                    self.forget()
                 else:
                     self.handle.registerTimer(max(_ms(before[0]) + self.idle_ms, mark + 1))
-        yield pd.DataFrame(out, columns=COLUMNS)
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def goes_on(self, before: tuple | None, event: tuple) -> bool:
+        """Does the event belong to the case that ``before`` was part of?"""
+        return before is not None and (self.idle_ms is None or event[0] - before[0] <= 1000 * self.idle_ms)
+
+    def pass_on(self, case_id: str, before: tuple | None, final: list[tuple]) -> list[tuple]:
+        """The result rows of events (t, event_seq, activity) that nothing can overtake any more, in their order."""
+        pairs = zip([before, *final], final)
+        return [(case_id, a[2], b[2], b[0], b[0] - a[0]) for a, b in pairs if self.goes_on(a, b)]
+
+    def forget(self) -> None:
+        """Clear what a subclass keeps of an idle case."""
 
 
 def ordered_transitions(events: DataFrame, late: str = "1 hour", idle_days: float | None = 365.0) -> DataFrame:
