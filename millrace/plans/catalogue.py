@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DateType, DoubleType
 
+from millrace.model import BRONZE_EVENTS
 from millrace.operators import automata, automation, conformance, discovery, enrich, graphs, marts, quality, sequences, sketches, sla, throughput
 from millrace.plans import export
 from millrace.plans.context import Log
 from millrace.plans.oracles import RULE_IDS
-from millrace.sources import adapter, xes
+from millrace.sources import adapter, xes, xes_format
 from millrace.sources.tables import scratch, test_table, written
 from millrace.streaming.dfg import sessions
 
@@ -77,6 +78,15 @@ def _xes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("case_id", "activity", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "resource", "event_value", "event_seq")
 
 
+def _xes_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written as XES and read back by the registered format, in ranges of 64 KiB."""
+    path = f"{scratch(spark)}/millrace-xes-{uuid.uuid4().hex}"
+    xes.write_xes(adapter.events(spark, sf_dir), path)
+    xes_format.register(spark)
+    back = spark.read.format("xes").option("rangeBytes", 1 << 16).schema(BRONZE_EVENTS).load(path)
+    return back.select("case_id", "activity", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "resource", "event_value", "event_seq")
+
+
 def _score_metrics(x: Log) -> DataFrame:
     rows = x.summary.select((F.col("sla_risk") != "low").cast("int").alias("target"), F.round(F.col("event_count") / F.lit(6.0), 6).alias("sla_risk_score"))
     return sla.metrics(rows)
@@ -207,5 +217,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _over_log(f)
     "conversation_variants": lambda spark, d: plain(_conversation_variants(spark, d)),
     "conversation_dfg": lambda spark, d: plain(_conversation_dfg(spark, d)),
     "xes_roundtrip": lambda spark, d: plain(_xes_roundtrip(spark, d)),
+    "xes_format": lambda spark, d: plain(_xes_format(spark, d)),
     "user_sessions": lambda spark, d: sessions(test_table(spark, d, "events"), "user_id", "ts", "6 hours"),
 }

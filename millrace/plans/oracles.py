@@ -315,6 +315,8 @@ ORACLES: dict[str, str] = {
         where b is not null group by all""", "cv"),
     "xes_roundtrip": build("""select case_id, activity, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts, resource, event_value,
         row_number() over (partition by case_id order by ts, event_seq) - 1 as event_seq from ev""", "ev", ("event_value",)),
+    "xes_format": build("""select case_id, activity, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts, resource, event_value,
+        row_number() over (partition by case_id order by ts, event_seq) - 1 as event_seq from ev""", "ev", ("event_value",)),
     "user_sessions": """with g as (select user_id, ts, case when date_sub('microsecond', lag(ts) over w, ts) < 6 * 3600 * 1000000::bigint then 0 else 1 end as n from events window w as (partition by user_id order by ts, event_id)),
         s as (select user_id, ts, sum(n) over (partition by user_id order by ts rows unbounded preceding) as k from g)
         select user_id, min(ts) as session_start, max(ts) + interval 6 hour as session_end, count(*) as events from s group by user_id, k""",
