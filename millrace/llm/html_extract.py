@@ -7,6 +7,7 @@
 3. Chrome goes, and shared lines go where they are template:
    * Where no article is declared, shared lines before the first and after the last open line of the page's own; shared
      ones between are prose that repeats.  A neighbour with the same lines is a copy and tells nothing.
+   * Declared articles are the text unless open lines of the page's own are more than twice as long (the articles are teasers then).
    * Inside a declared article (article, main), the lines at its beginning and end that both neighbours share and that
      stand in articles of half of the host's pages, three at least ("Share this", "More on this site").  A neighbour that shares
      over half of the article is a copy and tells nothing.  What only some pages repeat, or what stands in the middle, stays:
@@ -45,12 +46,20 @@ CHROME_NAMES = frozenset(
     "menu nav navbar navigation breadcrumb breadcrumbs pagination pager sidebar sidebars sidenav widget widgets footer masthead "
     "topbar toolbar comment comments commentlist disqus reply replies respond discussion share sharing social related recommended "
     "recommendations trending login search skip skiplink copyright legal alert disclaimer".split())
-#: Those that are also titles or kinds of sections: inside an article they mark nothing.
-CHROME_NAMES_OUTSIDE = frozenset(
-    "ad alert banner copyright discussion disclaimer footer header legal login masthead notice notices promotion related "
-    "recommendations recommended replies reply respond search sharing skip social subscription toolbar trending".split())
-#: Inside an article these words count only as a whole class (not as an id, nor as a part of a name).
-WHOLE_INSIDE = frozenset("ad adv alert banner promotion related recommended share sharing social".split())
+#: Words of layout: a name made up of chrome and layout words only ("site-notice", "ad-box") marks chrome inside an article, any other
+#: word makes it the name of content ("tasting-menu", "newsletter-history").
+LAYOUT_NAMES = frozenset(
+    "box container wrapper wrap inner outer list block section area bar row col column unit slot site page post posts article articles "
+    "label top bottom left right main global link links item items icon icons button buttons form panel group module count".split())
+#: Words that may follow a chrome word, but do not stand before it ("comment-text", not "text-overlay").
+FOLLOWING_NAMES = frozenset("text content body author meta date title heading header cta media network networks policy this now stories news topics close image".split())
+#: Words that are also titles: on a paragraph, a heading or a section of an article they mark nothing as an id, nor these as a class.
+TITLE_IDS = frozenset(
+    "alert banner copyright discussion disclaimer footer legal login masthead notice notices promotion related recommendations recommended "
+    "replies reply respond search sharing skip social subscription toolbar trending".split())
+TITLE_CLASSES = TITLE_IDS - frozenset("alert banner promotion related recommended sharing social".split())
+PROSE_TAGS = frozenset("p section h1 h2 h3 h4 h5 h6 li dt dd blockquote figure figcaption".split())
+COMMENT_NAMES = frozenset("comment comments reply replies".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Elements that end the block before them and start a new one.
 BLOCKS = frozenset(
@@ -62,27 +71,36 @@ ENDS_P = BLOCKS - {"body", "html"}
 NAME = re.compile(r"[a-z0-9]+")
 
 
-def _named_chrome(name: str, value: str, inside: bool) -> bool:
-    """Does a class or id mark chrome?  Inside an article, words that also name sections count as a whole class only."""
-    words = NAME.findall(value)
+def _only_chrome(words: list[str]) -> bool:
+    """Do the words of one name speak of chrome and layout only?"""
+    words = [w.rstrip("0123456789") for w in words]
+    chrome = [w in CHROME_NAMES for w in words]
+    rest = LAYOUT_NAMES | FOLLOWING_NAMES if chrome[:1] == [True] else LAYOUT_NAMES
+    return any(chrome) and all(c or not w or w in rest for w, c in zip(words, chrome))
+
+
+def _named_chrome(tag: str, name: str, value: str, inside: bool) -> bool:
+    """Does a class or id mark chrome?  Outside an article any chrome word does; inside it, a name of chrome and layout words only."""
     if not inside:
-        return not CHROME_NAMES.isdisjoint(words)
-    if any(w in CHROME_NAMES and w not in CHROME_NAMES_OUTSIDE for w in words):
-        return True
-    return name == "class" and not WHOLE_INSIDE.isdisjoint(value.split())
+        return not CHROME_NAMES.isdisjoint(NAME.findall(value))
+    titles = (TITLE_CLASSES if name == "class" else TITLE_IDS) if tag in PROSE_TAGS else frozenset()
+    return any(_only_chrome(NAME.findall(v)) for v in value.split() if v not in titles)
 
 
 def _zone(tag: str, attrs: str, outer: int) -> int:
     """Zone of the lines inside an element, given that of its parent."""
-    if outer == CHROME or tag in CHROME_TAGS:
+    if outer == CHROME or (tag in CHROME_TAGS and not (tag == "label" and outer == ARTICLE)):
         return CHROME
     if attrs.strip():
         for name, a, b, c in ATTR.findall(attrs):
             name, value = name.lower(), html.unescape(a or b or c).lower()
             if name in ("class", "id"):
-                if tag not in ("body", "html", "main", "article") and _named_chrome(name, value, outer == ARTICLE):
+                if tag in ("main", "article"):  # a comment or a teaser as an article of its own
+                    if (outer == ARTICLE or not COMMENT_NAMES.isdisjoint(NAME.findall(value))) and _named_chrome(tag, name, value, True):
+                        return CHROME
+                elif tag not in ("body", "html") and _named_chrome(tag, name, value, outer == ARTICLE):
                     return CHROME
-                if outer != ARTICLE and value.strip() in ("header", "site-header", "page-header"):
+                if value.strip() in ("site-header", "page-header") or (outer != ARTICLE and value.strip() == "header"):
                     return CHROME
             elif name == "role":
                 if value in CHROME_ROLES:
@@ -285,12 +303,23 @@ def shared_flags(own: list[int], sides: list[tuple[str, list[int]]], path: str,
     return bytes(NEAREST * aligned[nearest][k] | (BOTH if both and own[k] in common and aligned[0][k] and aligned[1][k] else 0) for k in range(len(own)))
 
 
+#: Open text of its own over that many times as long as the declared articles is the text, the articles are teasers.
+TEASERS = 2
+
+
+def content_zone(lines: list[str], zones: list[int], shared: list[bool]) -> int:
+    """The zone of the main text: the declared article, unless lines that no neighbour shares outweigh it outside."""
+    size = {z: sum(len(x) for x, y, f in zip(lines, zones, shared) if y == z and not (f and z == OPEN)) for z in (ARTICLE, OPEN)}
+    return ARTICLE if ARTICLE in zones and size[OPEN] <= TEASERS * size[ARTICLE] else OPEN
+
+
 def main_text(lines: list[str], zones: list[int], flags: bytes) -> list[str]:
-    """Lines that stay: the declared article's, or else the open ones, without the template that the flags tell (see above).
+    """Lines that stay: first go those that the flags tell to be template (see above), then those outside the zone of the text.
 
     A neighbour that shares every open line tells nothing of a template: all open lines stay.
     """
-    zone, bit = (ARTICLE, BOTH) if ARTICLE in zones else (OPEN, NEAREST)
+    zone = content_zone(lines, zones, [bool(f & NEAREST) for f in flags])
+    bit = BOTH if zone == ARTICLE else NEAREST
     rows = [(x, f & bit) for x, z, f in zip(lines, zones, flags) if z == zone]
     own = [k for k, (_, f) in enumerate(rows) if not f] or [0, len(rows) - 1]
     return [x for x, _ in rows[own[0]:own[-1] + 1]]
@@ -315,7 +344,7 @@ def _keys(batches):
              pa.array([_hashes(*lines_of(p)) for p in page], pa.list_(pa.int64()))], names=["rid", "host", "path", "hashes"])
 
 
-RESULT = "page_id long, url string, text string, n_chars long, n_lines long, n_shared long, n_template long"
+RESULT = "page_id long, url string, text string, n_chars long, n_lines long, n_shared long, n_template long, n_differenced long, n_zoned long"
 
 
 def _aligned(batches):
@@ -329,23 +358,29 @@ def _aligned(batches):
 
 def _extract(batches):
     for batch in batches:
-        out = [[] for _ in range(5)]
+        out = [[] for _ in range(7)]
         for page, flags in zip(*[c.to_pylist() for c in batch.columns[2:]]):
             lines, zones = lines_of(page)
             flags = flags or bytes(len(lines))
             kept = main_text(lines, zones, flags)
             text, whole = "\n\n".join(kept), main_text(lines, zones, bytes(len(lines)))
-            for col, x in zip(out, (text, len(text), len(lines), sum(f & NEAREST for f in flags), len(whole) - len(kept))):
+            # shared lines that are not in the text fall to the alignment, the other ones that are not there to the zones
+            zone = content_zone(lines, zones, [bool(f & NEAREST) for f in flags])
+            shared = sum(bool(f & NEAREST) for f in flags)
+            differenced = sum(bool(f & NEAREST) for f, z in zip(flags, zones) if z != zone) + len(whole) - len(kept)
+            for col, x in zip(out, (text, len(text), len(lines), shared, len(whole) - len(kept), differenced, len(lines) - len(kept) - differenced)):
                 col.append(x)
-        types = (pa.string(), *[pa.int64()] * 4)
+        types = (pa.string(), *[pa.int64()] * 6)
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(c, t) for c, t in zip(out, types)]],
-                                         names=["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "n_template"])
+                                         names=[f.split()[0] for f in RESULT.split(", ")])
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
-    """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars, n_lines, n_shared, n_template.
+    """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars, n_lines, n_shared, n_template,
+    n_differenced, n_zoned.
 
-    n_shared: lines of the page, in any zone, that its nearest neighbour shares; n_template: lines that the differencing took out.
+    n_shared: lines of the page, in any zone, that its nearest neighbour shares; n_template: lines of the text's zone that the differencing
+    took out; n_differenced: all lines that it takes out, wherever they stand; n_zoned: the lines that go by their zone alone.
     Blocks are joined by an empty line; null html counts as empty (text empty); a null or odd URL is a host of its
     own kind ('').  Identical rows count as one page when pages are paired and each gives a row; a page alone on its
     host shares nothing.  Other columns are ignored; an empty table gives an empty result.
@@ -417,16 +452,16 @@ def brute_force(pages: list[tuple[int, str | None, str | None]]) -> dict[int, st
     for k, (host, path, own, page_id, lines, zones) in enumerate(rows):
         sides = [rows[i] for i in (k - 1, k + 1) if 0 <= i < len(rows) and rows[i][0] == host and rows[i][2] != own]
         shares = [aligned(own, s[2]) for s in sides]
-        content = ARTICLE if ARTICLE in zones else OPEN
+        near = max(range(len(sides)), key=lambda i: _common(sides[i][1], path), default=None)
+        content = content_zone(lines, zones, [False] * len(own) if near is None else shares[near])
         at = [i for i, z in enumerate(zones) if z == content]
         if content == ARTICLE:
             known = len(sides) == 2 and all(2 * sum(a[i] for i in at) <= len(at) for a in shares)
             common = [seen[host, own[i]] >= max(COMMON_PAGES, COMMON_SHARE * pages_of[host]) for i in at]
             gone = [known and c and all(a[i] for a in shares) for i, c in zip(at, common)]
         else:
-            near = max(range(len(sides)), key=lambda i: _common(sides[i][1], path), default=None)
             gone = [near is not None and shares[near][i] for i in at]
-        if not all(gone):
+        if at and not all(gone):
             while gone[0]:
                 del gone[0], at[0]
             while gone[-1]:

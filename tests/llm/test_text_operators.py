@@ -118,6 +118,42 @@ def test_texts_of_pages(page, want):
     assert text_of(page) == want
 
 
+INSIDE = '<article><p>before</p>{}<p>after</p></article>'
+
+
+@pytest.mark.parametrize("part", [
+    '<section id="tasting-menu"><p>it</p></section>', '<section id="comments-on-history"><p>it</p></section>', '<section class="widgets-overview"><p>it</p></section>',
+    '<p id="newsletter-history">it</p>', '<div class="text-overlay"><p>it</p></div>', "<p><label>it</label></p>", '<h2 id="discussion">it</h2>'])
+def test_content_of_an_article_stays(part):
+    assert text_of(INSIDE.format(part)) == ["before", "it", "after"]
+
+
+@pytest.mark.parametrize("part", [
+    '<div class="ad-box">it</div>', '<div id="ad">it</div>', '<div class="related-posts">it</div>', '<div class="notice">it</div>', '<div class="site-notice">it</div>',
+    '<div class="replies"><p>it</p></div>', '<div id="discussion">it</div>', '<div class="login">it</div>', '<div class="footer">it</div>',
+    '<header class="site-header">it</header>', '<span class="ad-label">it</span>', '<article class="comment"><p>it</p></article>', '<div id="ad-slot-3">it</div>',
+    '<div class="comment__body comment-text">it</div>', "<form><label>it</label></form>"])
+def test_chrome_inside_an_article_goes(part):
+    assert text_of(INSIDE.format(part)) == ["before", "after"]
+    assert text_of(INSIDE.format(part).replace("article>", "main>", 1).replace("</article></article>", "</article></main>")) == ["before", "after"]
+
+
+def test_teasers_are_not_the_text():
+    teaser = "<section><article><h3>Teaser</h3></article></section>"
+    assert text_of(f'<body><div class="content"><p>the real story</p></div>{teaser}</body>') == ["the real story"]
+    assert text_of(f"<body><p>short</p>{teaser}</body>") == ["Teaser"]
+    lines, zones = html_extract.lines_of(f"<body><p>a site's long slogan</p>{teaser}</body>")
+    assert html_extract.main_text(lines, zones, bytes([html_extract.NEAREST, 0])) == ["Teaser"]  # the neighbour has the slogan, too
+    assert text_of("<body><article><p>story</p></article><article class='comment'><p>first!</p></article></body>") == ["story"]
+
+
+def test_lines_are_told_apart_by_what_takes_them_out(spark):
+    page = "<nav>home</nav><article><p>{0}</article><div class='ad'>{1}</div><footer>(c)</footer>"
+    rows = [(k, f"http://a.x/{k}", page.format(prose(k, 6), prose(k + 50, 4))) for k in range(5)]
+    got = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r.n_lines, r.n_differenced, r.n_zoned, r.n_template) for r in got} == {(4, 2, 1, 0)} and all(r.text == prose(r.page_id, 6) for r in got)
+
+
 def test_long_pages():
     words = " ".join(f"w{k}" for k in range(50_000))
     assert text_of(f"<article><p>{words}</p></article>") == [words]
