@@ -26,7 +26,7 @@ def tokenizer_bytes(name: str = PIECES, folder: str = TOKENIZERS) -> bytes:
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov of every document."""
-    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"), min_chars=16)  # bound by the curve in the README
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"), "n_markov")
 

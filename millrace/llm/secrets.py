@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns plus two character Markov models compared by log-likelihood ratio.
 
-One model is trained on random strings, the other on ordinary identifiers (labelled samples).  A token of an
-unbroken secret alphabet is a secret when random strings explain it better than identifiers by a margin, and by nothing
-else: its classes of characters do not count.
+One model is trained on random strings, the other on ordinary identifiers (labelled samples).  Each side is a mixture: a model for each kind of
+characters that its samples use, and one for all.  A token of an unbroken secret alphabet is a secret when random strings explain it better
+than ordinary ones by a margin, and by nothing else.
 Row-local: no shuffle at all, memory of one text per worker.
 """
 
@@ -14,6 +14,7 @@ import random
 import re
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,58 +46,118 @@ IDENTIFIER_WORDS = (
 ).split()
 
 
+#: Parts of words of several languages, from which long ordinary words are put together for training.
+WORD_PARTS = (
+    "ver sicher ung schaft keit heit lich haft kraft fahr zeug pflicht arbeit geber nehmer gesell amt rechts schutz bund straf buch wirt haupt "
+    "mann wort zahl gegen stand zwischen bau werk stell leit ungs mente cion dad ment tion able isme aire eur ista ador anti contra inter super "
+    "trans pre des constitu administr naci responsab gouverne electro encefalo grafi wyswietl anie uzytk ownik owie ski prze nie czy szcz rodz owa "
+    "pol przy wiel zapis llan pwll gwyn gyll goger chwyrn drob trefn iaeth ll ddwy jarvi nen kku tta vaara lentokone suihku turbiini apu meka nikko "
+    "over heid aanspra kelijk waar digheid onder zoek bestuurs uitvoer samen stelling ing ness less ship ful counter"
+).split()
+
+
+def _ordinary(k: int, rng: random.Random) -> str:
+    """The ``k``-th kind of ordinary string: names in several styles, long words, paths, rules, runs, repeated patterns, dates and counters."""
+    words = [rng.choice(IDENTIFIER_WORDS) for _ in range(rng.randint(2, 7))]
+    word = lambda: "".join(rng.choice(WORD_PARTS) for _ in range(rng.randint(3, 8)))
+    name = ("_".join(words), "-".join(words), "".join(w.title() for w in words), "_".join(words).upper(), "/".join(words),
+            words[0] + "".join(w.title() for w in words[1:]))
+    if k % 12 < 6:
+        return name[k % 12] + (f"{rng.choice('_-')}{rng.randint(0, 2030)}" if rng.random() < 0.3 else "")
+    if k % 12 < 9:
+        text = (word(), word().capitalize(), rng.choice("/-").join(word() for _ in range(rng.randint(2, 4))))[k % 12 - 6]
+        return text.upper() if rng.random() < 0.1 else text
+    if k % 12 == 9:
+        return rng.choice(ALPHABET) * rng.randint(20, 80)
+    if k % 12 == 10:
+        unit = "".join(rng.choice("-_=+/" if rng.random() < 0.5 else rng.choice(words)) for _ in range(rng.randint(2, 4)))
+        return unit * rng.randint(8, 20)
+    date = f"{rng.randint(1990, 2035)}{rng.randint(1, 12):02d}{rng.randint(1, 28):02d}"
+    return rng.choice([date + f"{rng.randint(0, 23):02d}{rng.randint(0, 59):02d}{rng.randint(0, 59):02d}000000", f"{rng.randint(0, 99999):024d}",
+                       "1234567890" * 3, f"{date[:4]}-{date[4:6]}-{date[6:]}/{rng.randint(1, 999):08d}"])
+
+
 def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
-    """``n`` random strings (label 1) and ``n`` ordinary identifiers (label 0), the same for the same seed."""
+    """``n`` random strings (label 1) and ``n`` ordinary ones (label 0), the same for the same seed."""
     rng, out = random.Random(seed), []
     alphabets = [ALPHABET[:62], ALPHABET[:62] + "+/", ALPHABET[:62] + "_-", "0123456789abcdef",
                  "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", ALPHABET[26:62]]
     for k in range(n):
         letters = alphabets[k % len(alphabets)]
         out.append(("".join(rng.choice(letters) for _ in range(rng.randint(20, 64))), 1))
-        words = [rng.choice(IDENTIFIER_WORDS) for _ in range(rng.randint(2, 7))]
-        style = k % 6
-        name = ("_".join(words), "-".join(words), "".join(w.title() for w in words), "_".join(words).upper(),
-                "/".join(words), words[0] + "".join(w.title() for w in words[1:]))[style]
-        out.append((name + (f"{rng.choice('_-')}{rng.randint(0, 2030)}" if rng.random() < 0.3 else ""), 0))
+        out.append((_ordinary(k, rng), 0))
     return out
 
 
+CODES = np.full(256, len(ALPHABET), np.int64)
+CODES[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
+
+
+def codes(text: str) -> np.ndarray:
+    """The characters' states, after the state of the beginning; characters outside ALPHABET share one."""
+    return np.concatenate([[len(ALPHABET) + 1], CODES[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]])
+
+
 class MarkovModel:
-    """First-order character model over ALPHABET with add-``k`` smoothing; other characters share one state."""
+    """First-order character model over ALPHABET; transitions are smoothed by ``weight`` draws of the characters' own frequencies (plus ``k``)."""
 
-    def __init__(self, texts: Iterable[str], k: float = 0.5):
-        n = len(ALPHABET) + 1
-        self.code = {c: i for i, c in enumerate(ALPHABET)}
-        counts = [[k] * n for _ in range(n + 1)]
+    def __init__(self, texts: Iterable[str], weight: float = 4.0, k: float = 0.5):
+        n = len(ALPHABET) + 2
+        counts = np.zeros((n, n - 1))
         for t in texts:
-            last = n
-            for c in t:
-                now = self.code.get(c, n - 1)
-                counts[last][now] += 1
-                last = now
-        self.logp = [[math.log(x / sum(row)) for x in row] for row in counts]
+            c = codes(t)
+            np.add.at(counts, (c[:-1], c[1:]), 1)
+        single = (counts.sum(0) + k) / (counts.sum() + k * (n - 1))
+        self.logp = np.log((counts + weight * single) / (counts.sum(1, keepdims=True) + weight))
 
     def score(self, text: str) -> float:
         """Log probability of the text."""
-        last, total, n = len(ALPHABET) + 1, 0.0, len(ALPHABET)
-        for c in text:
-            now = self.code.get(c, n)
-            total += self.logp[last][now]
-            last = now
-        return total
+        c = codes(text)
+        return float(self.logp[c[:-1], c[1:]].sum())
+
+
+def character_classes(text: str) -> tuple[bool, ...]:
+    """Which kinds of characters occur: a-f, g-z, A-F, G-Z, digits, others."""
+    return tuple(re.search(p, text) is not None for p in ("[a-f]", "[g-z]", "[A-F]", "[G-Z]", "[0-9]", "[^A-Za-z0-9]"))
+
+
+class MarkovMixture:
+    """Markov models of the samples by their kinds of characters, and one of all of them, each weighted by its share of the samples.
+
+    Kinds with under ``least`` of the samples are in the common one only.
+    """
+
+    def __init__(self, texts: Iterable[str], least: float = 0.02):
+        groups: dict[tuple, list[str]] = {}
+        texts = list(texts)
+        for t in texts:
+            groups.setdefault(character_classes(t), []).append(t)
+        large = [g for g in groups.values() if len(g) >= least * len(texts)]
+        total = len(texts) + sum(map(len, large))
+        self.parts = [(math.log(max(len(g), 1) / max(total, 1)), MarkovModel(g)) for g in [texts, *large]]
+
+    def score(self, text: str) -> float:
+        return float(np.logaddexp.reduce([w + m.score(text) for w, m in self.parts]))
+
+
+def repeated_unit(text: str, longest: int = 64) -> str | None:
+    """The shortest unit of at most ``longest`` characters that makes up the text three times or more (the last time perhaps cut), or None."""
+    return next((text[:p] for p in range(1, min(longest, len(text) // 3) + 1) if text[p:] == text[:-p]), None)
 
 
 class SecretModel:
-    """The pair of models; ``ratio`` is log P(random) - log P(identifier)."""
+    """The pair of mixtures; ``ratio`` is log P(random) - log P(ordinary).  A repeated unit is as ordinary as one copy of it is."""
 
     def __init__(self, samples: Iterable[tuple[str, int]], margin: float = MARGIN):
         samples = [(t or "", int(y or 0)) for t, y in samples]
-        self.random = MarkovModel(t for t, y in samples if y)
-        self.ordinary = MarkovModel(t for t, y in samples if not y)
+        self.random = MarkovMixture(t for t, y in samples if y)
+        self.ordinary = MarkovMixture(t for t, y in samples if not y)
         self.margin = margin
 
     def ratio(self, text: str) -> float:
-        return self.random.score(text) - self.ordinary.score(text)
+        unit = repeated_unit(text)
+        copied = -math.inf if unit is None else self.ordinary.score(unit) - math.log(len(text))
+        return self.random.score(text) - max(self.ordinary.score(text), copied)
 
     def is_secret(self, text: str) -> bool:
         return self.ratio(text) > self.margin

@@ -118,6 +118,25 @@ def test_texts_of_pages(page, want):
     assert text_of(page) == want
 
 
+@pytest.mark.parametrize("text", [
+    "-" * 20, "_" * 25, "=" * 30, "a" * 25, "x" * 22, "=-" * 11, "-yp" * 12, "Kraftfahrzeughaftpflichtversicherung", "Llanfairpwllgwyngyllgogerychwyrndrobwll",
+    "wyswietlanie/uzytkownikow", "Donaudampfschifffahrtsgesellschaft", "electroencefalografista", "antidisestablishmentarianism",
+    "/usr/local/share/doc/python3/README", "https-www-example-com-about-us", "550e8400-e29b-41d4-a716-446655440000", "20240131120000000001"])
+def test_ordinary_strings_are_no_secrets(text):
+    assert not secrets.SecretModel(secrets.labelled_samples()).is_secret(text)
+
+
+@pytest.mark.parametrize("alphabet, least", [(secrets.ALPHABET[:62], 0.97), (secrets.ALPHABET[:64], 0.97), ("0123456789abcdef", 0.93), ("0123456789ABCDEF", 0.93),
+                                             ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.95)])
+def test_random_strings_of_twenty_characters_are_secrets(alphabet, least):
+    model, rng = secrets.SecretModel(secrets.labelled_samples()), random.Random(3)
+    assert sum(model.is_secret("".join(rng.choice(alphabet) for _ in range(20))) for _ in range(300)) >= 300 * least
+
+
+def test_repeated_units():
+    assert [secrets.repeated_unit(t) for t in ("aaa", "aa", "abcabcab", "abcabcabca", "", "abcd" * 3, "x" * 70 + "y")] == ["a", None, None, "abc", None, "abcd", None]
+
+
 INSIDE = '<article><p>before</p>{}<p>after</p></article>'
 
 
