@@ -1,4 +1,4 @@
-"""Expressions that Spark lacks: exact group quantiles that scale, null-keeping clip, entropy, distinct with nulls."""
+"""Expressions that Spark lacks: exact group quantiles that scale, null-keeping clip, text of fixed places, entropy, distinct with nulls."""
 
 from __future__ import annotations
 
@@ -25,6 +25,23 @@ def clip(c: Column, low: float, high: float) -> Column:
     return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
 
 
+def fixed(c: Column, places: int) -> Column:
+    """A number from zero up as text with ``places`` decimals, as C's printf rounds: by its exact binary value, exact ties to even.
+
+    Java's formats and Spark's round take its shortest decimals and go half up: 73440 s are 0.85 days, whose double lies below 0.85.
+    """
+    unit, bits = 10 ** places, F.lit(float(1 << 26))
+    whole = F.floor(c)
+    part = c - whole
+    high = F.floor(part * bits) / bits  # few enough bits that its product with the unit is exact, and so is that of the rest near a tie
+    down = F.floor(high * F.lit(float(unit)))
+    over = (high * F.lit(float(unit)) - down - F.lit(0.5)) + (part - high) * F.lit(float(unit))
+    units = whole * unit + down
+    units = units + F.when((over > 0) | ((over == 0) & (units % 2 == 1)), 1).otherwise(0)
+    rest = units % unit
+    return F.concat(((units - rest) / unit).cast("long").cast("string"), F.lit("."), F.lpad(rest.cast("string"), places, "0"))
+
+
 def distinct_with_null(name: str) -> Column:
     """Distinct values where null counts as one."""
     return F.count_distinct(name) + F.max(F.col(name).isNull().cast("int"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.expr import distinct_with_null, group_quantiles
+from millrace.functions.expr import distinct_with_null, fixed, group_quantiles
 from millrace.model import Settings
 
 
@@ -33,7 +33,7 @@ RULES = {r.rule_id: r for r in (
 
 
 def _days(c: Column) -> Column:
-    return F.format_string("%.1f", c)
+    return fixed(c, 1)
 
 
 def _precedence(before: Column, after: Column, strict: bool, no_before: str, late: str, done: str, no_after: str | None, after_first: bool):

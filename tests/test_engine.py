@@ -214,3 +214,10 @@ def test_partitioning_changes_nothing(mini, spark, parts):
     other = Log(mini.events.repartition(parts), mini.attributes.repartition(parts), mini.settings)
     assert sorted(map(str, other.summary.collect())) == sorted(map(str, mini.summary.collect()))
     assert sorted(map(str, discovery.dfg_edges(other.steps).collect())) == sorted(map(str, discovery.dfg_edges(mini.steps).collect()))
+
+
+def test_fixed_places(spark):
+    seconds = spark.range(0, 4 * 86400).select((F.col("id") / F.lit(86400.0)).alias("x"))
+    more = spark.createDataFrame([(v,) for v in (0.125, 0.375, 0.005, 0.015, 1.005, 2.675, 9.995, 1234.125, 99999.95, 0.0, 0.999)] + [(None,)], "x double")
+    rows = seconds.union(more).select("x", expr.fixed(F.col("x"), 1).alias("one"), expr.fixed(F.col("x"), 2).alias("two")).collect()
+    assert [r for r in rows if (r.one, r.two) != ((None, None) if r.x is None else (f"{r.x:.1f}", f"{r.x:.2f}"))] == []
