@@ -221,3 +221,10 @@ def test_fixed_places(spark):
     more = spark.createDataFrame([(v,) for v in (0.125, 0.375, 0.005, 0.015, 1.005, 2.675, 9.995, 1234.125, 99999.95, 0.0, 0.999)] + [(None,)], "x double")
     rows = seconds.union(more).select("x", expr.fixed(F.col("x"), 1).alias("one"), expr.fixed(F.col("x"), 2).alias("two")).collect()
     assert [r for r in rows if (r.one, r.two) != ((None, None) if r.x is None else (f"{r.x:.1f}", f"{r.x:.2f}"))] == []
+
+
+def test_duration_limit_text_at_a_tie(make_log):
+    """0.85 and 0.95 days, whose doubles lie below, are 0.8 and 0.9 days in the text of CR-008, as in its SQL."""
+    events = [(f"c{k}", "view", h, "user_001") for k in range(30) for h in (0, 20.4)] + [("late", "view", h, "user_001") for h in (0, 22.8)]
+    x = make_log(events, [(c, TWO, "V", "D") for c in [*(f"c{k}" for k in range(30)), "late"]])
+    assert checks(x, "CR-008")["late"] == (False, "Duration 0.9d exceeds P95 0.8d")
