@@ -7,17 +7,17 @@ Which bytes are covered by a ``width``-byte string that also starts earlier?
    ``(width - anchor) / 2`` bytes).  A key that occurs once in the corpus belongs to no repeated window.
 2. Segments meet by key.  One whose whole content came earlier is covered; one of several different segments of a key
    may share only a part and goes on to the suffix array, with its text.
-3. A shard (all such segments of a range of keys, in corpus order) is sorted by external induced sorting, see
-   ``suffix_sort``: neighbours in suffix order with a common prefix of ``width`` are equal windows, all but the
-   first in corpus order are repeats.  A key with more than ``memory`` bytes of different segments (a short common
+3. A shard (all such segments of some whole keys, in corpus order, ``memory`` bytes of text at most) is sorted by external
+   induced sorting, see ``suffix_sort``: neighbours in suffix order with a common prefix of ``width`` are equal windows, all but
+   the first in corpus order are repeats.  A key with more than ``memory`` bytes of different segments (a short common
    line in many contexts) would be a shard that grows with the corpus: its windows are dealt by the hash of the whole
    window instead, and all but the first of equal ones are repeats.
 4. The covered spans of each document are merged and cut out.
 
 Scale: segments cross the network as 36-byte rows, the text twice at most through one reused exchange (once to fetch
 segments, once to cut); identical segments never meet as pairs; a very common passage is one sorted run that streams
-through its task, and so do the windows of a hot key; a suffix shard holds twice ``memory`` bytes of text at most and
-spills its queues to disk.
+through its task, and so do the windows of a hot key; a suffix shard holds ``memory`` bytes of text at most, however large
+the task, and spills its queues to disk.  Sorting takes about 100 bytes a byte of shard, in every task of an executor at once.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import U64, mixed, partitions, signed, staged, text_or_empty
 
 WIDTH, ANCHOR = 100, 40
+#: Bytes of text in a suffix shard.
+MEMORY = 2_000_000
 #: Windows of a segment at most (periodic texts would make endless ones).
 LONGEST = 512
 _BASES = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
@@ -251,8 +253,9 @@ def _repeats(width: int, memory: int):
     from millrace.llm.suffix_sort import repeated_windows
 
     def sort(batches):
-        rows: list[tuple] = []
-        held, last = 0, None
+        rows: list[tuple] = []  # of whole keys
+        same: list[tuple] = []  # of the key that is being read
+        held, more, last = 0, 0, None
 
         def solve(rows):
             rows.sort(key=lambda r: (r[1], r[2], r[3]))
@@ -264,12 +267,15 @@ def _repeats(width: int, memory: int):
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if held >= memory and row[0] != last:  # a shard ends only between keys
+                if row[0] != last:
+                    rows += same
+                    held, same, more, last = held + more, [], 0, row[0]
+                if rows and held + more + len(row[4]) > memory:  # a shard ends only between keys
                     yield solve(rows)
                     rows, held = [], 0
-                rows.append(row)
-                held += len(row[4])
-                last = row[0]
+                same.append(row)
+                more += len(row[4])
+        rows += same
         if rows:
             yield solve(rows)
 
@@ -298,7 +304,7 @@ def _cut(batches):
                                          names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def covered_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, memory: int = 16_000_000) -> tuple[DataFrame, DataFrame]:
+def covered_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, memory: int = MEMORY) -> tuple[DataFrame, DataFrame]:
     """(numbered documents (id, copy, text), spans (id, copy, start, stop) covered by an earlier string of ``width`` bytes)."""
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"),
@@ -333,7 +339,7 @@ def covered_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, mem
     return numbered, whole.unionByName(partial)
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, memory: int = 16_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, memory: int = MEMORY) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.
 
     Every byte covered by a ``width``-byte string that also starts earlier goes (smaller doc_id, or an earlier start in

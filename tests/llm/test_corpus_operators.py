@@ -105,6 +105,33 @@ def test_suffix_shards_are_bounded_when_a_line_is_common(documents, monkeypatch)
     assert sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in got) == sorted(want)
 
 
+def test_suffix_shards_hold_their_bound(monkeypatch):
+    """However much text a task gets, a shard holds ``memory`` bytes at most, whole keys, and the default leaves room for the sorts of an executor."""
+    import inspect
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def batches(sizes, width):
+        rng = random.Random(9)
+        rows = [(key, n, 0, 0, rng.randbytes(width)) for key, size in enumerate(sizes) for n in range(size // width)]
+        for at in range(0, len(rows), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at:at + 1000]), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
+                                             names=["key", "id", "copy", "first", "text"])
+
+    shards, plain = [], suffix_sort.repeated_windows
+    monkeypatch.setattr(suffix_sort, "repeated_windows", lambda parts, *a: shards.append(sum(map(len, parts))) or plain(parts, *a))
+    sizes = [900, 900, 100, 500, 400, 200, 1000, 700]
+    list(suffix_dedup._repeats(50, 1000)(batches(sizes, 50)))
+    assert shards == [900, 1000, 900, 200, 1000, 700]
+    memory = inspect.signature(suffix_dedup.remove_repeats).parameters["memory"].default
+    tracemalloc.start()
+    list(suffix_dedup._repeats(100, memory)(batches([1300] * 4000, 130)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6
+
+
 
 # --- lines
 @pytest.mark.parametrize("edits", [1, 2, 3])
