@@ -1,6 +1,6 @@
 """XES as a format of Spark's readers: ``spark.read.format("xes")`` and ``spark.readStream.format("xes")`` after ``register(spark)``.
 
-Large files are read in byte ranges: a range owns the traces that start in it.  Only the attributes of the asked-for schema are parsed.
+Large files are read in byte ranges: a range owns the traces that start in it.  Ranges are packed into tasks.  Only the attributes of the asked-for schema are parsed.
 A row carries the file and the byte at which its trace starts, which is its place in the log whatever the ranges.
 """
 
@@ -28,15 +28,25 @@ EVENTS, CASES = (StructType([StructField(f.name, f.dataType) for f in [*t.fields
 
 OPEN = re.compile(rb"<trace(?=[\s/>])")
 CLOSE = b"</trace>"
-#: Bytes read at once, bytes of a range, rows of a batch.
+#: Bytes read at once at most, bytes of a range, rows of a batch.
 BLOCK, RANGE, ROWS = 1 << 20, 64 << 20, 4096
+#: Tasks of a read: more ranges than these are packed, as far as a task's bytes stay under the bound.
+TASKS, TASK = 2048, 64 << 20
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     path: str
     start: int
     end: int | None  # None: to the end, for files that cannot be entered in the middle
+    size: int  # bytes, packed ones for such files
+
+
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads, range by range."""
+
+    ranges: list[Range]
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -56,8 +66,21 @@ def files(path: str) -> list[tuple[int, str, int]]:
 
 def ranges(path: str, size: int, width: int) -> list[Range]:
     if path.endswith(".gz"):
-        return [Range(path, 0, None)]
-    return [Range(path, a, min(a + width, size)) for a in range(0, size, width)]
+        return [Range(path, 0, None, size)]
+    return [Range(path, a, min(a + width, size), min(width, size - a)) for a in range(0, size, width)]
+
+
+def packed(parts: list[Range]) -> list[Ranges]:
+    """Ranges in their order as tasks: one each, or several where there are many, so that the cost of tasks does not grow with small ranges or files."""
+    most = min(TASK, sum(r.size for r in parts) // TASKS)
+    out, held = [], 0
+    for r in parts:
+        if not out or held + r.size > most:
+            out.append(Ranges([]))
+            held = 0
+        out[-1].ranges.append(r)
+        held += r.size
+    return out
 
 
 def traces(read: Callable[[int], bytes], start: int, end: int | None) -> Iterator[tuple[int, bytes]]:
@@ -66,38 +89,39 @@ def traces(read: Callable[[int], bytes], start: int, end: int | None) -> Iterato
     A range holds one trace and a block at a time.  Text is UTF-8; a comment or CDATA section that holds trace tags is not seen as such.
     A last trace without its end is not given.
     """
+    block = BLOCK if end is None else max(1 << 12, min(BLOCK, end - start))
     buffer, base, at, more = b"", start, 0, True  # base: offset of the buffer, at: searched up to here
 
-    def fill() -> bool:
-        nonlocal buffer, more
-        block = read(BLOCK) if more else b""
-        more = bool(block)
-        buffer += block
+    def fill(keep: int) -> bool:
+        """Read on, without what lies before ``keep``: once a block, not once a trace."""
+        nonlocal buffer, base, at, more
+        new = read(block) if more else b""
+        more = bool(new)
+        buffer, base, at = buffer[keep:] + new, base + keep, max(at - keep, 0)
         return more
 
     while True:
         tag = OPEN.search(buffer, at)
         if tag is None:
             keep = max(at, len(buffer) - len(b"<trace"))  # a tag may straddle two blocks
-            buffer, base, at = buffer[keep:], base + keep, 0
-            if end is not None and base >= end or not fill():
+            if end is not None and base + keep >= end or not fill(keep):
                 return
             continue
-        buffer, base, at = buffer[tag.start():], base + tag.start(), 0
-        if end is not None and base >= end:
+        at = tag.start()
+        if end is not None and base + at >= end:
             return
-        while (shut := buffer.find(b">")) < 0:
-            if not fill():
+        while (shut := buffer.find(b">", at)) < 0:
+            if not fill(at):
                 return
         stop = shut + 1
         if buffer[shut - 1:shut] != b"/":
             seen = stop
             while (close := buffer.find(CLOSE, seen)) < 0:
-                seen = max(stop, len(buffer) - len(CLOSE))
-                if not fill():
+                seen, stop = max(stop, len(buffer) - len(CLOSE)) - at, stop - at
+                if not fill(at):
                     return
             stop = close + len(CLOSE)
-        yield base, buffer[:stop]
+        yield base + at, buffer[at:stop]
         at = stop
 
 
@@ -162,9 +186,19 @@ class XesRows:
     def batch(self, rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], ARROW[type(f.dataType)]) for f in self.schema], names=self.schema.names)
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        system, inner = _opened(part.path)
+    def read(self, parts: list[Range]) -> Iterator[pa.RecordBatch]:
         rows = []
+        for part in parts:
+            for row in self.of_range(part):
+                rows.append(row)
+                if len(rows) == ROWS:
+                    yield self.batch(rows)
+                    rows = []
+        if rows:
+            yield self.batch(rows)
+
+    def of_range(self, part: Range) -> Iterator[dict]:
+        system, inner = _opened(part.path)
         if part.end is None:
             source = gzip.GzipFile(fileobj=system.open_input_stream(inner, compression=None))
         else:
@@ -172,25 +206,19 @@ class XesRows:
             source.seek(part.start)
         with source:
             for offset, text in traces(source.read, part.start, part.end):
-                for row in self.rows(part.path, offset, text):
-                    rows.append(row)
-                    if len(rows) == ROWS:
-                        yield self.batch(rows)
-                        rows = []
-        if rows:
-            yield self.batch(rows)
+                yield from self.rows(part.path, offset, text)
 
 
 class XesReader(DataSourceReader):
     def __init__(self, rows: XesRows, path: str, width: int):
         self.rows, self.path, self.width = rows, path, width
 
-    def partitions(self) -> list[Range]:
-        return [r for _, path, size in files(self.path) for r in ranges(path, size, self.width)]
+    def partitions(self) -> list[Ranges]:
+        return packed([r for _, path, size in files(self.path) for r in ranges(path, size, self.width)])
 
-    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges | None) -> Iterator[pa.RecordBatch]:
         if partition is not None:  # None: a folder without logs
-            yield from self.rows.read(partition)
+            yield from self.rows.read(partition.ranges)
 
 
 class XesStreamReader(DataSourceStreamReader):
@@ -209,12 +237,12 @@ class XesStreamReader(DataSourceStreamReader):
         found = files(self.path)
         return {"changed": found[-1][0], "path": found[-1][1]} if found else self.initialOffset()
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
         low, high = ((o["changed"], o["path"]) for o in (start, end))
-        return [r for changed, path, size in files(self.path) if low < (changed, path) <= high for r in ranges(path, size, self.width)]
+        return packed([r for changed, path, size in files(self.path) if low < (changed, path) <= high for r in ranges(path, size, self.width)])
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        yield from self.rows.read(partition)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        yield from self.rows.read(partition.ranges)
 
     def commit(self, end: dict) -> None:
         """Logs stay where they are."""

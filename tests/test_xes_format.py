@@ -118,3 +118,23 @@ def test_stream_of_a_folder(spark, tmp_path):
     assert first == rows(xes.bronze_events(xes.read_traces(spark, str(folder)))) and run() == first  # nothing new, nothing twice
     (folder / "b.xes").write_text(log(3, 12))
     assert run() == rows(xes.bronze_events(xes.read_traces(spark, str(folder)))) != first
+
+
+def test_many_ranges_share_tasks(source, monkeypatch):
+    """Tasks stay bounded however small the ranges, each range is still read as one, and reads no further than it needs."""
+    monkeypatch.setattr(xes_format, "TASKS", 20)
+    wanted = xes_format.XesRows(xes_format.EVENTS, "events")
+
+    def tasks(width):
+        reader = xes_format.XesReader(wanted, str(source), width)
+        parts = reader.partitions()
+        return len(parts), [row for p in parts for batch in reader.read(p) for row in batch.to_pylist()]
+
+    whole = tasks(1 << 20)
+    assert whole[0] == 1
+    for width in (97, 1000):
+        n, got = tasks(width)
+        assert n <= 30 and got == whole[1]
+    stream = io.BytesIO(source.read_bytes() * 40)
+    list(xes_format.traces(stream.read, 0, 50_000))
+    assert stream.tell() <= 150_000
