@@ -89,14 +89,14 @@ def traces(read: Callable[[int], bytes], start: int, end: int | None) -> Iterato
     A range holds one trace and a block at a time.  Text is UTF-8; a comment or CDATA section that holds trace tags is not seen as such.
     A last trace without its end is not given.
     """
-    block = BLOCK if end is None else max(1 << 12, min(BLOCK, end - start))
+    block = BLOCK if end is None else min(BLOCK, max(1 << 12, end - start))  # doubled by each read, for long traces
     buffer, base, at, more = b"", start, 0, True  # base: offset of the buffer, at: searched up to here
 
     def fill(keep: int) -> bool:
         """Read on, without what lies before ``keep``: once a block, not once a trace."""
-        nonlocal buffer, base, at, more
+        nonlocal buffer, base, at, more, block
         new = read(block) if more else b""
-        more = bool(new)
+        more, block = bool(new), min(BLOCK, 2 * block)
         buffer, base, at = buffer[keep:] + new, base + keep, max(at - keep, 0)
         return more
 
