@@ -9,8 +9,8 @@ lazily, state by state, and the tropical-semiring shortest path is its encoding.
 * Unigram models: an arc for a piece costs its negative score; the cheapest path wins.
 * BPE models: scores are merge ranks, which no sum of arc weights can order.  Their transducer remembers the
   last piece (one state per piece) and has an arc a -> b of weight 0 only where merging the characters of a+b by
-  rank leaves just the pieces a, b; all other arcs weigh infinity.  The same shortest path search runs on both kinds.  Merges cross a boundary of a whole
-  text only if they cross it for the two pieces beside it, so exactly one path is finite: the library's encoding.
+  rank leaves just the pieces a, b; all other arcs weigh infinity.  Merges cross a boundary of a whole text only if they cross it
+  for the two pieces beside it, so exactly one path is finite: the library's encoding.  It is searched depth first, the farthest arc first.
 
 Row-local: no shuffle; the model file's bytes travel with the tasks (bounded: a vocabulary).
 """
@@ -20,6 +20,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import struct
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,16 @@ UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 #: The start state, before any piece.
 START = -1
+#: Arcs over characters outside the vocabulary: this less their code point.
+OUTSIDE = -2
+#: Where a state of the piece machine keeps its arcs.
+ARCS = ""
+#: Below every rank.
+NEVER = float("-inf")
+
+
+def outside(c: str) -> int:
+    return OUTSIDE - ord(c)
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -95,7 +107,8 @@ class Encodings(dict):
     def __missing__(self, chunk: str) -> bytes:
         found = self.old.get(chunk)
         if found is None:
-            found = np.array(self.fst.ids(self.fst.shortest_path(chunk)), "<i4").tobytes()
+            ids = self.fst.ids(self.fst.shortest_path(chunk))
+            found = struct.pack(f"<{len(ids)}i", *ids)
         if len(chunk) <= 64:
             if len(self) >= self.bound:
                 self.old = dict(self)
@@ -143,22 +156,22 @@ class Transducer:
         self.bytes_of[self.unknown] = " ⁇ ".encode()
         self.rewrites, self.longest = rewrites, max(map(len, rewrites), default=0)
         self.rewritten = re.compile("[" + "".join(map(re.escape, sorted({k[0] for k in rewrites}))) + "]") if rewrites else None
-        # States of the piece machine: arcs by character, and the piece that ends there (-1: none).
-        self.states: list[dict[str, int]] = [{}]
-        self.ends: list[int] = [-1]
-        for p, i in self.arcs.items():
-            state = 0
-            for c in p:
-                after = self.states[state].get(c)
-                if after is None:
-                    after = self.states[state][c] = len(self.states)
-                    self.states.append({})
-                    self.ends.append(-1)
-                state = after
-            self.ends[state] = i
+        # States of the piece machine: by character the next state; under ARCS the (size, arc) of all pieces on the way there, the
+        # shortest first.  The first character is always one: outside the vocabulary it goes to the byte fallback.
+        self.start: dict = {}
+        self.depth = max(map(len, self.arcs), default=0)
+        for p in sorted(self.arcs):
+            state = self.start
+            for n, c in enumerate(p, 1):
+                if c not in state:
+                    arc = self.arcs.get(p[:n], outside(c) if n == 1 else None)
+                    state[c] = {ARCS: state.get(ARCS, ()) + (((n, arc),) if arc is not None else ())}
+                state = state[c]
         # Added for every character, the same for all paths over an input, so that no weight is below zero.
         self.lift = 0.0 if kind == BPE else max([0.0, *(self.scores[i] / len(p) for p, i in self.arcs.items())])
-        self._linked: dict[int, bool] = {}
+        self._linked: dict[int, dict[int, bool]] = {}
+        self._links = 0
+        self._sides: dict[int, tuple[list, list] | None] = {}
         self._cache, self._bound = Encodings(self, cache), cache
         # Exact places to cut an input: no arc spans them.  Controls that stand in no longer piece; a space mark, if it only
         # begins pieces; between a letter or digit and a punctuation mark that never follows it in a piece.
@@ -201,83 +214,156 @@ class Transducer:
             text = " " + text
         return text.replace(" ", SPACE) if self.escape else text
 
+    def next_merge(self, parts: list[str]) -> tuple[float, int]:
+        """Rank and place of the next two parts to merge; place -1: none."""
+        best, at = NEVER, -1
+        for k in range(len(parts) - 1):
+            i = self.arcs.get(parts[k] + parts[k + 1])
+            if i is not None and (at < 0 or self.scores[i] > best):
+                best, at = self.scores[i], k
+        return best, at
+
     def merged(self, text: str) -> list[str]:
         """Pieces after merging characters by rank, leftmost first: the reference semantics of a BPE model."""
         parts = list(text)
+        while (at := self.next_merge(parts)[1]) >= 0:
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def sides(self, arc: int) -> tuple[list, list] | None:
+        """The first and the last part of a label while it is merged, from character to piece: (lowest rank merged since the part before, part).
+
+        None: merging does not leave the label whole.
+        """
+        if arc in self._sides:
+            return self._sides[arc]
+        parts = list(self.label(arc))
+        out = [(NEVER, parts[0])], [(NEVER, parts[-1])]
+        low = [-NEVER, -NEVER]
         while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = self.arcs.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.scores[i] > best):
-                    best, at = self.scores[i], k
-            if best is None:
+            rank, at = self.next_merge(parts)
+            if at < 0:
+                out = None
                 break
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            low = [min(x, rank) for x in low]
+            for side, place in ((0, 0), (1, len(parts) - 1)):
+                if at == place:
+                    out[side].append((low[side], parts[at]))
+                    low[side] = -NEVER
+        if arc >= 0:
+            self._sides[arc] = out
+        return out
 
     def label(self, arc: int) -> str:
         """Input label of an arc: a piece, or a character outside the vocabulary (kept as a negative number)."""
-        return self.pieces[arc] if arc >= 0 else chr(-arc - 2)
+        return self.pieces[arc] if arc >= 0 else chr(OUTSIDE - arc)
 
     def linked(self, a: int, b: int) -> bool:
-        """Is there an arc of weight 0 from the state of arc ``a`` (START: the start state) over ``b``?"""
-        right = self.label(b)
-        if a == START:
-            return self.merged(right) == [right]
-        left = self.label(a)
-        return self.merged(left + right) == [left, right]
-
-    def arcs_from(self, chunk: str, start: int) -> list[tuple[int, int]]:
-        """(end, arc) of every arc that the composition has over the input from ``start`` on, the shortest first."""
-        out, states, ends, state = [], self.states, self.ends, 0
-        for end in range(start, len(chunk)):
-            state = states[state].get(chunk[end])
-            if state is None:
+        """Is there an arc of weight 0 from the state of arc ``a`` (START: the start state) over ``b``?
+
+        Merging both labels side by side, the higher rank moves first, the left one of equals; there is none if the parts beside the
+        boundary merge.  A side changes its part there before the other one if the lowest rank on its way is the higher.
+        """
+        right = self.sides(b)
+        if a == START or right is None:
+            return right is not None
+        left = self.sides(a)
+        if left is None:
+            return False
+        (_, x), *lefts = left[1]
+        (_, y), *rights = right[0]
+        i = j = 0
+        while True:
+            low_x = lefts[i][0] if i < len(lefts) else NEVER
+            low_y = rights[j][0] if j < len(rights) else NEVER
+            across = self.arcs.get(x + y)
+            if across is not None and (rank := self.scores[across]) > low_x and rank >= low_y:
+                return False
+            if i == len(lefts) and j == len(rights):
+                return True
+            if low_x >= low_y:
+                x, i = lefts[i][1], i + 1
+            else:
+                y, j = rights[j][1], j + 1
+
+    def arcs_from(self, chunk: str, start: int) -> tuple[tuple[int, int], ...]:
+        """(size, arc) of every arc that the composition has over the input from ``start`` on, the shortest first."""
+        state = self.start
+        for c in chunk[start:start + self.depth]:
+            after = state.get(c)
+            if after is None:
                 break
-            if ends[state] >= 0:
-                out.append((end + 1, ends[state]))
-        if not out or out[0][0] != start + 1:  # a character outside the vocabulary
-            out.insert(0, (start + 1, -ord(chunk[start]) - 2))
-        return out
+            state = after
+        return state.get(ARCS) or ((1, outside(chunk[start])),)
 
     def allowed(self, last: int, arc: int) -> bool:
         """Is the weight of ``arc`` after the arc ``last`` of a BPE model (START: none) zero, not infinity?"""
-        key, memo = last << 24 | arc + 0x200000, self._linked
-        link = memo.get(key)
+        link = self._linked.setdefault(last, {}).get(arc)
         if link is None:
-            if len(memo) >= 2 * self._bound:
-                memo.clear()
-            link = memo[key] = self.linked(last, arc)
+            if self._links >= 2 * self._bound:
+                self._linked.clear()
+                self._links = 0
+            link = self._linked.setdefault(last, {})[arc] = self.linked(last, arc)
+            self._links += 1
         return link
 
     def shortest_path(self, chunk: str) -> list[int]:
         """Arcs of the tropical shortest path through the composition of ``chunk`` with the machines.
 
-        Best first, of equal costs the farthest; whether a weight is infinite is asked when its arc's turn comes.  One entry a
-        place is enough: unigram weights do not depend on the last arc, and for BPE a prefix has one path of finite weight at most.
+        One entry a place is enough: unigram weights do not depend on the last arc, and for BPE a prefix has one path of finite
+        weight at most.
         """
-        n, unigram, lift = len(chunk), self.kind == UNIGRAM, self.lift
+        return self.cheapest(chunk) if self.kind == UNIGRAM else self.finite(chunk)
+
+    def cheapest(self, chunk: str) -> list[int]:
+        """The path of a unigram model: best first, of equal costs the farthest."""
+        n, lift = len(chunk), self.lift
         back: dict[int, tuple[int, int]] = {}
         heap = [(0.0, 0, 0, START)]
-        while True:
+        while n not in back:
             total, place, before, arc = heapq.heappop(heap)
             place = -place
-            if place in back or not (unigram or arc == START or self.allowed(back[before][1], arc)):
+            if place in back:
                 continue
             back[place] = before, arc
-            if place == n:
-                break
-            for end, x in self.arcs_from(chunk, place):
-                cost = lift * (end - place) - (self.scores[x] if x >= 0 else self.worst) if unigram else 0.0
-                heapq.heappush(heap, (total + cost, -end, place, x))
-        out = []
+            for size, x in self.arcs_from(chunk, place) if place < n else ():
+                cost = lift * size - (self.scores[x] if x >= 0 else self.worst)
+                heapq.heappush(heap, (total + cost, -place - size, place, x))
+        out, place = [], n
         while place > 0:
             place, arc = back[place]
             out.append(arc)
         return out[::-1]
 
+    def finite(self, chunk: str) -> list[int]:
+        """The path of a BPE model, where every finite one weighs 0: depth first, the farthest arc first; a weight is asked for when its arc's turn comes."""
+        n, links, nothing = len(chunk), self._linked, {}
+        taken = []  # (place, last arc, arcs from there, how many of them are untried, the arc taken)
+        place, last = 0, START
+        while place < n:
+            arcs = self.arcs_from(chunk, place)
+            left = len(arcs)
+            while True:
+                known = links.get(last, nothing)
+                while left:
+                    left -= 1
+                    size, arc = arcs[left]
+                    link = known.get(arc)
+                    if link or link is None and self.allowed(last, arc):
+                        break
+                else:
+                    place, last, arcs, left, _ = taken.pop()
+                    continue
+                break
+            taken.append((place, last, arcs, left, arc))
+            place, last = place + size, arc
+        return [x[-1] for x in taken]
+
     def ids(self, arcs: list[int]) -> list[int]:
         """Piece ids; a character outside the vocabulary becomes its bytes (or the unknown piece without byte pieces)."""
+        if min(arcs, default=0) >= 0:
+            return arcs
         out: list[int] = []
         for x in arcs:
             if x >= 0:
@@ -299,6 +385,12 @@ class Transducer:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+@lru_cache(maxsize=2)
+def compiled(model: bytes) -> Transducer:
+    """The machines of a model, once a worker process: its next tasks find them and the chunks met so far."""
+    return Transducer(model)
+
+
 def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, n_byte_tokens, round_trip, ids_sha256, ids.
 
@@ -309,7 +401,7 @@ def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
     schema = "doc_id long, n_tokens long, n_byte_tokens long, round_trip boolean, ids_sha256 string, ids array<int>"
 
     def encode(batches):
-        fst = Transducer(model)
+        fst = compiled(model)
         is_byte = np.array([t == BYTE for t in fst.types])
         for batch in batches:
             docs_, texts = batch.column(0), batch.column(1).to_pylist()
@@ -333,7 +425,7 @@ def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
 def decode_documents(encoded: DataFrame, model: bytes) -> DataFrame:
     """doc_id and text of rows (doc_id, ids); null ids count as none."""
     def decode(batches):
-        fst = Transducer(model)
+        fst = compiled(model)
         for batch in batches:
             texts = [fst.decode(np.array(x or [], "<i4")) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])

@@ -321,6 +321,43 @@ def test_unigram_shortest_path_equals_brute_force(raised):
         assert cost == pytest.approx(min(c for c, _ in all_paths(s)))
 
 
+def test_links_need_no_merging_of_the_pair(monkeypatch):
+    """Random vocabularies, equal ranks among them: a link is where merging the pair leaves both, told from the parts of each label alone."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(400)]
+    wanted = []
+    for k in range(25):
+        fst = sentencepiece_fst.Transducer(toy(2))
+        fst.pieces = sorted(set(rng.sample(words, 25)))
+        fst.scores = [-float(rng.randint(0, 10 if k % 2 else 1000)) for _ in fst.pieces]
+        fst.arcs = {p: i for i, p in enumerate(fst.pieces)}
+        pairs = [(a, b) for a in fst.arcs.values() for b in fst.arcs.values()]
+        wanted.append((fst, {(a, b): fst.merged(fst.label(a) + fst.label(b)) == [fst.label(a), fst.label(b)] for a, b in pairs}))
+    assert {x for _, links in wanted for x in links.values()} == {False, True}
+    monkeypatch.setattr(sentencepiece_fst.Transducer, "merged", None)
+    for fst, links in wanted:
+        assert {pair: fst.linked(*pair) for pair in links} == links
+
+
+def test_encoding_merges_each_piece_once(monkeypatch):
+    """Long unlike chunks: merging is followed for the pieces met, not for every pair of them."""
+    count = []
+    merge = sentencepiece_fst.Transducer.next_merge
+    monkeypatch.setattr(sentencepiece_fst.Transducer, "next_merge", lambda self, parts: count.append(1) or merge(self, parts))
+    fst = sentencepiece_fst.Transducer(toy(2))
+    rng = random.Random(7)
+    for _ in range(300):
+        text = "".join(rng.choice("abz") for _ in range(60))
+        ids = fst.encode(text).tolist()
+        assert fst.decode(np.array(ids, "<i4")) == text
+    assert len(count) <= sum(map(len, fst.arcs))
+
+
+def test_a_worker_compiles_a_model_once():
+    model = toy(2)
+    assert sentencepiece_fst.compiled(model) is sentencepiece_fst.compiled(bytes(bytearray(model)))
+
+
 @needs_model
 def test_encode_documents_edges(documents):
     rows = sentencepiece_fst.encode_documents(documents(EDGES), queries.tokenizer_bytes())
